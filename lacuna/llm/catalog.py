@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.llm import tokens
+from lacuna.llm import gif, tokens
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,13 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op10_gif_media": op10_gif_media,
 }
 
 ORACLE_SQL: dict[str, str] = {}
