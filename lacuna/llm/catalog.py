@@ -8,7 +8,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.llm import gif, tokens
+from lacuna.llm import gif, packing, tokens
+
+
+def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0)
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +26,7 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op10_gif_media": op10_gif_media,
 }
