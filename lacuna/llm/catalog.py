@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.llm import gif, html_text, packing, tokens
+from lacuna.llm import exact_dedup, gif, html_text, packing, tokens
 
 
 def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0)
 
 
+def op3_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -31,9 +35,22 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
+    "op3_block_naming": op3_block_naming,
     "op7_block_rules": op7_block_rules,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op10_gif_media": op10_gif_media,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Equal texts by their normalised strings themselves, compared whole.
+OP3_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
+)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM docs
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_block_naming": OP3_SQL,
+}
