@@ -7,8 +7,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lacuna.llm import exact_dedup, gif, html_text, packing, tokens
+from lacuna.llm import chat, exact_dedup, gif, html_text, licenses, packing, tokens
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,15 +34,27 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: A conversation whose texts hold the template's control strings, added to the table.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op9_schema_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    return chat.conversation_digests(rows.unionByName(planted))
+
+
 def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
     "op3_block_naming": op3_block_naming,
     "op7_block_rules": op7_block_rules,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_schema_fingerprints": op9_schema_fingerprints,
     "op10_gif_media": op10_gif_media,
 }
 
@@ -51,6 +68,26 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM docs
 """
 
+#: The template's escapes and marks applied to the rows; nothing is formatted as a whole but its length.
+OP9_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')) v(conv_id, turn, role, text)
+),
+escaped AS (
+  SELECT *, replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\t'), chr(10), '\n') AS r,
+         replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t') AS t
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('### ' || r || chr(10) || t || '</turn>' || chr(10)))::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": licenses.oracle_sql(),
     "op3_block_naming": OP3_SQL,
+    "op9_schema_fingerprints": OP9_SQL,
 }
