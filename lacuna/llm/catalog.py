@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import chat, exact_dedup, gif, html_text, licenses, packing, tokens
+from lacuna.llm import chat, exact_dedup, gif, html_text, licenses, packing, quality, tokens, toxicity
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,16 @@ def op3_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return quality.score(docs, quality.fit(docs, labels))
+
+
+def op5_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return toxicity.score(docs, toxicity.fit(docs, labels))
+
+
 def op7_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -52,6 +62,8 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
     "op3_block_naming": op3_block_naming,
+    "op4_factorisation_machine": op4_factorisation_machine,
+    "op5_convolutional_toxicity": op5_convolutional_toxicity,
     "op7_block_rules": op7_block_rules,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_schema_fingerprints": op9_schema_fingerprints,
