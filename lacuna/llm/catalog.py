@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import chat, exact_dedup, gif, html_text, licenses, packing, quality, tokens, toxicity
+from lacuna.llm import chat, exact_dedup, gif, html_text, licenses, near_dedup, packing, quality, tokens, toxicity
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels))
 
 
+def op6_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op3_block_naming": op3_block_naming,
     "op4_factorisation_machine": op4_factorisation_machine,
     "op5_convolutional_toxicity": op5_convolutional_toxicity,
+    "op6_prob_min_hash": op6_prob_min_hash,
     "op7_block_rules": op7_block_rules,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_schema_fingerprints": op9_schema_fingerprints,
