@@ -1,6 +1,475 @@
-"""Registered queries over the fixture tables, with their DuckDB equivalents."""
+"""Registered queries over the fixture tables, with their DuckDB equivalents.
+
+Column names and values agree on both sides; shares are rounded to six digits.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lacuna.functions import lexicon as lx
+from lacuna.functions import missing as ms
+from lacuna.functions import text as tx
+from lacuna.operators import prep, profile, sampling, tokens, vectors
+from lacuna.plans import embed, fixtures, oracle
+from lacuna.sources import corpus
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: The whole relation, without the file name, which the table's name implies.
+KEYS = ["table_id", "row_idx", "column"]
+_K = 'table_id, row_idx, "column"'
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return function
+
+    return register
+
+
+# ------------------------------------------------------------------------------- cells and text
+
+
+@query("is_missing_mask", oracle.with_cells(f"SELECT {_K}, missing FROM masked"))
+def is_missing_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.masked(spark, sf_dir).select(*KEYS, "missing")
+
+
+@query("classify_cells", oracle.with_cells(f"SELECT {_K}, missing_kind, special_token, original_value FROM cell"))
+def classify_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ms.classify_cell(F.col("value"), F.col("is_numeric"), F.col("is_null"))
+    return fixtures.cells(spark, sf_dir).select(*KEYS, found.alias("c")).select(*KEYS, "c.*")
+
+
+_OCCURRENCES = f"""SELECT table_id, file_basename AS file, "column", row_idx, value AS original_value, lower({oracle.stripped("value")}) AS normalized_value, label AS matched_pattern, kind FROM classified WHERE kind IS NOT NULL"""
+
+
+@query("occurrence_scan", oracle.with_cells(_OCCURRENCES))
+def occurrence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.occurrences(fixtures.cells(spark, sf_dir))
+
+
+@query(
+    "occurrence_summary",
+    oracle.with_cells(f"""SELECT normalized_value, kind, matched_pattern, count(*) AS n_occurrences, count(DISTINCT "column") AS n_columns, count(DISTINCT file) AS n_files FROM ({_OCCURRENCES}) GROUP BY ALL"""),
+)
+def occurrence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.occurrence_summary(tokens.occurrences(fixtures.cells(spark, sf_dir)))
+
+
+_TEXTS = """
+SELECT DISTINCT t FROM (
+  SELECT concat(p_name, '_', p_type) AS t FROM {part} UNION ALL SELECT concat(p_brand, '|', p_type) FROM {part} UNION ALL SELECT o_orderpriority FROM {orders}
+  UNION ALL SELECT concat('avg', c_name, 'ID-', c_mktsegment) FROM {customer} UNION ALL SELECT concat(event_type, 'URLName ', props) FROM {events}
+)
+"""
+
+
+@query("normalize_text", f"SELECT t, {oracle.normalized('t')} AS normal FROM ({_TEXTS.format(part='part', orders='orders', customer='customer', events='events')})")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = spark.sql(_TEXTS, **{t: fixtures.load(spark, sf_dir, t) for t in ("part", "orders", "customer", "events")})
+    return texts.select("t", tx.normalize(F.col("t")).alias("normal"))
+
+
+HEADERS = (
+    "customerID", "avg_bp", "URLName", "U.S. state", "Unnamed: 0", "__index_level_0__", "age 2", "total.case", "Gender_2", "location-3", "MG", "RNA levels", "TAPEWORM", "ELISAassay", "sbp|dbp", " padded ",
+    "cityName", "collection date (1)", "growth rate 2011-2016", "n", "Country", "maxTemp", "HIPAA id", "regionOf", "dateTime", "sexRatio",
+)
+_HEADERS = f"(SELECT unnest([{oracle.strings(HEADERS)}]) AS t)"
+
+
+def _headers(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(h,) for h in HEADERS], "t string")
+
+
+@query("normalize_headers", f"SELECT t, {oracle.normalized('t')} AS normal FROM {_HEADERS}")
+def normalize_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _headers(spark).select("t", tx.normalize(F.col("t")).alias("normal"))
+
+
+@query("column_type_rename", f"SELECT t, {oracle.column_type('t')} AS column_type FROM {_HEADERS}")
+def column_type_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _headers(spark).select("t", tx.column_type(F.col("t")).alias("column_type"))
+
+
+@query("priority_order", f"SELECT t, {oracle.priority('t')} AS is_priority, row_number() OVER (ORDER BY {oracle.priority('t')} DESC, md5('42|0|' || t)) AS column_rank FROM {_HEADERS}")
+def priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    eligible = _headers(spark).select(F.lit("t").alias("table_id"), F.col("t").alias("file_basename"), F.lit(0).alias("col_idx"), F.lit(0).alias("run_index"), "t")
+    ranked = eligible.withColumns({"table_id": F.lit("t"), "is_priority": tx.is_priority(F.col("t")), "key": sampling.order_key(42, F.col("run_index"), "t")})
+    order = Window.partitionBy("table_id").orderBy(F.col("is_priority").desc(), "key")
+    return ranked.select("t", "is_priority", F.row_number().over(order).cast("long").alias("column_rank"))
+
+
+@query(
+    "format_cell",
+    f"""WITH cells AS ({oracle.cells_sql(("orders_dirty",))}) SELECT row_idx, "column",
+      CASE WHEN is_null THEN '' WHEN is_numeric AND CAST(value AS DOUBLE) = floor(CAST(value AS DOUBLE)) THEN CAST(CAST(value AS DOUBLE)::BIGINT AS VARCHAR) ELSE value END AS shown FROM cells""".replace(
+        "CAST(value AS DOUBLE)", "TRY_CAST(value AS DOUBLE)"
+    ),
+)
+def format_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.when(F.col("is_numeric"), F.col("value").try_cast("double"))
+    return fixtures.cells(spark, sf_dir, ("orders_dirty",)).select("row_idx", "column", ms.format_cell(F.col("value"), number, F.col("is_null")).alias("shown"))
+
+
+@query("canonicalize_missing", oracle.with_cells(f"""SELECT {_K}, CASE WHEN missing AND "column" <> 'status' THEN 'n/a' ELSE value END AS value FROM masked"""))
+def canonicalize_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.canonicalize_missing(fixtures.cells(spark, sf_dir), skip_columns=("status",)).select(*KEYS, "value")
+
+
+# ------------------------------------------------------------------------------- profiles
+
+_PROFILE = """table_id, "column", n_missing, n_present, n_disguised, n_unique_present, round(uniq_frac, 6) AS uniq_frac, round(mean_present_len, 6) AS mean_present_len, round(agg_frac, 6) AS agg_frac"""
+
+
+def _shown(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(
+        "table_id", "column", "n_missing", "n_present", "n_disguised", "n_unique_present", F.round("uniq_frac", 6).alias("uniq_frac"),
+        F.round("mean_present_len", 6).alias("mean_present_len"), F.round("agg_frac", 6).alias("agg_frac"), *more,
+    )
+
+
+@query("column_profile", oracle.with_cells(f"SELECT {_PROFILE} FROM profile"))
+def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(profile.column_profile(fixtures.masked(spark, sf_dir)))
+
+
+@query("eligibility_reasons", oracle.with_cells(f"SELECT {_PROFILE}, reason FROM eligible"))
+def eligibility_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(profile.eligibility(profile.column_profile(fixtures.masked(spark, sf_dir))), "reason")
+
+
+@query("eligibility_strict", oracle.with_cells(f"SELECT {_PROFILE}, reason FROM strict", {"strict": oracle.eligible(strict=True)}))
+def eligibility_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(profile.eligibility(profile.column_profile(fixtures.masked(spark, sf_dir)), strict=True), "reason")
+
+
+BLOCKED = (*lx.BLOCKED_COLUMNS, ("orders_dirty.parquet", "note"), ("doc_labels.parquet", "toxic"))
+
+
+@query("blocked_columns", oracle.with_cells(f"SELECT {_PROFILE}, reason FROM blocked", {"blocked": oracle.eligible(blocked=BLOCKED)}))
+def blocked_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(profile.eligibility(profile.column_profile(fixtures.masked(spark, sf_dir)), blocked=BLOCKED), "reason")
+
+
+@query("co_missing_pairs", oracle.with_cells('SELECT table_id, "column", other FROM pairs'))
+def co_missing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.co_missing_pairs(fixtures.masked(spark, sf_dir)).select("table_id", "column", "other")
+
+
+# ------------------------------------------------------------------------------- sampling
+
+
+def _manifest(spark: SparkSession, sf_dir: str, manifest: DataFrame | None = None, min_profile: int = 5, **options) -> DataFrame:
+    masked = fixtures.masked(spark, sf_dir)
+    eligible = profile.eligibility(profile.column_profile(masked), min_n=min_profile).where("reason is null")
+    lists = profile.co_missing_lists(profile.co_missing_pairs(masked))
+    return sampling.build_manifest(masked, eligible, lists, manifest, **options)
+
+
+@query("balanced_draw", oracle.with_cells(oracle.manifest(), oracle.draw(5, 5)))
+def balanced_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _manifest(spark, sf_dir)
+
+
+@query("balanced_draw_priority", oracle.with_cells(oracle.manifest(seed=7), oracle.draw(3, 3, seed=7, use_priority=True)))
+def balanced_draw_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _manifest(spark, sf_dir, n=3, seed=7, priority=lx.PRIORITY_PATTERN)
+
+
+@query("soft_min_draw", oracle.with_cells(oracle.manifest(), oracle.draw(400, 5, cap=800)))
+def soft_min_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _manifest(spark, sf_dir, n=400, min_n=5, max_per_file_column=800)
+
+
+#: A second run on top of the first: used rows and drawn columns are excluded, and numbers go on.
+_SECOND = oracle.draw(
+    5, 5, run="1", used="WHERE NOT EXISTS (SELECT 1 FROM first_run f WHERE f.file_basename = c.file_basename AND f.row_idx = c.row_idx)",
+    skip='AND NOT EXISTS (SELECT 1 FROM first_run f WHERE f.file_basename = eligible.file_basename AND f.target_col = eligible."column")',
+)
+
+
+def _renamed(ctes: dict[str, str], prefix: str) -> dict[str, str]:
+    """The same expressions under names with a prefix."""
+    out = {}
+    for name, body in ctes.items():
+        for other in ctes:
+            body = body.replace(f"FROM {other} ", f"FROM {prefix}{other} ").replace(f"FROM {other}\n", f"FROM {prefix}{other}\n").replace(f"JOIN {other} ", f"JOIN {prefix}{other} ")
+            if body.endswith(f"FROM {other}"):
+                body += f"\x00{prefix}"
+                body = body.replace(f"FROM {other}\x00{prefix}", f"FROM {prefix}{other}")
+        out[prefix + name] = body
+    return out
+
+
+_TWO_RUNS = _renamed(oracle.draw(5, 5), "a_") | {"first_run": oracle.manifest(source="a_drawn")} | _SECOND
+_SECOND_ROWS = oracle.manifest(first_id=0)
+
+
+@query("append_draw", oracle.with_cells(f"SELECT * FROM first_run UNION ALL BY NAME SELECT * REPLACE (sample_id + (SELECT count(*) FROM first_run) AS sample_id) FROM ({_SECOND_ROWS})", _TWO_RUNS))
+def append_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = _manifest(spark, sf_dir)
+    return sampling.append(first, _manifest(spark, sf_dir, first, first_id=sampling.next_sample_id(first)))
+
+
+@query("column_skip", oracle.with_cells(f"SELECT target_col, file_basename, count(*) AS n FROM ({_SECOND_ROWS}) GROUP BY ALL", _TWO_RUNS))
+def column_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    second = _manifest(spark, sf_dir, _manifest(spark, sf_dir))
+    return second.groupBy("target_col", "file_basename").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("caps_filter", oracle.with_cells(oracle.manifest(), oracle.draw(400, 2, cap=700)))
+def caps_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _manifest(spark, sf_dir, n=400, min_n=2, max_per_file_column=700)
+
+
+_PRUNED = """
+WITH m AS (SELECT doc_id AS sample_id, source AS file_basename, lang AS target_col, lang AS column_type, doc_id % 3 = 0 AS is_missing FROM documents),
+a AS (SELECT *, count(*) FILTER (is_missing) OVER g AS mi, count(*) FILTER (NOT is_missing) OVER g AS pr, row_number() OVER (PARTITION BY file_basename, target_col, is_missing ORDER BY md5('42|' || sample_id), sample_id) AS rn FROM m WINDOW g AS (PARTITION BY file_basename, target_col)),
+b AS (SELECT sample_id, file_basename, target_col, column_type, is_missing FROM a WHERE mi + pr <= 10 OR rn <= CASE WHEN is_missing THEN least(mi, 10 - least(pr, 10 - least(mi, 5))) ELSE least(pr, 10 - least(mi, 5)) END),
+c AS (SELECT *, count(*) FILTER (is_missing) OVER g AS mi, count(*) FILTER (NOT is_missing) OVER g AS pr, row_number() OVER (PARTITION BY column_type, is_missing ORDER BY md5('42|' || sample_id), sample_id) AS rn FROM b WINDOW g AS (PARTITION BY column_type))
+SELECT sample_id, file_basename, target_col, column_type, is_missing FROM c WHERE mi + pr <= 75 OR rn <= CASE WHEN is_missing THEN least(mi, 75 - least(pr, 75 - least(mi, 38))) ELSE least(pr, 75 - least(mi, 38)) END
+"""
+
+
+@query("prune_to_caps", _PRUNED)
+def prune_to_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fixtures.load(spark, sf_dir, "documents")
+    manifest = docs.select(F.col("doc_id").alias("sample_id"), F.col("source").alias("file_basename"), F.col("lang").alias("target_col"), F.col("lang").alias("column_type"), (F.col("doc_id") % 3 == 0).alias("is_missing"))
+    return sampling.prune_to_caps(manifest, 10, 75, 42)
+
+
+_SUMS = "SELECT file, target_col, count(*) FILTER (is_missing) AS n_missing, count(*) FILTER (NOT is_missing) AS n_present FROM token GROUP BY ALL"
+
+_TOKEN = f"""
+SELECT (row_number() OVER (ORDER BY t.file_basename, t.col_idx, wanted DESC, rank) - 1)::BIGINT AS sample_id, 'datasets/' || t.file_basename AS file, t.file_basename, t.table_id, {oracle.column_type('"column"')} AS column_type, "column" AS target_col,
+  t.col_idx AS target_col_idx, row_idx, wanted::INT AS y, wanted AS is_missing, CASE WHEN wanted THEN 'disguised' ELSE 'present' END AS missing_kind, CASE WHEN wanted THEN special_token END AS special_token, value AS original_value,
+  coalesce(l.co_missing_columns, '[]') AS co_missing_columns, 42 AS random_state
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY table_id, col_idx, wanted ORDER BY CASE WHEN wanted THEN row_idx END, CASE WHEN NOT wanted THEN md5('42|0|' || file_basename || '|' || "column" || '|' || row_idx) END, row_idx) AS rank
+  FROM (
+    SELECT *, count(*) FILTER (wanted) OVER (PARTITION BY table_id, col_idx) AS n_wanted FROM (
+      SELECT *, coalesce(missing AND missing_kind = 'disguised' AND (lower(special_token) LIKE 'unknown%' OR lower(special_token) IN ({oracle.strings(lx.NOT_APPLICABLE_LABELS)})), false) AS wanted FROM cell)
+    WHERE wanted OR NOT missing)
+) t LEFT JOIN lists l ON t.table_id = l.table_id AND t.col_idx = l.col_idx
+WHERE n_wanted > 0 AND (wanted OR rank <= n_wanted)
+"""
+
+
+def _token_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = fixtures.masked(spark, sf_dir)
+    return tokens.token_manifest(masked, profile.co_missing_lists(profile.co_missing_pairs(masked)))
+
+
+@query("token_manifest", oracle.with_cells(_TOKEN))
+def token_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _token_manifest(spark, sf_dir)
+
+
+@query(
+    "token_group_counts",
+    oracle.with_cells(f"SELECT CASE WHEN lower(special_token) LIKE 'unknown%' THEN 'unknown' ELSE 'not applicable' END AS token_group, count(*) AS n FROM token WHERE y = 1 GROUP BY 1", {"token": _TOKEN}),
+)
+def token_group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_group_counts(_token_manifest(spark, sf_dir))
+
+
+@query("balance_invariant", oracle.with_cells(f"SELECT * FROM ({_SUMS}) WHERE n_missing <> n_present OR n_missing NOT BETWEEN 1 AND 300", {"token": _TOKEN}))
+def balance_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.balance_violations(_token_manifest(spark, sf_dir), 300, 1)
+
+
+_AUDIT = f"""
+SELECT e.file_basename AS file, e."column" AS target_col, {oracle.column_type('e."column"')} AS column_type, n_missing + n_present AS n_rows_total, n_missing AS n_missing_total, n_present AS n_present_total, n_disguised AS n_disguised_total,
+  round(uniq_frac, 4) AS uniq_frac, round(mean_present_len, 2) AS mean_present_len, round(agg_frac, 4) AS aggregate_frac, d.n IS NOT NULL AS sampled, coalesce(d.n, 0) AS n_sampled_missing, coalesce(d.p, 0) AS n_sampled_present,
+  CASE WHEN d.n IS NOT NULL THEN NULL WHEN reason IS NOT NULL THEN reason ELSE 'not_selected_this_run' END AS skip_reason
+FROM eligible e LEFT JOIN (SELECT file_basename, col_idx, count(*) FILTER (missing) AS n, count(*) FILTER (NOT missing) AS p FROM drawn GROUP BY ALL) d ON e.file_basename = d.file_basename AND e.col_idx = d.col_idx
+"""
+
+
+@query("sample_summary", oracle.with_cells(_AUDIT, oracle.draw(5, 5)))
+def sample_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = fixtures.masked(spark, sf_dir)
+    found = profile.eligibility(profile.column_profile(masked))
+    return sampling.audit(found, sampling.build_manifest(masked, found.where("reason is null")))
+
+
+@query("multi_column_draw")
+def multi_column_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _manifest(spark, sf_dir, columns_per_table=4)
+
+
+# ------------------------------------------------------------------------------- encoder input
+
+
+def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.sampled_cells(_manifest(spark, sf_dir), fixtures.masked(spark, sf_dir))
+
+
+_SAMPLED = {
+    "manifest": oracle.manifest(),
+    "sampled": """SELECT m.sample_id, m.target_col_idx, m.co_missing_columns, c.table_id, c.row_idx, c.col_idx, c."column", c.value, c.is_null, c.is_numeric, c.missing, c.col_idx = m.target_col_idx AS is_target,
+      list_contains(CAST(m.co_missing_columns AS VARCHAR[]), c."column") AND c.col_idx <> m.target_col_idx AS co_missing FROM manifest m JOIN masked c ON m.table_id = c.table_id AND m.row_idx = c.row_idx""".replace(
+        "CAST(m.co_missing_columns AS VARCHAR[])", "from_json(m.co_missing_columns, '[\"VARCHAR\"]')"
+    ),
+}
+
+
+def _sentence_sql(a: prep.Ablation) -> str:
+    shown = "CASE WHEN is_target THEN '[?]' WHEN missing THEN '[EMPTY]' WHEN is_numeric AND TRY_CAST(value AS DOUBLE) = floor(TRY_CAST(value AS DOUBLE)) THEN CAST(TRY_CAST(value AS DOUBLE)::BIGINT AS VARCHAR) ELSE value END"
+    name = oracle.normalized('"column"')
+    header = {"strip": "''", "preserve": f"{name} || ': '", "only_target": f"CASE WHEN is_target THEN {name} || ': ' ELSE 'c' || place || ': ' END"}[a.header]
+    rows = "SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY col_idx) - 1 AS place FROM sampled" + (" WHERE NOT co_missing" if a.co_missing_drop else "")
+    keep = "WHERE NOT is_target" if a.target == "remove" else ""
+    return oracle.with_cells(f"""SELECT sample_id, string_agg({header} || {shown}, ', ' ORDER BY col_idx) AS sentence FROM ({rows}) {keep} GROUP BY sample_id""", oracle.draw(5, 5) | _SAMPLED)
+
+
+def _register_sentences(a: prep.Ablation) -> None:
+    @query(f"prep_sentences_{a.id}", _sentence_sql(a))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return prep.sentences(_sampled(spark, sf_dir), a).select("sample_id", "sentence")
+
+
+for _ablation in prep.ABLATIONS:
+    _register_sentences(_ablation)
+
+
+def _table_sql(a: prep.Ablation) -> str:
+    name, cell = oracle.normalized('"column"'), oracle.normalized("CASE WHEN missing THEN 'n/a' ELSE value END")
+    header = {"strip": "'c' || place", "preserve": name, "only_target": f"CASE WHEN is_target THEN {name} ELSE 'c' || place END"}[a.header]
+    rows = "SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY col_idx) - 1 AS place FROM sampled" + (" WHERE NOT is_target" if a.target == "remove" else "")
+    return oracle.with_cells(f"""SELECT sample_id, string_agg({header} || '=' || CASE WHEN is_target THEN '[?]' ELSE {cell} END, ';' ORDER BY col_idx) AS cells, max(CASE WHEN is_target THEN place END)::INT AS target_position FROM ({rows}) GROUP BY sample_id""", oracle.draw(5, 5) | _SAMPLED)
+
+
+def _register_tables(a: prep.Ablation) -> None:
+    @query(f"prep_table_{a.id}", _table_sql(a))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = prep.tables(_sampled(spark, sf_dir), a)
+        joined = F.array_join(F.transform("cells", lambda x: F.concat(x["header"], F.lit("="), x["cell"])), ";")
+        return made.select("sample_id", joined.alias("cells"), "target_position")
+
+
+for _ablation in prep.ABLATIONS[:4]:
+    _register_tables(_ablation)
+
+
+@query("drop_co_missing", oracle.with_cells("""SELECT sample_id, "column" FROM sampled WHERE NOT co_missing""", oracle.draw(5, 5) | _SAMPLED))
+def drop_co_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampled(spark, sf_dir).where(~F.col("co_missing")).select("sample_id", "column")
+
+
+# ------------------------------------------------------------------------------- vectors
+
+_UNIT = "list_transform({v}, lambda x: CASE WHEN sqrt(list_sum(list_transform({v}, lambda y: y::DOUBLE * y::DOUBLE))) > 0 THEN x::DOUBLE / sqrt(list_sum(list_transform({v}, lambda y: y::DOUBLE * y::DOUBLE))) ELSE x::DOUBLE END)"
+_SPLAT = "SELECT vec_id, pos, round(v[pos + 1], 6) + 0.0 AS x FROM (SELECT vec_id, {v} AS v FROM {src}) t, (SELECT unnest(range({n})) AS pos) p"
+
+
+def _splat(df: DataFrame, vector: str = "v") -> DataFrame:
+    return df.select("vec_id", F.posexplode(vector).alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), (F.round("x", 6) + 0.0).alias("x"))
+
+
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.load(spark, sf_dir, "embeddings")
+
+
+_SCALED = "(SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (vec_id % 5)) AS e, list_slice(embedding, 1, 16) AS name FROM embeddings)"
+
+
+def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _embeddings(spark, sf_dir).select("vec_id", F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 5)).alias("e"), F.slice("embedding", 1, 16).alias("name"))
+
+
+@query("l2_normalize", _SPLAT.format(v=_UNIT.format(v="e"), src=_SCALED, n=64))
+def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _splat(_scaled(spark, sf_dir).select("vec_id", vectors.l2_normalize(F.col("e")).alias("v")))
+
+
+_PADDED = f"list_concat({_UNIT.format(v='name')}, list_transform(range(48), lambda i: 0.0::DOUBLE))"
+_MEANED = f"(SELECT vec_id, list_transform(list_zip({_UNIT.format(v='e')}, {_PADDED}), lambda z: (z[1] + z[2]) / 2) AS m FROM {_SCALED})"
+
+
+@query("meanpool", _SPLAT.format(v=_UNIT.format(v="m"), src=_MEANED, n=64))
+def meanpool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _splat(_scaled(spark, sf_dir).select("vec_id", vectors.mean_pool(F.col("e"), F.col("name"), 64).alias("v")))
+
+
+@query("pad_vectors", _SPLAT.format(v="list_concat(list_transform(name, lambda x: x::DOUBLE), list_transform(range(48), lambda i: 0.0::DOUBLE))", src=_SCALED, n=64))
+def pad_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _splat(_scaled(spark, sf_dir).select("vec_id", vectors.pad(F.col("name"), 64).alias("v")))
+
+
+@query("group_mean_embedding", "SELECT label, pos, round(avg(embedding[pos + 1]::DOUBLE), 6) AS x FROM embeddings, (SELECT unnest(range(64)) AS pos) p GROUP BY label, pos")
+def group_mean_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = vectors.group_mean(_embeddings(spark, sf_dir), ["label"], "embedding")
+    return means.select("label", F.posexplode("mean").alias("pos", "x")).select("label", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+_WIDE = f"""
+SELECT sample_id, table_id, column_type, row_idx, row_number() OVER (PARTITION BY table_id, column_type ORDER BY sample_id) - 1 AS row_in_table, (missing_kind <> 'present')::INT AS y, special_token,
+  {", ".join(f"e.embedding[{i + 1}] AS {name}" for i, name in enumerate(vectors.embedding_names(64)))}
+FROM manifest m JOIN embeddings e ON e.vec_id = m.sample_id
+"""
+
+
+@query("pred_dataset_wide", oracle.with_cells(_WIDE, oracle.draw(5, 5) | {"manifest": oracle.manifest()}))
+def pred_dataset_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embedded = _manifest(spark, sf_dir).join(_embeddings(spark, sf_dir).withColumnRenamed("vec_id", "sample_id"), "sample_id")
+    return vectors.prediction_dataset(embedded, 64)
+
+
+@query("embed_hash")
+def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = prep.sentences(_sampled(spark, sf_dir), prep.ABLATIONS[0])
+    return vectors.prediction_dataset(embed.embed_column(made, "sentence", "hashing", "hashing", 384), 384)
+
+
+# ------------------------------------------------------------------------------- orchestration
+
+
+@query("shard_union", "SELECT n_nationkey AS key, n_name AS name, NULL::VARCHAR AS note FROM nation UNION ALL SELECT r_regionkey, r_name, 'region' FROM region")
+def shard_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = fixtures.load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
+    other = fixtures.load(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"), F.lit("region").alias("note"))
+    return sampling.append(one, other)
+
+
+@query("resume_anti_join", """SELECT DISTINCT source, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id % 4 = 0 AND x.source = d.source AND x.lang = d.lang)""")
+def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fixtures.load(spark, sf_dir, "documents")
+    done = docs.where("doc_id % 4 = 0").select("source", "lang").distinct()
+    return docs.select("source", "lang").distinct().join(done, ["source", "lang"], "left_anti")
+
+
+@query(
+    "occurrence_lookup",
+    oracle.with_cells(f"""SELECT c.table_id, c.row_idx, c."column", o.v AS occurrence FROM cells c LEFT JOIN (SELECT table_id, "column", row_idx, max(original_value) AS v FROM ({_OCCURRENCES}) WHERE row_idx % 2 = 0 GROUP BY ALL) o ON c.table_id = o.table_id AND c."column" = o."column" AND c.row_idx = o.row_idx"""),
+)
+def occurrence_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = fixtures.cells(spark, sf_dir)
+    found = tokens.occurrences(cells).where("row_idx % 2 = 0")
+    return tokens.with_occurrence_labels(cells, found).select(*KEYS, "occurrence")
+
+
+@query(
+    "prior_state_counts",
+    oracle.with_cells("SELECT file_basename, count(DISTINCT target_col)::INT AS run_index FROM manifest GROUP BY file_basename", oracle.draw(5, 5) | {"manifest": oracle.manifest()}),
+)
+def prior_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.prior_state(_manifest(spark, sf_dir))["runs"]
+
+
+@query("corpus_scan", "SELECT 'region' AS table_id, count(*) * 2 AS n_cells, 0::BIGINT AS n_null FROM region UNION ALL SELECT 'nation', count(*) * 3, 0 FROM nation")
+def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder reader over the two dimension tables, which every size has as single files."""
+    files = corpus.list_files(spark, sf_dir).where(F.col("file_basename").isin("region.parquet", "nation.parquet"))
+    cells, _ = corpus.cells_of_files(files)
+    return cells.groupBy("table_id").agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(F.col("is_null")).alias("n_null"))
