@@ -9,14 +9,14 @@ candidates; candidates are verified by the Jaccard similarity of their sets of s
 
 No pairs are made within a group. Equal texts are one node from the start. Then
 
-1. each node is verified against one leader, the smallest node of the bands that they share most often;
+1. each node is verified against one leader of its bands, the node that meets most others;
 2. the links found give classes; bands whose members are all of one class are done;
 3. in the other bands, the members outside the band's largest class are compared by their registers with all
-   members of other classes, in blocks of bounded size inside a Python worker, and the pairs that are
-   likely enough are verified.
+   members of other classes, in blocks of bounded size inside a Python worker; pairs that are likely enough
+   are verified there, and a worker returns no more links than connect what is linked in the block.
 
 So all candidates are settled: linked, or of one class already, or verified, or their registers agree so
-seldom (under 0.6 of them) that a similarity of 0.8 is ruled out by more than five standard deviations.
+seldom (under 0.66 of them) that a similarity of 0.8 is ruled out by four standard deviations.
 With 26 bands of 5 registers a pair of similarity 0.8 shares no band with a chance of 3 in 100,000.
 
 Verification uses 32-bit hashes of shingles: of a pair, some shingle is mistaken for another with a chance of
@@ -54,7 +54,7 @@ class Config:
     similarity: float = 0.8
     bands: int = 26
     rows: int = 5
-    estimate: float = 0.6
+    estimate: float = 0.66
     block: int = 256
 
     @property
@@ -205,46 +205,93 @@ def verified(pairs: DataFrame, sets: DataFrame, config: Config) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInPandas(similar, "a long, b long")
 
 
-def likely_pairs(blocks: DataFrame, config: Config) -> DataFrame:
-    """Pairs (a, b) of different classes in one block whose registers agree often enough.
+def _by_block(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[dict[str, np.ndarray], list[int], list[int]]]:
+    """Sorted batches as (columns, starts, stops) of whole blocks; a block that a batch breaks off waits for the next."""
+    rest: pd.DataFrame | None = None
+    for batch in itertools.chain(batches, [None]):
+        now = rest if batch is None else batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if now is None or not len(now):
+            continue
+        keys = now[["key", "i", "j"]].to_numpy()
+        cuts = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
+        if batch is not None:
+            last = cuts[-1] if cuts else 0
+            rest, now, cuts = now.iloc[last:], now.iloc[:last], cuts[:-1]
+        if len(now):
+            yield {c: now[c].to_numpy() for c in now.columns}, [0, *cuts], [*cuts, len(now)]
 
-    ``blocks``: (key, i, j, outlier, node, class, low), where a block (key, i, j) holds some outliers of a band
-    and some of its members, at most a few hundred rows. Blocks are brought together by a shuffle
-    and sorted; a worker holds one batch and the block that it breaks off.
-    """
 
-    def compared(block: pd.DataFrame) -> list[tuple[int, int]]:
-        out, rest = block[block["outlier"]], block[~block["outlier"]]
-        if not len(out) or not len(rest):
-            return []
-        a, b = out["node"].to_numpy(), rest["node"].to_numpy()
-        x, y = (np.frombuffer(b"".join(z["low"]), dtype=np.uint8).reshape(len(z), -1) for z in (out, rest))
-        differ = out["class"].to_numpy()[:, None] != rest["class"].to_numpy()[None, :]
-        found = []
-        for k in range(len(out)):
-            near = differ[k] & ((x[k] == y).mean(axis=1) >= config.estimate)
-            found += [(min(a[k], c), max(a[k], c)) for c in b[near]]
-        return found
+def _likely(rows: dict[str, np.ndarray], start: int, stop: int, config: Config) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(an outlier's row, the rows of its likely partners, their agreement) in one block.
 
-    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["key", "i", "j"]
-        rest: pd.DataFrame | None = None
-        for batch in itertools.chain(batches, [None]):
-            now = rest if batch is None else batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            if now is None or not len(now):
-                continue
-            keys = now[names].to_numpy()
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            if batch is not None:
-                last = int(cuts[-1]) if len(cuts) else 0
-                rest, now, cuts = now.iloc[last:], now.iloc[:last], cuts[:-1]
-            pairs: set[tuple[int, int]] = set()
-            for start, stop in zip([0, *cuts], [*cuts, len(now)], strict=True):
-                pairs.update(compared(now.iloc[start:stop]))
-            yield pd.DataFrame(sorted(pairs), columns=["a", "b"], dtype="int64")
-
-    dealt = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInPandas(likely, "a long, b long").distinct()
+    Partners are of other classes, and the block's band is the first one in which the registers of both agree,
+    so that a pair is met in one band only.
+    """
+    rows_of = np.arange(start, stop)
+    outlier = rows["outlier"][start:stop].astype(bool)
+    out, rest = rows_of[outlier], rows_of[~outlier]
+    if not len(out) or not len(rest):
+        return
+    low = np.frombuffer(b"".join(rows["low"][rest]), dtype=np.uint8).reshape(len(rest), config.registers)
+    classes, band = rows["class"][rest], rows["band"][start]
+    for k in out:
+        same = low == np.frombuffer(rows["low"][k], dtype=np.uint8)
+        agree = same.mean(axis=1)
+        near = np.flatnonzero((classes != rows["class"][k]) & (agree >= config.estimate))
+        if len(near):
+            near = near[same[near].reshape(len(near), config.bands, config.rows).all(axis=2).argmax(axis=1) == band]
+        if len(near):
+            yield int(k), rest[near], agree[near]
+
+
+def block_links(blocks: DataFrame, sets: DataFrame, config: Config) -> DataFrame:
+    """Verified links (a, b) that connect the classes within blocks as all verified pairs would.
+
+    ``blocks``: (key, i, j, band, outlier, node, class), where a block (key, i, j) holds some outliers of a band's
+    largest class and some of its members, a few hundred rows at most. Blocks are brought together by a
+    shuffle and sorted; a worker holds one batch and the block that it breaks off. First, rows without a likely
+    partner are dropped by their registers; then the others' shingles are fetched and likely pairs verified, the
+    likeliest first. Pairs that are connected within the block by then are passed over, so a block yields no
+    more links than it has rows.
+    """
+    keys = ["key", "i", "j"]
+    schema = "key long, i int, j int, band int, outlier boolean, node long, class long"
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def partnered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts, stops in _by_block(batches):
+            kept: set[int] = set()
+            for start, stop in zip(starts, stops, strict=True):
+                for k, near, _ in _likely(rows, start, stop, config):
+                    kept.add(k)
+                    kept.update(near.tolist())
+            at = np.array(sorted(kept), dtype=np.int64)
+            yield pd.DataFrame({c: rows[c][at] for c in columns})
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts, stops in _by_block(batches):
+            links: list[tuple[int, int]] = []
+            for start, stop in zip(starts, stops, strict=True):
+                pairs = [(-e, k, int(m)) for k, near, agree in _likely(rows, start, stop, config) for m, e in zip(near, agree, strict=True)]
+                root: dict[int, int] = {}
+
+                def find(x: int, root: dict[int, int] = root) -> int:
+                    while (up := root.get(x, x)) != x:
+                        root[x] = root.get(up, up)
+                        x = up
+                    return x
+
+                for _, k, m in sorted(pairs):
+                    x, y = find(int(rows["class"][k])), find(int(rows["class"][m]))
+                    if x != y and jaccard(rows["shingles"][k], rows["shingles"][m]) >= config.similarity:
+                        root[max(x, y)] = min(x, y)
+                        links.append((int(rows["node"][k]), int(rows["node"][m])))
+            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    dealt = blocks.join(sets.select("node", "low"), "node").repartition(*keys).sortWithinPartitions(*keys)
+    likely = materialize(dealt.mapInPandas(partnered, schema), "likely-rows")
+    dealt = likely.join(sets.select("node", "low", "shingles"), "node").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInPandas(linked, "a long, b long")
 
 
 # ------------------------------------------------------------------------------------ components
@@ -272,25 +319,19 @@ def components(edges: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------------------ operator
 
 
-def _links(sketch: DataFrame, nodes: DataFrame, config: Config) -> DataFrame:
-    """(node, class) of the nodes that have a verified link. ``nodes``: (rid), one row of each content."""
-    keys = sketch.where("bands is not null").join(nodes, "rid", "left_semi").select(F.col("rid").alias("node"), F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(keys.join(buckets, "key"), "band-members")
-    wanted = members.select(F.col("node").alias("rid")).distinct()
-    sets = materialize(sketch.select("rid", "shingles", "low").join(wanted, "rid", "left_semi").withColumnRenamed("rid", "node"), "shingle-sets")
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, class) after more links: what they connect is found on classes alone."""
+    for end in ("a", "b"):
+        of_end = classes.select(F.col("node").alias(end), F.col("class").alias(f"class_{end}"))
+        links = links.join(of_end, end, "left").withColumn(end, F.coalesce(f"class_{end}", end)).drop(f"class_{end}")
+    merged = components(links).select(F.col("node").alias("class"), F.col("class").alias("into"))
+    old = classes.join(merged, "class", "left").select("node", F.coalesce("into", "class").alias("class"))
+    new = merged.select(F.col("class").alias("node"), F.col("into").alias("class")).join(classes, "node", "left_anti")
+    return materialize(old.union(new), "classes")
 
-    shared = members.where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
-    leading = shared.groupBy("node").agg(F.max(F.struct("n", (-F.col("leader")).alias("minus"))).alias("best"))
-    first = leading.select(F.col("node").alias("a"), (-F.col("best.minus")).alias("b"))
-    classes = components(verified(first, sets, config))
 
-    held = members.select("key", "node").join(classes, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class"))
-    held = materialize(held, "band-classes")
-    open_keys = held.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("key")
-    held = materialize(held.join(open_keys, "key", "left_semi"), "open-bands")
-    if held.isEmpty():
-        return classes
+def _blocks(held: DataFrame, config: Config) -> DataFrame:
+    """The open bands' members in blocks: outliers of the band's largest class against all members."""
     sizes = held.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
     mains = sizes.groupBy("key").agg(F.max(F.struct("n", "class")).alias("main"), F.sum("n").alias("size"))
     mains = mains.select("key", F.col("main.class").alias("main"), F.ceil((F.col("size") - F.col("main.n")) / config.block).alias("n_i"), F.ceil(F.col("size") / config.block).alias("n_j"))
@@ -302,22 +343,35 @@ def _links(sketch: DataFrame, nodes: DataFrame, config: Config) -> DataFrame:
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
 
-    all_rows = held.join(mains, "key")
-    outliers = all_rows.where("class <> main").select("key", dealt("n_i").alias("i"), every("n_j").alias("j"), F.lit(True).alias("outlier"), "node", "class")
-    others = all_rows.select("key", every("n_i").alias("i"), dealt("n_j").alias("j"), F.lit(False).alias("outlier"), "node", "class")
-    blocks = outliers.union(others).join(sets.select("node", "low"), "node")
-    pairs = materialize(likely_pairs(blocks, config), "likely-pairs")
-    more = materialize(verified(pairs, sets, config), "more-links")
-    if more.isEmpty():
+    rows = held.join(mains, "key")
+    outliers = rows.where("class <> main").select("key", dealt("n_i").alias("i"), every("n_j").alias("j"), "band", F.lit(True).alias("outlier"), "node", "class")
+    others = rows.select("key", every("n_i").alias("i"), dealt("n_j").alias("j"), "band", F.lit(False).alias("outlier"), "node", "class")
+    return outliers.union(others)
+
+
+def _links(sketch: DataFrame, nodes: DataFrame, config: Config) -> DataFrame:
+    """(node, class) of the nodes that have a verified link. ``nodes``: (rid), one row of each content."""
+    keys = sketch.where("bands is not null").join(nodes, "rid", "left_semi").select(F.col("rid").alias("node"), F.posexplode("bands").alias("band", "key"))
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = materialize(keys.join(buckets, "key"), "band-members")
+    common = members.groupBy("node").agg(F.sum("size").alias("common"))
+    sets = materialize(sketch.select("rid", "shingles", "low").join(common.select(F.col("node").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "node"), "shingle-sets")
+
+    # A band's leader is the member that meets most others in all its bands: of copies with edits, the text that they come from.
+    ranked = members.join(common, "node").select("key", "node", F.struct("common", (-F.col("node")).alias("minus")).alias("rank"))
+    ranked = materialize(ranked, "band-ranks")
+    leaders = ranked.groupBy("key").agg(F.max("rank").alias("leader"))
+    shared = ranked.join(leaders, "key").where("rank < leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
+    leading = shared.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("best"))
+    classes = components(verified(leading.select(F.col("node").alias("a"), (-F.col("best.leader.minus")).alias("b")), sets, config))
+
+    held = members.select("key", "band", "node").join(classes, "node", "left")
+    held = materialize(held.select("key", "band", "node", F.coalesce("class", "node").alias("class")), "band-classes")
+    open_keys = held.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("key")
+    held = materialize(held.join(open_keys, "key", "left_semi"), "open-bands")
+    if held.isEmpty():
         return classes
-    # The new links connect classes; what they connect is found on classes alone.
-    for end in ("a", "b"):
-        of_end = classes.select(F.col("node").alias(end), F.col("class").alias(f"class_{end}"))
-        more = more.join(of_end, end, "left").withColumn(end, F.coalesce(f"class_{end}", end)).drop(f"class_{end}")
-    merged = components(more).select(F.col("node").alias("class"), F.col("class").alias("into"))
-    old = classes.join(merged, "class", "left").select("node", F.coalesce("into", "class").alias("class"))
-    new = merged.select(F.col("class").alias("node"), F.col("into").alias("class")).join(classes, "node", "left_anti")
-    return materialize(old.union(new), "classes")
+    return _merged(classes, materialize(block_links(_blocks(held, config), sets, config), "links"))
 
 
 def near_duplicates(df: DataFrame, config: Config = Config(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
