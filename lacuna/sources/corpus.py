@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
-import io
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,35 +75,36 @@ def cell_text(value: object) -> str | None:
     return str(value)
 
 
-def _cells_of_file(name: str, content: bytes) -> Iterator[pd.DataFrame]:
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-
+def _cells_of_file(name: str, content: bytes) -> Iterator[pa.RecordBatch]:
     stem, start = name.removesuffix(".parquet"), 0
-    for batch in pq.ParquetFile(io.BytesIO(content)).iter_batches(batch_size=4096):
+    for batch in pq.ParquetFile(pa.BufferReader(content)).iter_batches(batch_size=4096):
         n = batch.num_rows
         for k, field in enumerate(batch.schema):
             values = [cell_text(v) for v in batch.column(k).to_pylist()]
             numeric = pa.types.is_integer(field.type) or pa.types.is_floating(field.type) or pa.types.is_boolean(field.type)
-            yield pd.DataFrame({
-                "table_id": stem, "file_basename": name, "row_idx": range(start, start + n), "col_idx": k, "column": field.name,
-                "is_numeric": numeric, "value": values, "is_null": [v is None for v in values], "error": None,
-            })
+            yield _batch([stem] * n, [name] * n, range(start, start + n), [k] * n, [field.name] * n, [numeric] * n, values, [v is None for v in values], [None] * n)
         start += n
 
 
+def _batch(*columns) -> pa.RecordBatch:
+    text = pa.string()
+    kinds = (text, text, pa.int64(), pa.int32(), text, pa.bool_(), text, pa.bool_(), text)
+    names = [*(x.split()[0] for x in CELLS.split(", ")), "error"]
+    return pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names)
+
+
 def cells_of_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cells, read_errors) of files given as (file_basename, content)."""
 
-    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch["file_basename"], batch["content"], strict=True):
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     yield from _cells_of_file(name, content)
                 except Exception as error:  # a file of any fault is reported and passed over
-                    yield pd.DataFrame([{"file_basename": name, "error": f"{type(error).__name__}: {error}"[:500]}], columns=[*(x.split()[0] for x in CELLS.split(", ")), "error"])
+                    yield _batch(*[[x] for x in (None, name, None, None, None, None, None, None, f"{type(error).__name__}: {error}"[:500])])
 
-    read = files.select("file_basename", "content").mapInPandas(opened, f"{CELLS}, error string")
+    read = files.select("file_basename", "content").mapInArrow(opened, f"{CELLS}, error string")
     errors = read.where("error is not null").select("file_basename", F.lit("read_error").alias("skip_reason"), "error")
     return read.where("error is null").drop("error"), errors
 
