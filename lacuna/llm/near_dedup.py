@@ -355,7 +355,9 @@ def _links(sketch: DataFrame, nodes: DataFrame, config: Config) -> DataFrame:
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(keys.join(buckets, "key"), "band-members")
     common = members.groupBy("node").agg(F.sum("size").alias("common"))
-    sets = materialize(sketch.select("rid", "shingles", "low").join(common.select(F.col("node").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "node"), "shingle-sets")
+    # Merged at every size: what is wanted grows with the corpus, so it must not depend on fitting into a broadcast.
+    wanted = common.select(F.col("node").alias("rid")).hint("merge")
+    sets = materialize(sketch.select("rid", "shingles", "low").join(wanted, "rid", "left_semi").withColumnRenamed("rid", "node"), "shingle-sets")
 
     # A band's leader is the member that meets most others in all its bands: of copies with edits, the text that they come from.
     ranked = members.join(common, "node").select("key", "node", F.struct("common", (-F.col("node")).alias("minus")).alias("rank"))
