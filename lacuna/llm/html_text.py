@@ -211,7 +211,10 @@ def first_pass(block: Block) -> bool | None:
 
 
 def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
-    """Ambiguous blocks inherit from the nearest decided neighbour of their region, or are text if it has none."""
+    """Ambiguous blocks inherit from the nearest decided neighbour of their region, or are text if it has none.
+
+    In an article, which is text by default, they are out only if the decided neighbours on both sides are.
+    """
     n = len(blocks)
     before: list[int | None] = [None] * n
     after: list[int | None] = [None] * n
@@ -227,6 +230,9 @@ def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
             decided.append(labels[k])
             continue
         near = [x for x in (before[k], after[k]) if x is not None]
+        if blocks[k].in_content:  # out only between two lists of links
+            decided.append(len(near) < 2 or any(labels[x] for x in near))
+            continue
         least = min((abs(x - k) for x in near), default=0)
         decided.append(any(labels[x] for x in near if abs(x - k) == least) if near else True)
     return decided

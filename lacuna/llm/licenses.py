@@ -64,11 +64,16 @@ def template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
 
 
+#: Words too frequent to tell a license from other text; chosen as triggers only where a template has no others.
+FREQUENT = frozenset("a an and are as at be by can for from in is it may not of on or that the this to under use was which with you".split())
+
+
 def trigger_words(templates: dict[str, str], threshold: float) -> list[str]:
     """Words without one of which no segment can reach the threshold for any template.
 
-    Greedy: the word that is in most uncovered bigrams of unfinished templates, longer and then earlier
-    words first; a template is finished when its bigrams without a chosen word are too few to match.
+    Greedy: of the words in free bigrams of unfinished templates, the one in most of them; rare words come before
+    frequent ones, longer before shorter, then by the alphabet. A template is finished when its bigrams
+    without a chosen word are too few to match.
     """
     bigrams = {name: [set(b.split()) for b in template_bigrams(text)] for name, text in templates.items()}
     chosen: list[str] = []
@@ -77,11 +82,11 @@ def trigger_words(templates: dict[str, str], threshold: float) -> list[str]:
         for pairs in bigrams.values():
             free = [p for p in pairs if p.isdisjoint(chosen)]
             if free and len(free) >= len(pairs) * threshold / (2 - threshold):
-                for word in {w for p in free for w in p if len(w) > 5 or len(free) < 3}:
+                for word in {w for p in free for w in p}:
                     counts[word] = counts.get(word, 0) + sum(word in p for p in free)
         if not counts:
             return sorted(chosen)
-        chosen.append(min(counts, key=lambda w: (-counts[w], -len(w), w)))
+        chosen.append(min(counts, key=lambda w: (w in FREQUENT or len(w) < 3 and not w.isalpha(), -counts[w], -len(w), w)))
 
 
 def normalise(text: Column) -> Column:
