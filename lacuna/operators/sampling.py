@@ -152,9 +152,12 @@ def within_label_cap(drawn: DataFrame, labels: DataFrame | None, max_per_column_
 
 def build_manifest(
     masked: DataFrame, eligible: DataFrame, lists: DataFrame | None = None, manifest: DataFrame | None = None, *, n: int = 5, min_n: int | None = None, columns_per_table: int = 1,
-    skip_drawn: bool = True, priority: str | None = None, max_per_file_column: int = 20, max_per_column_type: int | None = None, seed: int = 42, first_id: int = 0, label_mode: str = "label",
+    skip_drawn: bool = True, priority: str | None = None, max_per_file_column: int = 20, max_per_column_type: int | None = None, seed: int = 42, first_id: int = 0, label_mode: str = "label", occurrences: DataFrame | None = None,
 ) -> DataFrame:
-    """New manifest rows: one run over masked cells and eligible columns, on top of an existing manifest."""
+    """New manifest rows: one run over masked cells and eligible columns, on top of an existing manifest.
+
+    ``label_mode="raw"`` takes the raw cell as the token, or its value in a list of ``occurrences`` where it is in one.
+    """
     low = validate(n, min_n, columns_per_table, max_per_file_column, max_per_column_type, seed)
     prior = prior_state(manifest) if manifest is not None else None
     found = candidates(masked, eligible, prior, seed, n * (2 * columns_per_table - 1), skip_drawn, priority)
@@ -165,10 +168,15 @@ def build_manifest(
     position = 2 * (F.col("order") - 1) + F.when(F.col("missing"), 0).otherwise(1)
     cell = classify_cell(F.col("value"), F.col("is_numeric"), F.col("is_null"), label_mode=label_mode)
     out = numbered(drawn, [F.col("column_rank"), position], first_id).withColumn("cell", cell)
+    token = F.col("cell.special_token")
+    if occurrences is not None:
+        once = occurrences.groupBy(F.col("file").alias("file_basename"), "column", "row_idx").agg(F.max("original_value").alias("occurrence"))
+        out = out.join(once, ["file_basename", "column", "row_idx"], "left")
+        token = F.when(F.col("cell.missing_kind") == "disguised", F.coalesce("occurrence", token))
     out = out.join(lists.select("table_id", "col_idx", "co_missing_columns"), ["table_id", "col_idx"], "left") if lists is not None else out.withColumn("co_missing_columns", F.lit(None).cast("string"))
     return out.select(
         "sample_id", F.concat(F.lit("datasets/"), "file_basename").alias("file"), "file_basename", "table_id", "column_type", F.col("column").alias("target_col"), F.col("col_idx").alias("target_col_idx"),
-        "row_idx", F.col("missing").cast("int").alias("y"), F.col("missing").alias("is_missing"), F.col("cell.missing_kind").alias("missing_kind"), F.col("cell.special_token").alias("special_token"),
+        "row_idx", F.col("missing").cast("int").alias("y"), F.col("missing").alias("is_missing"), F.col("cell.missing_kind").alias("missing_kind"), token.alias("special_token"),
         F.col("cell.original_value").alias("original_value"), F.coalesce("co_missing_columns", F.lit("[]")).alias("co_missing_columns"), F.lit(seed).alias("random_state"), "run_index",
     )
 
@@ -178,12 +186,31 @@ def append(manifest: DataFrame, new: DataFrame) -> DataFrame:
     return manifest.unionByName(new, allowMissingColumns=True)
 
 
-def audit(eligibility: DataFrame, new: DataFrame, able: DataFrame | None = None) -> DataFrame:
-    """A summary row per scanned column: profile, whether it was drawn, and the reason if it was not."""
+def audit(eligibility: DataFrame, new: DataFrame, found: DataFrame | None = None, *, n: int = 5, min_n: int | None = None, columns_per_table: int = 1, max_per_file_column: int = 20, label_capped: DataFrame | None = None) -> DataFrame:
+    """A summary row per scanned column: profile, whether it was drawn, and the reason if it was not.
+
+    With the run's candidates as ``found``, columns that were tried without success get their own reasons: a table's
+    columns are tried in order until enough are drawn. ``label_capped`` names columns that a label's cap has dropped.
+    """
     keys = ["file_basename", "col_idx"]
     drawn = new.groupBy("file_basename", F.col("target_col_idx").alias("col_idx")).agg(F.count_if(F.col("is_missing")).alias("n_sampled_missing"), F.count_if(~F.col("is_missing")).alias("n_sampled_present"))
     out = eligibility.join(drawn, keys, "left")
-    reason = F.when(F.col("n_sampled_missing").isNotNull(), None).when(F.col("reason").isNotNull(), F.col("reason")).otherwise("not_selected_this_run")
+    tried = F.lit(None).cast("string")
+    if found is not None:
+        low = n if min_n is None else min_n
+        size = F.least(F.lit(n), F.col("n_miss"), F.col("n_pres"))
+        capped = (size >= low) & (F.col("n_prior") + 2 * size > max_per_file_column)
+        ranks = found.groupBy(*keys, "column_rank").agg(F.max(capped).alias("capped"))
+        out = out.join(ranks, keys, "left")
+        file = Window.partitionBy("file_basename")
+        last = F.max(F.when(F.col("n_sampled_missing").isNotNull(), F.col("column_rank"))).over(file)
+        enough = F.count("n_sampled_missing").over(file) >= columns_per_table
+        out = out.withColumn("visited", ~enough | F.coalesce(F.col("column_rank") < last, F.col("column_rank").isNull()))
+        tried = F.when(F.col("visited"), F.when(F.coalesce("capped", F.lit(False)), "max_per_file_column_reached").otherwise("insufficient_rows_after_exclusion"))
+    if label_capped is not None:
+        out = out.join(label_capped.select(*keys).distinct().withColumn("by_label", F.lit("max_per_column_type_reached")), keys, "left")
+        tried = F.coalesce(F.col("by_label"), tried)
+    reason = F.when(F.col("n_sampled_missing").isNotNull(), None).when(F.col("reason").isNotNull(), F.col("reason")).otherwise(F.coalesce(tried, F.lit("not_selected_this_run")))
     return out.select(
         F.col("file_basename").alias("file"), F.col("column").alias("target_col"), column_type(F.col("column")).alias("column_type"), (F.col("n_missing") + F.col("n_present")).alias("n_rows_total"),
         F.col("n_missing").alias("n_missing_total"), F.col("n_present").alias("n_present_total"), F.col("n_disguised").alias("n_disguised_total"),

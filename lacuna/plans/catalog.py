@@ -217,13 +217,13 @@ _SECOND_ROWS = oracle.manifest(first_id=0)
 
 @query("append_draw", oracle.with_cells(f"SELECT * FROM first_run UNION ALL BY NAME SELECT * REPLACE (sample_id + (SELECT count(*) FROM first_run) AS sample_id) FROM ({_SECOND_ROWS})", _TWO_RUNS))
 def append_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = _manifest(spark, sf_dir)
+    first = _manifest(spark, sf_dir).persist()  # a stored table in use; several parts of the second run read it
     return sampling.append(first, _manifest(spark, sf_dir, first, first_id=sampling.next_sample_id(first)))
 
 
 @query("column_skip", oracle.with_cells(f"SELECT target_col, file_basename, count(*) AS n FROM ({_SECOND_ROWS}) GROUP BY ALL", _TWO_RUNS))
 def column_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    second = _manifest(spark, sf_dir, _manifest(spark, sf_dir))
+    second = _manifest(spark, sf_dir, _manifest(spark, sf_dir).persist())
     return second.groupBy("target_col", "file_basename").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -6,8 +6,10 @@
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lacuna.functions.lexicon import PRIORITY_PATTERN
 from lacuna.operators import profile, sampling, tokens
@@ -66,13 +68,17 @@ def sample(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     # Written first: what follows must not depend on the manifest that is about to be replaced.
     runner.replace_table(spark, new, f"{a.out}/last_run")
     new = spark.read.schema(new.schema).parquet(f"{a.out}/last_run")
-    sampling.audit(found, new).write.mode("append").parquet(f"{a.out}/summary")
+    prior = sampling.prior_state(old) if old is not None else None
+    tried = sampling.candidates(masked, found.where("reason is null"), prior, a.seed, a.n * (2 * a.columns - 1), not a.again, None if a.no_priority else PRIORITY_PATTERN)
+    sampling.audit(found, new, tried, n=a.n, min_n=a.min_n, columns_per_table=a.columns, max_per_file_column=a.max_per_file_column).write.mode("append").parquet(f"{a.out}/summary")
     errors.write.mode("append").parquet(f"{a.out}/read_errors")
     if a.occurrences:
         marks = tokens.occurrences(cells)
         marks.write.mode("overwrite").option("header", True).csv(f"{a.out}/special_tokens/occurrences")
         tokens.occurrence_summary(marks).write.mode("overwrite").option("header", True).csv(f"{a.out}/special_tokens/summary")
     runner.replace_table(spark, new if old is None else sampling.append(old, new), path)
+    counts = new.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("table_id", "target_col_idx").alias("columns"), F.count_distinct("table_id").alias("tables")).first().asDict()
+    runner.write_json(spark, f"{a.out}/last_run.json", {"options": {k: v for k, v in vars(a).items() if k != "command"}, "new": counts, "manifest": runner.manifest_digest(spark.read.parquet(path)), "at": dt.datetime.now(dt.UTC).isoformat()})
     masked.unpersist()
     return sampling.balance_violations(new, a.n, low)
 

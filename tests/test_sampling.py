@@ -95,6 +95,32 @@ def test_caps(masked):
             build(masked, **bad)
 
 
+def test_audit_reasons(masked):
+    found = profile.eligibility(profile.column_profile(masked))
+    able = found.where("reason is null")
+
+    def reasons(prior, **options):
+        new = sampling.build_manifest(masked, able, None, prior, **options)
+        tried = sampling.candidates(masked, able, sampling.prior_state(prior) if prior is not None else None, 42, options.get("n", 5))
+        return {(r.file, r.target_col): r.skip_reason for r in sampling.audit(found, new, tried, **options).collect()}
+
+    first = reasons(None)
+    assert first["c.parquet", "only"] == "lt_n_missing" and sorted(map(str, (v for k, v in first.items() if k[0] == "b.parquet"))) == ["None", "lt_n_missing", "not_selected_this_run"]
+    capped = reasons(None, max_per_file_column=8)
+    assert {capped["a.parquet", "age"], capped["b.parquet", "flag"]} == {"max_per_file_column_reached"}
+    many = reasons(None, n=9)
+    assert many["b.parquet", "flag"] in (None, "not_selected_this_run")
+    short = reasons(None, n=11, min_n=11, max_per_file_column=100)
+    assert short["b.parquet", "x.y"] == short["b.parquet", "flag"] == "insufficient_rows_after_exclusion"
+
+
+def test_raw_labels_with_occurrences(spark, masked):
+    rows = masked.where("column = 'age' and missing").select(F.col("file_basename").alias("file"), "column", "row_idx", F.lit("from list").alias("original_value"))
+    eligible = profile.eligibility(profile.column_profile(masked)).where("column = 'age'")
+    made = sampling.build_manifest(masked, eligible, label_mode="raw", occurrences=rows.where("row_idx % 2 = 0")).collect()
+    assert {(r.special_token if r.y else None, r.row_idx % 2 == 0) for r in made if r.y} <= {("from list", True), ("unknown", False)} and all(r.special_token is None for r in made if not r.y)
+
+
 def test_token_manifest_and_occurrences(masked):
     rows = tokens.token_manifest(masked).toPandas()
     assert rows.groupby("target_col")["y"].agg(["sum", "size"]).to_dict("index") == {"age": {"sum": 20, "size": 40}, "twinB": {"sum": 12, "size": 24}}
