@@ -432,6 +432,35 @@ def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.prediction_dataset(embed.embed_column(made, "sentence", "hashing", "hashing", 384), 384)
 
 
+@query("embed_table_hash")
+def embed_table_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = prep.tables(_sampled(spark, sf_dir), prep.ABLATIONS[0])
+    return vectors.prediction_dataset(embed.embed_tables(made, "hashing_table", "hashing", 384), 384)
+
+
+_CELL_MEAN = "SELECT label, vec_id % 3 AS col_idx, pos, avg(embedding[pos + 1]::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(64)) AS pos) p WHERE vec_id % 7 > 0 GROUP BY ALL"
+
+
+@query("cell_vectors", f"SELECT label AS sample_id, col_idx, pos, round(x, 6) + 0.0 AS x FROM ({_CELL_MEAN})")
+def cell_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens_of = _embeddings(spark, sf_dir).where("vec_id % 7 > 0").select(F.col("label").alias("sample_id"), F.lit(1).alias("row_id"), (F.col("vec_id") % 3).alias("col_idx"), F.col("embedding").alias("vector"))
+    made = embed.cell_vectors(tokens_of, 64).select("sample_id", "col_idx", F.posexplode("embedding").alias("pos", "x"))
+    return made.select("sample_id", "col_idx", F.col("pos").cast("long").alias("pos"), (F.round("x", 6) + 0.0).alias("x"))
+
+
+@query("row_vectors", f"SELECT label AS sample_id, pos, round(avg(x), 6) + 0.0 AS x FROM ({_CELL_MEAN}) GROUP BY ALL")
+def row_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens_of = _embeddings(spark, sf_dir).where("vec_id % 7 > 0").select(F.col("label").alias("sample_id"), F.lit(1).alias("row_id"), (F.col("vec_id") % 3).alias("col_idx"), F.col("embedding").alias("vector"))
+    header = tokens_of.withColumn("row_id", F.lit(0))  # the header row has no part in it
+    made = embed.row_vectors(embed.cell_vectors(tokens_of.union(header), 64)).select("sample_id", F.posexplode("embedding").alias("pos", "x"))
+    return made.select("sample_id", F.col("pos").cast("long").alias("pos"), (F.round("x", 6) + 0.0).alias("x"))
+
+
+@query("table_round_trip", oracle.with_cells("SELECT row_idx, max(value) FILTER (col_idx = 0 AND NOT is_null) AS quality, max(value) FILTER (col_idx = 2 AND NOT is_null) AS lang FROM cells WHERE table_id = 'doc_labels' GROUP BY row_idx"))
+def table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.table_of(fixtures.cells(spark, sf_dir), "doc_labels", ["quality", "toxic", "lang"]).select("row_idx", "quality", "lang")
+
+
 # ------------------------------------------------------------------------------- orchestration
 
 

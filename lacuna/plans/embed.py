@@ -66,12 +66,75 @@ def _sentence_transformer(name: str, hidden_size: int) -> Embedder:
     return encoder
 
 
+#: One row for a table encoder: its headers, its cells, and the target's position or None if it was removed.
+TableRow = tuple[list[str], list[str], int | None]
+
+
+def pool_cells(cells: np.ndarray, target: int | None) -> np.ndarray:
+    """A row's vector from its cells' vectors: the target's, or the mean of all cells (zero ones count) without a target."""
+    return cells[target] if target is not None else cells.mean(axis=0)
+
+
+@dataclass(frozen=True)
+class HashingTableEmbedder:
+    """The hashing encoder by cell: a cell's vector is the mean of its tokens', headers included; an empty cell is zero."""
+
+    hidden_size: int = 384
+    family: str = "table"
+
+    def encode_tables(self, rows: list[TableRow]) -> np.ndarray:
+        words = HashingEmbedder(self.hidden_size)
+        out = np.zeros((len(rows), self.hidden_size), dtype=np.float32)
+        for k, (headers, cells, target) in enumerate(rows):
+            vectors_of = np.zeros((len(cells), self.hidden_size), dtype=np.float32)
+            for j, (header, cell) in enumerate(zip(headers, cells, strict=True)):
+                if cell:
+                    vectors_of[j] = words.encode(f"{header} {cell}".split()).mean(axis=0)
+            if len(cells):
+                out[k] = pool_cells(vectors_of, target)
+        return out
+
+
+def _tapas(name: str, hidden_size: int) -> Embedder:
+    import torch  # an optional plug-in, with transformers
+    from transformers import TapasModel, TapasTokenizer
+
+    from lacuna.functions.lexicon import MASK_TOKEN
+
+    tokenizer, model = TapasTokenizer.from_pretrained(name), TapasModel.from_pretrained(name).eval()
+    tokenizer.add_special_tokens({"additional_special_tokens": [MASK_TOKEN]})
+    model.resize_token_embeddings(len(tokenizer))
+
+    class Encoder:
+        family = "table"
+
+        def encode_tables(self, rows: list[TableRow]) -> np.ndarray:
+            out = []
+            for headers, cells, target in rows:
+                inputs = tokenizer(table=pd.DataFrame([cells], columns=headers), queries=[""], padding="max_length", max_length=512, truncation=True, return_tensors="pt")
+                with torch.no_grad():
+                    states = model(**inputs).last_hidden_state[0].numpy()
+                kinds = inputs["token_type_ids"][0].numpy()  # segment, column, row and others; data cells are of row 1
+                cell_of = [states[(kinds[:, 2] == 1) & (kinds[:, 1] == j + 1)] for j in range(len(cells))]
+                out.append(pool_cells(np.stack([c.mean(axis=0) if len(c) else np.zeros(hidden_size) for c in cell_of]), target))
+            return np.stack(out)
+
+    encoder = Encoder()
+    encoder.hidden_size = model.config.hidden_size
+    return encoder
+
+
 #: Makers by family: (name, hidden_size) to an embedder.
 FAMILIES: dict[str, Callable[[str, int], Embedder]] = {
     "hashing": lambda name, hidden_size: HashingEmbedder(hidden_size),
+    "hashing_table": lambda name, hidden_size: HashingTableEmbedder(hidden_size),
     "minilm": _sentence_transformer,
+    "tapas": _tapas,
 }
 
+#: Families that read tables; the others read sentences.
+TABLE_FAMILIES = frozenset({"hashing_table", "tapas"})
+
 
 @functools.cache
 def load(family: str, name: str, hidden_size: int) -> Embedder:
@@ -99,6 +162,24 @@ def embed_column(df: DataFrame, text_col: str, family: str, name: str, hidden_si
     return df.withColumn(out_col, encoded(F.col(text_col)))
 
 
+def embed_tables(df: DataFrame, family: str, name: str, hidden_size: int, out_col: str = "embedding") -> DataFrame:
+    """Add the vectors of rows prepared as tables (``cells`` and ``target_position``)."""
+
+    @F.pandas_udf("array<float>")
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        model = load(family, name, hidden_size)
+        for batch in batches:
+            targets = [None if pd.isna(t) else int(t) for t in batch["target"]]
+            rows = [(list(h), list(c), t) for h, c, t in zip(batch["headers"], batch["cells"], targets, strict=True)]
+            found = np.asarray(model.encode_tables(rows), dtype=np.float32).reshape(len(rows), -1)
+            if len(rows) and found.shape != (len(rows), hidden_size):
+                raise ValueError(f"{name} returned {found.shape} for {len(rows)} rows of size {hidden_size}")
+            yield pd.Series(list(found))
+
+    shown = F.struct(F.transform("cells", lambda x: x["header"]).alias("headers"), F.transform("cells", lambda x: x["cell"]).alias("cells"), F.col("target_position").alias("target"))
+    return df.withColumn(out_col, encoded(shown))
+
+
 def cell_vectors(tokens: DataFrame, size: int) -> DataFrame:
     """(sample_id, row_id, col_idx, embedding): the mean of each cell's token vectors; a cell without tokens is zero.
 

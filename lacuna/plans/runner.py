@@ -66,16 +66,29 @@ def manifest_digest(manifest: DataFrame) -> str:
     return f"{found['n']}-{found['x']}-{found['s']}"
 
 
-def embedded(manifest: DataFrame, masked: DataFrame, encoder: Encoder, ablation: prep.Ablation) -> DataFrame:
-    """Samples with their vectors: prepared, encoded, and pooled with the target's name where the ablation says so."""
+#: What encodes the names of target columns for pooling; shorter vectors are padded to the context's size.
+NAME_ENCODER = Encoder("names", "hashing", "hashing", 384)
+
+
+def embedded(manifest: DataFrame, masked: DataFrame, encoder: Encoder, ablation: prep.Ablation, name_encoder: Encoder | None = None) -> DataFrame:
+    """Samples with their vectors: prepared for the encoder's family, encoded, and pooled with the target's name where the ablation says so.
+
+    Without a ``name_encoder``, a sentence encoder encodes names too; for others it is ``NAME_ENCODER``.
+    """
+    name_encoder = name_encoder or (NAME_ENCODER if encoder.family in embed.TABLE_FAMILIES else encoder)
     if ablation.target == "meanpool" and ablation.header != "preserve":
         raise ValueError(f"ablation {ablation.id!r}: meanpool needs the headers")
-    made = prep.sentences(prep.sampled_cells(manifest, masked), ablation)
-    found = embed.embed_column(made, "sentence", encoder.family, encoder.name, encoder.hidden_size)
+    sampled = prep.sampled_cells(manifest, masked)
+    if encoder.family in embed.TABLE_FAMILIES:
+        made = prep.tables(sampled, ablation)
+        found = embed.embed_tables(made, encoder.family, encoder.name, encoder.hidden_size)
+    else:
+        made = prep.sentences(sampled, ablation)
+        found = embed.embed_column(made, "sentence", encoder.family, encoder.name, encoder.hidden_size)
     if ablation.target != "meanpool":
         return found
     names = made.select("target_name").distinct()
-    names = embed.embed_column(names, "target_name", encoder.family, encoder.name, encoder.hidden_size, "name_embedding")
+    names = embed.embed_column(names, "target_name", name_encoder.family, name_encoder.name, name_encoder.hidden_size, "name_embedding")
     pooled = vectors.mean_pool(F.col("embedding"), F.col("name_embedding"), encoder.hidden_size)
     return found.join(names, "target_name").withColumn("embedding", pooled)
 

@@ -52,6 +52,13 @@ def cells_of(df: DataFrame, table_id: str, row_idx: Column, columns: list[str] |
     return rows.select("table_id", "file_basename", "row_idx", "cell.*")
 
 
+def table_of(cells: DataFrame, table_id: str, columns: list[str]) -> DataFrame:
+    """One table of the cell relation as a wide table again: row_idx and its text columns, by position."""
+    rows = cells.where(F.col("table_id") == table_id)
+    wide = rows.groupBy("row_idx").agg(*[F.max(F.when((F.col("col_idx") == k) & ~F.col("is_null"), F.col("value"))).alias(f"c{k}") for k in range(len(columns))])
+    return wide.toDF("row_idx", *columns)
+
+
 def list_files(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
     """The folder's Parquet files by name, not recursive, the first ``limit`` of them if given."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)

@@ -168,6 +168,9 @@ def test_run_resumes_and_guards(spark, masked, tmp_path):
     assert os.stat(f"{out}/hash/default/shards/shard-000000").st_mtime_ns == before
     with pytest.raises(ValueError):
         runner.run_one(spark, manifest.limit(3), masked, spec.encoders[0], spec.ablations[0], out, 2)
+    tables = config.Encoder("tab", "hashing", "hashing_table", 400)
+    for ablation in (prep.ABLATIONS[2], prep.ABLATIONS[4]):
+        assert runner.run_one(spark, manifest, masked, tables, ablation, out)["rows_total"] == manifest.count()
     broken = config.Encoder("bad", "none", "none", 8)
     assert runner.run_one(spark, manifest, masked, broken, spec.ablations[0], out)["shards_skipped"] == 1
     with pytest.raises(ValueError):
