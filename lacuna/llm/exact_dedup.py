@@ -116,7 +116,8 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kept = found.filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
     repeated = materialize(found.groupBy(F.col(id_col).alias("__id")).count().filter("count > 1").select("__id"), "repeated-ids")
     if repeated.isEmpty():
-        return df.join(kept.select("__id"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+        # Merged at every size: the ids grow with the corpus, so it must not depend on their fitting into a broadcast.
+        return df.join(kept.select("__id").hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
     keyed = df.withColumn("__text_sha", F.sha2(normalised(F.col(text_col)), 256))
     same = F.col(id_col).eqNullSafe(F.col("__id"))
     rows = keyed.join(kept, same & (F.col("__text_sha") == F.col("__sha")), "left_semi")

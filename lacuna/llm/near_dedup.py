@@ -403,7 +403,8 @@ def keep_one(df: DataFrame, config: Config = Config(), id_col: str = "doc_id", t
     repeated = materialize(found.groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id"), "repeated-ids")
     same = F.col(id_col).eqNullSafe(F.col("__id"))
     if repeated.isEmpty():
-        return df.join(kept.select("__id"), same, "left_semi")
+        # Merged at every size: the ids grow with the corpus, so it must not depend on their fitting into a broadcast.
+        return df.join(kept.select("__id").hint("merge"), same, "left_semi")
     keyed = df.withColumn("__text_version", F.xxhash64(F.col(text_col)))
     rows = keyed.join(kept, same & (F.col("__text_version") == F.col("__version")), "left_semi")
     once = rows.join(repeated, same, "left_anti")
