@@ -12,6 +12,7 @@ before a truncation are not guessed at.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 BINS = 16
 #: Width of the frames that samples are stored in, and the most rows of one frame.
 ROW_BYTES, FRAME_ROWS = 192, 4096
+_GREYS = bytes(i for grey in range(256) for i in (grey,) * 3)
 #: GIF: the largest number of LZW codes.
 LZW_CODES = 4096
 
@@ -49,57 +51,72 @@ class Frame:
 # ---------------------------------------------------------------------------------------------- LZW
 
 
+def _code_widths(min_size: int) -> np.ndarray:
+    """The widths of the codes after a clear code: the table grows by one with each code but the first, up to its limit."""
+    known = (1 << min_size) + 2 + np.maximum(np.arange(LZW_CODES - (1 << min_size)) - 1, 0)
+    return np.minimum(12, np.floor(np.log2(known)).astype(np.int64) + 1)
+
+
+def _unpack(data: np.ndarray, bit: int, widths: np.ndarray) -> np.ndarray:
+    """Codes of the given widths from a bit position on, as many as there are whole ones. ``data`` has spare bytes at its end."""
+    starts = bit + np.cumsum(widths) - widths
+    starts = starts[: np.searchsorted(starts + widths[: len(starts)], (len(data) - 4) * 8, side="right")]
+    at = starts >> 3
+    window = data[at] | data[at + 1] << np.uint32(8) | data[at + 2] << np.uint32(16)
+    return (window >> (starts & 7).astype(np.uint32)) & ((np.uint32(1) << widths[: len(starts)].astype(np.uint32)) - np.uint32(1))
+
+
 def lzw_decode(data: bytes, min_size: int, n_pixels: int) -> bytes:
-    """The first ``n_pixels`` samples of an LZW code stream; GifError if it ends before."""
+    """The first ``n_pixels`` samples of an LZW code stream; GifError if it ends before.
+
+    Codes are unpacked by the thousand, as their widths depend only on their number since the last clear code.
+    """
     if not 1 <= min_size <= 11:
         raise GifError(f"LZW code size {min_size}")
     clear, end = 1 << min_size, (1 << min_size) + 1
     roots = [bytes([i]) if i < 256 else b"" for i in range(clear)] + [b"", b""]
+    first = _code_widths(min_size)
+    bits = np.concatenate([np.frombuffer(data, dtype=np.uint8), np.zeros(4, dtype=np.uint8)]).astype(np.uint32)
     out: list[bytes] = []
-    made = 0
-    table, width, previous = roots.copy(), min_size + 1, b""
-    limit = 1 << width
-    mask = limit - 1
-    acc = have = byte = 0  # bits are read from six bytes at a time
+    made = bit = since = 0  # since: codes read after the last clear code
+    table, previous = roots.copy(), b""
     while made < n_pixels:
-        if have < width:
-            chunk = data[byte : byte + 6]
-            acc |= int.from_bytes(chunk, "little") << have
-            have += 8 * len(chunk)
-            byte += len(chunk)
-            if have < width:
-                raise GifError("the LZW stream ends too early")
-        code = acc & mask
-        acc >>= width
-        have -= width
-        if code < clear or code > end:
-            if not previous:
-                if code >= clear:
-                    raise GifError("an LZW code that is not in the table")
+        widths = first[since:] if since < len(first) else np.full(LZW_CODES, 12)
+        codes = _unpack(bits, bit, widths)
+        stops = np.flatnonzero((codes == clear) | (codes == end))
+        n = int(stops[0]) if len(stops) else len(codes)
+        if not len(codes):
+            raise GifError("the LZW stream ends too early")
+        found = iter(codes[:n].tolist())
+        chunk: list[bytes] = []
+        if not previous and n:
+            code = next(found)
+            if code >= clear:
+                raise GifError("an LZW code that is not in the table")
+            chunk.append(previous := table[code])
+        emit, add, known = chunk.append, table.append, len(table)
+        for code in itertools.islice(found, LZW_CODES - known):
+            if code < known:
                 entry = table[code]
+            elif code == known:
+                entry = previous + previous[:1]
             else:
-                known = len(table)
-                if code < known:
-                    entry = table[code]
-                elif code == known and known < LZW_CODES:
-                    entry = previous + previous[:1]
-                else:
-                    raise GifError("an LZW code that is not in the table")
-                if known < LZW_CODES:
-                    table.append(previous + entry[:1])
-                    if known + 1 == limit and width < 12:
-                        width += 1
-                        limit <<= 1
-                        mask = limit - 1
-            out.append(entry)
-            made += len(entry)
+                raise GifError("an LZW code that is not in the table")
+            add(previous + entry[:1])
+            known += 1
+            emit(entry)
             previous = entry
-        elif code == clear:
-            table, width, previous = roots.copy(), min_size + 1, b""
-            limit = 1 << width
-            mask = limit - 1
-        else:
-            raise GifError("the LZW stream ends too early")
+        for code in found:  # the table is full
+            emit(table[code])
+        made += sum(map(len, chunk))
+        out += chunk
+        since += n
+        bit += int(widths[:n].sum())
+        if made < n_pixels and len(stops):
+            if codes[n] == end:
+                raise GifError("the LZW stream ends too early")
+            bit += int(widths[n])
+            since, table, previous = 0, roots.copy(), b""
     return b"".join(out)[:n_pixels]
 
 
@@ -178,7 +195,7 @@ def encode_gif(samples: bytes, row_bytes: int = ROW_BYTES, frame_rows: int = FRA
     if not samples or len(samples) % row_bytes:
         raise ValueError(f"{len(samples)} samples are no positive multiple of {row_bytes}")
     rows = len(samples) // row_bytes
-    parts = [b"GIF89a", struct.pack("<HHBBB", row_bytes, min(rows, frame_rows), 0xF7, 0, 0), bytes(i for grey in range(256) for i in (grey,) * 3)]
+    parts = [b"GIF89a", struct.pack("<HHBBB", row_bytes, min(rows, frame_rows), 0xF7, 0, 0), _GREYS]
     for top in range(0, rows, frame_rows):
         height = min(frame_rows, rows - top)
         parts += (b"\x21\xf9\x04", struct.pack("<BHB", 1 << 2, delay_cs, 0), b"\0")
