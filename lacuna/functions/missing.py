@@ -50,7 +50,8 @@ def pattern_label(low: Column) -> Column:
     return label
 
 
-_ANY_PHRASE = "|".join(_whole(p) for _, p in DISGUISED_PATTERNS)
+# One anchor before all alternatives: a match is then tried at the start only, not at every character.
+_ANY_PHRASE = _whole("|".join(f"(?:{p})" for _, p in DISGUISED_PATTERNS))
 
 
 def _is_placeholder(stripped: Column) -> Column:
@@ -95,10 +96,13 @@ def classify_cell(value: Column, is_numeric: Column, is_null: Column, *, label_m
     present, as the mask has it, unless ``date_sentinels`` is set.
     """
     null = is_null | value.isNull()
-    facts = F.struct(classify(value, is_numeric, is_null).alias("found"), is_missing(value, is_null).alias("missing"))
+    # What the classification does not recognise is missing only if it is blank or a sentinel stored as text.
+    other = let(strip(value), lambda s: (s == "") | F.coalesce(parse_number(s).isin(*NUMERIC_SENTINELS), F.lit(False)))
+    facts = F.struct(classify(value, is_numeric, is_null).alias("found"), F.coalesce(other, F.lit(True)).alias("other"))
 
     def cell(fact: Column) -> Column:
-        found, missing = fact["found"], fact["missing"]
+        found = fact["found"]
+        missing = null | fact["other"] | F.coalesce(found["kind"] != "date_sentinel", F.lit(False))
         labelled = F.coalesce(found["kind"].isNotNull() & (F.lit(date_sentinels) | (found["kind"] != "date_sentinel")), F.lit(False))
         kind = F.when(null, "nan").when(labelled | missing, "disguised").otherwise("present")
         if label_mode == "raw":

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import sys
 import unicodedata
 from collections.abc import Callable
@@ -15,8 +16,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lacuna.functions.lexicon import ABBREVIATIONS, ACRONYMS, COLUMN_TYPE_NAMES, PRIORITY_PATTERN, SPACE
+from lacuna.functions.lexicon import ABBREVIATIONS, ACRONYMS, COLUMN_TYPE_NAMES, PRIORITY_PATTERN
 
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(r"\s", c))
 _ASCII_SPACE = r"[\t-\r\x1c-\x20]"
 
 
@@ -27,7 +29,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at both ends, in the sense of Unicode."""
-    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.trim(text, F.lit(_SPACES))
 
 
 @functools.cache

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.operators.profile import with_mask
-from lacuna.sources.corpus import cells_of
+from lacuna.sources.corpus import cells_of, spread
 
 #: Nulls, placeholders, sentinels and co-missing columns by key arithmetic on orders. ``{orders}`` is the source.
 DIRTY_SQL = """
@@ -52,7 +52,7 @@ def cells(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tuple(TABLE
     """The cell relation of the named tables."""
     out = None
     for name in names:
-        found = cells_of(table(spark, sf_dir, name), name, F.col("row_idx"), list(TABLES[name][2]))
+        found = cells_of(spread(table(spark, sf_dir, name)), name, F.col("row_idx"), list(TABLES[name][2]))
         # row_idx is no column of the table, so columns are numbered without it
         out = found if out is None else out.unionByName(found)
     return out

@@ -39,6 +39,16 @@ def _text(column: Column, kind: T.DataType) -> tuple[Column, Column]:
     return column.cast("string"), null
 
 
+def spread(df: DataFrame, at_most: int = 8) -> DataFrame:
+    """The rows dealt to more tasks if a scan has fewer than the cluster's cores, by a factor of ``at_most``.
+
+    Text rules cost far more than moving rows, and a file of one row group is one task. Large tables have enough
+    splits and are left as they are.
+    """
+    tasks, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(min(cores, at_most * max(1, tasks))) if tasks < cores else df
+
+
 def cells_of(df: DataFrame, table_id: str, row_idx: Column, columns: list[str] | None = None) -> DataFrame:
     """The cells of one table in a single scan; ``row_idx`` must identify its rows."""
     names = [c for c in df.columns if columns is None or c in columns]

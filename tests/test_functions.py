@@ -26,7 +26,8 @@ def test_expressions_match_the_models(spark):
     values = [None, *CASES, *_random_strings(3000)]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
     v = F.col("v")
-    rows = df.select("i", "v", tx.normalize(v).alias("n"), ms.is_missing(v).alias("m"), ms.classify_string(v).alias("c")).collect()
+    rows = df.select("i", "v", tx.normalize(v).alias("n"), ms.is_missing(v).alias("m"), ms.classify_string(v).alias("c"), ms.classify_cell(v, F.lit(False), v.isNull())["missing_kind"].alias("k")).collect()
+    assert all((r.k != "present") == r.m for r in rows)
     wrong = []
     for r in rows:
         expected = (None if r.v is None else models.words(r.v), models.missing(r.v), models.classify(r.v))
