@@ -75,7 +75,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, kept from one text to the next up to ``most`` words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 150_000):
         self.most, self.known = most, {}
 
     def _add(self, word: str) -> int:
@@ -101,7 +101,7 @@ def shingles(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(mixed(made), return_counts=True)
 
 
-def prob_min_hash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n_owners: int, registers: int, chunk: int = 1 << 18) -> np.ndarray:
+def prob_min_hash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n_owners: int, registers: int, chunk: int = 1 << 17) -> np.ndarray:
     """The element that each register of each owner keeps (n_owners x registers); 0 for owners without elements.
 
     Elements send their arrivals in rounds, all elements of a chunk at once, until none is left whose next
@@ -153,7 +153,7 @@ def sketches(docs: DataFrame, config: Config) -> DataFrame:
             start = 0
             while start < len(batch):
                 found, contents, size, stop = [], [], 0, start
-                while stop < len(batch) and size < 400_000:
+                while stop < len(batch) and size < 200_000:
                     words = _WORD.findall((batch["text"].iat[stop] or "").lower())
                     contents.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
                     found.append(shingles(hashes(words), config.shingle))
