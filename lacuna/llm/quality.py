@@ -70,7 +70,7 @@ def statistics(text: str, words: np.ndarray, distinct: int) -> np.ndarray:
 class Words:
     """Buckets of words, kept from one text to the next up to ``most`` words."""
 
-    def __init__(self, buckets: int, most: int = 500_000):
+    def __init__(self, buckets: int, most: int = 200_000):
         self.buckets, self.most, self.known = buckets, most, {}
 
     def _add(self, word: str) -> int:
