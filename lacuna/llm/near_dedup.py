@@ -224,8 +224,8 @@ def _by_block(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[dict[str, np.nd
 def _likely(rows: dict[str, np.ndarray], start: int, stop: int, config: Config) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(an outlier's row, the rows of its likely partners, their agreement) in one block.
 
-    Partners are of other classes, and the block's band is the first one in which the registers of both agree,
-    so that a pair is met in one band only.
+    Partners are of other classes, and the block's band is the first one whose key both have, so that a pair is
+    met in one band only. Low bytes cannot tell which that is: registers may agree in them alone.
     """
     rows_of = np.arange(start, stop)
     outlier = rows["outlier"][start:stop].astype(bool)
@@ -239,7 +239,7 @@ def _likely(rows: dict[str, np.ndarray], start: int, stop: int, config: Config)
         agree = same.mean(axis=1)
         near = np.flatnonzero((classes != rows["class"][k]) & (agree >= config.estimate))
         if len(near):
-            near = near[same[near].reshape(len(near), config.bands, config.rows).all(axis=2).argmax(axis=1) == band]
+            near = near[(np.stack(rows["bands"][rest[near]]) == rows["bands"][k]).argmax(axis=1) == band]
         if len(near):
             yield int(k), rest[near], agree[near]
 
@@ -288,9 +288,9 @@ def block_links(blocks: DataFrame, sets: DataFrame, config: Config) -> DataFrame
                         links.append((int(rows["node"][k]), int(rows["node"][m])))
             yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    dealt = blocks.join(sets.select("node", "low"), "node").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = blocks.join(sets.select("node", "low", "bands"), "node").repartition(*keys).sortWithinPartitions(*keys)
     likely = materialize(dealt.mapInPandas(partnered, schema), "likely-rows")
-    dealt = likely.join(sets.select("node", "low", "shingles"), "node").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = likely.join(sets.select("node", "low", "bands", "shingles"), "node").repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInPandas(linked, "a long, b long")
 
 
@@ -357,7 +357,7 @@ def _links(sketch: DataFrame, nodes: DataFrame, config: Config) -> DataFrame:
     common = members.groupBy("node").agg(F.sum("size").alias("common"))
     # Merged at every size: what is wanted grows with the corpus, so it must not depend on fitting into a broadcast.
     wanted = common.select(F.col("node").alias("rid")).hint("merge")
-    sets = materialize(sketch.select("rid", "shingles", "low").join(wanted, "rid", "left_semi").withColumnRenamed("rid", "node"), "shingle-sets")
+    sets = materialize(sketch.select("rid", "shingles", "low", "bands").join(wanted, "rid", "left_semi").withColumnRenamed("rid", "node"), "shingle-sets")
 
     # A band's leader is the member that meets most others in all its bands: of copies with edits, the text that they come from.
     ranked = members.join(common, "node").select("key", "node", F.struct("common", (-F.col("node")).alias("minus")).alias("rank"))

@@ -76,6 +76,19 @@ def test_keep_one(spark):
     assert nd.keep_one(df.limit(0)).count() == 0
 
 
+def test_a_pair_is_met_in_the_first_band_whose_key_both_have():
+    config = nd.Config()
+    kept = np.random.default_rng(2).integers(1, 2**63, config.registers, dtype=np.uint64)
+    kept = np.stack([kept, kept])
+    kept[1, 4] += np.uint64(256)  # the first band differs, but not in low bytes
+    bands = np.empty(2, dtype=object)
+    bands[:] = list(nd.band_keys(kept, config.bands, config.rows))
+    low = np.array([k.tobytes() for k in (kept & np.uint64(255)).astype(np.uint8)], dtype=object)
+    rows = {"outlier": np.array([True, False]), "class": np.array([1, 2]), "low": low, "bands": bands}
+    met = [band for band in range(config.bands) if list(nd._likely({**rows, "band": np.array([band, band])}, 0, 2, config))]
+    assert met == [1]
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     elements = rng.integers(1, 2**63, 300, dtype=np.uint64)
