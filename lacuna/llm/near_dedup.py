@@ -1,10 +1,10 @@
 """Near duplicates by ProbMinHash, banding and verification.
 
-A text's weighted elements are its word 5-shingles, each with weight 1 + ln(occurrences). For every element
-a Poisson process of that rate sends arrivals to random registers; a register keeps the element that arrives
-first, and an element stops as soon as its next arrival is later than all registers' first ones. Two texts
-agree in a register with the probability Jaccard similarity of their weights, which for texts that repeat no
-shingle is the Jaccard similarity. Registers are grouped into bands; texts that agree in a whole band are
+A text's elements are its distinct word 5-shingles, each with weight 1 however often it occurs, as verification
+compares sets. For every element a Poisson process of that rate sends arrivals to random registers; a register
+keeps the element that arrives first, and an element stops as soon as its next arrival is later than all
+registers' first ones. Two texts agree in a register with the probability Jaccard similarity of their weights,
+which with equal weights is the Jaccard similarity of the sets. Registers are grouped into bands; texts that agree in a whole band are
 candidates; candidates are verified by the Jaccard similarity of their sets of shingles (0.8 or more).
 
 No pairs are made within a group. Equal texts are one node from the start. Then
@@ -89,16 +89,16 @@ class WordHashes:
         return np.array([h if (h := find(w)) is not None else add(w) for w in words], dtype=np.uint64)
 
 
-def shingles(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of a sequence of word hashes, and how often each occurs."""
+def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The distinct shingles of a sequence of word hashes."""
     if not len(hashes):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     width = min(size, len(hashes))
     n = len(hashes) - width + 1
     made = np.full(n, np.uint64(width))
     for k in range(width):
         made = made * _MULTIPLIER + hashes[k : k + n]
-    return np.unique(mixed(made), return_counts=True)
+    return np.unique(mixed(made))
 
 
 def prob_min_hash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n_owners: int, registers: int, chunk: int = 1 << 17) -> np.ndarray:
@@ -157,13 +157,13 @@ def sketches(docs: DataFrame, config: Config) -> DataFrame:
                     words = _WORD.findall((batch["text"].iat[stop] or "").lower())
                     contents.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
                     found.append(shingles(hashes(words), config.shingle))
-                    size += len(found[-1][0])
+                    size += len(found[-1])
                     stop += 1
-                owner = np.repeat(np.arange(len(found)), [len(x) for x, _ in found])
-                element = np.concatenate([x for x, _ in found])
-                kept = prob_min_hash(owner, element, 1 + np.log(np.concatenate([n for _, n in found])), len(found), config.registers)
+                owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                element = np.concatenate(found)
+                kept = prob_min_hash(owner, element, np.ones(len(element)), len(found), config.registers)
                 keys, low = band_keys(kept, config.bands, config.rows), (kept & np.uint64(255)).astype(np.uint8)
-                some = [len(x) > 0 for x, _ in found]
+                some = [len(x) > 0 for x in found]
                 yield pd.DataFrame({
                     "rid": batch["rid"].iloc[start:stop].to_numpy(),
                     "id": batch["id"].iloc[start:stop].to_numpy(),
@@ -171,7 +171,7 @@ def sketches(docs: DataFrame, config: Config) -> DataFrame:
                     "content": contents,
                     "bands": [k if s else None for k, s in zip(keys, some, strict=True)],
                     "low": [k.tobytes() for k in low],
-                    "shingles": [np.unique(x.astype(np.uint32)).tobytes() for x, _ in found],
+                    "shingles": [np.unique(x.astype(np.uint32)).tobytes() for x in found],
                 })
                 start = stop
 

@@ -67,6 +67,22 @@ def test_classes_equal_brute_force(spark):
         assert all(r.class_size == sizes[r.class_id] and r.kept == (r.doc_id == r.class_id) for r in found)
 
 
+def test_unequal_repetition_does_not_part_texts(spark):
+    """A copy whose last words are repeated has nearly the same set of shingles, in lone pairs and among others."""
+    rng = random.Random(5)
+    docs = []
+    for n, repeated, times in [(100, 15, 100), (100, 15, 1000), (200, 40, 200)] * 8:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        docs.append((len(docs), " ".join(words)))
+        docs.append((len(docs), " ".join(words + words[-repeated:] * times)))
+        if len(docs) % 4 == 0:
+            words[0] += "x"
+            docs.append((len(docs), " ".join(words)))
+            docs.append((len(docs), " ".join(words + words[:repeated] * times)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in nd.near_duplicates(df).collect()} == brute_classes(docs)
+
+
 def test_keep_one(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(1, text, 0), (1, text, 0), (2, text + " more", 1), (3, "else", 2), (1, "third", 3), (None, text, 4), (7, None, 5), (8, "", 6)]
