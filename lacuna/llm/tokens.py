@@ -6,6 +6,12 @@ in a match only at its start or as the whole match), and the pattern's only look
 follows white space, which no piece ends with. So the concatenated ids of
 the pieces are the ids of the whole text, while each call to the encoder stays bounded.
 
+A run of white space has no such place inside, and the splitting engine gives up on its look-ahead after a million
+characters. Of a long run the pattern makes one match of all but the last character (or of the whole run at the end of the
+text), as its last two alternatives say; that match is cut out and merged by itself, without the engine. This holds
+for patterns in which only those two alternatives match more than one white-space character
+(``WHITE_TAIL``); with any other pattern, texts are encoded as they are.
+
 Null text counts as empty, and an empty text has no ids. Decoding returns raw bytes, so ids that
 do not end on a character boundary need no replacement characters.
 """
@@ -25,7 +31,16 @@ from pyspark.sql import functions as F
 #: Texts over this many characters are encoded piece by piece, each piece about as long.
 PIECE_CHARS = 65_536
 
+#: Runs of white space over this many characters are matched without the splitting engine.
+RUN_CHARS = 50_000
+
+#: The end of patterns that are known to treat long white space as described above.
+WHITE_TAIL = r"|\s+(?!\S)|\s+"
+
 _SAFE = re.compile(r"(?<=\w)(?=[ \n])")
+# The characters with Unicode's White_Space property, which is what the splitting engine's \s stands for.
+_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_RUN = re.compile(f"[{_WHITE}]{{{RUN_CHARS},}}")
 _ENCODINGS: dict[tuple[str, str], object] = {}
 
 
@@ -53,13 +68,32 @@ def safe_pieces(text: str, piece_chars: int = PIECE_CHARS) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def without_runs(text: str, run: re.Pattern[str] = _RUN) -> Iterator[tuple[str, bool]]:
+    """The text in parts, with true for those that are one match of the pattern: a long run without its last character.
+
+    A run starts a match, as no alternative goes from other characters into two of white space. Its last character
+    is left to what follows, as it may begin the next match.
+    """
+    at = 0
+    for m in run.finditer(text):
+        stop = m.end() if m.end() == len(text) else m.end() - 1
+        yield text[at : m.start()], False
+        yield text[m.start() : stop], True
+        at = stop
+    yield text[at:], False
+
+
 def encode_text(encoding, text: str, piece_chars: int = PIECE_CHARS) -> list[int]:
     """The ids of the whole text, without special tokens."""
-    if len(text) <= piece_chars:
+    if len(text) <= min(piece_chars, RUN_CHARS):
         return encoding.encode_ordinary(text)
     ids: list[int] = []
-    for piece in safe_pieces(text, piece_chars):
-        ids += encoding.encode_ordinary(piece)
+    for part, is_match in without_runs(text) if encoding._pat_str.endswith(WHITE_TAIL) else ((text, False),):
+        if is_match:
+            ids += encoding._encode_single_piece(part)
+        else:
+            for piece in safe_pieces(part, piece_chars):
+                ids += encoding.encode_ordinary(piece)
     return ids
 
 
