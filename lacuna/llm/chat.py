@@ -1,7 +1,7 @@
 """Chat formatting by schema fingerprints, with DataFrame operations only.
 
-Records come as JSON in different layouts: messages with roles, ShareGPT conversations, prompts with
-completions, instructions with inputs and outputs, questions with answers. Of each record the nested
+Records come as JSON, or as structs of the same fields, in different layouts: messages with roles, ShareGPT conversations,
+prompts with completions, instructions with inputs and outputs, questions with answers. Of each record the nested
 field paths that are present are listed, sorted and hashed; the fingerprint selects a declarative mapping
 (``LAYOUTS``), and the mapping turns the record into canonical turns of role and text. Fields that no
 mapping reads have no part in the fingerprint, so ids and other metadata do not disturb it.
@@ -11,8 +11,11 @@ and the escape character are replaced by escapes that contain none of them, so t
 split and unescaped without loss. The loss mask is a list of character spans over the formatted text: the
 texts of assistant turns, without their marks.
 
+Roles stay as they are, but for the layouts whose own names for them are known (``Layout.role_names``).
+
 Defined results: a null text or role is empty; a record that is null, not JSON, or of no known layout has
-``layout`` null and no turns; content that is not a string is kept as its JSON text. One record is one row,
+``layout`` null and no turns, and ``format_counts`` counts such records; content that is not a string is kept as its JSON
+text. Texts have no greatest length but that of a string in Spark. One record is one row,
 as its digest and its formatted text are, so memory is bounded by the longest conversation.
 """
 
@@ -25,6 +28,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 HEADER, END, ESCAPE = "###", "</turn>", "\\"
 
@@ -34,19 +38,26 @@ RECORD = (
     "system string, prompt string, completion string, response string, instruction string, input string, output string, question string, answer string"
 )
 
-#: Names for the canonical roles in other layouts.
+#: JSON strings of any length are read; without this the parser gives up at 20,000,000 characters.
+JSON_OPTIONS = {"maxStringLen": str(2**31 - 1)}
+
+#: The canonical roles by their names in ShareGPT records.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
 
 
 @dataclass(frozen=True)
 class Layout:
-    """A mapping from present paths to turns. ``turns``: (role, fields joined by a blank line); ``each``: (array, role field, text field)."""
+    """A mapping from present paths to turns. ``turns``: (role, fields joined by a blank line); ``each``: (array, role field, text field).
+
+    ``role_names``: the canonical roles by the layout's own names, where they differ.
+    """
 
     name: str
     required: tuple[str, ...]
     optional: tuple[str, ...] = ()
     turns: tuple[tuple[str, tuple[str, ...]], ...] = ()
     each: tuple[str, str, str] | None = None
+    role_names: tuple[tuple[str, str], ...] = ()
 
     def fingerprints(self) -> list[tuple[str, ...]]:
         """The sets of paths that this layout covers: the required ones with any of the optional ones."""
@@ -55,7 +66,7 @@ class Layout:
 
 LAYOUTS = (
     Layout("messages", ("messages[].content", "messages[].role"), ("system",), (("system", ("system",)),), ("messages", "role", "content")),
-    Layout("sharegpt", ("conversations[].from", "conversations[].value"), ("system",), (("system", ("system",)),), ("conversations", "from", "value")),
+    Layout("sharegpt", ("conversations[].from", "conversations[].value"), ("system",), (("system", ("system",)),), ("conversations", "from", "value"), tuple(ROLE_NAMES.items())),
     Layout("prompt_completion", ("prompt", "completion"), ("system",), (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
     Layout("prompt_response", ("prompt", "response"), ("system",), (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
     Layout("instruction", ("instruction", "output"), ("input", "system"), (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
@@ -83,10 +94,11 @@ def field_paths(record: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def _canonical_role(role: Column) -> Column:
-    low = F.lower(F.trim(F.coalesce(role, F.lit(""))))
-    names = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
-    return F.coalesce(names[low], role, F.lit(""))
+def _canonical_role(layout: Layout, role: Column) -> Column:
+    if not layout.role_names:
+        return F.coalesce(role, F.lit(""))
+    names = F.create_map(*[F.lit(x) for pair in layout.role_names for x in pair])
+    return F.coalesce(names[F.lower(F.trim(role))], role, F.lit(""))
 
 
 def _mapped(layout: Layout, record: Column) -> Column:
@@ -98,7 +110,7 @@ def _mapped(layout: Layout, record: Column) -> Column:
         parts.append(F.when(F.size(texts) > 0, F.array(turn)).otherwise(F.array().cast(_TURNS)))
     if layout.each:
         name, role, text = layout.each
-        parts.append(F.transform(record[name], lambda x: F.struct(_canonical_role(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))))
+        parts.append(F.transform(record[name], lambda x: F.struct(_canonical_role(layout, x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))))
     return F.concat(*parts)
 
 
@@ -120,12 +132,21 @@ def _header(role: Column) -> Column:
     return F.concat(F.lit(f"{HEADER} "), F.replace(escape(role), F.lit("\n"), F.lit(ESCAPE + "n")), F.lit("\n"))
 
 
+def _parsed(df: DataFrame, record_col: str) -> Column:
+    """A record column as a struct of all known fields: JSON is parsed, a struct keeps those it has."""
+    found = df.schema[record_col].dataType
+    if not isinstance(found, StructType):
+        return F.from_json(F.col(record_col), RECORD, JSON_OPTIONS)
+    known = StructType.fromDDL(RECORD)
+    return F.struct(*[(F.col(record_col)[f.name] if f.name in found.names else F.lit(None)).cast(f.dataType).alias(f.name) for f in known.fields])
+
+
 def canonical_turns(df: DataFrame, record_col: str) -> DataFrame:
-    """Add fingerprint, layout and turns to records in JSON."""
+    """Add fingerprint, layout and turns to records in JSON or in structs."""
     record = F.col("__record")
     known = {_key(p): x for x in LAYOUTS for p in x.fingerprints()}
     names = F.create_map(*[F.lit(x) for key, found in known.items() for x in (key, found.name)])
-    parsed = df.withColumn("__record", F.from_json(F.col(record_col), RECORD)).withColumn("fingerprint", _hash(field_paths(record)))
+    parsed = df.withColumn("__record", _parsed(df, record_col)).withColumn("fingerprint", _hash(field_paths(record)))
     layout = names[F.col("fingerprint")]
     none = F.array().cast(_TURNS)
     turns = reduce(lambda rest, x: F.when(F.col("layout") == x.name, _mapped(x, record)).otherwise(rest), LAYOUTS, none)
@@ -158,6 +179,11 @@ def format_chats(df: DataFrame, record_col: str) -> DataFrame:
     return render(canonical_turns(df, record_col))
 
 
+def format_counts(df: DataFrame, record_col: str) -> DataFrame:
+    """How many records each layout has; those that no mapping reads are counted under a null layout."""
+    return canonical_turns(df, record_col).groupBy("layout").agg(F.count(F.lit(1)).alias("n_records"))
+
+
 def read_turns(formatted: Column) -> Column:
     """The turns of a formatted text, unescaped."""
     pieces = F.split(formatted, f"{END}\n", -1)
@@ -178,11 +204,11 @@ def masked_text(formatted: Column, spans: Column) -> Column:
 
 
 def conversation_records(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One JSON record of messages per conversation from rows of turns; ties in ``turn`` follow role and text."""
+    """One record (a struct of messages) per conversation from rows of turns; ties in ``turn`` follow role and text."""
     message = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
     rows = df.groupBy(F.col(id_col).alias(id_col)).agg(F.array_sort(F.collect_list(message)).alias("__messages"))
     record = F.struct(F.transform("__messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
-    return rows.select(id_col, F.to_json(record).alias("record"))
+    return rows.select(id_col, record.alias("record"))
 
 
 def conversation_digests(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
