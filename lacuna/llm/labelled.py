@@ -16,14 +16,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: i
     """At most ``rows_per_class`` labelled documents of each class, as a pandas frame of text and label.
 
     Documents of the held-out fold, with null ids or over ``sample_chars`` characters are not drawn. The draw is
-    by a hash of the id, so it is the same in every run; ids with several labels count with the largest.
-    The ids drawn are at most twice ``rows_per_class``, which bounds what is broadcast and collected.
+    by a hash of the id, so it is the same in every run; ids with several labels count with the largest, ids with
+    several texts with the least. The ids drawn are at most twice ``rows_per_class``, and the executors reduce each to one
+    text, which bounds what is broadcast and collected however often an id is repeated.
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where("__id is not null and __label in (0, 1)")
     known = known.where(~in_fold("__id", folds, held_out)).groupBy("__id").agg(F.max("__label").alias("__label"))
     drawn = [known.where(f"__label = {k}").orderBy(F.xxhash64("__id"), "__id").limit(rows_per_class) for k in (0, 1)]
     ids = docs.sparkSession.createDataFrame([tuple(r) for d in drawn for r in d.collect()], known.schema)
     narrow = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= sample_chars)
-    found = narrow.join(F.broadcast(ids), "__id").toPandas()
-    found = found.sort_values(["__id", "text"], kind="stable").drop_duplicates("__id")
+    found = narrow.join(F.broadcast(ids), "__id").groupBy("__id", "__label").agg(F.min("text").alias("text")).toPandas()
+    found = found.sort_values("__id")
     return pd.DataFrame({"text": found["text"].to_numpy(), "label": found["__label"].to_numpy()})

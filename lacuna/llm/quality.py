@@ -9,7 +9,8 @@ sample of labelled rows. No column but the text is an input.
 Scores are calibrated so that the threshold 0.3 is the cut of best balanced accuracy on rows kept out of
 the training.
 
-Defined results: a null or empty text is scored by its statistics, all in their lowest bins.
+Defined results: a null or empty text is scored by its statistics, all in their lowest bins. A sample of under 50 rows
+is too small to split and calibrates on its training rows; of one class alone, every score leans to that class.
 """
 
 from __future__ import annotations
