@@ -110,7 +110,8 @@ def duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that are kept, with all their columns.
 
-    Rows are found again by id and text; of repeated rows with the same id and text one stays.
+    Rows are found again by id and text; of repeated rows with the same id and text one stays,
+    any of them if they differ in other columns.
     """
     found = materialize(duplicates(df, id_col, text_col), "duplicates")
     kept = found.filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))

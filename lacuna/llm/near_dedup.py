@@ -397,7 +397,11 @@ def near_duplicates(df: DataFrame, config: Config = Config(), id_col: str = "doc
 
 
 def keep_one(df: DataFrame, config: Config = Config(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that are kept, with all their columns: one of each class of near duplicates."""
+    """The rows of ``df`` that are kept, with all their columns: one of each class of near duplicates.
+
+    Rows are found again by id and text; of repeated rows with the same id and text one stays, any of them if they differ
+    in other columns.
+    """
     found = materialize(near_duplicates(df, config, id_col, text_col), "near-duplicates")
     kept = found.where("kept").select(F.col(id_col).alias("__id"), F.col("version").alias("__version"))
     repeated = materialize(found.groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id"), "repeated-ids")
