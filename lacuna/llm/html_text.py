@@ -1,33 +1,46 @@
 """Main text of HTML pages by two-pass block rules.
 
-A page is read once, tag by tag, into blocks: runs of text between block-level tags. Blocks in page
-furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments,
-known by element, role or class) are out. The first pass decides the others by link density, length and
-stop-word density; blocks too short to tell stay ambiguous. In the second pass each ambiguous block
-takes the label of the nearest decided neighbour of its region; the earlier one counts if two are
-equally near and differ only when the later one is no text either.
-
-Where a page marks its article (article, main, or a content class), that region is the main text:
-inside it only lists of links are dropped, and what lies outside is furniture. Broken markup is read as
+A page is read once, tag by tag, into blocks: runs of text between block-level tags. The first pass decides
+blocks by link density, stop-word density and length: blocks of links and long blocks without stop words are out, long
+enough ones with stop words are text, and blocks too short to tell stay ambiguous. In the second pass each ambiguous
+block takes the label of the nearest decided block of its region (of two equally near ones, text counts); a
+heading looks at what follows it first.
+
+Markup is one feature of the rules, as where a block stands:
+
+* in an element of page furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments; known by
+  element, role or visibility, or by class or id) it is decided at once;
+* in a region that the page marks as its content (article, main, or a content class), which drops nothing else, what
+  would count against it leaves it ambiguous, so links and tables of an article stay;
+* outside such a region, where the page has one with at least as much text, it is not text.
+
+A class or id does not make furniture of an element that holds the page's largest content region (if it is as long as the
+prose outside), nor, on pages without such a region, nearly all of its text: ``page-has-sidebar`` is a layout and not a sidebar. Broken markup is read as
 browsers read it: unclosed elements end with their parents, a tag that breaks off at the end of the page is
 no text, and a stray "<" is.
 
-Defined results: null or empty html gives an empty text; a page without text too.
+Defined results: null or empty html gives an empty text; a page without text too. Where no block can be decided to be text,
+as on a page of a few words, ambiguous blocks are the text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from enum import IntEnum
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Thresholds of the first pass, in characters and shares.
-SHORT_CHARS, LONG_CHARS, STOP_HIGH, STOP_LOW, LINKS_HIGH = 70, 200, 0.30, 0.15, 0.5
+SHORT_CHARS, LONG_CHARS, STOP_HIGH, STOP_LOW, STOP_NONE, LINKS_HIGH = 90, 200, 0.20, 0.10, 0.05, 0.5
+
+#: The share of a page's text above which an element is its layout, whatever its class says.
+LAYOUT_SHARE = 0.9
 
 # Element names by role (HTML standard).
 BLOCK_TAGS = frozenset(
@@ -46,6 +59,9 @@ FURNITURE_WORDS = frozenset(
 )
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond related recommended teaser sponsored ad advert".split())
 CONTENT_NAMES = frozenset("content post entry story article articlebody article-body article-content entry-content post-content post-body story-body main-content maincontent content-main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: How a note of rights begins.
+RIGHTS = ("©", "(c) ", "copyright ")
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "a an and are as at be been but by for from had has have he her his i in is it its not of on or she so that the their there they this to was we were which will with you "
@@ -65,16 +81,27 @@ _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|itemp
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+class Place(IntEnum):
+    """What the markup says of a block."""
+
+    PLAIN = 0
+    CONTENT = 1
+    OUTSIDE = 2
+    FURNITURE = 3
+
+
 @dataclass
 class Block:
     """A run of text between block-level tags, and where it stands."""
 
     parts: list[str] = field(default_factory=list)
     link_chars: int = 0
-    in_content: bool = False
-    region: int = 0
-    in_item: bool = False
+    region: int = 0  # the outermost content element around it; 0 outside
+    furniture: bool = False  # by element, role or visibility
+    doubtful: tuple[int, ...] = ()  # elements around it whose class or id speaks of furniture
+    heading: bool = False
     text: str = ""
+    place: Place = Place.PLAIN
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -86,21 +113,27 @@ def _names(attributes: dict[str, str]) -> list[str]:
 
 
 def is_furniture(tag: str, attributes: dict[str, str], in_content: bool) -> bool:
-    """Whether an element holds page furniture, by its name, role, visibility, class or id."""
+    """Whether an element holds page furniture, by its name, role or visibility."""
     if tag in FURNITURE_TAGS or (tag == "header" and not in_content):
         return True
-    if not attributes:
-        return False
-    if tag in ("html", "body"):
+    if not attributes or tag in ("html", "body"):
         return False
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.IGNORECASE):
         return True
-    if attributes.get("role", "").lower() in FURNITURE_ROLES:
+    if tag in ("article", "main") and any(re.split(r"[-_:]+", name)[0] in COMMENT_WORDS for name in _names(attributes)):
         return True
-    words = COMMENT_WORDS if tag in ("article", "main") else FURNITURE_WORDS
+    return attributes.get("role", "").lower() in FURNITURE_ROLES
+
+
+def is_doubtful(tag: str, attributes: dict[str, str], in_content: bool) -> bool:
+    """Whether an element's class or id speaks of furniture."""
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False
     for name in _names(attributes):
         parts = re.split(r"[-_:]+", name)
-        if parts[0] not in ("has", "with", "no", "is", "without") and (not words.isdisjoint(parts) or (tag not in ("article", "main") and parts in (["header"], ["site", "header"], ["page", "header"]) and not in_content)):
+        if parts[0] in ("has", "with", "no", "is", "without"):
+            continue
+        if not FURNITURE_WORDS.isdisjoint(parts) or (parts in (["header"], ["site", "header"], ["page", "header"]) and not in_content):
             return True
     return False
 
@@ -110,11 +143,13 @@ def is_content(tag: str, attributes: dict[str, str]) -> bool:
 
 
 def read_blocks(page: str) -> list[Block]:
-    """The page's blocks outside furniture, in page order, with text decoded and white space as one space."""
+    """The page's blocks in page order, with text decoded and white space as one space, and their places."""
     blocks: list[Block] = []
     block = Block()
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, furniture, content
-    furniture = content = links = items = regions = 0
+    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, furniture, doubtful, content
+    furniture = content = links = headings = elements = region = 0
+    doubtful: list[int] = []
+    around: dict[int, tuple[int, ...]] = {}  # of each content region, the doubtful elements around it
 
     def finish() -> None:
         nonlocal block
@@ -125,22 +160,26 @@ def read_blocks(page: str) -> list[Block]:
         block = Block()
 
     def text(piece: str) -> None:
-        if piece and not furniture:
+        if piece:
             decoded = html.unescape(piece) if "&" in piece else piece
+            if block.parts and block.furniture != (furniture > 0):  # an inline element of furniture begins or ends
+                finish()
             if not block.parts:
-                block.in_content, block.region, block.in_item = content > 0, regions if content else 0, items > 0
+                block.region, block.furniture, block.doubtful, block.heading = region if content else 0, furniture > 0, tuple(doubtful), headings > 0
             block.parts.append(decoded)
             if links:
                 block.link_chars += len("".join(decoded.split()))
 
     def close(k: int) -> None:
-        nonlocal furniture, content, links, items
+        nonlocal furniture, content, links, headings
         while len(stack) > k:
-            name, was_furniture, was_content = stack.pop()
+            name, was_furniture, was_doubtful, was_content = stack.pop()
             furniture -= was_furniture
             content -= was_content
             links -= name == "a"
-            items -= name == "li"
+            headings -= name in HEADINGS
+            if was_doubtful:
+                doubtful.pop()
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -176,73 +215,103 @@ def read_blocks(page: str) -> list[Block]:
         elif tag == "body":  # a head that was not closed
             close(next((k for k, x in enumerate(stack) if x[0] == "head"), len(stack)))
         attributes = _attributes(m["attrs"])
-        found = is_content(tag, attributes) and not furniture
         out = is_furniture(tag, attributes, content > 0)
-        found = found and not out
+        found = not furniture and not out and is_content(tag, attributes)
+        doubt = not out and not (found and not content) and is_doubtful(tag, attributes, content > 0)
         if found and not content:
-            regions += 1
-        stack.append((tag, out, found))
+            region += 1
+            around[region] = tuple(doubtful)
+        if doubt:
+            elements += 1
+            doubtful.append(elements)
+        stack.append((tag, out, doubt, found))
         furniture += out
         content += found
         links += tag == "a"
-        items += tag == "li"
+        headings += tag in HEADINGS
     text(page[at:])
     finish()
+    _place(blocks, around)
     return blocks
 
 
+def _place(blocks: list[Block], around: dict[int, tuple[int, ...]]) -> None:
+    """Give each block its place, when the whole page is known."""
+    chars: Counter[int] = Counter()
+    for b in blocks:
+        if b.region and not b.furniture and len(b.doubtful) == len(around[b.region]):
+            chars[b.region] += len(b.text)
+    prose = sum(len(b.text) for b in blocks if not (b.region or b.furniture or b.doubtful) and first_pass(b)) if chars else 0
+    largest = max(chars, key=lambda r: (chars[r], -r), default=0)
+    if largest and chars[largest] >= prose:
+        layout = set(around[largest])
+    else:
+        shares: Counter[int] = Counter()
+        for b in blocks:
+            if not b.furniture and first_pass(b):
+                shares.update(dict.fromkeys((0, *b.doubtful), len(b.text)))
+        layout = {e for e, n in shares.items() if e and n >= LAYOUT_SHARE * shares[0]}
+    for b in blocks:
+        if b.furniture or not layout.issuperset(b.doubtful):
+            b.place = Place.FURNITURE
+    inside = sum(len(b.text) for b in blocks if b.region and b.place == Place.PLAIN)
+    beside = sum(len(b.text) for b in blocks if not b.region and b.place == Place.PLAIN and first_pass(b)) if inside else 0
+    for b in blocks:
+        if b.place == Place.PLAIN:
+            b.place = Place.CONTENT if b.region else Place.OUTSIDE if inside and inside >= beside else Place.PLAIN
+
+
+def is_rights(block: Block) -> bool:
+    return block.text[:10].lower().startswith(RIGHTS)
+
+
 def first_pass(block: Block) -> bool | None:
     """True for text, False for furniture, None where the block is too short or too odd to tell."""
-    chars = len(block.text)
-    links = block.link_chars / max(1, len(block.text.replace(" ", "")))
-    if links > LINKS_HIGH and (block.in_item or not block.in_content):
+    if block.place in (Place.FURNITURE, Place.OUTSIDE):
         return False
-    words = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if block.in_content:
-        return True if chars >= SHORT_CHARS and stops >= STOP_LOW else None
+    content, chars = block.place == Place.CONTENT, len(block.text)
+    if block.link_chars > LINKS_HIGH * len(block.text.replace(" ", "")) or is_rights(block):
+        return None if content else False
     if chars < SHORT_CHARS:
         return None
-    if stops >= STOP_HIGH:
-        return True if chars >= LONG_CHARS else None
-    if stops >= STOP_LOW:
-        return None
-    return False
+    words = _WORD.findall(block.text.lower())
+    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if stops >= (STOP_LOW if chars >= LONG_CHARS or content else STOP_HIGH):
+        return True
+    return None if content or chars < LONG_CHARS or stops >= STOP_NONE else False
 
 
 def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
-    """Ambiguous blocks inherit from the nearest decided neighbour of their region, or are text if it has none.
+    """Ambiguous blocks inherit from the nearest decided block of their region, or are text if it has none.
 
-    In an article, which is text by default, they are out only if the decided neighbours on both sides are.
+    A note of rights is decided for itself alone: it stands right below a text as well as elsewhere.
     """
     n = len(blocks)
     before: list[int | None] = [None] * n
     after: list[int | None] = [None] * n
+    regions = [b.region if b.place == Place.CONTENT else 0 for b in blocks]
     for out, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
         last: dict[int, int] = {}
         for k in order:
-            out[k] = last.get(blocks[k].region)
-            if labels[k] is not None:
-                last[blocks[k].region] = k
-    decided = []
+            out[k] = last.get(regions[k])
+            if labels[k] is not None and not is_rights(blocks[k]):
+                last[regions[k]] = k
+    some, decided = any(labels), []
     for k in range(n):
         if labels[k] is not None:
             decided.append(labels[k])
             continue
         near = [x for x in (before[k], after[k]) if x is not None]
-        if blocks[k].in_content:  # out only between two lists of links
-            decided.append(len(near) < 2 or any(labels[x] for x in near))
-            continue
+        if blocks[k].heading and after[k] is not None:
+            near = [after[k]]
         least = min((abs(x - k) for x in near), default=0)
-        decided.append(any(labels[x] for x in near if abs(x - k) == least) if near else True)
+        decided.append(any(labels[x] for x in near if abs(x - k) == least) if near and some else True)
     return decided
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page: its blocks of text in page order, joined by line feeds."""
     blocks = read_blocks(page or "")
-    if any(b.in_content for b in blocks):
-        blocks = [b for b in blocks if b.in_content]
     return "\n".join(b.text for b, keep in zip(blocks, second_pass(blocks, [first_pass(b) for b in blocks]), strict=True) if keep)
 
 

@@ -113,7 +113,6 @@ def test_licenses_equal_brute_force_on_edited_texts(spark):
         if names:
             top = min(names, key=lambda n: (-best[n], n))
             assert (found[key].license, found[key].dice) == (top, round(best[top], 6))
-    assert 20 < len(licenses.trigger_words(licenses.TEMPLATES, 0.8)) + 20
 
 
 RECORDS = [
@@ -148,7 +147,7 @@ def test_layouts_become_turns_and_read_back(spark):
         ("<html><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav><article><header><h1>Title</h1></header><p>Short.</p><aside>More</aside><footer>tags</footer><section class='comments'><p>Nice post!</p></section></article><footer>&copy;</footer>", "Title\nShort."),
         ("<body><div class='cookie-notice'><p>We use cookies on this site and you agree to that by reading it, or by not reading it.</p></div><div id=content><p>Some text.<br>More<p cla", "Some text. More"),
         ("<script>var t='</p>';</script><style>p{}</style><!-- <p>no</p> --><p>yes<script>if (a<b) {}</script></p><form><input><p>Name</p></form>", "yes"),
-        ("<main><ul><li>plain item</li><li><a href=x>link item</a></li></ul><p><a href=y>a whole sentence</a></p></main>", "plain item\na whole sentence"),
+        ("<main><ul><li>plain item</li><li><a href=x>link item</a></li></ul><p><a href=y>a whole sentence</a></p></main>", "plain item\nlink item\na whole sentence"),
         ("", ""), (None, ""), ("<div></div>", ""), ("just text", "just text"), ("<p>a</p>" * 3, "a\na\na"), ("<pre>a\n  b</pre>", "a b"),
     ],
 )
