@@ -106,8 +106,12 @@ def test_licenses_equal_brute_force_on_edited_texts(spark):
 
     norm = lambda t: re.sub("[^a-z0-9]+", " ", t.lower()).split()
     for key, text in rows:
-        segments = {*text.split("\n"), text}
-        best = {name: max(dice(norm(s), norm(t)) for s in segments) for name, t in licenses.TEMPLATES.items()}
+        words, segments = norm(text), [norm(s) for s in {*text.split("\n"), text}]
+        best = {}
+        for name, template in licenses.TEMPLATES.items():
+            own = norm(template)
+            windows = [words[k : k + len(own)] for k in range(len(words) - len(own) + 1)]
+            best[name] = max(dice(s, own) for s in segments + windows)
         names = sorted(n for n, d in best.items() if d >= 0.8)
         assert found[key].licenses == ",".join(names)
         if names:
@@ -115,6 +119,31 @@ def test_licenses_equal_brute_force_on_edited_texts(spark):
             assert (found[key].license, found[key].dice) == (top, round(best[top], 6))
 
 
+def test_licenses_in_comments_and_inside_lines(spark):
+    import textwrap
+
+    def wrapped(text, sign):
+        return "\n".join(sign + line for line in textwrap.wrap(text, 60))
+
+    terms = licenses.TEMPLATES
+    rows = [
+        (1, f"/*\n{wrapped(terms['mit'], ' * ')}\n */\nint main() {{ return 0; }}"),
+        (2, f"{wrapped(terms['apache-2.0'], '# ')}\nimport os\n"),
+        (3, "Some words. Released under the MIT License. And more words in the line."),
+        (4, terms["apache-2.0-notice"] * 200 + "\n" + "other words " * 300),
+        (5, "\n *\n".join(wrapped(x, " * ") for x in terms["bsd-2-clause"].split(" THIS ")) + "\nint x;"),
+        (6, "the license of the software and the terms of the public " * 50),
+    ]
+    found = {r.doc_id: r.licenses.split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: ["mit"], 2: ["apache-2.0", "apache-2.0-notice"], 3: ["mit-notice"], 4: ["apache-2.0-notice"], 5: ["bsd", "bsd-2-clause"], 6: [""]}
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert {k: names.split(",") for k, names in con.sql(f"SELECT doc_id, licenses FROM ({licenses.oracle_sql()})").fetchall()} == found
+
+
 RECORDS = [
     ({"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}], "id": 3}, "messages", [("user", "hi"), ("assistant", "yo")]),
     ({"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b\\b"}], "system": "s"}, "sharegpt", [("system", "s"), ("user", "a"), ("assistant", "b\\b")]),
