@@ -5,7 +5,8 @@ cluster's shared folder and reads it again as the next stage's documents. All st
 return whole rows with the columns of documents.
 
 The classifiers learn from the labelled documents among their own input. Stages with a trained model or a
-sketch have no SQL equivalent; the tests hold ``run`` against a plain version of the later stages.
+sketch have no SQL equivalent; the tests hold ``run`` against the documents that a small corpus is made to keep, and
+each operator against a plain version of its own.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lacuna.llm import exact_dedup, near_dedup, packing, quality, toxicity
-from lacuna.llm.storage import materialize
+from lacuna.llm.storage import materialize, scratch
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents of ``sf_dir``, each on what the one before it has written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark, f"stage-{name}"):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

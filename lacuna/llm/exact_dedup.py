@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.storage import materialize
+from lacuna.llm.storage import materialize, scratch
 
 #: Bytes of a block. Most documents are one block; a text of n bytes takes log2(n / BLOCK_BYTES) levels.
 BLOCK_BYTES = 4096
@@ -98,7 +98,8 @@ def document_names(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, block_hash: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """A row per document, dropped ones too: the id, keep_id, group_size, kept, text_sha256."""
-    named = materialize(document_names(df, id_col, text_col, block_bytes, block_hash), "document-names")
+    with scratch(df.sparkSession, "document-names"):
+        named = materialize(document_names(df, id_col, text_col, block_bytes, block_hash), "document-names")
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("rid").alias("rid")))
     groups = materialize(named.groupBy("level", "name").agg(least.alias("least"), F.count(F.lit(1)).alias("group_size")), "text-groups")
     joined = named.join(groups, ["level", "name"])
@@ -113,7 +114,8 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows are found again by id and text; of repeated rows with the same id and text one stays,
     any of them if they differ in other columns.
     """
-    found = materialize(duplicates(df, id_col, text_col), "duplicates")
+    with scratch(df.sparkSession, "duplicates"):
+        found = materialize(duplicates(df, id_col, text_col), "duplicates")
     kept = found.filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
     repeated = materialize(found.groupBy(F.col(id_col).alias("__id")).count().filter("count > 1").select("__id"), "repeated-ids")
     if repeated.isEmpty():

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.storage import materialize
+from lacuna.llm.storage import materialize, scratch
 
 _WORD = re.compile(r"\w+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -303,17 +303,20 @@ def components(edges: DataFrame) -> DataFrame:
     In each round a node takes the smallest class among its own and its neighbours', and then that class's
     own class, so that long chains shrink by halves. Nodes of high degree are pre-aggregated before the shuffle.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
-    state = materialize(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("class")), "classes")
-    while True:
-        of_neighbour = state.select(F.col("node").alias("b"), F.col("class").alias("next"))
-        reached = both.join(of_neighbour, "b").groupBy("a").agg(F.min("next").alias("next")).select(F.col("a").alias("node"), "next")
-        lower = materialize(state.join(reached, "node").select("node", "class", F.least("class", "next").alias("next")), "lower")
-        jump = lower.select(F.col("node").alias("next"), F.col("next").alias("beyond"))
-        state = materialize(lower.join(jump, "next", "left").select("node", F.col("class").alias("before"), F.coalesce("beyond", "next").alias("class")), "classes")
-        if state.where("class <> before").isEmpty():
-            return state.select("node", "class")
-        state = state.select("node", "class")
+    spark = edges.sparkSession
+    with scratch(spark, "components"):
+        both = materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
+        first = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("class"))
+        state = materialize(first, "classes")
+        while True:
+            with scratch(spark, "classes"):
+                of_neighbour = state.select(F.col("node").alias("b"), F.col("class").alias("next"))
+                reached = both.join(of_neighbour, "b").groupBy("a").agg(F.min("next").alias("next")).select(F.col("a").alias("node"), "next")
+                lower = materialize(state.join(reached, "node").select("node", "class", F.least("class", "next").alias("next")), "lower")
+                jump = lower.select(F.col("node").alias("next"), F.col("next").alias("beyond"))
+                state = materialize(lower.join(jump, "next", "left").select("node", F.col("class").alias("before"), F.coalesce("beyond", "next").alias("class")), "classes")
+            if state.where("class <> before").isEmpty():
+                return materialize(state.select("node", "class"), "components")
 
 
 # ------------------------------------------------------------------------------------ operator
@@ -382,14 +385,15 @@ def near_duplicates(df: DataFrame, config: Config = Config(), id_col: str = "doc
     ``kept`` is true for one row of each class, the one with the smallest id (null ids last). ``version`` is a hash
     of the text, by which rows that share an id can be told apart.
     """
-    docs = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("version"), F.col(text_col).alias("text"))
-    sketch = materialize(sketches(docs, config), "sketches")
-    contents = materialize(sketch.where("bands is not null").groupBy("content").agg(F.min("rid").alias("node")), "contents")
-    classes = _links(sketch, contents.select(F.col("node").alias("rid")), config)
-    worded = sketch.where("bands is not null").select("rid", "id", "version", "content").join(contents, "content").select("rid", "id", "version", "node")
-    wordless = sketch.where("bands is null").select("rid", "id", "version", F.col("rid").alias("node"))
-    rows = worded.union(wordless).join(classes, "node", "left").select("rid", "id", "version", F.coalesce("class", "node").alias("class"))
-    rows = materialize(rows, "row-classes")
+    with scratch(df.sparkSession, "row-classes"):
+        docs = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("version"), F.col(text_col).alias("text"))
+        sketch = materialize(sketches(docs, config), "sketches")
+        contents = materialize(sketch.where("bands is not null").groupBy("content").agg(F.min("rid").alias("node")), "contents")
+        classes = _links(sketch, contents.select(F.col("node").alias("rid")), config)
+        worded = sketch.where("bands is not null").select("rid", "id", "version", "content").join(contents, "content").select("rid", "id", "version", "node")
+        wordless = sketch.where("bands is null").select("rid", "id", "version", F.col("rid").alias("node"))
+        rows = worded.union(wordless).join(classes, "node", "left").select("rid", "id", "version", F.coalesce("class", "node").alias("class"))
+        rows = materialize(rows, "row-classes")
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("rid").alias("rid")))
     groups = materialize(rows.groupBy("class").agg(least.alias("least"), F.count(F.lit(1)).alias("class_size")), "class-groups")
     out = rows.join(groups, "class")
@@ -402,7 +406,8 @@ def keep_one(df: DataFrame, config: Config = Config(), id_col: str = "doc_id", t
     Rows are found again by id and text; of repeated rows with the same id and text one stays, any of them if they differ
     in other columns.
     """
-    found = materialize(near_duplicates(df, config, id_col, text_col), "near-duplicates")
+    with scratch(df.sparkSession, "near-duplicates"):
+        found = materialize(near_duplicates(df, config, id_col, text_col), "near-duplicates")
     kept = found.where("kept").select(F.col(id_col).alias("__id"), F.col("version").alias("__version"))
     repeated = materialize(found.groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id"), "repeated-ids")
     same = F.col(id_col).eqNullSafe(F.col("__id"))
