@@ -10,7 +10,7 @@ import functools
 import sys
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.lexicon import (
@@ -34,8 +34,17 @@ def _digits() -> tuple[str, str]:
 
 def parse_number(stripped: Column) -> Column:
     """The number that a stripped text denotes, or null: digits of any script, single underscores between digits."""
-    plain = F.when(stripped.rlike(r"\A[+\-.]{0,2}\p{Nd}"), F.translate(stripped, *_digits()))
-    return let(plain, lambda digits: F.when(digits.rlike(_NUMBER), F.replace(digits, F.lit("_"), F.lit("")).try_cast("double")))
+    return let(ascii_digits(stripped), number_of_digits)
+
+
+def number_of_digits(digits: Column) -> Column:
+    """The number that a text of ASCII digits denotes, or null."""
+    return F.when(digits.rlike(_NUMBER), F.replace(digits, F.lit("_"), F.lit("")).try_cast("double"))
+
+
+def ascii_digits(stripped: Column) -> Column:
+    """A stripped text that may be a number, with digits of any script as ASCII ones; null for others."""
+    return F.when(stripped.rlike(r"\A[+\-.]{0,2}\p{Nd}"), F.translate(stripped, *_digits()))
 
 
 def _whole(pattern: str) -> str:
@@ -54,18 +63,25 @@ def pattern_label(low: Column) -> Column:
 _ANY_PHRASE = _whole("|".join(f"(?:{p})" for _, p in DISGUISED_PATTERNS))
 
 
-def _is_placeholder(stripped: Column) -> Column:
-    low = F.lower(stripped)
-    number = F.coalesce(parse_number(stripped).isin(*NUMERIC_SENTINELS), F.lit(False))
-    return (stripped == "") | low.isin(*DISGUISED_LITERALS) | low.rlike(_ANY_PHRASE) | number
+def _is_placeholder(stripped: Column, low: Column, number: Column) -> Column:
+    sentinel = F.coalesce(number.isin(*NUMERIC_SENTINELS), F.lit(False))
+    return (stripped == "") | low.isin(*DISGUISED_LITERALS) | low.rlike(_ANY_PHRASE) | sentinel
 
 
 def is_missing(value: Column, is_null: Column | None = None) -> Column:
     """Null, blank, a numeric sentinel, a placeholder literal, or a placeholder phrase."""
-    missing = let(strip(value), _is_placeholder)
+    missing = let(strip(value), lambda s: _is_placeholder(s, F.lower(s), parse_number(s)))
     return F.coalesce(missing if is_null is None else is_null | missing, F.lit(True))
 
 
+def with_missing(df: DataFrame, value: str = "value", is_null: str = "is_null", out: str = "missing") -> DataFrame:
+    """``df`` with ``is_missing`` as a column, in steps that each are compiled: what several rules use is a column of its own."""
+    steps = df.withColumn("__stripped", strip(F.col(value)))
+    steps = steps.withColumns({"__low": F.lower("__stripped"), "__digits": ascii_digits(F.col("__stripped"))})
+    missing = _is_placeholder(F.col("__stripped"), F.col("__low"), number_of_digits(F.col("__digits")))
+    return steps.withColumn(out, F.coalesce(F.col(is_null) | missing, F.lit(True))).drop("__stripped", "__low", "__digits")
+
+
 def _classified(low: Column) -> Column:
     label = F.when(low.rlike(_ANY_PHRASE), pattern_label(low))
     kind = F.when(low == "", None).when(low.isin(*DISGUISED_LITERALS), "literal").when(low.rlike(_ANY_PHRASE), "regex").when(low.isin(*DATE_SENTINELS), "date_sentinel")

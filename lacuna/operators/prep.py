@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.lexicon import EMPTY_SENTINEL, EMPTY_TOKEN, MASK_TOKEN
-from lacuna.functions.missing import format_cell, is_missing
+from lacuna.functions.missing import format_cell, with_missing
 from lacuna.functions.text import normalize
 
 
@@ -42,9 +42,10 @@ ABLATIONS = (
 
 def canonicalize_missing(cells: DataFrame, sentinel: str = EMPTY_SENTINEL, skip_columns: tuple[str, ...] = ()) -> DataFrame:
     """Missing cells' values replaced by the sentinel, but for the skipped columns."""
-    missing = is_missing(F.col("value"), F.col("is_null"))
     skip = F.col("column").isin(*skip_columns) if skip_columns else F.lit(False)
-    return cells.withColumns({"value": F.when(~skip & missing, sentinel).otherwise(F.col("value")), "is_null": F.when(~skip & missing, False).otherwise(F.col("is_null"))})
+    replaced = ~skip & F.col("__missing")
+    marked = with_missing(cells, out="__missing")
+    return marked.withColumns({"value": F.when(replaced, sentinel).otherwise(F.col("value")), "is_null": ~replaced & F.col("is_null")}).drop("__missing")
 
 
 def sampled_cells(manifest: DataFrame, masked: DataFrame) -> DataFrame:
@@ -56,11 +57,6 @@ def sampled_cells(manifest: DataFrame, masked: DataFrame) -> DataFrame:
     return joined.withColumns({"is_target": F.col("col_idx") == F.col("target_col_idx"), "co_missing": dropped & (F.col("col_idx") != F.col("target_col_idx"))})
 
 
-def missing_samples(manifest: DataFrame, masked: DataFrame) -> DataFrame:
-    """Samples whose row is not in the source; the assembly must not go on if there are any."""
-    return manifest.join(masked.select("table_id", "row_idx").distinct(), ["table_id", "row_idx"], "left_anti")
-
-
 def _rows(cells: DataFrame, part: Column, extra: dict[str, Column]) -> DataFrame:
     listed = F.transform(F.array_sort(F.collect_list(F.struct("col_idx", part.alias("part")))), lambda x: x["part"])
     keys = ["sample_id", "table_id", "row_idx", "column_type", "y", "missing_kind", "special_token"]

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.lexicon import AGGREGATE_CELL_PATTERN, BLOCKED_COLUMNS, INTERNAL_COLUMN_PATTERN, INTERNAL_COLUMN_PATTERN_STRICT
-from lacuna.functions.missing import is_missing
+from lacuna.functions.missing import with_missing
 
 COLUMN_KEYS = ["table_id", "file_basename", "col_idx", "column", "is_numeric"]
 
 
 def with_mask(cells: DataFrame) -> DataFrame:
     """Cells with ``missing``, computed once for all operators that follow."""
-    return cells.withColumn("missing", is_missing(F.col("value"), F.col("is_null")))
+    return with_missing(cells)
 
 
 def column_profile(masked: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.missing import classify_cell
 from lacuna.functions.text import column_type, is_priority
+from lacuna.sources.staging import staged
 
 TABLE = ["table_id", "file_basename"]
 
@@ -156,15 +157,18 @@ def build_manifest(
 ) -> DataFrame:
     """New manifest rows: one run over masked cells and eligible columns, on top of an existing manifest.
 
+    Eligible columns and drawn cells are staged: the first are then of known size, so that the planner decides whether to
+    broadcast them to the cells, and the second are read twice. ``masked`` should be a stored relation too.
     ``label_mode="raw"`` takes the raw cell as the token, or its value in a list of ``occurrences`` where it is in one.
     """
     low = validate(n, min_n, columns_per_table, max_per_file_column, max_per_column_type, seed)
     prior = prior_state(manifest) if manifest is not None else None
-    found = candidates(masked, eligible, prior, seed, n * (2 * columns_per_table - 1), skip_drawn, priority)
+    found = candidates(masked, staged(eligible, "eligible"), prior, seed, n * (2 * columns_per_table - 1), skip_drawn, priority)
     drawn = draw_one(found, n, low, max_per_file_column) if columns_per_table == 1 else draw_many(found, n, low, columns_per_table, max_per_file_column)
     drawn = drawn.withColumn("column_type", column_type(F.col("column")))
     if max_per_column_type is not None:
         drawn = within_label_cap(drawn, prior["labels"] if prior else None, max_per_column_type)
+    drawn = staged(drawn, "drawn")
     position = 2 * (F.col("order") - 1) + F.when(F.col("missing"), 0).otherwise(1)
     cell = classify_cell(F.col("value"), F.col("is_numeric"), F.col("is_null"), label_mode=label_mode)
     out = numbered(drawn, [F.col("column_rank"), position], first_id).withColumn("cell", cell)

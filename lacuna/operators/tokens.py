@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from lacuna.functions.missing import classify, classify_cell, token_group
 from lacuna.functions.text import column_type, strip
 from lacuna.operators.sampling import numbered, order_key
+from lacuna.sources.staging import staged
+
+
+#: Parts in which the present cells of a column are ranked.
+PARTS = 64
 
 
 def occurrences(cells: DataFrame) -> DataFrame:
@@ -41,11 +46,16 @@ def token_manifest(masked: DataFrame, lists: DataFrame | None = None, seed: int
     marked = masked.withColumn("cell", F.when(F.col("missing"), cell))
     wanted = F.col("missing") & (F.col("cell.missing_kind") == "disguised") & token_group(F.col("cell.special_token")).isNotNull()
     marked = marked.withColumn("wanted", F.coalesce(wanted, F.lit(False))).where("wanted or not missing")
-    counts = marked.where("wanted").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_wanted"))
+    counts = staged(marked.where("wanted").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_wanted")), "token-counts")  # a row per column
     found = marked.join(counts, keys)
     key = order_key(seed, F.lit(0), "file_basename", "column", "row_idx")
+    # A column's present cells are ranked in parts first; of each part no more than are wanted can be among the first of all.
+    part = F.pmod(F.xxhash64("row_idx"), F.lit(PARTS))
+    in_part = Window.partitionBy(*keys, "wanted", part).orderBy(key, "row_idx")
+    found = found.withColumn("rank", F.when(~F.col("wanted"), F.row_number().over(in_part))).where("wanted or rank <= n_wanted")
     by_class = Window.partitionBy(*keys, "wanted").orderBy(F.when(F.col("wanted"), F.lpad(F.col("row_idx").cast("string"), 20, "0")).otherwise(key), "row_idx")
     found = found.withColumn("rank", F.row_number().over(by_class)).where("wanted or rank <= n_wanted")
+    found = staged(found, "tokens")  # ranked and counted from here
     out = numbered(found, [F.col("col_idx"), F.col("wanted").desc(), F.col("rank")])
     out = out.join(lists.select("table_id", "col_idx", "co_missing_columns"), ["table_id", "col_idx"], "left") if lists is not None else out.withColumn("co_missing_columns", F.lit(None).cast("string"))
     return out.select(

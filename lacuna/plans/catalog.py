@@ -15,7 +15,7 @@ from lacuna.functions import missing as ms
 from lacuna.functions import text as tx
 from lacuna.operators import prep, profile, sampling, tokens, vectors
 from lacuna.plans import embed, fixtures, oracle
-from lacuna.sources import corpus
+from lacuna.sources import corpus, staging
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -163,14 +163,19 @@ def blocked_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("co_missing_pairs", oracle.with_cells('SELECT table_id, "column", other FROM pairs'))
 def co_missing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.co_missing_pairs(fixtures.masked(spark, sf_dir)).select("table_id", "column", "other")
+    return profile.co_missing_pairs(_masked(spark, sf_dir)).select("table_id", "column", "other")
 
 
 # ------------------------------------------------------------------------------- sampling
 
 
-def _manifest(spark: SparkSession, sf_dir: str, manifest: DataFrame | None = None, min_profile: int = 5, **options) -> DataFrame:
-    masked = fixtures.masked(spark, sf_dir)
+def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masked cells, staged: profiles, co-missing columns and draws all read them."""
+    return staging.staged(fixtures.masked(spark, sf_dir), "masked")
+
+
+def _manifest(spark: SparkSession, sf_dir: str, manifest: DataFrame | None = None, min_profile: int = 5, masked: DataFrame | None = None, **options) -> DataFrame:
+    masked = _masked(spark, sf_dir) if masked is None else masked
     eligible = profile.eligibility(profile.column_profile(masked), min_n=min_profile).where("reason is null")
     lists = profile.co_missing_lists(profile.co_missing_pairs(masked))
     return sampling.build_manifest(masked, eligible, lists, manifest, **options)
@@ -217,13 +222,15 @@ _SECOND_ROWS = oracle.manifest(first_id=0)
 
 @query("append_draw", oracle.with_cells(f"SELECT * FROM first_run UNION ALL BY NAME SELECT * REPLACE (sample_id + (SELECT count(*) FROM first_run) AS sample_id) FROM ({_SECOND_ROWS})", _TWO_RUNS))
 def append_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = _manifest(spark, sf_dir).persist()  # a stored table in use; several parts of the second run read it
-    return sampling.append(first, _manifest(spark, sf_dir, first, first_id=sampling.next_sample_id(first)))
+    masked = _masked(spark, sf_dir)
+    first = staging.staged(_manifest(spark, sf_dir, masked=masked), "manifest")  # as in use: the second run reads a stored table
+    return sampling.append(first, _manifest(spark, sf_dir, first, masked=masked, first_id=sampling.next_sample_id(first)))
 
 
 @query("column_skip", oracle.with_cells(f"SELECT target_col, file_basename, count(*) AS n FROM ({_SECOND_ROWS}) GROUP BY ALL", _TWO_RUNS))
 def column_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    second = _manifest(spark, sf_dir, _manifest(spark, sf_dir).persist())
+    masked = _masked(spark, sf_dir)
+    second = _manifest(spark, sf_dir, staging.staged(_manifest(spark, sf_dir, masked=masked), "manifest"), masked=masked)
     return second.groupBy("target_col", "file_basename").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -266,7 +273,7 @@ WHERE n_wanted > 0 AND (wanted OR rank <= n_wanted)
 
 
 def _token_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masked = fixtures.masked(spark, sf_dir)
+    masked = _masked(spark, sf_dir)
     return tokens.token_manifest(masked, profile.co_missing_lists(profile.co_missing_pairs(masked)))
 
 
@@ -298,7 +305,7 @@ FROM eligible e LEFT JOIN (SELECT file_basename, col_idx, count(*) FILTER (missi
 
 @query("sample_summary", oracle.with_cells(_AUDIT, oracle.draw(5, 5)))
 def sample_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masked = fixtures.masked(spark, sf_dir)
+    masked = _masked(spark, sf_dir)
     found = profile.eligibility(profile.column_profile(masked))
     return sampling.audit(found, sampling.build_manifest(masked, found.where("reason is null")))
 
@@ -312,7 +319,9 @@ def multi_column_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.sampled_cells(_manifest(spark, sf_dir), fixtures.masked(spark, sf_dir))
+    masked = _masked(spark, sf_dir)
+    manifest = staging.staged(_manifest(spark, sf_dir, masked=masked), "manifest")  # of known size, so that the planner may broadcast it
+    return prep.sampled_cells(manifest, masked)
 
 
 _SAMPLED = {

@@ -49,6 +49,7 @@ def _parser() -> argparse.ArgumentParser:
     run.add_argument("--ablation", action="append")
     run.add_argument("--shards", type=int, default=1)
     run.add_argument("--retry-failed", action="store_true")
+    run.add_argument("--limit-groups", type=int, help="only the first groups, to try a run")
     return top
 
 
@@ -57,7 +58,7 @@ def sample(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     cells, errors = read_corpus(spark, a.datasets, a.limit_files)
     masked = profile.with_mask(cells).persist()
     path = f"{a.out}/sample_manifest.parquet"
-    old = spark.read.parquet(path) if runner.exists(spark, path) else None
+    old = spark.read.parquet(path) if runner.recover(spark, path) else None
     low = a.n if a.min_n is None else a.min_n
     found = profile.eligibility(profile.column_profile(masked), min_n=low, strict=a.strict)
     lists = profile.co_missing_lists(profile.co_missing_pairs(masked))
@@ -100,7 +101,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         tokens.token_group_counts(spark.read.parquet(f"{a.out}/token_manifest.parquet")).show()
     else:
         masked = profile.with_mask(read_corpus(spark, a.datasets, a.limit_files)[0])
-        for meta in runner.run_all(spark, spark.read.parquet(a.manifest), masked, config.load_config(a.config), a.out, a.encoder, a.ablation, shards=a.shards, retry_failed=a.retry_failed):
+        for meta in runner.run_all(spark, spark.read.parquet(a.manifest), masked, config.load_config(a.config), a.out, a.encoder, a.ablation, shards=a.shards, retry_failed=a.retry_failed, limit_groups=a.limit_groups):
             print(meta)
     return 0
 

@@ -3,7 +3,8 @@
 Groups (table and target column) are dealt to shards by a hash of their name; a shard is one Spark job whose output
 folder is committed as a whole. A shard that is complete is not run again, one that failed is recorded, and is
 tried again only if asked for. A digest of the manifest guards a resumed run against another manifest.
-All files go through the file system that Spark is configured with.
+The corpus is read once for a manifest: the sampled rows' cells are written by shard, and all encoders, ablations and shards
+start from them. All files go through the file system that Spark is configured with.
 """
 
 from __future__ import annotations
@@ -32,15 +33,17 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
-    """Write beside the target and rename, so that a reader sees the old file or the new one."""
+    """Write beside the target and rename over it in one step, so that a reader sees the old file or the new one."""
     fs, target, hadoop = _file_system(spark, path)
     part = hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     out = fs.create(part, True)
     out.write(bytearray(json.dumps(value, indent=2).encode()))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"{part.toString()} could not be renamed")
+    rename = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    files = hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    files.rename(fs.makeQualified(part), fs.makeQualified(target), options)
 
 
 def read_json(spark: SparkSession, path: str) -> dict | None:
@@ -50,13 +53,34 @@ def read_json(spark: SparkSession, path: str) -> dict | None:
 
 
 def replace_table(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write a table and put it in the place of ``path``; the old table is read until the new one is whole."""
+    """Write a table whole and put it in the place of ``path``.
+
+    A folder cannot be renamed over another one, so the old table is first moved to ``<path>.old`` and removed at the end.
+    Whenever the work stops between the two steps, the old table is whole under that name, and ``recover`` moves it back.
+    """
     fs, target, hadoop = _file_system(spark, path)
-    part = f"{path}.{uuid.uuid4().hex}.tmp"
+    old, part = hadoop.Path(f"{path}.old"), f"{path}.{uuid.uuid4().hex}.tmp"
+    recover(spark, path)
     df.write.parquet(part)
-    fs.delete(target, True)
-    if not fs.rename(hadoop.Path(part), target):
-        raise OSError(f"{part} could not be renamed")
+    if fs.exists(target):
+        fs.delete(old, True)
+        _rename(fs, target, old)
+    _rename(fs, hadoop.Path(part), target)
+    fs.delete(old, True)
+
+
+def _rename(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"{source.toString()} could not be renamed to {target.toString()}")
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at ``path``; one that an interrupted ``replace_table`` has moved away is moved back."""
+    fs, target, hadoop = _file_system(spark, path)
+    old = hadoop.Path(f"{path}.old")
+    if not fs.exists(target) and fs.exists(old):
+        _rename(fs, old, target)
+    return fs.exists(target)
 
 
 def manifest_digest(manifest: DataFrame) -> str:
@@ -70,15 +94,33 @@ def manifest_digest(manifest: DataFrame) -> str:
 NAME_ENCODER = Encoder("names", "hashing", "hashing", 384)
 
 
-def embedded(manifest: DataFrame, masked: DataFrame, encoder: Encoder, ablation: prep.Ablation, name_encoder: Encoder | None = None) -> DataFrame:
-    """Samples with their vectors: prepared for the encoder's family, encoded, and pooled with the target's name where the ablation says so.
+def sampled_by_shard(spark: SparkSession, manifest: DataFrame, masked: DataFrame, path: str, shards: int) -> DataFrame:
+    """The sampled rows' cells, written once at ``path`` in a folder per shard; every encoder, ablation and shard reads from there.
+
+    Raises ValueError if samples have no row in the source: nothing may be assembled without them.
+    """
+    shard = F.pmod(F.xxhash64("table_id", "target_col_idx"), F.lit(shards)).cast("int")
+    cells = prep.sampled_cells(manifest, masked).withColumn("shard", shard)
+    if not exists(spark, f"{path}/_SUCCESS"):
+        cells.write.mode("overwrite").partitionBy("shard").parquet(path)
+    found = spark.read.schema(cells.schema).parquet(path)
+    lost = manifest.select("sample_id", "table_id", "row_idx").join(found.select("sample_id").distinct(), "sample_id", "left_anti")
+    if some := lost.take(5):
+        message = f"{lost.count()} samples have no row in the source, such as {[tuple(r) for r in some]}"
+        fs, target, _ = _file_system(spark, path)
+        fs.delete(target, True)
+        raise ValueError(message)
+    return found
+
+
+def embedded(sampled: DataFrame, encoder: Encoder, ablation: prep.Ablation, name_encoder: Encoder | None = None) -> DataFrame:
+    """Samples, given as their rows' cells, with their vectors: prepared for the encoder's family, encoded, and pooled with the target's name where the ablation says so.
 
     Without a ``name_encoder``, a sentence encoder encodes names too; for others it is ``NAME_ENCODER``.
     """
     name_encoder = name_encoder or (NAME_ENCODER if encoder.family in embed.TABLE_FAMILIES else encoder)
     if ablation.target == "meanpool" and ablation.header != "preserve":
         raise ValueError(f"ablation {ablation.id!r}: meanpool needs the headers")
-    sampled = prep.sampled_cells(manifest, masked)
     if encoder.family in embed.TABLE_FAMILIES:
         made = prep.tables(sampled, ablation)
         found = embed.embed_tables(made, encoder.family, encoder.name, encoder.hidden_size)
@@ -93,21 +135,20 @@ def embedded(manifest: DataFrame, masked: DataFrame, encoder: Encoder, ablation:
     return found.join(names, "target_name").withColumn("embedding", pooled)
 
 
-def run_one(spark: SparkSession, manifest: DataFrame, masked: DataFrame, encoder: Encoder, ablation: prep.Ablation, out_dir: str, shards: int = 1, retry_failed: bool = False) -> dict:
+def run_one(spark: SparkSession, manifest: DataFrame, masked: DataFrame, encoder: Encoder, ablation: prep.Ablation, out_dir: str, shards: int = 1, retry_failed: bool = False, limit_groups: int | None = None) -> dict:
     """Run one encoder and ablation to ``out_dir/<encoder>/<ablation>``; returns the run's metadata."""
     started = dt.datetime.now(dt.UTC)
+    manifest = manifest if limit_groups is None else first_groups(manifest, limit_groups)
     base = f"{out_dir}/{encoder.id}/{ablation.id}"
     digest = manifest_digest(manifest)
     progress = read_json(spark, f"{base}/progress.json") or {"manifest": digest, "shards": shards, "done": [], "skipped": {}}
     if progress["manifest"] != digest or progress["shards"] != shards:
         raise ValueError(f"{base} was begun with another manifest or number of shards; choose another folder")
-    shard = F.pmod(F.xxhash64("table_id", "target_col_idx"), F.lit(shards))
-    for k in range(shards):
-        if k in progress["done"] or (str(k) in progress["skipped"] and not retry_failed):
-            continue
+    wanted = [k for k in range(shards) if k not in progress["done"] and (retry_failed or str(k) not in progress["skipped"])]
+    sampled = sampled_by_shard(spark, manifest, masked, f"{out_dir}/sampled/{digest}-{shards}", shards) if wanted else None
+    for k in wanted:
         try:
-            part = manifest.where(shard == k)
-            vectors_of = vectors.prediction_dataset(embedded(part, masked, encoder, ablation), encoder.hidden_size)
+            vectors_of = vectors.prediction_dataset(embedded(sampled.where(F.col("shard") == k).drop("shard"), encoder, ablation), encoder.hidden_size)
             replace_table(spark, vectors_of, f"{base}/shards/shard-{k:06d}")
             progress["done"].append(k)
             progress["skipped"].pop(str(k), None)
@@ -126,6 +167,12 @@ def run_one(spark: SparkSession, manifest: DataFrame, masked: DataFrame, encoder
     return meta
 
 
+def first_groups(manifest: DataFrame, n: int) -> DataFrame:
+    """The rows of the first ``n`` groups (table and target column) by name and position."""
+    groups = manifest.select("table_id", "target_col_idx").distinct().orderBy("table_id", "target_col_idx").limit(n)
+    return manifest.join(groups, ["table_id", "target_col_idx"], "left_semi")
+
+
 def prediction_data(spark: SparkSession, base: str, done: list[int]) -> DataFrame | None:
     """All finished shards as one table, or None if there are none."""
     return spark.read.parquet(*[f"{base}/shards/shard-{k:06d}" for k in sorted(done)]) if done else None

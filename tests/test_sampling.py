@@ -177,6 +177,36 @@ def test_run_resumes_and_guards(spark, masked, tmp_path):
         spec.selected(["nope"])
 
 
+def test_a_run_reads_the_corpus_once_and_misses_no_sample(spark, masked, tmp_path):
+    manifest = build(masked, columns_per_table=2).persist()
+    encoder, (default, meanpool) = config.Encoder("hash", "hashing", "hashing", 8), (prep.ABLATIONS[0], prep.ABLATIONS[4])
+    runner.run_one(spark, manifest, masked, encoder, default, str(tmp_path), 2)
+    gone = masked.where("false")  # what follows does not need the corpus any more
+    assert runner.run_one(spark, manifest, gone, encoder, meanpool, str(tmp_path), 2)["rows_total"] == manifest.count()
+    with pytest.raises(ValueError, match="no row in the source"):
+        runner.run_one(spark, manifest, gone, encoder, default, str(tmp_path / "other"), 2)
+    first = runner.first_groups(manifest, 1)
+    assert first.select("table_id", "target_col_idx").distinct().count() == 1
+    assert runner.run_one(spark, manifest, masked, encoder, default, str(tmp_path / "few"), limit_groups=1)["rows_total"] == first.count()
+
+
+def test_a_table_is_never_lost(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    runner.replace_table(spark, spark.range(3), path)
+    rename = runner._rename
+    monkeypatch.setattr(runner, "_rename", lambda fs, a, b: (_ for _ in ()).throw(OSError("stopped")) if a.toString().endswith(".tmp") else rename(fs, a, b))
+    with pytest.raises(OSError):
+        runner.replace_table(spark, spark.range(9), path)
+    monkeypatch.undo()
+    assert not os.path.exists(path) and runner.recover(spark, path) and spark.read.parquet(path).count() == 3
+    runner.replace_table(spark, spark.range(9), path)
+    assert spark.read.parquet(path).count() == 9 and not os.path.exists(f"{path}.old")
+    for k in (1, 2):
+        runner.write_json(spark, f"{path}.json", {"k": k})
+        assert runner.read_json(spark, f"{path}.json") == {"k": k}
+    assert not runner.recover(spark, str(tmp_path / "none"))
+
+
 def test_command_line(spark, folder, tmp_path):
     out = str(tmp_path / "s")
     for _ in range(2):
