@@ -447,19 +447,19 @@ def embed_table_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.prediction_dataset(embed.embed_tables(made, "hashing_table", "hashing", 384), 384)
 
 
-_CELL_MEAN = "SELECT label, vec_id % 3 AS col_idx, pos, avg(embedding[pos + 1]::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(64)) AS pos) p WHERE vec_id % 7 > 0 GROUP BY ALL"
+_CELL_MEAN = "SELECT label, vec_id % 3 AS col_idx, pos, avg(embedding[pos + 1]::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(64)) AS pos) p GROUP BY ALL"
 
 
 @query("cell_vectors", f"SELECT label AS sample_id, col_idx, pos, round(x, 6) + 0.0 AS x FROM ({_CELL_MEAN})")
 def cell_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens_of = _embeddings(spark, sf_dir).where("vec_id % 7 > 0").select(F.col("label").alias("sample_id"), F.lit(1).alias("row_id"), (F.col("vec_id") % 3).alias("col_idx"), F.col("embedding").alias("vector"))
+    tokens_of = _embeddings(spark, sf_dir).select(F.col("label").alias("sample_id"), F.lit(1).alias("row_id"), (F.col("vec_id") % 3).alias("col_idx"), F.col("embedding").alias("vector"))
     made = embed.cell_vectors(tokens_of, 64).select("sample_id", "col_idx", F.posexplode("embedding").alias("pos", "x"))
     return made.select("sample_id", "col_idx", F.col("pos").cast("long").alias("pos"), (F.round("x", 6) + 0.0).alias("x"))
 
 
 @query("row_vectors", f"SELECT label AS sample_id, pos, round(avg(x), 6) + 0.0 AS x FROM ({_CELL_MEAN}) GROUP BY ALL")
 def row_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens_of = _embeddings(spark, sf_dir).where("vec_id % 7 > 0").select(F.col("label").alias("sample_id"), F.lit(1).alias("row_id"), (F.col("vec_id") % 3).alias("col_idx"), F.col("embedding").alias("vector"))
+    tokens_of = _embeddings(spark, sf_dir).select(F.col("label").alias("sample_id"), F.lit(1).alias("row_id"), (F.col("vec_id") % 3).alias("col_idx"), F.col("embedding").alias("vector"))
     header = tokens_of.withColumn("row_id", F.lit(0))  # the header row has no part in it
     made = embed.row_vectors(embed.cell_vectors(tokens_of.union(header), 64)).select("sample_id", F.posexplode("embedding").alias("pos", "x"))
     return made.select("sample_id", F.col("pos").cast("long").alias("pos"), (F.round("x", 6) + 0.0).alias("x"))
@@ -487,14 +487,11 @@ def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("source", "lang").distinct().join(done, ["source", "lang"], "left_anti")
 
 
-@query(
-    "occurrence_lookup",
-    oracle.with_cells(f"""SELECT c.table_id, c.row_idx, c."column", o.v AS occurrence FROM cells c LEFT JOIN (SELECT table_id, "column", row_idx, max(original_value) AS v FROM ({_OCCURRENCES}) WHERE row_idx % 2 = 0 GROUP BY ALL) o ON c.table_id = o.table_id AND c."column" = o."column" AND c.row_idx = o.row_idx"""),
-)
+#: Every occurrence is a cell of the same relation, so what the lookup finds is the cell's own value.
+@query("occurrence_lookup", oracle.with_cells(f"""SELECT {_K}, CASE WHEN kind IS NOT NULL THEN value END AS occurrence FROM classified"""))
 def occurrence_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = fixtures.cells(spark, sf_dir)
-    found = tokens.occurrences(cells).where("row_idx % 2 = 0")
-    return tokens.with_occurrence_labels(cells, found).select(*KEYS, "occurrence")
+    return tokens.with_occurrence_labels(cells, staging.staged(tokens.occurrences(cells), "occurrences")).select(*KEYS, "occurrence")
 
 
 @query(
