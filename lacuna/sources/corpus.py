@@ -4,7 +4,7 @@
 operator before the encoders is a set operation over this relation.
 
 ``read_corpus`` reads a folder of heterogeneous files: whole files are dealt to tasks, which yield their
-cells row group by row group; a file that cannot be read becomes an audit row instead of an error. Large
+cells row group by row group; a file that cannot be read to its end becomes an audit row and has no cells. Large
 tables of known schema are read by Spark's own scan with ``cells_of``, which splits files.
 """
 
@@ -93,7 +93,10 @@ def cell_text(value: object) -> str | None:
 
 
 def _cells_of_file(name: str, content: bytes) -> Iterator[pa.RecordBatch]:
+    """The cells of a file, batch by batch; a file that breaks anywhere raises before its first cell."""
     stem, start = name.removesuffix(".parquet"), 0
+    for _ in pq.ParquetFile(pa.BufferReader(content)).iter_batches(batch_size=4096):  # decoded once to the end, a batch in memory at a time
+        pass
     for batch in pq.ParquetFile(pa.BufferReader(content)).iter_batches(batch_size=4096):
         n = batch.num_rows
         for k, field in enumerate(batch.schema):

@@ -46,6 +46,20 @@ def test_corpus_cells_and_read_errors(spark, folder, masked):
     assert corpus.list_files(spark, folder, 2).select("file_basename").count() == 2
 
 
+def test_a_file_that_breaks_midway_has_no_cells(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"a": [f"value {k} {k * 7919 % 10007}" for k in range(20_000)]}), tmp_path / "x.parquet", row_group_size=4096, use_dictionary=False)
+    raw = bytearray((tmp_path / "x.parquet").read_bytes())
+    at = pq.ParquetFile(tmp_path / "x.parquet").metadata.row_group(3).column(0).data_page_offset
+    raw[at : at + 2000] = b"\xff" * 2000
+    (tmp_path / "x.parquet").write_bytes(raw)
+    pq.write_table(pa.table({"a": ["y"]}), tmp_path / "y.parquet")
+    cells, errors = corpus.read_corpus(spark, str(tmp_path))
+    assert [r.table_id for r in cells.collect()] == ["y"] and [r.file_basename for r in errors.collect()] == ["x.parquet"]
+
+
 def test_profile_and_reasons(masked):
     rows = {(r.table_id, r.column): r for r in profile.eligibility(profile.column_profile(masked)).collect()}
     assert (rows["a", "Age"].n_missing, rows["a", "Age"].n_present, rows["a", "Age"].n_disguised) == (15, 45, 0)
