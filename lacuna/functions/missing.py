@@ -138,6 +138,10 @@ def token_group(special_token: Column) -> Column:
 
 
 def format_cell(value: Column, number: Column, is_null: Column) -> Column:
-    """A present cell's text: whole floats without ".0", nulls as the empty text."""
-    whole = number.isNotNull() & ~F.isnan(number) & (number == F.floor(number)) & (F.abs(number) < 1e18)
-    return F.when(is_null | value.isNull(), "").when(whole, number.cast("decimal(38,0)").cast("string")).otherwise(value)
+    """A present cell's text: whole numbers of any size as integers, nulls as the empty text.
+
+    From 2^63 on, an integer shows the number's shortest digits, filled with zeros.
+    """
+    whole = number.isNotNull() & ~F.isnan(number) & (number == F.rint(number)) & (F.abs(number) < float("inf"))
+    shown = F.when(F.abs(number) < 2.0**63, number.cast("long").cast("string")).otherwise(F.format_string("%.0f", number))
+    return F.when(is_null | value.isNull(), "").when(whole, shown).otherwise(value)

@@ -111,6 +111,11 @@ def column_type(name: Column) -> Column:
     return let(normalize(name), lambda normal: F.coalesce(mapping[normal], normal))
 
 
+def safe_name(text: Column) -> Column:
+    """A text as part of a file's name: each run of characters other than ASCII letters, digits and underscores is one underscore."""
+    return F.regexp_replace(text, r"[^A-Za-z0-9_]+", "_")
+
+
 def is_priority(name: Column, pattern: str = PRIORITY_PATTERN) -> Column:
     """Whether a column's normal form belongs to the families that are drawn first."""
     return normalize(name).rlike(pattern)

@@ -6,6 +6,7 @@ empty token (sentences) or "n/a" (tables); the target cell becomes the mask toke
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,8 @@ from lacuna.functions.lexicon import EMPTY_SENTINEL, EMPTY_TOKEN, MASK_TOKEN
 from lacuna.functions.missing import format_cell, with_missing
 from lacuna.functions.text import normalize
 
+Rule = Callable[[Column], Column]
+
 
 @dataclass(frozen=True)
 class Ablation:
@@ -57,28 +60,30 @@ def sampled_cells(manifest: DataFrame, masked: DataFrame) -> DataFrame:
     return joined.withColumns({"is_target": F.col("col_idx") == F.col("target_col_idx"), "co_missing": dropped & (F.col("col_idx") != F.col("target_col_idx"))})
 
 
-def _rows(cells: DataFrame, part: Column, extra: dict[str, Column]) -> DataFrame:
+def _rows(cells: DataFrame, part: Column, names: Rule) -> DataFrame:
     listed = F.transform(F.array_sort(F.collect_list(F.struct("col_idx", part.alias("part")))), lambda x: x["part"])
     keys = ["sample_id", "table_id", "row_idx", "column_type", "y", "missing_kind", "special_token"]
-    target = F.max(F.when(F.col("is_target"), normalize(F.col("column")))).alias("target_name")
-    return cells.groupBy(*keys).agg(listed.alias("parts"), target, *[v.alias(k) for k, v in extra.items()])
+    target = F.max(F.when(F.col("is_target"), names(F.col("column")))).alias("target_name")
+    return cells.groupBy(*keys).agg(listed.alias("parts"), target)
 
 
 def _used(cells: DataFrame, ablation: Ablation) -> DataFrame:
-    out = cells.where(~F.col("co_missing")) if ablation.co_missing_drop else cells
-    return out
+    return cells.where(~F.col("co_missing")) if ablation.co_missing_drop else cells
 
 
-def sentences(cells: DataFrame, ablation: Ablation) -> DataFrame:
+def sentences(
+    cells: DataFrame, ablation: Ablation, *, names: Rule = normalize, shown: Callable[[Column, Column, Column], Column] = format_cell, mask_token: str = MASK_TOKEN, empty_token: str = EMPTY_TOKEN,
+) -> DataFrame:
     """One sentence per sample: ``name: value`` joined by commas; ``strip`` leaves names out, ``only_target`` numbers them.
 
-    Columns are numbered by their place among the columns that are used, the target included.
+    Columns are numbered by their place among the columns that are used, the target included. ``names`` makes a name of a header,
+    ``shown`` a text of a present cell's (value, number, is_null).
     """
     used = _used(cells, ablation)
     number = F.col("value").try_cast("double")
-    value = F.when(F.col("is_target"), MASK_TOKEN).when(F.col("missing"), EMPTY_TOKEN).otherwise(format_cell(F.col("value"), F.when(F.col("is_numeric"), number), F.col("is_null")))
-    parts = F.struct(value.alias("value"), normalize(F.col("column")).alias("name"), F.col("is_target").alias("target"))
-    out = _rows(used, parts, {})
+    value = F.when(F.col("is_target"), mask_token).when(F.col("missing"), empty_token).otherwise(shown(F.col("value"), F.when(F.col("is_numeric"), number), F.col("is_null")))
+    parts = F.struct(value.alias("value"), names(F.col("column")).alias("name"), F.col("is_target").alias("target"))
+    out = _rows(used, parts, names)
 
     def segment(x: Column, i: Column) -> Column:
         if ablation.header == "strip":
@@ -93,15 +98,15 @@ def sentences(cells: DataFrame, ablation: Ablation) -> DataFrame:
     return out.withColumn("sentence", F.array_join(F.array_compact(F.transform("parts", segment)), ", ")).drop("parts")
 
 
-def tables(cells: DataFrame, ablation: Ablation) -> DataFrame:
+def tables(cells: DataFrame, ablation: Ablation, *, names: Rule = normalize, values: Rule = normalize, mask_token: str = MASK_TOKEN, empty: str = EMPTY_SENTINEL) -> DataFrame:
     """One row of (header, cell) per sample for table encoders; ``target_position`` is null if the target is removed.
 
-    Cells and headers are in normal form; missing cells are "n/a"; numbers keep their text form.
+    Cells and headers are in normal form, or as ``values`` and ``names`` make them; missing cells are "n/a"; numbers keep their text form.
     """
     used = _used(cells, ablation)
-    value = F.when(F.col("is_target"), MASK_TOKEN).otherwise(normalize(F.when(F.col("missing"), EMPTY_SENTINEL).otherwise(F.col("value"))))
-    parts = F.struct(value.alias("cell"), normalize(F.col("column")).alias("header"), F.col("is_target").alias("target"))
-    out = _rows(used, parts, {})
+    value = F.when(F.col("is_target"), mask_token).otherwise(values(F.when(F.col("missing"), empty).otherwise(F.col("value"))))
+    parts = F.struct(value.alias("cell"), names(F.col("column")).alias("header"), F.col("is_target").alias("target"))
+    out = _rows(used, parts, names)
     kept = F.filter("parts", lambda x: ~x["target"]) if ablation.target == "remove" else F.col("parts")
 
     def renamed(x: Column, i: Column) -> Column:

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.lexicon import AGGREGATE_CELL_PATTERN, BLOCKED_COLUMNS, INTERNAL_COLUMN_PATTERN, INTERNAL_COLUMN_PATTERN_STRICT
 from lacuna.functions.missing import with_missing
+from lacuna.functions.text import column_type
 
 COLUMN_KEYS = ["table_id", "file_basename", "col_idx", "column", "is_numeric"]
 
 
-def with_mask(cells: DataFrame) -> DataFrame:
-    """Cells with ``missing``, computed once for all operators that follow."""
-    return with_missing(cells)
+def with_mask(cells: DataFrame, is_missing: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Cells with ``missing``, computed once for all operators that follow; ``is_missing`` is a rule of (value, is_null) instead of the library's."""
+    return with_missing(cells) if is_missing is None else cells.withColumn("missing", is_missing(F.col("value"), F.col("is_null")))
 
 
 def column_profile(masked: DataFrame) -> DataFrame:
@@ -97,3 +100,10 @@ def co_missing_lists(pairs: DataFrame) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct("other_idx", "other")))
     names = F.transform(listed, lambda x: x["other"])
     return pairs.groupBy("table_id", "file_basename", "col_idx").agg(F.to_json(names).alias("co_missing_columns"), F.size(names).alias("n_co_missing"))
+
+
+def co_missing_report(profile: DataFrame, lists: DataFrame) -> DataFrame:
+    """A row per column that has co-missing ones: their names and number, and the number of the file's columns."""
+    totals = profile.groupBy("file_basename").agg(F.count(F.lit(1)).alias("total_cols"))
+    found = profile.join(lists, ["table_id", "file_basename", "col_idx"]).join(totals, "file_basename")
+    return found.select(F.col("file_basename").alias("file"), F.col("column").alias("target_col"), column_type(F.col("column")).alias("column_type"), "co_missing_columns", "n_co_missing", "total_cols")

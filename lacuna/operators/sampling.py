@@ -244,6 +244,22 @@ def _kept(manifest: DataFrame, keys: list[str], cap: int, seed: int) -> DataFram
     return kept.drop("__missing", "__present", "__rank")
 
 
+def cap_maxima(manifest: DataFrame) -> DataFrame:
+    """(level, n_max): the most rows that a file's column and a label have; an empty manifest has 0."""
+    by_column = manifest.groupBy("file_basename", "target_col").count().select(F.lit("file_column").alias("level"), "count")
+    by_label = manifest.groupBy("column_type").count().select(F.lit("column_type").alias("level"), "count")
+    levels = manifest.sparkSession.createDataFrame([("file_column",), ("column_type",)], "level string")
+    return levels.join(by_column.unionByName(by_label), "level", "left").groupBy("level").agg(F.coalesce(F.max("count"), F.lit(0)).alias("n_max"))
+
+
+def check_caps(manifest: DataFrame, max_per_file_column: int = 20, max_per_column_type: int | None = None) -> None:
+    """Raise ValueError if a manifest is beyond a cap."""
+    most = {r["level"]: r["n_max"] for r in cap_maxima(manifest).collect()}
+    for level, cap in (("file_column", max_per_file_column), ("column_type", max_per_column_type)):
+        if cap is not None and most[level] > cap:
+            raise ValueError(f"a {level} has {most[level]} rows, its cap is {cap}")
+
+
 def prune_to_caps(manifest: DataFrame, max_per_file_column: int = 20, max_per_column_type: int | None = None, seed: int = 42) -> DataFrame:
     """Rows of a manifest within the caps, first by file and column, then by label; no row is added."""
     out = _kept(manifest, ["file_basename", "target_col"], max_per_file_column, seed)

@@ -7,14 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions import lexicon as lx
 from lacuna.functions import missing as ms
 from lacuna.functions import text as tx
 from lacuna.operators import prep, profile, sampling, tokens, vectors
-from lacuna.plans import embed, fixtures, oracle
+from lacuna.plans import embed, fixtures, oracle, runner
 from lacuna.sources import corpus, staging
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,12 +101,25 @@ def column_type_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _headers(spark).select("t", tx.column_type(F.col("t")).alias("column_type"))
 
 
-@query("priority_order", f"SELECT t, {oracle.priority('t')} AS is_priority, row_number() OVER (ORDER BY {oracle.priority('t')} DESC, md5('42|0|' || t)) AS column_rank FROM {_HEADERS}")
+@query("priority_order", f"SELECT t, {oracle.priority('t')} AS is_priority, row_number() OVER (ORDER BY {oracle.priority('t')} DESC, md5('42|0|t.parquet|' || t)) AS column_rank FROM {_HEADERS}")
 def priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    eligible = _headers(spark).select(F.lit("t").alias("table_id"), F.col("t").alias("file_basename"), F.lit(0).alias("col_idx"), F.lit(0).alias("run_index"), "t")
-    ranked = eligible.withColumns({"table_id": F.lit("t"), "is_priority": tx.is_priority(F.col("t")), "key": sampling.order_key(42, F.col("run_index"), "t")})
-    order = Window.partitionBy("table_id").orderBy(F.col("is_priority").desc(), "key")
-    return ranked.select("t", "is_priority", F.row_number().over(order).cast("long").alias("column_rank"))
+    table = {"table_id": F.lit("t"), "file_basename": F.lit("t.parquet"), "col_idx": F.lit(0), "run_index": F.lit(0), "column": F.col("t")}
+    ranked = sampling.column_order(_headers(spark).withColumns(table), 42, lx.PRIORITY_PATTERN)
+    return ranked.select("t", "is_priority", F.col("column_rank").cast("long").alias("column_rank"))
+
+
+@query("safe_names", f"SELECT t, regexp_replace(t, '[^A-Za-z0-9_]+', '_', 'g') AS safe FROM {_HEADERS}")
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _headers(spark).select("t", tx.safe_name(F.col("t")).alias("safe"))
+
+
+NUMBERS = ("0", "-0.0", "1", "-999", "0.001", "0.00015", "0.0001", "0.00001234", "1.5e-7", "-1e-300", "1234567.5", "12345678.25", "-98765432109.125", "1e7", "123456789012345", "1e15", "1e16", "-1.25e17", "1e22", "1.7e308")
+
+
+@query("number_text", f"SELECT t, CAST(CAST(t AS DOUBLE) AS VARCHAR) AS shown FROM (SELECT unnest([{oracle.strings(NUMBERS)}]) AS t)")
+def number_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Floats of every size as both readers of a corpus show them."""
+    return spark.createDataFrame([(t,) for t in NUMBERS], "t string").select("t", corpus.float_text(F.col("t").cast("double")).alias("shown"))
 
 
 @query(
@@ -166,6 +179,20 @@ def co_missing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.co_missing_pairs(_masked(spark, sf_dir)).select("table_id", "column", "other")
 
 
+_REPORT = f"""
+SELECT e.file_basename AS file, e."column" AS target_col, {oracle.column_type('e."column"')} AS column_type, l.co_missing_columns, n.n_co_missing, t.total_cols
+FROM eligible e JOIN lists l ON e.table_id = l.table_id AND e.col_idx = l.col_idx
+JOIN (SELECT table_id, col_idx, count(*)::INT AS n_co_missing FROM pairs GROUP BY ALL) n ON e.table_id = n.table_id AND e.col_idx = n.col_idx
+JOIN (SELECT file_basename, count(*) AS total_cols FROM eligible GROUP BY ALL) t ON e.file_basename = t.file_basename
+"""
+
+
+@query("co_missing_report", oracle.with_cells(_REPORT))
+def co_missing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = _masked(spark, sf_dir)
+    return profile.co_missing_report(profile.column_profile(masked), profile.co_missing_lists(profile.co_missing_pairs(masked)))
+
+
 # ------------------------------------------------------------------------------- sampling
 
 
@@ -239,6 +266,26 @@ def caps_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _manifest(spark, sf_dir, n=400, min_n=2, max_per_file_column=700)
 
 
+_MAXIMA = """
+SELECT 'file_column' AS level, coalesce(max(n), 0) AS n_max FROM (SELECT count(*) AS n FROM manifest GROUP BY file_basename, target_col)
+UNION ALL SELECT 'column_type', coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM manifest GROUP BY column_type)
+"""
+
+
+@query("cap_maxima", oracle.with_cells(_MAXIMA, oracle.draw(400, 5, cap=800) | {"manifest": oracle.manifest()}))
+def cap_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.cap_maxima(staging.staged(_manifest(spark, sf_dir, n=400, min_n=5, max_per_file_column=800), "manifest"))
+
+
+_FIRST_GROUPS = "SELECT sample_id, table_id, target_col FROM manifest WHERE (table_id, target_col_idx) IN (SELECT DISTINCT table_id, target_col_idx FROM manifest ORDER BY ALL LIMIT 1)"
+
+
+@query("first_groups", oracle.with_cells(_FIRST_GROUPS, oracle.draw(5, 5) | {"manifest": oracle.manifest()}))
+def first_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit is the feature: the first group, as a run that is only tried takes it."""
+    return runner.first_groups(staging.staged(_manifest(spark, sf_dir), "manifest"), 1).select("sample_id", "table_id", "target_col")
+
+
 _PRUNED = """
 WITH m AS (SELECT doc_id AS sample_id, source AS file_basename, lang AS target_col, lang AS column_type, doc_id % 3 = 0 AS is_missing FROM documents),
 a AS (SELECT *, count(*) FILTER (is_missing) OVER g AS mi, count(*) FILTER (NOT is_missing) OVER g AS pr, row_number() OVER (PARTITION BY file_basename, target_col, is_missing ORDER BY md5('42|' || sample_id), sample_id) AS rn FROM m WINDOW g AS (PARTITION BY file_basename, target_col)),
@@ -502,9 +549,17 @@ def prior_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.prior_state(_manifest(spark, sf_dir))["runs"]
 
 
-@query("corpus_scan", "SELECT 'region' AS table_id, count(*) * 2 AS n_cells, 0::BIGINT AS n_null FROM region UNION ALL SELECT 'nation', count(*) * 3, 0 FROM nation")
+def _scan_sql() -> str:
+    """Cells and nulls of every table."""
+    parts = []
+    for table, names in fixtures.COLUMNS.items():
+        n = f"count(*) * {len(names)}"
+        parts.append(f"SELECT '{table}' AS table_id, {n} AS n_cells, {n} - ({' + '.join(f'count({c})' for c in names)}) AS n_null FROM {table}")
+    return " UNION ALL ".join(parts)
+
+
+@query("corpus_scan", _scan_sql())
 def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The folder reader over the two dimension tables, which every size has as single files."""
-    files = corpus.list_files(spark, sf_dir).where(F.col("file_basename").isin("region.parquet", "nation.parquet"))
-    cells, _ = corpus.cells_of_files(files)
+    """The folder reader over every file of the folder."""
+    cells, _ = corpus.read_corpus(spark, sf_dir)
     return cells.groupBy("table_id").agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(F.col("is_null")).alias("n_null"))

@@ -72,6 +72,7 @@ def sample(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     prior = sampling.prior_state(old) if old is not None else None
     tried = sampling.candidates(masked, found.where("reason is null"), prior, a.seed, a.n * (2 * a.columns - 1), not a.again, None if a.no_priority else PRIORITY_PATTERN)
     sampling.audit(found, new, tried, n=a.n, min_n=a.min_n, columns_per_table=a.columns, max_per_file_column=a.max_per_file_column).write.mode("append").parquet(f"{a.out}/summary")
+    profile.co_missing_report(found, lists).write.mode("append").parquet(f"{a.out}/co_missing")
     errors.write.mode("append").parquet(f"{a.out}/read_errors")
     if a.occurrences:
         marks = tokens.occurrences(cells)
@@ -79,7 +80,7 @@ def sample(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         tokens.occurrence_summary(marks).write.mode("overwrite").option("header", True).csv(f"{a.out}/special_tokens/summary")
     runner.replace_table(spark, new if old is None else sampling.append(old, new), path)
     counts = new.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("table_id", "target_col_idx").alias("columns"), F.count_distinct("table_id").alias("tables")).first().asDict()
-    runner.write_json(spark, f"{a.out}/last_run.json", {"options": {k: v for k, v in vars(a).items() if k != "command"}, "new": counts, "manifest": runner.manifest_digest(spark.read.parquet(path)), "at": dt.datetime.now(dt.UTC).isoformat()})
+    runner.write_json(spark, f"{a.out}/last_run.json", {"options": {k: v for k, v in vars(a).items() if k != "command"}, "new": counts, "manifest": runner.manifest_digest(spark.read.parquet(path)), **runner.provenance(), "at": dt.datetime.now(dt.UTC).isoformat()})
     masked.unpersist()
     return sampling.balance_violations(new, a.n, low)
 
@@ -93,7 +94,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         sample(spark, a).show(truncate=False)
     elif a.command == "prune":
         path = f"{a.out}/sample_manifest.parquet"
-        runner.replace_table(spark, sampling.prune_to_caps(spark.read.parquet(path), a.max_per_file_column, a.max_per_column_type, a.seed), path)
+        runner.recover(spark, path)
+        pruned = sampling.prune_to_caps(spark.read.parquet(path), a.max_per_file_column, a.max_per_column_type, a.seed)
+        sampling.check_caps(pruned, a.max_per_file_column, a.max_per_column_type)
+        runner.replace_table(spark, pruned, path)
     elif a.command == "tokens":
         masked = profile.with_mask(read_corpus(spark, a.datasets, a.limit_files)[0])
         made = tokens.token_manifest(masked, profile.co_missing_lists(profile.co_missing_pairs(masked)), a.seed)

@@ -196,6 +196,19 @@ def row_vectors(cells: DataFrame) -> DataFrame:
     return vectors.group_mean(cells.where("row_id > 0"), ["sample_id"], "embedding", "embedding")
 
 
+def attentions(df: DataFrame, layers: list[int] | None = None, heads: list[int] | None = None, renormalise: bool = True) -> DataFrame:
+    """(sample_id, layer, head, weights) of ``df``'s sample_id and attention, layers x heads x tokens x tokens nested arrays."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(len(batch)):  # one sample's tensor at a time
+                one = batch.iloc[k : k + 1]
+                nested = [[[list(r) for r in head] for head in layer] for layer in one["attention"].iat[0]]
+                yield attention_rows(one.assign(attention=[nested]), layers, heads, renormalise)
+
+    return df.select("sample_id", "attention").mapInPandas(rows, "sample_id long, layer int, head int, weights array<array<float>>")
+
+
 def attention_rows(attention: pd.DataFrame, layers: list[int] | None, heads: list[int] | None, renormalise: bool = True) -> pd.DataFrame:
     """Selected layers and heads of attention tensors as rows (sample_id, layer, head, weights), in half precision."""
     out = []

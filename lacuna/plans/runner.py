@@ -11,11 +11,17 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import platform
+import shutil
+import subprocess
 import uuid
+from pathlib import Path
 
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.functions.text import safe_name
 from lacuna.operators import prep, vectors
 from lacuna.plans import embed
 from lacuna.plans.config import Config, Encoder
@@ -90,6 +96,54 @@ def manifest_digest(manifest: DataFrame) -> str:
     return f"{found['n']}-{found['x']}-{found['s']}"
 
 
+def provenance() -> dict[str, str | None]:
+    """Where a run was made: the driver's host, Python, Spark, and the revision of this code, None where it is no checkout."""
+    asked = subprocess.run(["git", "-C", str(Path(__file__).parent), "rev-parse", "HEAD"], capture_output=True, text=True, check=False) if shutil.which("git") else None
+    revision = asked.stdout.strip() if asked is not None and asked.returncode == 0 else None
+    return {"host": platform.node(), "python": platform.python_version(), "spark": pyspark.__version__, "revision": revision}
+
+
+def write_raw(sampled: DataFrame, ablation: prep.Ablation, path: str) -> None:
+    """Sampled rows as CSV text in a folder per table and target column, as they are (``stage=sampled``) and as a table encoder gets them (``stage=masked``).
+
+    Groups have columns of their own, so lines are made here: a header, then a line per sample in the order of sample_id.
+    """
+    keys = ["table_id", "target"]
+    named = sampled.withColumn("target", F.concat_ws("_", safe_name(F.col("target_col")), F.col("target_col_idx").cast("string")))
+    targets = named.select("sample_id", *keys).distinct()
+    cell = F.struct("col_idx", F.col("column").alias("header"), F.when(~F.col("is_null"), F.col("value")).alias("cell"))
+    raw = named.groupBy("sample_id", *keys).agg(F.array_sort(F.collect_list(cell)).alias("cells")).withColumn("stage", F.lit("sampled"))
+    masked = prep.tables(sampled, ablation).select("sample_id", "cells").join(targets, "sample_id").withColumn("stage", F.lit("masked"))
+    rows = None
+    for part in (raw, masked):
+        texts = part.select(*keys, "stage", "sample_id", _csv_line("cells", "header").alias("header"), _csv_line("cells", "cell").alias("value"))
+        rows = texts if rows is None else rows.unionByName(texts)
+    folders = [*keys, "stage"]
+    heads = rows.groupBy(*folders).agg(F.min("header").alias("value"), F.lit(None).cast("long").alias("sample_id"))
+    lines = rows.drop("header").unionByName(heads)
+    lines.repartition(*folders).sortWithinPartitions(*folders, F.col("sample_id").asc_nulls_first()).drop("sample_id").write.mode("overwrite").partitionBy(*folders).text(path)
+
+
+def _csv_line(cells: str, field: str):
+    """The cells' texts, quoted where CSV asks for it, in one line; nulls are empty."""
+    quoted = lambda x: F.when(x.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
+    return F.array_join(F.transform(cells, lambda c: F.coalesce(quoted(c[field]), F.lit(""))), ",")
+
+
+def write_attentions(spark: SparkSession, attentions: DataFrame, path: str, layers: list[int] | None = None, heads: list[int] | None = None, renormalise: bool = True) -> None:
+    """Attention weights of samples as a table, a row per sample, layer and head; samples that are there already are replaced."""
+    new = embed.attentions(attentions, layers, heads, renormalise)
+    part = f"{path}.new"
+    replace_table(spark, new, part)
+    new = spark.read.schema(new.schema).parquet(part)
+    if recover(spark, path):
+        old = spark.read.schema(new.schema).parquet(path)
+        new = old.join(new.select("sample_id").distinct(), "sample_id", "left_anti").unionByName(new)
+    replace_table(spark, new, path)
+    fs, found, _ = _file_system(spark, part)
+    fs.delete(found, True)
+
+
 #: What encodes the names of target columns for pooling; shorter vectors are padded to the context's size.
 NAME_ENCODER = Encoder("names", "hashing", "hashing", 384)
 
@@ -161,7 +215,7 @@ def run_one(spark: SparkSession, manifest: DataFrame, masked: DataFrame, encoder
     rows = 0 if whole is None else spark.read.parquet(f"{base}/pred_dataset.parquet").count()
     meta = {
         "encoder": encoder.id, "ablation": ablation.id, "hidden_size": encoder.hidden_size, "manifest": digest, "rows_total": rows, "shards_done": len(progress["done"]), "shards_skipped": len(progress["skipped"]),
-        "started": started.isoformat(), "duration_seconds": (dt.datetime.now(dt.UTC) - started).total_seconds(),
+        **provenance(), "started": started.isoformat(), "duration_seconds": (dt.datetime.now(dt.UTC) - started).total_seconds(),
     }
     write_json(spark, f"{base}/metadata.json", meta)
     return meta

@@ -15,6 +15,7 @@ import decimal
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,13 +26,33 @@ CELLS = "table_id string, file_basename string, row_idx long, col_idx int, colum
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.BooleanType)
 
 
+def float_text(number: Column) -> Column:
+    """A float's digits as Python shows them: plain from 1e-4 up to 1e16, else with an exponent of two digits or more.
+
+    Digits are the JVM's; before Java 19 these are one more than the shortest for some numbers, and the same number still.
+    """
+    shown, size = number.cast("string"), F.abs(number)
+    exponent = F.regexp_extract(shown, r"E-?(\d+)", 1)
+    sign = F.when(shown.contains("E-"), "e-").otherwise("e+")
+    powered = F.concat(F.regexp_replace(F.substring_index(shown, "E", 1), r"\.0$", ""), sign, F.when(F.length(exponent) < 2, F.lpad(exponent, 2, "0")).otherwise(exponent))
+    return (
+        F.when(((size >= 1e-3) & (size < 1e7)) | (size == 0), shown)
+        .when(size == float("inf"), F.when(number > 0, "inf").otherwise("-inf"))
+        .when((size >= 1e16) | (size < 1e-4), powered)
+        .when(number == F.rint(number), F.concat(number.cast("long").cast("string"), F.lit(".0")))
+        .otherwise(F.rtrim(shown.cast("decimal(38,21)").cast("string"), F.lit("0")))
+    )
+
+
 def _text(column: Column, kind: T.DataType) -> tuple[Column, Column]:
     """The text form of a column's cells, and whether they are null; NaN is null."""
     null = column.isNull()
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         null = null | F.isnan(column)
-        whole = (column == F.floor(column)) & (F.abs(column) < 1e15)
-        return F.when(~null, F.when(whole, F.concat(column.cast("decimal(38,0)").cast("string"), F.lit(".0"))).otherwise(column.cast("string"))), null
+        double = column.cast("string").cast("double") if isinstance(kind, T.FloatType) else column  # of the float's own digits
+        return F.when(~null, float_text(double)), null
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.concat(F.substring_index(column.cast("string"), ".", 1), F.when(F.date_format(column, "SSSSSS") == "000000", "").otherwise(F.date_format(column, ".SSSSSS"))), null
     if isinstance(kind, T.BooleanType):
         return F.initcap(column.cast("string")), null
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
@@ -84,7 +105,7 @@ def cell_text(value: object) -> str | None:
     if value is None or (isinstance(value, float) and value != value):
         return None
     if isinstance(value, (list, dict)):
-        return json.dumps(value, ensure_ascii=False, default=str)
+        return json.dumps(value, ensure_ascii=False, separators=(",", ":"), default=str)
     if isinstance(value, dt.datetime):
         return value.isoformat(sep=" ")
     if isinstance(value, decimal.Decimal):
@@ -100,7 +121,10 @@ def _cells_of_file(name: str, content: bytes) -> Iterator[pa.RecordBatch]:
     for batch in pq.ParquetFile(pa.BufferReader(content)).iter_batches(batch_size=4096):
         n = batch.num_rows
         for k, field in enumerate(batch.schema):
-            values = [cell_text(v) for v in batch.column(k).to_pylist()]
+            values = batch.column(k).to_pylist()
+            if width := {pa.float16(): np.float16, pa.float32(): np.float32}.get(field.type):  # shown by the digits of their own width
+                values = [None if v is None else float(np.format_float_scientific(width(v))) for v in values]
+            values = [cell_text(v) for v in values]
             numeric = pa.types.is_integer(field.type) or pa.types.is_floating(field.type) or pa.types.is_boolean(field.type)
             yield _batch([stem] * n, [name] * n, range(start, start + n), [k] * n, [field.name] * n, [numeric] * n, values, [v is None for v in values], [None] * n)
         start += n
