@@ -29,7 +29,7 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.D
 def float_text(number: Column) -> Column:
     """A float's digits as Python shows them: plain from 1e-4 up to 1e16, else with an exponent of two digits or more.
 
-    Digits are the JVM's; before Java 19 these are one more than the shortest for some numbers, and the same number still.
+    Digits are the JVM's; before Java 19 these are more than the shortest for some numbers, and the same number still.
     """
     shown, size = number.cast("string"), F.abs(number)
     exponent = F.regexp_extract(shown, r"E-?(\d+)", 1)
@@ -44,12 +44,20 @@ def float_text(number: Column) -> Column:
     )
 
 
+def _widened(single: Column) -> Column:
+    """The double of a single-precision float's shortest digits; the JVM's are tried first, as before Java 19 they may be too many."""
+    shown = single.cast("string")
+    tries = [F.format_string(f"%.{digits - 1}e", single.cast("double")) for digits in (6, 7, 8)]
+    fewest = F.coalesce(*[F.when(t.cast("float") == single, t) for t in tries], shown)
+    return F.when(F.length(shown) > 8, fewest).otherwise(shown).cast("double")
+
+
 def _text(column: Column, kind: T.DataType) -> tuple[Column, Column]:
     """The text form of a column's cells, and whether they are null; NaN is null."""
     null = column.isNull()
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         null = null | F.isnan(column)
-        double = column.cast("string").cast("double") if isinstance(kind, T.FloatType) else column  # of the float's own digits
+        double = _widened(column) if isinstance(kind, T.FloatType) else column
         return F.when(~null, float_text(double)), null
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.concat(F.substring_index(column.cast("string"), ".", 1), F.when(F.date_format(column, "SSSSSS") == "000000", "").otherwise(F.date_format(column, ".SSSSSS"))), null

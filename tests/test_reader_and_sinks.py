@@ -2,7 +2,6 @@ import csv
 import datetime as dt
 import math
 import random
-import re
 import struct
 
 import numpy as np
@@ -32,8 +31,8 @@ def test_both_readers_show_the_same_text(spark, tmp_path):
     assert len(split) == len(whole) == 3 * len(doubles)
     assert all(whole["d", i][0] == (None if x is None or x != x else str(x)) for i, x in enumerate(doubles))
     other = {k: (v, whole[k]) for k, v in split.items() if v != whole[k]}
-    assert len(other) < 0.03 * len(whole)  # before Java 19 some numbers have a digit too many
-    layout = lambda t: (re.sub(r"\d+", "", t), t[t.find("e") :] if "e" in t else "")
+    assert len(other) < 0.03 * len(whole), (len(other), list(other.items())[:12])  # before Java 19 some numbers have a digit too many, and the very smallest always have two
+    layout = lambda t: t[t.find("e") :] if "e" in t else ""
     for (column, _), ((a, _), (b, _)) in other.items():
         width = np.float64 if column == "d" else np.float32
         assert column != "t" and width(a) == width(b) and layout(a) == layout(b), (a, b)
