@@ -61,12 +61,18 @@ def numbered(df: DataFrame, order: list[Column], first_id: int = 0, column: str
     return df.withColumn("__rank", rank).join(offsets, "file_basename").withColumn(column, F.col("__rank") + F.col("__before") + (first_id - 1)).drop("__rank", "__before")
 
 
-def prior_state(manifest: DataFrame) -> dict[str, DataFrame]:
-    """What an existing manifest excludes: used rows, drawn columns with their counts, runs by file, rows by label."""
+def prior_state(manifest: DataFrame, run_rule: str = "columns") -> dict[str, DataFrame]:
+    """What an existing manifest excludes: used rows, drawn columns with their counts, runs by file, rows by label.
+
+    A file's next run is numbered by the columns it has given (``run_rule="columns"``), or by its last run plus one ("last").
+    """
+    rules = {"columns": F.count_distinct("target_col"), "last": F.max("run_index") + 1}
+    if run_rule not in rules:
+        raise ValueError(f"run_rule must be one of {', '.join(rules)}")
     return {
         "rows": manifest.select("file_basename", "row_idx").distinct(),
         "columns": manifest.groupBy("file_basename", F.col("target_col").alias("column")).agg(F.count(F.lit(1)).alias("n_prior")),
-        "runs": manifest.groupBy("file_basename").agg(F.count_distinct("target_col").cast("int").alias("run_index")),
+        "runs": manifest.groupBy("file_basename").agg(rules[run_rule].cast("int").alias("run_index")),
         "labels": manifest.groupBy("column_type").agg(F.count(F.lit(1)).alias("n_label")),
     }
 
@@ -138,22 +144,45 @@ def draw_many(found: DataFrame, n: int, min_n: int, columns_per_table: int, max_
     return found.drop("order").join(chosen, [*keys, "row_idx"])
 
 
+def draw(found: DataFrame, n: int, min_n: int, columns_per_table: int, max_per_file_column: int = 20) -> DataFrame:
+    """The draw of as many columns per table as asked for."""
+    return draw_one(found, n, min_n, max_per_file_column) if columns_per_table == 1 else draw_many(found, n, min_n, columns_per_table, max_per_file_column)
+
+
 def within_label_cap(drawn: DataFrame, labels: DataFrame | None, max_per_column_type: int) -> DataFrame:
-    """Drop drawn columns that would take a label over its cap, in file and column order; prior rows count.
+    """Drop drawn columns that would take a label over its cap, one by one in file and column order; prior rows count.
 
-    The running sum skips nothing that was dropped before, so it is an upper bound of the greedy choice: never
-    more rows than the cap, at times fewer columns than a sequential pass would find.
+    A dropped column leaves the room to later, smaller ones. Once a column of some size does not fit, none of that size
+    fits later. So what fits is among the first columns of each size, no more than fill the cap by themselves, and
+    only these are brought together by label: their number is bounded by the cap.
     """
-    columns = drawn.select(*TABLE, "col_idx", "column_type", "column_rank", "drawn").distinct()
+    columns = drawn.select(*TABLE, "col_idx", "column_type", "column_rank", (2 * F.col("drawn")).cast("long").alias("size")).distinct()
     columns = columns.join(labels, "column_type", "left") if labels is not None else columns.withColumn("n_label", F.lit(0))
-    order = Window.partitionBy("column_type").orderBy("file_basename", "column_rank").rowsBetween(Window.unboundedPreceding, 0)
-    fits = columns.withColumn("total", F.sum(2 * F.col("drawn")).over(order) + F.coalesce("n_label", F.lit(0))).where(F.col("total") <= max_per_column_type)
-    return drawn.join(fits.select(*TABLE, "col_idx"), [*TABLE, "col_idx"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy("column_type", "size").orderBy("file_basename", "column_rank", "table_id"))
+    columns = columns.withColumns({"nth": nth, "room": F.lit(max_per_column_type) - F.coalesce("n_label", F.lit(0))})
+    first = columns.where(F.col("nth") <= max_per_column_type // 2).where(F.col("nth") * F.col("size") <= F.col("room"))
+    column = F.struct("file_basename", "column_rank", "table_id", "col_idx", "size")
+    by_label = first.groupBy("column_type").agg(F.min("room").alias("room"), F.array_sort(F.collect_list(column)).alias("columns"))
+    none = F.struct(F.lit(0).cast("long").alias("total"), F.filter("columns", lambda _: F.lit(False)).alias("taken"))
+
+    def take(state: Column, c: Column) -> Column:
+        total = state["total"] + c["size"]
+        return F.when(total <= F.col("room"), F.struct(total.alias("total"), F.concat(state["taken"], F.array(c)).alias("taken"))).otherwise(state)
+
+    fits = by_label.select(F.explode(F.aggregate("columns", none, take)["taken"]).alias("c")).select("c.table_id", "c.file_basename", "c.col_idx")
+    return drawn.join(fits, [*TABLE, "col_idx"], "left_semi")
+
+
+def label_capped(found: DataFrame, new: DataFrame, *, n: int, min_n: int | None = None, columns_per_table: int = 1, max_per_file_column: int = 20) -> DataFrame:
+    """(file_basename, col_idx): the columns that a run's candidates give without a label's cap and its new rows do not have."""
+    drawn = draw(found, n, n if min_n is None else min_n, columns_per_table, max_per_file_column).select("file_basename", "col_idx").distinct()
+    return drawn.join(new.select("file_basename", F.col("target_col_idx").alias("col_idx")), ["file_basename", "col_idx"], "left_anti")
 
 
 def build_manifest(
     masked: DataFrame, eligible: DataFrame, lists: DataFrame | None = None, manifest: DataFrame | None = None, *, n: int = 5, min_n: int | None = None, columns_per_table: int = 1,
     skip_drawn: bool = True, priority: str | None = None, max_per_file_column: int = 20, max_per_column_type: int | None = None, seed: int = 42, first_id: int = 0, label_mode: str = "label", occurrences: DataFrame | None = None,
+    run_rule: str = "columns",
 ) -> DataFrame:
     """New manifest rows: one run over masked cells and eligible columns, on top of an existing manifest.
 
@@ -162,9 +191,9 @@ def build_manifest(
     ``label_mode="raw"`` takes the raw cell as the token, or its value in a list of ``occurrences`` where it is in one.
     """
     low = validate(n, min_n, columns_per_table, max_per_file_column, max_per_column_type, seed)
-    prior = prior_state(manifest) if manifest is not None else None
+    prior = prior_state(manifest, run_rule) if manifest is not None else None
     found = candidates(masked, staged(eligible, "eligible"), prior, seed, n * (2 * columns_per_table - 1), skip_drawn, priority)
-    drawn = draw_one(found, n, low, max_per_file_column) if columns_per_table == 1 else draw_many(found, n, low, columns_per_table, max_per_file_column)
+    drawn = draw(found, n, low, columns_per_table, max_per_file_column)
     drawn = drawn.withColumn("column_type", column_type(F.col("column")))
     if max_per_column_type is not None:
         drawn = within_label_cap(drawn, prior["labels"] if prior else None, max_per_column_type)
@@ -194,12 +223,16 @@ def audit(eligibility: DataFrame, new: DataFrame, found: DataFrame | None = None
     """A summary row per scanned column: profile, whether it was drawn, and the reason if it was not.
 
     With the run's candidates as ``found``, columns that were tried without success get their own reasons: a table's
-    columns are tried in order until enough are drawn. ``label_capped`` names columns that a label's cap has dropped.
+    columns are tried in order until enough are drawn. ``label_capped`` names columns that were drawn and that a label's cap
+    has dropped.
     """
     keys = ["file_basename", "col_idx"]
     drawn = new.groupBy("file_basename", F.col("target_col_idx").alias("col_idx")).agg(F.count_if(F.col("is_missing")).alias("n_sampled_missing"), F.count_if(~F.col("is_missing")).alias("n_sampled_present"))
     out = eligibility.join(drawn, keys, "left")
-    tried = F.lit(None).cast("string")
+    tried, settled = F.lit(None).cast("string"), F.col("n_sampled_missing").isNotNull()
+    if label_capped is not None:
+        out = out.join(label_capped.select(*keys).distinct().withColumn("by_label", F.lit("max_per_column_type_reached")), keys, "left")
+        settled = settled | F.col("by_label").isNotNull()
     if found is not None:
         low = n if min_n is None else min_n
         size = F.least(F.lit(n), F.col("n_miss"), F.col("n_pres"))
@@ -207,12 +240,11 @@ def audit(eligibility: DataFrame, new: DataFrame, found: DataFrame | None = None
         ranks = found.groupBy(*keys, "column_rank").agg(F.max(capped).alias("capped"))
         out = out.join(ranks, keys, "left")
         file = Window.partitionBy("file_basename")
-        last = F.max(F.when(F.col("n_sampled_missing").isNotNull(), F.col("column_rank"))).over(file)
-        enough = F.count("n_sampled_missing").over(file) >= columns_per_table
+        last = F.max(F.when(settled, F.col("column_rank"))).over(file)
+        enough = F.count_if(settled).over(file) >= columns_per_table
         out = out.withColumn("visited", ~enough | F.coalesce(F.col("column_rank") < last, F.col("column_rank").isNull()))
         tried = F.when(F.col("visited"), F.when(F.coalesce("capped", F.lit(False)), "max_per_file_column_reached").otherwise("insufficient_rows_after_exclusion"))
     if label_capped is not None:
-        out = out.join(label_capped.select(*keys).distinct().withColumn("by_label", F.lit("max_per_column_type_reached")), keys, "left")
         tried = F.coalesce(F.col("by_label"), tried)
     reason = F.when(F.col("n_sampled_missing").isNotNull(), None).when(F.col("reason").isNotNull(), F.col("reason")).otherwise(F.coalesce(tried, F.lit("not_selected_this_run")))
     return out.select(

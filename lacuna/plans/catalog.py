@@ -549,6 +549,14 @@ def prior_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.prior_state(_manifest(spark, sf_dir))["runs"]
 
 
+@query(
+    "prior_state_last_run",
+    oracle.with_cells("SELECT file_basename, (max(run_index) + 1)::INT AS run_index FROM manifest GROUP BY file_basename", oracle.draw(5, 5) | {"manifest": oracle.manifest()}),
+)
+def prior_state_last_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.prior_state(_manifest(spark, sf_dir), "last")["runs"]
+
+
 def _scan_sql() -> str:
     """Cells and nulls of every table."""
     parts = []

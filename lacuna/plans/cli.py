@@ -39,6 +39,7 @@ def _parser() -> argparse.ArgumentParser:
     draw.add_argument("--no-priority", action="store_true")
     draw.add_argument("--again", action="store_true", help="columns that were drawn before may be drawn again")
     draw.add_argument("--occurrences", action="store_true")
+    draw.add_argument("--run-rule", choices=["columns", "last"], default="columns", help="number a file's next run by the columns it has given, or by its last run plus one")
     prune = command("prune", "out")
     for x in (draw, prune):
         x.add_argument("--max-per-file-column", type=int, default=20)
@@ -64,14 +65,16 @@ def sample(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     lists = profile.co_missing_lists(profile.co_missing_pairs(masked))
     new = sampling.build_manifest(
         masked, found.where("reason is null"), lists, old, n=a.n, min_n=a.min_n, columns_per_table=a.columns, skip_drawn=not a.again, priority=None if a.no_priority else PRIORITY_PATTERN,
-        max_per_file_column=a.max_per_file_column, max_per_column_type=a.max_per_column_type, seed=a.seed, first_id=0 if old is None else sampling.next_sample_id(old), label_mode="raw" if a.raw_labels else "label",
+        max_per_file_column=a.max_per_file_column, max_per_column_type=a.max_per_column_type, seed=a.seed, first_id=0 if old is None else sampling.next_sample_id(old), label_mode="raw" if a.raw_labels else "label", run_rule=a.run_rule,
     )
     # Written first: what follows must not depend on the manifest that is about to be replaced.
     runner.replace_table(spark, new, f"{a.out}/last_run")
     new = spark.read.schema(new.schema).parquet(f"{a.out}/last_run")
-    prior = sampling.prior_state(old) if old is not None else None
+    prior = sampling.prior_state(old, a.run_rule) if old is not None else None
     tried = sampling.candidates(masked, found.where("reason is null"), prior, a.seed, a.n * (2 * a.columns - 1), not a.again, None if a.no_priority else PRIORITY_PATTERN)
-    sampling.audit(found, new, tried, n=a.n, min_n=a.min_n, columns_per_table=a.columns, max_per_file_column=a.max_per_file_column).write.mode("append").parquet(f"{a.out}/summary")
+    options = {"n": a.n, "min_n": a.min_n, "columns_per_table": a.columns, "max_per_file_column": a.max_per_file_column}
+    capped = None if a.max_per_column_type is None else sampling.label_capped(tried, new, **options)
+    sampling.audit(found, new, tried, **options, label_capped=capped).write.mode("append").parquet(f"{a.out}/summary")
     profile.co_missing_report(found, lists).write.mode("append").parquet(f"{a.out}/co_missing")
     errors.write.mode("append").parquet(f"{a.out}/read_errors")
     if a.occurrences:

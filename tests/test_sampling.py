@@ -1,4 +1,5 @@
 import os
+import random
 
 import pandas as pd
 import pytest
@@ -109,6 +110,38 @@ def test_caps(masked):
             build(masked, **bad)
 
 
+def test_label_cap_takes_columns_one_by_one(spark):
+    """Against a pass over the columns in order; labels with prior rows, sizes that differ, and a label without room."""
+    rng = random.Random(7)
+    columns = [(f"t{k // 3}", f"t{k // 3}.parquet", k % 3, rng.choice("abc"), k % 3 + 1, rng.randint(1, 5)) for k in range(240)]
+    prior = {"a": 7, "c": 60}
+    drawn = spark.createDataFrame([(*c, row) for c in columns for row in range(2)], "table_id string, file_basename string, col_idx int, column_type string, column_rank int, drawn int, row_idx int")
+    labels = spark.createDataFrame(list(prior.items()), "column_type string, n_label long")
+    for cap, known in ((60, labels), (61, None), (1, labels)):
+        total, wanted = dict(prior) if known is not None else {}, set()
+        for table, file, col, label, _, size in sorted(columns, key=lambda c: (c[1], c[4])):
+            if total.get(label, 0) + 2 * size <= cap:
+                total[label] = total.get(label, 0) + 2 * size
+                wanted.add((table, col))
+        got = sampling.within_label_cap(drawn, known, cap).groupBy("table_id", "col_idx").count().collect()
+        assert {(r.table_id, r.col_idx) for r in got} == wanted and all(r["count"] == 2 for r in got)
+
+
+def test_run_numbers(spark):
+    rows = spark.createDataFrame([("f", 0, "a", "a", 0), ("f", 1, "b", "b", 0), ("f", 2, "c", "c", 4), ("g", 0, "a", "a", 0)], "file_basename string, row_idx long, target_col string, column_type string, run_index int")
+    runs = {rule: {r.file_basename: r.run_index for r in sampling.prior_state(rows, rule)["runs"].collect()} for rule in ("columns", "last")}
+    assert runs == {"columns": {"f": 3, "g": 1}, "last": {"f": 5, "g": 1}}
+    with pytest.raises(ValueError, match="run_rule"):
+        sampling.prior_state(rows, "first")
+
+
+def test_audit_names_columns_that_a_label_cap_dropped(spark, folder, tmp_path):
+    assert cli.main(["sample", "--datasets", folder, "--out", str(tmp_path), "--columns", "2", "--max-per-column-type", "9", "--run-rule", "last"], spark) == 0
+    reasons = {r.skip_reason for r in spark.read.parquet(f"{tmp_path}/summary").collect()}
+    assert "max_per_column_type_reached" in reasons
+    assert spark.read.parquet(f"{tmp_path}/sample_manifest.parquet").isEmpty()  # a column has 10 rows
+
+
 def test_audit_reasons(masked):
     found = profile.eligibility(profile.column_profile(masked))
     able = found.where("reason is null")
