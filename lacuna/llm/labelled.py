@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents, and splits by a checksum of the id."""
+"""Labelled documents, whole or as bounded samples, and splits by a checksum of the id."""
 
 from __future__ import annotations
 
@@ -12,6 +12,21 @@ def in_fold(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, held_out: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every labelled document outside the held-out fold with its whole text: ``id``, ``label`` and ``text``, one row an id.
+
+    Ids with several labels count with the largest, ids with several texts with the least; null ids have no label.
+    """
+    narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return narrow.join(_known(labels, label_col, folds, held_out, id_col).toDF("id", "label"), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+
+
+def _known(labels: DataFrame, label_col: str, folds: int, held_out: int, id_col: str) -> DataFrame:
+    """The label of each id outside the held-out fold."""
+    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where("__id is not null and __label in (0, 1)")
+    return known.where(~in_fold("__id", folds, held_out)).groupBy("__id").agg(F.max("__label").alias("__label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, held_out: int, rows_per_class: int, sample_chars: int, id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
     """At most ``rows_per_class`` labelled documents of each class, as a pandas frame of text and label.
 
@@ -20,8 +35,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: i
     several texts with the least. The ids drawn are at most twice ``rows_per_class``, and the executors reduce each to one
     text, which bounds what is broadcast and collected however often an id is repeated.
     """
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where("__id is not null and __label in (0, 1)")
-    known = known.where(~in_fold("__id", folds, held_out)).groupBy("__id").agg(F.max("__label").alias("__label"))
+    known = _known(labels, label_col, folds, held_out, id_col)
     drawn = [known.where(f"__label = {k}").orderBy(F.xxhash64("__id"), "__id").limit(rows_per_class) for k in (0, 1)]
     ids = docs.sparkSession.createDataFrame([tuple(r) for d in drawn for r in d.collect()], known.schema)
     narrow = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= sample_chars)
