@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm.labelled import in_fold, labelled_rows
+from lacuna.llm.memory import giving_back
 from lacuna.llm.storage import materialize, scratch
 
 THRESHOLD = 0.3
@@ -290,6 +291,10 @@ class Training:
         model = replace(m, table=m.table.copy(), kernels=[k.copy() for k in m.kernels], biases=[b.copy() for b in m.biases], out=m.out.copy())
         return replace(self, model=model, squares=[s.copy() for s in self.squares], table_squares=self.table_squares.copy())
 
+    def part(self, rows: np.ndarray) -> Training:
+        """The same training with these rows of the table alone, which share no memory with it."""
+        return replace(self, model=replace(self.model, table=self.model.table[rows]), table_squares=self.table_squares[rows])
+
     def params(self) -> list[np.ndarray]:
         return [*self.model.kernels, *self.model.biases, self.model.out]
 
@@ -333,18 +338,21 @@ def _changes(base: Training, shard: Shard, seed: list[int]) -> tuple[np.ndarray,
 
     A key is a table row (its embedding and its sum of squares), or -1 - k for part k of all other parameters.
     """
+    used, pieces = np.unique(np.append(shard.pieces.ravel(), 0), return_inverse=True)  # row 0 stays the first
+    pieces = pieces.ravel()[:-1].astype(np.int32).reshape(shard.pieces.shape)
+    base = base.part(used)
     t, c = base.copy(), base.model.config
     order = np.random.default_rng(seed).permutation(len(shard.labels))
     starts = np.concatenate([[0], shard.ends[:-1]])
     changed = np.zeros(len(t.table_squares), dtype=bool)
     for start in range(0, len(order), c.batch):
         batch = order[start : start + c.batch]
-        _step(t, [shard.words[starts[i] : shard.ends[i]] for i in batch], shard.labels[batch], shard.pieces, changed)
+        _step(t, [shard.words[starts[i] : shard.ends[i]] for i in batch], shard.labels[batch], pieces, changed)
     rows = np.flatnonzero(changed)
     table = np.concatenate([t.model.table[rows] - base.model.table[rows], (t.table_squares[rows] - base.table_squares[rows])[:, None]], axis=1, dtype=np.float64)
     rest = t.dense() - base.dense()
     rest = np.concatenate([rest, np.zeros(-len(rest) % (c.dim + 1))]).reshape(-1, c.dim + 1)
-    return np.concatenate([rows, -1 - np.arange(len(rest))]), np.rint(np.concatenate([table, rest]) / UNIT).astype(np.int64)
+    return np.concatenate([used[rows].astype(np.int64), -1 - np.arange(len(rest))]), np.rint(np.concatenate([table, rest]) / UNIT).astype(np.int64)
 
 
 def _apply(t: Training, keys: np.ndarray, sums: np.ndarray, shards: np.ndarray) -> None:
@@ -493,7 +501,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: Config = Config(), id_col: s
     """Train on every labelled row outside the held-out fold (crc32 of the id mod 4 is 2), with its whole text.
 
     The rows and their shards are staged. The driver holds the model, the buckets' counts and the sums of an epoch's
-    changes, all bounded by ``buckets``; an executor holds a shard and the model.
+    changes, all bounded by ``buckets``; a task holds the model, a shard and the rows of the table that the shard uses.
     """
     spark = docs.sparkSession
     with scratch(spark):
@@ -521,7 +529,7 @@ def _counted(rows: DataFrame, config: Config) -> tuple[np.ndarray, np.ndarray, n
         counts, vocabulary = np.zeros((2, config.buckets), dtype=np.int32), Vocabulary(config.buckets)
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"], strict=True):
-                if len(vocabulary.numbers) > 200_000:
+                if len(vocabulary.numbers) > 100_000:
                     vocabulary = Vocabulary(config.buckets)
                 _add_counts(counts, [text], [label], vocabulary)
         found = np.flatnonzero(counts.any(axis=0))
@@ -529,7 +537,7 @@ def _counted(rows: DataFrame, config: Config) -> tuple[np.ndarray, np.ndarray, n
             part = found[start : start + (1 << 18)]
             yield pd.DataFrame({"bucket": part.astype(np.int32), "no": counts[0, part], "yes": counts[1, part]})
 
-    found = rows.select("text", "label").mapInPandas(counted, "bucket int, no int, yes int")
+    found = rows.select("text", "label").mapInPandas(giving_back(counted), "bucket int, no int, yes int")
     found = found.groupBy("bucket").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")).where(F.col("no") + F.col("yes") >= config.min_docs)
     known, no, yes = (c.to_numpy() for c in found.toArrow().columns)
     order = np.argsort(known)
@@ -558,7 +566,7 @@ def _staged(rows: DataFrame, n: int, t: Training, config: Config) -> DataFrame:
     # The bits of the order that choose the rows for calibration do not choose the shard.
     dealt = rows.select(F.pmod(F.xxhash64("order"), F.lit(parts)).cast("int").alias("number"), "text", "label", "order", "id")
     dealt = dealt.repartition(parts, "number").sortWithinPartitions("number", "order", "id").select("number", "text", "label")
-    return materialize(dealt.mapInPandas(staged, "number int, part int, shard binary"), "toxicity-shards")
+    return materialize(dealt.mapInPandas(giving_back(staged), "number int, part int, shard binary"), "toxicity-shards")
 
 
 def _epoch(shards: DataFrame, t: Training, epoch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -572,7 +580,7 @@ def _epoch(shards: DataFrame, t: Training, epoch: int) -> tuple[np.ndarray, np.n
                 keys, values = _changes(base, pickle.loads(shard), [base.model.config.seed, epoch, number, part])
                 yield pd.DataFrame(values, columns=names).assign(key=keys)
 
-    found = shards.mapInPandas(changes, ", ".join(f"{d} long" for d in names) + ", key long")
+    found = shards.mapInPandas(giving_back(changes), ", ".join(f"{d} long" for d in names) + ", key long")
     found = found.groupBy("key").agg(*[F.sum(d).alias(d) for d in names], F.count(F.lit(1)).alias("shards")).toArrow()
     shared.unpersist()
     return found["key"].to_numpy(), np.column_stack([found[d].to_numpy() for d in names]), found["shards"].to_numpy()
@@ -588,7 +596,7 @@ def _calibration(rows: DataFrame, model: Model) -> pd.DataFrame:
             logits, languages = scorer.logits(batch["text"].tolist())
             yield pd.DataFrame({"language": languages, "unit": _units(logits), "label": batch["label"].to_numpy()})
 
-    found = rows.select("text", "label").mapInPandas(scored, "language string, unit long, label int")
+    found = rows.select("text", "label").mapInPandas(giving_back(scored), "language string, unit long, label int")
     found = found.groupBy("language", "unit").agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("hits")).toArrow().to_pandas()
     shared.unpersist()
     return found
@@ -605,7 +613,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield batch[["id", "held_out"]].assign(score=scorer.scores(batch["text"].tolist()))
 
     narrow = docs.select(F.col(id_col).alias("id"), in_fold(id_col, 4, 2).alias("held_out"), F.col(text_col).alias("text"))
-    out = narrow.mapInPandas(scored, f"id {id_type}, held_out boolean, score double")
+    out = narrow.mapInPandas(giving_back(scored), f"id {id_type}, held_out boolean, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -614,6 +622,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
+    @giving_back
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)
         for texts in batches:

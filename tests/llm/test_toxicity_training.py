@@ -1,6 +1,10 @@
 """The toxicity model learns from every labelled row, whatever the partitions, and its thresholds are the best ones."""
 
 import random
+import subprocess
+import sys
+import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -75,3 +79,61 @@ def test_thresholds_by_counts_are_the_best_of_all_cuts():
         return 2 * hits[units >= at].sum() / ((units >= at).sum() + hits.sum())
 
     assert abs(f1(cut) - max(f1(u) for u in range(-41, 41))) < 1e-12
+
+
+def test_an_epoch_copies_only_the_rows_that_its_shard_uses():
+    config = toxicity.Config()
+    known = np.arange(0, config.buckets, 4)
+    t = toxicity._start(known, np.ones(len(known)), np.ones(len(known)), [2, 2], config)
+    (shard,) = toxicity._shards(iter([("some vile words here", 1), ("some good words", 0)]), known, config)
+    tracemalloc.start()
+    keys, changes = toxicity._changes(t, shard, [1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < t.model.table.nbytes / 10 and set(keys[keys >= 0]) <= set(shard.pieces.ravel()) - {0} and (keys >= 0).any()
+    assert changes.shape == (len(keys), config.dim + 1)
+
+
+COUNTING = """
+import io, re, string
+import numpy as np, pandas as pd, pyarrow as pa
+from lacuna.llm import toxicity
+
+def own_mb():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+class Rows:
+    def select(self, *columns):
+        return self
+    def mapInPandas(self, work, schema):
+        self.work = work
+        raise StopIteration
+
+def batches():
+    # As a worker reads them: from an Arrow stream, a batch of 16 MB at a time.
+    rng = np.random.default_rng(3)
+    words = np.array(["".join(w) for w in rng.choice(list(string.ascii_lowercase), (100_000, 7))], dtype=object)
+    for _ in range(3):
+        table = pa.table({"text": [" ".join(words[rng.integers(0, len(words), 250)]) for _ in range(8000)], "label": np.zeros(8000, dtype=np.int64)})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as stream:
+            stream.write_table(table)
+        file = sink.getvalue().to_pybytes()
+        del table, sink, stream
+        yield from (pa.Table.from_batches([b]).to_pandas() for b in pa.ipc.open_stream(io.BytesIO(file)))
+
+rows = Rows()
+try:
+    toxicity._counted(rows, toxicity.Config())
+except StopIteration:
+    pass
+sum(len(b) for b in rows.work(iter([pd.DataFrame({"text": ["a word"], "label": [1]})])))
+before = own_mb()
+assert sum(len(b) for b in rows.work(batches())) > 50_000
+print(own_mb() - before)
+"""
+
+
+def test_a_worker_gives_back_what_counting_took():
+    found = subprocess.run([sys.executable, "-c", COUNTING], capture_output=True, text=True, timeout=120, cwd=Path(__file__).parents[2], check=True)
+    assert float(found.stdout) < 50
