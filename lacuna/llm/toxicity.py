@@ -31,6 +31,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -338,9 +339,11 @@ def _changes(base: Training, shard: Shard, seed: list[int]) -> tuple[np.ndarray,
 
     A key is a table row (its embedding and its sum of squares), or -1 - k for part k of all other parameters.
     """
-    used, pieces = np.unique(np.append(shard.pieces.ravel(), 0), return_inverse=True)  # row 0 stays the first
-    pieces = pieces.ravel()[:-1].astype(np.int32).reshape(shard.pieces.shape)
-    base = base.part(used)
+    used = np.zeros(len(base.table_squares), dtype=bool)
+    used[shard.pieces] = True
+    used[0] = True  # row 0 stays the first
+    used = np.flatnonzero(used)
+    pieces, base = np.searchsorted(used, shard.pieces).astype(np.int32), base.part(used)
     t, c = base.copy(), base.model.config
     order = np.random.default_rng(seed).permutation(len(shard.labels))
     starts = np.concatenate([[0], shard.ends[:-1]])
@@ -352,7 +355,7 @@ def _changes(base: Training, shard: Shard, seed: list[int]) -> tuple[np.ndarray,
     table = np.concatenate([t.model.table[rows] - base.model.table[rows], (t.table_squares[rows] - base.table_squares[rows])[:, None]], axis=1, dtype=np.float64)
     rest = t.dense() - base.dense()
     rest = np.concatenate([rest, np.zeros(-len(rest) % (c.dim + 1))]).reshape(-1, c.dim + 1)
-    return np.concatenate([used[rows].astype(np.int64), -1 - np.arange(len(rest))]), np.rint(np.concatenate([table, rest]) / UNIT).astype(np.int64)
+    return np.concatenate([used[rows], -1 - np.arange(len(rest))]), np.rint(np.concatenate([table, rest]) / UNIT).astype(np.int64)
 
 
 def _apply(t: Training, keys: np.ndarray, sums: np.ndarray, shards: np.ndarray) -> None:
@@ -529,7 +532,7 @@ def _counted(rows: DataFrame, config: Config) -> tuple[np.ndarray, np.ndarray, n
         counts, vocabulary = np.zeros((2, config.buckets), dtype=np.int32), Vocabulary(config.buckets)
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"], strict=True):
-                if len(vocabulary.numbers) > 100_000:
+                if len(vocabulary.numbers) > 200_000:
                     vocabulary = Vocabulary(config.buckets)
                 _add_counts(counts, [text], [label], vocabulary)
         found = np.flatnonzero(counts.any(axis=0))
@@ -561,7 +564,7 @@ def _staged(rows: DataFrame, n: int, t: Training, config: Config) -> DataFrame:
         while row is not None:
             number = row[0]
             for part, shard in enumerate(_shards(rows_of(number), known.value, config)):
-                yield pd.DataFrame({"number": [number], "part": [part], "shard": [pickle.dumps(shard)]})
+                yield pd.DataFrame({"number": [number], "part": [part], "shard": [pickle.dumps(shard, protocol=5)]})
 
     # The bits of the order that choose the rows for calibration do not choose the shard.
     dealt = rows.select(F.pmod(F.xxhash64("order"), F.lit(parts)).cast("int").alias("number"), "text", "label", "order", "id")
@@ -573,14 +576,14 @@ def _epoch(shards: DataFrame, t: Training, epoch: int) -> tuple[np.ndarray, np.n
     """The keys that an epoch changes, the sums of their changes, and the number of shards that have them."""
     shared, names = shards.sparkSession.sparkContext.broadcast(t), [f"d{k}" for k in range(t.model.config.dim + 1)]
 
-    def changes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = shared.value
         for batch in batches:
             for number, part, shard in zip(batch["number"], batch["part"], batch["shard"], strict=True):
-                keys, values = _changes(base, pickle.loads(shard), [base.model.config.seed, epoch, number, part])
-                yield pd.DataFrame(values, columns=names).assign(key=keys)
+                keys, values = _changes(base, pickle.loads(shard.as_buffer()), [base.model.config.seed, epoch, number.as_py(), part.as_py()])
+                yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in values.T), pa.array(keys)], [*names, "key"])
 
-    found = shards.mapInPandas(giving_back(changes), ", ".join(f"{d} long" for d in names) + ", key long")
+    found = shards.mapInArrow(giving_back(changes), ", ".join(f"{d} long" for d in names) + ", key long")
     found = found.groupBy("key").agg(*[F.sum(d).alias(d) for d in names], F.count(F.lit(1)).alias("shards")).toArrow()
     shared.unpersist()
     return found["key"].to_numpy(), np.column_stack([found[d].to_numpy() for d in names]), found["shards"].to_numpy()
