@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import chat, exact_dedup, gif, html_text, licenses, near_dedup, packing, quality, tokens, toxicity
+from lacuna.llm import chat, exact_dedup, gif, html_text, licenses, near_dedup, packing, quality, resampling, tokens, toxicity
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return resampling.resample(docs, target)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
@@ -73,6 +78,7 @@ QUERIES = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_schema_fingerprints": op9_schema_fingerprints,
     "op10_gif_media": op10_gif_media,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 #: Equal texts by their normalised strings themselves, compared whole.
@@ -103,8 +109,51 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM escaped GROUP BY conv_id
 """
 
+#: CRC-32 by its table, byte by byte, for each distinct word; everything else as the contract says it.
+OP13_SQL = r"""
+WITH RECURSIVE rounds(b, c, k) AS (
+  SELECT b, b, 0 FROM range(256) r(b)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM rounds WHERE k < 8
+),
+crc AS (SELECT list(c ORDER BY b) AS t FROM rounds WHERE k = 8),
+docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+),
+aim AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+),
+used AS (
+  SELECT rid, w, count(*) AS n FROM (SELECT rid, unnest(words) AS w FROM docs) GROUP BY ALL
+  UNION ALL SELECT NULL, w, count(*) FROM (SELECT unnest(words) AS w FROM aim) GROUP BY w
+),
+vocabulary AS (SELECT DISTINCT w, hex(encode(w)) AS h FROM used),
+bucketed AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda k: (ascii(h[2 * k + 1]) - CASE WHEN h[2 * k + 1] <= '9' THEN 48 ELSE 55 END) * 16 + ascii(h[2 * k + 2]) - CASE WHEN h[2 * k + 2] <= '9' THEN 48 ELSE 55 END)),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM vocabulary, crc
+),
+counts AS (
+  SELECT b AS bucket, coalesce(sum(n) FILTER (rid IS NOT NULL), 0) AS s, coalesce(sum(n) FILTER (rid IS NULL), 0) AS t
+  FROM range(10000) r(b) LEFT JOIN bucketed ON bucket = b LEFT JOIN used USING (w) GROUP BY b
+),
+gain AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS g FROM counts
+),
+weights AS (SELECT rid, sum(n * g)::BIGINT AS weight FROM used JOIN bucketed USING (w) JOIN gain USING (bucket) WHERE rid IS NOT NULL GROUP BY rid),
+scored AS (
+  SELECT rid, doc_id, len(words) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM docs LEFT JOIN weights USING (rid)
+),
+ranked AS (
+  SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (rid)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.oracle_sql(),
     "op3_block_naming": OP3_SQL,
     "op9_schema_fingerprints": OP9_SQL,
+    "op13_importance_resampling": OP13_SQL,
 }

@@ -1,82 +1,7 @@
-"""Tables written to the cluster's shared folder, to cut lineage in iterative operators.
+"""Tables written to the cluster's shared folder, to cut lineage in iterative operators (``lacuna.sources.staging``)."""
 
-The folder is the one named by ``spark.checkpoint.dir``. Only where that is unset and Spark runs in
-a single local JVM is a temporary folder used; on a cluster without the setting an error is raised.
-A written table survives the loss of executors, and its columns are pruned when it is read again.
-``scratch`` removes an operator's inner tables as soon as its result no longer reads them.
-"""
+from lacuna.sources.staging import drop_staged as drop_tables
+from lacuna.sources.staging import scratch, shared_dir
+from lacuna.sources.staging import staged as materialize
 
-from __future__ import annotations
-
-import tempfile
-import threading
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL: dict[str, str] = {}
-
-
-class _Scopes(threading.local):
-    """The open scopes of a thread, each with its tables (name, path)."""
-
-    def __init__(self) -> None:
-        self.open: list[list[tuple[str, str]]] = []
-
-
-_SCOPES = _Scopes()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables of this application."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if app not in _LOCAL:
-            _LOCAL[app] = tempfile.mkdtemp(prefix="lacuna-")
-        found = _LOCAL[app]
-    return f"{found.rstrip('/')}/lacuna-{app}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and return a scan of the written files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _SCOPES.open:
-        _SCOPES.open[-1].append((name, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
-    """Remove the tables written inside, but those whose names are in ``keep``; these go with the surrounding scope.
-
-    Frames that read a removed table become invalid, so what the block returns may read kept tables only. Without a
-    surrounding scope kept tables stay until ``drop_tables``.
-    """
-    _SCOPES.open.append([])
-    try:
-        yield
-    finally:
-        tables = _SCOPES.open.pop()
-        for name, path in tables:
-            if name not in keep:
-                _delete(spark, path)
-        if _SCOPES.open:
-            _SCOPES.open[-1].extend(t for t in tables if t[0] in keep)
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def drop_tables(spark: SparkSession) -> None:
-    """Remove this application's intermediate tables; frames that still read them become invalid."""
-    _delete(spark, shared_dir(spark))
+__all__ = ["drop_tables", "materialize", "scratch", "shared_dir"]
