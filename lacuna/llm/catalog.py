@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import chat, exact_dedup, gif, html_text, licenses, near_dedup, packing, quality, resampling, tokens, toxicity
+from lacuna.llm import chat, exact_dedup, gif, hard_negatives, html_text, licenses, near_dedup, packing, quality, resampling, tokens, toxicity
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,12 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op12_radix_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, target = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return resampling.resample(docs, target)
@@ -78,6 +84,7 @@ QUERIES = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_schema_fingerprints": op9_schema_fingerprints,
     "op10_gif_media": op10_gif_media,
+    "op12_radix_negatives": op12_radix_negatives,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
@@ -109,6 +116,25 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM escaped GROUP BY conv_id
 """
 
+#: All pairs of the anchors with all rows, ranked by windows.
+OP12_SQL = r"""
+WITH vectors AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.rid AS anchor, a.vec_id AS anchor_id, b.rid, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.rid <> b.rid AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0
+),
+positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, rid) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.rid ORDER BY n.score DESC, n.vec_id, n.rid)::INTEGER AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
 #: CRC-32 by its table, byte by byte, for each distinct word; everything else as the contract says it.
 OP13_SQL = r"""
 WITH RECURSIVE rounds(b, c, k) AS (
@@ -155,5 +181,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.oracle_sql(),
     "op3_block_naming": OP3_SQL,
     "op9_schema_fingerprints": OP9_SQL,
+    "op12_radix_negatives": OP12_SQL,
     "op13_importance_resampling": OP13_SQL,
 }
