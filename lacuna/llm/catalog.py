@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import chat, exact_dedup, gif, hard_negatives, html_text, licenses, near_dedup, packing, quality, resampling, tokens, toxicity
+from lacuna.llm import chat, exact_dedup, gif, hard_negatives, html_text, licenses, near_dedup, packing, quality, resampling, substrings, tokens, toxicity
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_radix_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_schema_fingerprints": op9_schema_fingerprints,
     "op10_gif_media": op10_gif_media,
+    "op11_suffix_automata": op11_suffix_automata,
     "op12_radix_negatives": op12_radix_negatives,
     "op13_importance_resampling": op13_importance_resampling,
 }
@@ -116,6 +122,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM escaped GROUP BY conv_id
 """
 
+#: Every window as a string, with the first document that has it.
+OP11_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT rid, doc_id, p, array_to_string(w[p : p + 49], ' ') AS t FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM docs WHERE len(w) >= 50)
+),
+repeated AS (SELECT rid, p FROM windows QUALIFY min(doc_id) OVER (PARTITION BY t) < coalesce(doc_id, 9223372036854775807)),
+gone AS (SELECT DISTINCT rid, p + k AS p FROM repeated, range(50) r(k)),
+kept AS (
+  SELECT rid, w, p FROM (SELECT rid, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS p FROM docs) ANTI JOIN gone USING (rid, p)
+),
+joined AS (SELECT rid, string_agg(w, ' ' ORDER BY p) AS t, count(*) AS n FROM kept GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM docs LEFT JOIN joined USING (rid)
+"""
+
 #: All pairs of the anchors with all rows, ranked by windows.
 OP12_SQL = r"""
 WITH vectors AS (
@@ -181,6 +202,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.oracle_sql(),
     "op3_block_naming": OP3_SQL,
     "op9_schema_fingerprints": OP9_SQL,
+    "op11_suffix_automata": OP11_SQL,
     "op12_radix_negatives": OP12_SQL,
     "op13_importance_resampling": OP13_SQL,
 }
