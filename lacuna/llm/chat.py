@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lacuna.llm.columns import fresh
+
 HEADER, END, ESCAPE = "###", "</turn>", "\\"
 
 #: The fields that mappings read, by JSON type.
@@ -142,15 +144,16 @@ def _parsed(df: DataFrame, record_col: str) -> Column:
 
 
 def canonical_turns(df: DataFrame, record_col: str) -> DataFrame:
-    """Add fingerprint, layout and turns to records in JSON or in structs."""
-    record = F.col("__record")
+    """Add fingerprint, layout and turns to records in JSON or in structs; columns of these names are replaced, others are kept."""
+    inner = fresh(df, "__record")
+    record = F.col(inner)
     known = {_key(p): x for x in LAYOUTS for p in x.fingerprints()}
     names = F.create_map(*[F.lit(x) for key, found in known.items() for x in (key, found.name)])
-    parsed = df.withColumn("__record", _parsed(df, record_col)).withColumn("fingerprint", _hash(field_paths(record)))
+    parsed = df.withColumn(inner, _parsed(df, record_col)).withColumn("fingerprint", _hash(field_paths(record)))
     layout = names[F.col("fingerprint")]
     none = F.array().cast(_TURNS)
     turns = reduce(lambda rest, x: F.when(F.col("layout") == x.name, _mapped(x, record)).otherwise(rest), LAYOUTS, none)
-    return parsed.withColumn("layout", layout).withColumn("turns", turns).drop("__record")
+    return parsed.withColumn("layout", layout).withColumn("turns", turns).drop(inner)
 
 
 def _key(paths: tuple[str, ...]) -> str:

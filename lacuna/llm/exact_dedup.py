@@ -27,6 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.llm.columns import fresh
 from lacuna.llm.storage import materialize, scratch
 
 #: Bytes of a block. Most documents are one block; a text of n bytes takes log2(n / BLOCK_BYTES) levels.
@@ -116,14 +117,15 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     with scratch(df.sparkSession, "duplicates"):
         found = materialize(duplicates(df, id_col, text_col), "duplicates")
-    kept = found.filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    repeated = materialize(found.groupBy(F.col(id_col).alias("__id")).count().filter("count > 1").select("__id"), "repeated-ids")
+    key, sha, of_text = (fresh(df, name) for name in ("__id", "__sha", "__text_sha"))
+    kept = found.filter("kept").select(F.col(id_col).alias(key), F.col("text_sha256").alias(sha))
+    repeated = materialize(found.groupBy(F.col(id_col).alias(key)).count().filter("count > 1").select(key), "repeated-ids")
+    same = F.col(id_col).eqNullSafe(F.col(key))
     if repeated.isEmpty():
         # Merged at every size: the ids grow with the corpus, so it must not depend on their fitting into a broadcast.
-        return df.join(kept.select("__id").hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    keyed = df.withColumn("__text_sha", F.sha2(normalised(F.col(text_col)), 256))
-    same = F.col(id_col).eqNullSafe(F.col("__id"))
-    rows = keyed.join(kept, same & (F.col("__text_sha") == F.col("__sha")), "left_semi")
+        return df.join(kept.select(key).hint("merge"), same, "left_semi")
+    keyed = df.withColumn(of_text, F.sha2(normalised(F.col(text_col)), 256))
+    rows = keyed.join(kept, same & (F.col(of_text) == F.col(sha)), "left_semi")
     once = rows.join(repeated, same, "left_anti")
-    again = rows.join(repeated, same, "left_semi").dropDuplicates([id_col, "__text_sha"])
-    return once.unionByName(again).drop("__text_sha")
+    again = rows.join(repeated, same, "left_semi").dropDuplicates([id_col, of_text])
+    return once.unionByName(again).drop(of_text)

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.columns import Carried
+
 #: Bins of each colour channel's histogram.
 BINS = 16
 #: Width of the frames that samples are stored in, and the most rows of one frame.
@@ -317,7 +319,7 @@ def decode_frames(df: DataFrame, id_col: str, gif_col: str) -> DataFrame:
     Null and empty values give no row; a broken file gives one row with only ``error`` set. Frames
     are yielded file by file, so memory is bounded by the largest animation.
     """
-    id_type = df.schema[id_col].dataType.simpleString()
+    carried = Carried(df, id_col)
     names = ["id", *(x.split()[0] for x in FRAME_COLUMNS.split(", "))]
 
     def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -333,8 +335,8 @@ def decode_frames(df: DataFrame, id_col: str, gif_col: str) -> DataFrame:
                     rows = [(key, None, None, None, None, None, None, None, None, None, None, str(error))]
                 yield pd.DataFrame(rows, columns=names).astype({c: object for c in names})
 
-    narrow = df.select(F.col(id_col).alias("id"), F.col(gif_col).alias("gif"))
-    return narrow.mapInPandas(frames, f"id {id_type}, {FRAME_COLUMNS}").withColumnRenamed("id", id_col)
+    narrow = df.select(carried.sent, F.col(gif_col).alias("gif"))
+    return narrow.mapInPandas(frames, f"id {carried.kind}, {FRAME_COLUMNS}").select(carried.back, *names[1:])
 
 
 def text_payload(text: str | None, unit: int = ROW_BYTES) -> tuple[int, bytes]:
@@ -365,7 +367,7 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     A row per row of ``df``; equal texts have equal values. Null counts as empty, which is stored as
     one row of spaces. ``feature`` has the frames, the duration in ms and the grey histogram.
     """
-    id_type = df.schema[id_col].dataType.simpleString()
+    carried = Carried(df, id_col)
     columns = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
 
     def stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -379,5 +381,5 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 rows.append((n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             yield pd.DataFrame({"id": batch["id"], **{c: [r[k] for r in rows] for k, c in enumerate(columns)}})
 
-    narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInPandas(stored, f"id {id_type}, " + ", ".join(f"{c} {t}" for c, t in columns.items())).withColumnRenamed("id", id_col)
+    narrow = df.select(carried.sent, F.col(text_col).alias("text"))
+    return narrow.mapInPandas(stored, f"id {carried.kind}, " + ", ".join(f"{c} {t}" for c, t in columns.items())).select(carried.back, *columns)

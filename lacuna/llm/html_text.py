@@ -36,6 +36,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.columns import Carried
+
 #: Thresholds of the first pass, in characters and shares.
 SHORT_CHARS, LONG_CHARS, STOP_HIGH, STOP_LOW, STOP_NONE, LINKS_HIGH = 90, 200, 0.20, 0.10, 0.05, 0.5
 
@@ -317,13 +319,14 @@ def main_text(page: str | None) -> str:
 
 def extract(df: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
     """A row per row of ``df``: the id columns, ``text`` and ``n_chars`` (its code points)."""
-    schema = ", ".join(f"id{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(id_cols))
+    carried = [Carried(df, c, f"id{k}") for k, c in enumerate(id_cols)]
+    schema = ", ".join(f"id{k} {c.kind}" for k, c in enumerate(carried))
 
     def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [main_text(page) for page in batch["html"]]
             yield batch.drop(columns="html").assign(text=texts, n_chars=[len(x) for x in texts])
 
-    narrow = df.select(*[F.col(c).alias(f"id{k}") for k, c in enumerate(id_cols)], F.col(html_col).alias("html"))
+    narrow = df.select(*[c.sent for c in carried], F.col(html_col).alias("html"))
     out = narrow.mapInPandas(extracted, f"{schema}, text string, n_chars long")
-    return out.select(*[F.col(f"id{k}").alias(c) for k, c in enumerate(id_cols)], "text", "n_chars")
+    return out.select(*[c.back for c in carried], "text", "n_chars")

@@ -40,6 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.columns import Carried, fresh
 from lacuna.llm.storage import materialize, scratch
 
 _WORD = re.compile(r"\w+")
@@ -145,7 +146,7 @@ def sketches(docs: DataFrame, config: Config) -> DataFrame:
 
     Rows without words have null bands.
     """
-    id_type = docs.schema["id"].dataType.simpleString()
+    carried = Carried(docs, "id")
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -175,7 +176,8 @@ def sketches(docs: DataFrame, config: Config) -> DataFrame:
                 })
                 start = stop
 
-    return docs.mapInPandas(sketched, f"rid long, id {id_type}, version long, content binary, bands array<long>, low binary, shingles binary")
+    out = docs.select("rid", carried.sent, "version", "text").mapInPandas(sketched, f"rid long, id {carried.kind}, version long, content binary, bands array<long>, low binary, shingles binary")
+    return out.select("rid", carried.back, "version", "content", "bands", "low", "shingles")
 
 
 # ------------------------------------------------------------------------------------ verification
@@ -408,14 +410,15 @@ def keep_one(df: DataFrame, config: Config = Config(), id_col: str = "doc_id", t
     """
     with scratch(df.sparkSession, "near-duplicates"):
         found = materialize(near_duplicates(df, config, id_col, text_col), "near-duplicates")
-    kept = found.where("kept").select(F.col(id_col).alias("__id"), F.col("version").alias("__version"))
-    repeated = materialize(found.groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id"), "repeated-ids")
-    same = F.col(id_col).eqNullSafe(F.col("__id"))
+    key, version, of_text = (fresh(df, name) for name in ("__id", "__version", "__text_version"))
+    kept = found.where("kept").select(F.col(id_col).alias(key), F.col("version").alias(version))
+    repeated = materialize(found.groupBy(F.col(id_col).alias(key)).count().where("count > 1").select(key), "repeated-ids")
+    same = F.col(id_col).eqNullSafe(F.col(key))
     if repeated.isEmpty():
         # Merged at every size: the ids grow with the corpus, so it must not depend on their fitting into a broadcast.
-        return df.join(kept.select("__id").hint("merge"), same, "left_semi")
-    keyed = df.withColumn("__text_version", F.xxhash64(F.col(text_col)))
-    rows = keyed.join(kept, same & (F.col("__text_version") == F.col("__version")), "left_semi")
+        return df.join(kept.select(key).hint("merge"), same, "left_semi")
+    keyed = df.withColumn(of_text, F.xxhash64(F.col(text_col)))
+    rows = keyed.join(kept, same & (F.col(of_text) == F.col(version)), "left_semi")
     once = rows.join(repeated, same, "left_anti")
-    again = rows.join(repeated, same, "left_semi").dropDuplicates([id_col, "__text_version"])
-    return once.unionByName(again).drop("__text_version")
+    again = rows.join(repeated, same, "left_semi").dropDuplicates([id_col, of_text])
+    return once.unionByName(again).drop(of_text)

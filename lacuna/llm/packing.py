@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.columns import Carried
 from lacuna.llm.tokens import encode_text
 
 #: A piece of a document: its row, start and length in tokens.
@@ -174,7 +175,7 @@ def pack(df: DataFrame, tokenizer_file: str, window: int = 1024, end_id: int = 0
     piece's token ids. Null text counts as empty, which is ``end_id`` alone. Each row of ``df`` is a
     document of its own, repeated rows too. ``sequence_id`` has the task's partition in its upper bits.
     """
-    id_type = df.schema[id_col].dataType.simpleString()
+    carried = Carried(df, id_col)
     columns = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,6 +228,6 @@ def pack(df: DataFrame, tokenizer_file: str, window: int = 1024, end_id: int = 0
                 yield flushed()
         yield flushed()
 
-    narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
-    return narrow.mapInPandas(packed, schema).withColumnRenamed("id", id_col)
+    narrow = df.select(carried.sent, F.col(text_col).alias("text"))
+    schema = f"id {carried.kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
+    return narrow.mapInPandas(packed, schema).select(carried.back, *columns[1:])

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.columns import Carried
 from lacuna.llm.labelled import in_fold, labelled_sample
 
 THRESHOLD = 0.3
@@ -190,16 +191,16 @@ def fit(docs: DataFrame, labels: DataFrame, config: Config = Config(), id_col: s
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, held_out, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    id_type = docs.schema[id_col].dataType.simpleString()
+    carried = Carried(docs, id_col)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for batch in batches:
             yield batch[["id", "held_out"]].assign(score=scorer.scores(batch["text"].tolist()))
 
-    narrow = docs.select(F.col(id_col).alias("id"), in_fold(id_col, 5, 0).alias("held_out"), F.col(text_col).alias("text"))
-    out = narrow.mapInPandas(scored, f"id {id_type}, held_out boolean, score double")
-    return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    narrow = docs.select(carried.sent, in_fold(id_col, 5, 0).alias("held_out"), F.col(text_col).alias("text"))
+    out = narrow.mapInPandas(scored, f"id {carried.kind}, held_out boolean, score double")
+    return out.select(carried.back, "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.columns import Carried
+
 #: Texts over this many characters are encoded piece by piece, each piece about as long.
 PIECE_CHARS = 65_536
 
@@ -130,7 +132,7 @@ def token_digests(df: DataFrame, rank_file: str, pattern: str, id_col: str = "do
     Encoding and decoding happen in one pass over Arrow batches, text by text, so that no id array
     leaves the Python worker. Repeated rows are repeated in the result; null and empty texts have 0 ids.
     """
-    id_type = df.schema[id_col].dataType.simpleString()
+    carried = Carried(df, id_col)
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding = load_encoding(rank_file, pattern)
@@ -141,6 +143,6 @@ def token_digests(df: DataFrame, rank_file: str, pattern: str, id_col: str = "do
                 rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(encoding.decode_bytes(ids)).hexdigest()))
             yield pd.DataFrame({"id": batch["id"], **dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), zip(*rows) if rows else ([], [], []), strict=True))})
 
-    narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = narrow.mapInPandas(digests, f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.withColumnRenamed("id", id_col)
+    narrow = df.select(carried.sent, F.col(text_col).alias("text"))
+    out = narrow.mapInPandas(digests, f"id {carried.kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return out.select(carried.back, "n_tokens", "ids_sha256", "decoded_sha256")

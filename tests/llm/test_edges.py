@@ -2,9 +2,10 @@
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lacuna.llm import chat, exact_dedup, gif, html_text, licenses, near_dedup, packing, quality, tokens, toxicity
+from lacuna.llm import chat, exact_dedup, gif, html_text, licenses, near_dedup, packing, quality, resampling, substrings, tokens, toxicity
 
 LONG = "Licensed under the MIT License. " + "wörd and other things to say " * 8000
 ROWS = [(1, "a short text of some words that is repeated here"), (1, "a short text of some words that is repeated here"), (2, None), (3, ""), (None, "no id at all but words"), (4, LONG), (5, " \n\t "), (6, "a short text of some words that is repeated here")]
@@ -36,10 +37,45 @@ def run(spark, rows, name):
         "media": lambda: gif.store_texts(df),
         "html": lambda: html_text.extract(df, ("doc_id", "name"), "text"),
         "chat": lambda: chat.format_chats(df, "text"),
+        "repeats": lambda: substrings.remove_repeats(df),
+        "resampling": lambda: resampling.resample(df, df),
     }[name]()
 
 
-NAMES = ["licenses", "packing", "exact", "exact_rows", "quality", "quality_rows", "toxicity", "toxicity_rows", "near", "near_rows", "tokens", "media", "html", "chat"]
+WIDE = [(2**60 + 1, "first text of some words"), (None, "another text without any id"), (2**60 + 3, "third text, unlike the others")]
+
+
+def test_large_ids_beside_a_null(spark):
+    """Ids beyond 2^53 in one partition with a null come back unchanged, and no document is lost."""
+    df = spark.createDataFrame(WIDE, "doc_id long, text string").coalesce(1).withColumn("__id", F.lit("clash"))
+    known = spark.createDataFrame([(k, 1, 0) for k in range(4)], "doc_id long, quality int, toxic int")
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = {
+        "packing": packing.pack(df, public_tokenizers.path("byte_bpe_50k.json")),
+        "quality": quality.score(df, quality.fit(df, known)),
+        "toxicity": toxicity.score(df, toxicity.fit(df, known)),
+        "near": near_dedup.near_duplicates(df),
+        "near_rows": near_dedup.keep_one(df),
+        "exact_rows": exact_dedup.keep_first(df),
+        "tokens": tokens.token_digests(df, ranks, public_tokenizers.PATTERN),
+        "media": gif.store_texts(df),
+        "html": html_text.extract(df, ("doc_id",), "text"),
+        "repeats": substrings.remove_repeats(df),
+        "resampling": resampling.resample(df, df),
+    }
+    for name, frame_ in found.items():
+        ids = [r["doc_id"] for r in frame_.collect()]
+        assert set(ids) == {k for k, _ in WIDE}, name
+        assert name == "packing" or len(ids) == len(WIDE), name
+        assert dict(frame_.dtypes)["doc_id"] == "bigint", name
+
+
+def test_chat_keeps_other_columns(spark):
+    df = spark.createDataFrame([('{"messages": [{"role": "user", "content": "hi"}]}', 5)], "text string, __record int")
+    assert chat.canonical_turns(df, "text").first()["__record"] == 5
+
+
+NAMES = ["licenses", "packing", "exact", "exact_rows", "quality", "quality_rows", "toxicity", "toxicity_rows", "near", "near_rows", "tokens", "media", "html", "chat", "repeats", "resampling"]
 
 
 @pytest.mark.parametrize("name", NAMES)
