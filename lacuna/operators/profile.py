@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lacuna.functions.lexicon import AGGREGATE_CELL_PATTERN, BLOCKED_COLUMNS, INTERNAL_COLUMN_PATTERN, INTERNAL_COLUMN_PATTERN_STRICT
 from lacuna.functions.missing import with_missing
 from lacuna.functions.text import column_type
+from lacuna.sources.staging import staged
 
 COLUMN_KEYS = ["table_id", "file_basename", "col_idx", "column", "is_numeric"]
 
@@ -75,31 +76,50 @@ def eligibility(
     return profile.withColumn("reason", reason)
 
 
-def co_missing_pairs(masked: DataFrame) -> DataFrame:
-    """(table_id, file_basename, col_idx, column, other_idx, other): columns missing in exactly the same rows.
+def co_missing_classes(masked: DataFrame, signature: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """(table_id, file_basename, leader_idx, n_missing, members): columns that miss exactly the same rows, each class of two or more once.
 
-    Columns are paired by a signature of their missing rows (count, xor and sum of hashes), then the
-    intersection of each pair is counted exactly. Only missing cells are read, and only signatures are paired.
-    Columns of equal names are not paired with each other.
+    ``members`` has (col_idx, column) in the order of the source, the first of them is the leader. Columns are brought together by a signature of their
+    missing rows (count, xor and sum of hashes). Then each is checked exactly against its leader alone, as equality is transitive: every missing cell
+    is matched once, however many columns a class has. Columns that share a signature, but not the leader's rows, are checked
+    against a leader of their own in a further round. Only missing cells are read. ``masked`` should be a stored relation.
     """
     keys = ["table_id", "file_basename"]
     gone = masked.where("missing").select(*keys, "col_idx", "column", "row_idx")
-    row = F.xxhash64("row_idx")
+    row = signature(F.col("row_idx"))
     signs = gone.groupBy(*keys, "col_idx", "column").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("x"), F.sum(row.cast("decimal(20,0)")).alias("s"))
-    other = signs.select(*keys, F.col("col_idx").alias("other_idx"), F.col("column").alias("other"), "n", "x", "s")
-    pairs = signs.join(other, [*keys, "n", "x", "s"]).where("col_idx < other_idx and column <> other").select(*keys, "col_idx", "column", "other_idx", "other", "n")
-    left = gone.drop("column").join(pairs, [*keys, "col_idx"])
-    right = gone.select(*keys, F.col("col_idx").alias("other_idx"), "row_idx")
-    whole = left.join(right, [*keys, "other_idx", "row_idx"]).groupBy(*keys, "col_idx", "column", "other_idx", "other", "n").agg(F.count(F.lit(1)).alias("both")).where("both = n")
-    one = whole.select(*keys, "col_idx", "column", "other_idx", "other")
-    return one.union(one.select(*keys, "other_idx", "other", "col_idx", "column"))
-
-
-def co_missing_lists(pairs: DataFrame) -> DataFrame:
-    """(table_id, col_idx, co_missing_columns): the names as a JSON array in the order of the source."""
-    listed = F.array_sort(F.collect_list(F.struct("other_idx", "other")))
-    names = F.transform(listed, lambda x: x["other"])
-    return pairs.groupBy("table_id", "file_basename", "col_idx").agg(F.to_json(names).alias("co_missing_columns"), F.size(names).alias("n_co_missing"))
+    open_, done = signs, None
+    while True:
+        alike = open_.groupBy(*keys, "n", "x", "s").agg(F.min("col_idx").alias("leader_idx"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        led = staged(open_.join(alike.drop("size"), [*keys, "n", "x", "s"]), "led")
+        others = gone.select(*keys, "col_idx", "row_idx").join(led.where("col_idx <> leader_idx").select(*keys, "col_idx", "leader_idx"), [*keys, "col_idx"])
+        leaders = gone.select(*keys, F.col("col_idx").alias("leader_idx"), "row_idx").join(led.select(*keys, "leader_idx").distinct(), [*keys, "leader_idx"])
+        common = others.join(leaders, [*keys, "leader_idx", "row_idx"]).groupBy(*keys, "col_idx").agg(F.count(F.lit(1)).alias("common"))
+        checked = staged(led.join(common, [*keys, "col_idx"], "left").withColumn("same", (F.col("col_idx") == F.col("leader_idx")) | F.coalesce(F.col("common") == F.col("n"), F.lit(False))), "checked")
+        found = checked.where("same").groupBy(*keys, "leader_idx", F.col("n").alias("n_missing")).agg(F.array_sort(F.collect_list(F.struct("col_idx", "column"))).alias("members"))
+        done = found if done is None else done.unionByName(found)
+        open_ = checked.where("not same").select(*signs.columns)
+        if open_.isEmpty():
+            return done.where(F.size("members") > 1)
+
+
+def co_missing_pairs(classes: DataFrame) -> DataFrame:
+    """(table_id, file_basename, col_idx, column, other_idx, other) of classes: as many rows as pairs, for classes of few columns.
+
+    Columns of equal names are not paired with each other.
+    """
+    keys = ["table_id", "file_basename"]
+    one = classes.select(*keys, F.inline("members"), "members")
+    pairs = one.select(*keys, "col_idx", "column", F.explode("members").alias("m"))
+    return pairs.select(*keys, "col_idx", "column", F.col("m.col_idx").alias("other_idx"), F.col("m.column").alias("other")).where("column <> other")
+
+
+def co_missing_lists(classes: DataFrame) -> DataFrame:
+    """(table_id, file_basename, col_idx, co_missing_columns, n_co_missing): the names of a column's class but its own, as a JSON array in the order of the source."""
+    rows = classes.select("table_id", "file_basename", F.inline("members"), "members")
+    names = F.transform(F.filter("members", lambda m: m["column"] != F.col("column")), lambda m: m["column"])
+    listed = rows.select("table_id", "file_basename", "col_idx", names.alias("names")).where(F.size("names") > 0)
+    return listed.select("table_id", "file_basename", "col_idx", F.to_json("names").alias("co_missing_columns"), F.size("names").alias("n_co_missing"))
 
 
 def co_missing_report(profile: DataFrame, lists: DataFrame) -> DataFrame:

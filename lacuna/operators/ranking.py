@@ -24,7 +24,10 @@ def numbered(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), nam
     Nulls in ``by`` are a group. Rows with equal keys are numbered in any order, so the order should end in a unique key; it also lets
     the ranges cut through ties. ``df`` is computed twice, by the sampling and by the write: stage it where that is dear.
     """
-    at, part, before, first = (f"{name}_{k}_{'_'.join(sorted(df.columns))[:40]}_" for k in ("at", "part", "before", "first"))
+    inner = "__"
+    while any(c.startswith(inner) for c in df.columns):
+        inner += "_"
+    at, part, before, first, part_of = (inner + k for k in ("at", "part", "before", "first", "part_of"))
     keys = [F.col(f"`{c}`") for c in by]
     dealt = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn(at, F.monotonically_increasing_id())
     rows = staged(dealt.withColumn(part, F.shiftright(at, _ROW_BITS)), "ranges")
@@ -32,9 +35,9 @@ def numbered(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), nam
     earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn(before, F.coalesce(F.sum(before).over(earlier), F.lit(0)) - F.col(first) + 1)
     # Renamed, so that null groups can be matched; without groups there is one row a partition.
-    offsets = offsets.select(F.col(part).alias(f"{part}2"), F.col(before), *[k.alias(f"{part}{i}") for i, k in enumerate(keys)])
-    same = F.col(part) == F.col(f"{part}2")
+    offsets = offsets.select(F.col(part).alias(part_of), F.col(before), *[k.alias(f"{inner}by{i}") for i, k in enumerate(keys)])
+    same = F.col(part) == F.col(part_of)
     for i, k in enumerate(keys):
-        same &= k.eqNullSafe(F.col(f"{part}{i}"))
+        same &= k.eqNullSafe(F.col(f"{inner}by{i}"))
     joined = rows.join(offsets if by else F.broadcast(offsets), same)
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(at) + F.col(before)).alias(name))

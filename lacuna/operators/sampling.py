@@ -2,18 +2,18 @@
 
 Random order is the order of md5 over seed, run, table, column and row, so that the same sample is drawn in any
 engine and at any partitioning. One column per table is plain window SQL. Several columns per table
-must not share rows, which is a greedy choice within a table; it runs in ``applyInPandas`` over candidates that
-are first cut to the few rows that could be chosen at all, so a group is bounded by its table's columns.
+must not share rows, which is a greedy choice within a table; it is a fold over arrays of candidates that
+are first cut to the few rows that could be chosen at all, so a row of it is bounded by its table's columns.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.missing import classify_cell
-from lacuna.functions.text import column_type, is_priority
+from lacuna.functions.text import column_type, is_priority, let
+from lacuna.operators import ranking
 from lacuna.sources.staging import staged
 
 TABLE = ["table_id", "file_basename"]
@@ -49,16 +49,11 @@ def column_order(eligible: DataFrame, seed: int, priority: str | None = None) ->
 
 
 def numbered(df: DataFrame, order: list[Column], first_id: int = 0, column: str = "sample_id") -> DataFrame:
-    """Add a running number in the order of file_basename and then ``order``.
+    """Add a running number in the order of file_basename and then ``order``, which should name each row of a file.
 
-    Rows are ranked within their file, and files get offsets by a running sum over one count per file, so only
-    those counts, not the rows, pass through one task.
+    Rows are dealt by ranges of that order, so that a file of very many rows spreads over tasks like any other rows.
     """
-    sizes = df.groupBy("file_basename").agg(F.count(F.lit(1)).alias("__size"))
-    before = F.sum("__size").over(Window.orderBy("file_basename").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")
-    offsets = sizes.select("file_basename", before.alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("file_basename").orderBy(*order)).cast("long")
-    return df.withColumn("__rank", rank).join(offsets, "file_basename").withColumn(column, F.col("__rank") + F.col("__before") + (first_id - 1)).drop("__rank", "__before")
+    return ranking.numbered(df, [F.col("file_basename"), *order], name=column).withColumn(column, F.col(column) + (first_id - 1))
 
 
 def prior_state(manifest: DataFrame, run_rule: str = "columns") -> dict[str, DataFrame]:
@@ -113,35 +108,40 @@ def draw_one(found: DataFrame, n: int, min_n: int, max_per_file_column: int = 20
 
 
 def draw_many(found: DataFrame, n: int, min_n: int, columns_per_table: int, max_per_file_column: int = 20) -> DataFrame:
-    """The draw of several columns per table without sharing rows: greedy in column order.
+    """The draw of several columns per table without sharing rows: greedy in column order, as a fold over each table's columns.
 
     ``found`` must keep ``n * (2 * columns_per_table - 1)`` cells of each class: a column's other picks can
-    take away at most ``2 n`` for each column before it.
+    take away at most ``2 n`` for each column before it. So a fold holds so many row numbers of each class of each eligible column, and
+    at most ``2 n`` used rows for each column drawn.
     """
     keys = [*TABLE, "col_idx"]
 
-    def greedy(table: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        picked, columns = [], 0
-        for _, cells in table.sort_values(["column_rank", "order"]).groupby("column_rank", sort=True):
-            if columns == columns_per_table:
-                break
-            free = cells[~cells["row_idx"].isin(used)]
-            size = min(n, int(free["missing"].sum()), int((~free["missing"]).sum()))
-            if size < min_n or cells["n_prior"].iat[0] + 2 * size > max_per_file_column:
-                continue
-            for missing in (True, False):
-                chosen = free[free["missing"] == missing].head(size)
-                picked.append(chosen.assign(order=range(1, size + 1), drawn=size))
-                used.update(chosen["row_idx"])
-            columns += 1
-        out = pd.concat(picked) if picked else table.head(0).assign(drawn=0)
-        return out[[*keys, "row_idx", "order", "drawn"]]
-
-    narrow = found.select(*keys, "row_idx", "missing", "n_prior", "column_rank", "order")
-    schema = "table_id string, file_basename string, col_idx int, row_idx long, order int, drawn int"
-    chosen = narrow.groupBy(*TABLE).applyInPandas(greedy, schema)
-    return found.drop("order").join(chosen, [*keys, "row_idx"])
+    def rows(of: Column) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(of, F.struct("order", "row_idx")))), lambda x: x["row_idx"])
+
+    columns = found.groupBy(*keys, "column_rank", "n_prior").agg(rows(F.col("missing")).alias("missing"), rows(~F.col("missing")).alias("present"))
+    column = F.struct("column_rank", "col_idx", "n_prior", "missing", "present")
+    tables = columns.groupBy(*TABLE).agg(F.array_sort(F.collect_list(column)).alias("columns"))
+    nothing = F.from_json(F.lit('{"used": [], "picks": []}'), "used array<long>, picks array<struct<col_idx: int, drawn: int, missing: array<long>, present: array<long>>>")
+
+    def take(state: Column, c: Column) -> Column:
+        free = F.struct(F.array_except(c["missing"], state["used"]).alias("missing"), F.array_except(c["present"], state["used"]).alias("present"))
+
+        def sized(rest: Column) -> Column:
+            size = F.least(F.lit(n), F.size(rest["missing"]), F.size(rest["present"]))
+            return F.struct(size.alias("size"), F.slice(rest["missing"], 1, size).alias("missing"), F.slice(rest["present"], 1, size).alias("present"))
+
+        def added(pick: Column) -> Column:
+            able = (pick["size"] >= min_n) & (c["n_prior"] + 2 * pick["size"] <= max_per_file_column) & (F.size(state["picks"]) < columns_per_table)
+            one = F.struct(c["col_idx"].alias("col_idx"), pick["size"].alias("drawn"), pick["missing"].alias("missing"), pick["present"].alias("present"))
+            return F.when(able, F.struct(F.concat(state["used"], pick["missing"], pick["present"]).alias("used"), F.concat(state["picks"], F.array(one)).alias("picks"))).otherwise(state)
+
+        return let(free, lambda rest: let(sized(rest), added))
+
+    picks = tables.select(*TABLE, F.inline(F.aggregate("columns", nothing, take)["picks"]))
+    both = F.array(F.col("missing"), F.col("present"))
+    chosen = picks.select(*keys, "drawn", F.explode(both).alias("rows")).select(*keys, "drawn", F.posexplode("rows").alias("order", "row_idx"))
+    return found.drop("order").join(chosen.withColumn("order", F.col("order") + 1), [*keys, "row_idx"])
 
 
 def draw(found: DataFrame, n: int, min_n: int, columns_per_table: int, max_per_file_column: int = 20) -> DataFrame:

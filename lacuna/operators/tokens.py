@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.missing import classify, classify_cell, token_group
 from lacuna.functions.text import column_type, strip
+from lacuna.operators import ranking
 from lacuna.operators.sampling import numbered, order_key
 from lacuna.sources.staging import staged
 
@@ -53,10 +54,10 @@ def token_manifest(masked: DataFrame, lists: DataFrame | None = None, seed: int
     part = F.pmod(F.xxhash64("row_idx"), F.lit(PARTS))
     in_part = Window.partitionBy(*keys, "wanted", part).orderBy(key, "row_idx")
     found = found.withColumn("rank", F.when(~F.col("wanted"), F.row_number().over(in_part))).where("wanted or rank <= n_wanted")
-    by_class = Window.partitionBy(*keys, "wanted").orderBy(F.when(F.col("wanted"), F.lpad(F.col("row_idx").cast("string"), 20, "0")).otherwise(key), "row_idx")
-    found = found.withColumn("rank", F.row_number().over(by_class)).where("wanted or rank <= n_wanted")
-    found = staged(found, "tokens")  # ranked and counted from here
-    out = numbered(found, [F.col("col_idx"), F.col("wanted").desc(), F.col("rank")])
+    found = staged(found.drop("rank").withColumn("key", F.when(~F.col("wanted"), key)), "tokens")
+    # Wanted cells by row, present ones by their random key; a column with very many of them spreads over tasks.
+    found = ranking.numbered(found, [F.col("key"), F.col("row_idx")], by=[*keys, "wanted"], name="rank").where("wanted or rank <= n_wanted")
+    out = numbered(staged(found, "ranked-tokens"), [F.col("col_idx"), F.col("wanted").desc(), F.col("rank")])
     out = out.join(lists.select("table_id", "col_idx", "co_missing_columns"), ["table_id", "col_idx"], "left") if lists is not None else out.withColumn("co_missing_columns", F.lit(None).cast("string"))
     return out.select(
         "sample_id", F.concat(F.lit("datasets/"), "file_basename").alias("file"), "file_basename", "table_id", column_type(F.col("column")).alias("column_type"), F.col("column").alias("target_col"),

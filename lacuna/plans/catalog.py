@@ -176,7 +176,22 @@ def blocked_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("co_missing_pairs", oracle.with_cells('SELECT table_id, "column", other FROM pairs'))
 def co_missing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.co_missing_pairs(_masked(spark, sf_dir)).select("table_id", "column", "other")
+    return profile.co_missing_pairs(profile.co_missing_classes(_masked(spark, sf_dir))).select("table_id", "column", "other")
+
+
+_CLASSES = """
+SELECT table_id, leader_idx, n_missing, class_size, m.c AS col_idx, m.n AS "column" FROM (
+  SELECT table_id, min(col_idx) AS leader_idx, len(r) AS n_missing, count(*) AS class_size, unnest(list({'c': col_idx, 'n': "column"})) AS m
+  FROM (SELECT table_id, file_basename, col_idx, "column", list(row_idx ORDER BY row_idx) AS r FROM masked WHERE missing GROUP BY ALL) GROUP BY table_id, file_basename, r HAVING count(*) > 1
+)
+"""
+
+
+@query("co_missing_classes", oracle.with_cells(_CLASSES))
+def co_missing_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes with their members, a row for each member, over all columns of both tables."""
+    found = profile.co_missing_classes(_masked(spark, sf_dir))
+    return found.select("table_id", "leader_idx", "n_missing", F.size("members").cast("long").alias("class_size"), F.inline("members"))
 
 
 _REPORT = f"""
@@ -190,7 +205,7 @@ JOIN (SELECT file_basename, count(*) AS total_cols FROM eligible GROUP BY ALL) t
 @query("co_missing_report", oracle.with_cells(_REPORT))
 def co_missing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = _masked(spark, sf_dir)
-    return profile.co_missing_report(profile.column_profile(masked), profile.co_missing_lists(profile.co_missing_pairs(masked)))
+    return profile.co_missing_report(profile.column_profile(masked), profile.co_missing_lists(profile.co_missing_classes(masked)))
 
 
 # ------------------------------------------------------------------------------- sampling
@@ -201,10 +216,15 @@ def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staging.staged(fixtures.masked(spark, sf_dir), "masked")
 
 
-def _manifest(spark: SparkSession, sf_dir: str, manifest: DataFrame | None = None, min_profile: int = 5, masked: DataFrame | None = None, **options) -> DataFrame:
-    masked = _masked(spark, sf_dir) if masked is None else masked
+def _prepared(masked: DataFrame, min_profile: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Eligible columns and co-missing lists, staged, as all runs over the same cells share them."""
     eligible = profile.eligibility(profile.column_profile(masked), min_n=min_profile).where("reason is null")
-    lists = profile.co_missing_lists(profile.co_missing_pairs(masked))
+    return staging.staged(eligible, "eligible"), staging.staged(profile.co_missing_lists(profile.co_missing_classes(masked)), "co-missing")
+
+
+def _manifest(spark: SparkSession, sf_dir: str, manifest: DataFrame | None = None, masked: DataFrame | None = None, prepared: tuple[DataFrame, DataFrame] | None = None, **options) -> DataFrame:
+    masked = _masked(spark, sf_dir) if masked is None else masked
+    eligible, lists = prepared or _prepared(masked)
     return sampling.build_manifest(masked, eligible, lists, manifest, **options)
 
 
@@ -250,14 +270,16 @@ _SECOND_ROWS = oracle.manifest(first_id=0)
 @query("append_draw", oracle.with_cells(f"SELECT * FROM first_run UNION ALL BY NAME SELECT * REPLACE (sample_id + (SELECT count(*) FROM first_run) AS sample_id) FROM ({_SECOND_ROWS})", _TWO_RUNS))
 def append_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = _masked(spark, sf_dir)
-    first = staging.staged(_manifest(spark, sf_dir, masked=masked), "manifest")  # as in use: the second run reads a stored table
-    return sampling.append(first, _manifest(spark, sf_dir, first, masked=masked, first_id=sampling.next_sample_id(first)))
+    prepared = _prepared(masked)
+    first = staging.staged(_manifest(spark, sf_dir, masked=masked, prepared=prepared), "manifest")  # as in use: the second run reads a stored table
+    return sampling.append(first, _manifest(spark, sf_dir, first, masked, prepared, first_id=sampling.next_sample_id(first)))
 
 
 @query("column_skip", oracle.with_cells(f"SELECT target_col, file_basename, count(*) AS n FROM ({_SECOND_ROWS}) GROUP BY ALL", _TWO_RUNS))
 def column_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = _masked(spark, sf_dir)
-    second = _manifest(spark, sf_dir, staging.staged(_manifest(spark, sf_dir, masked=masked), "manifest"), masked=masked)
+    prepared = _prepared(masked)
+    second = _manifest(spark, sf_dir, staging.staged(_manifest(spark, sf_dir, masked=masked, prepared=prepared), "manifest"), masked, prepared)
     return second.groupBy("target_col", "file_basename").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -321,7 +343,7 @@ WHERE n_wanted > 0 AND (wanted OR rank <= n_wanted)
 
 def _token_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = _masked(spark, sf_dir)
-    return tokens.token_manifest(masked, profile.co_missing_lists(profile.co_missing_pairs(masked)))
+    return tokens.token_manifest(masked, profile.co_missing_lists(profile.co_missing_classes(masked)))
 
 
 @query("token_manifest", oracle.with_cells(_TOKEN))
@@ -357,7 +379,7 @@ def sample_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.audit(found, sampling.build_manifest(masked, found.where("reason is null")))
 
 
-@query("multi_column_draw")
+@query("multi_column_draw", oracle.with_cells(oracle.manifest(), oracle.draw_many(5, 5, 4), recursive=True))
 def multi_column_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _manifest(spark, sf_dir, columns_per_table=4)
 

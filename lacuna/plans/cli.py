@@ -62,7 +62,7 @@ def sample(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     old = spark.read.parquet(path) if runner.recover(spark, path) else None
     low = a.n if a.min_n is None else a.min_n
     found = profile.eligibility(profile.column_profile(masked), min_n=low, strict=a.strict)
-    lists = profile.co_missing_lists(profile.co_missing_pairs(masked))
+    lists = profile.co_missing_lists(profile.co_missing_classes(masked))
     new = sampling.build_manifest(
         masked, found.where("reason is null"), lists, old, n=a.n, min_n=a.min_n, columns_per_table=a.columns, skip_drawn=not a.again, priority=None if a.no_priority else PRIORITY_PATTERN,
         max_per_file_column=a.max_per_file_column, max_per_column_type=a.max_per_column_type, seed=a.seed, first_id=0 if old is None else sampling.next_sample_id(old), label_mode="raw" if a.raw_labels else "label", run_rule=a.run_rule,
@@ -103,7 +103,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         runner.replace_table(spark, pruned, path)
     elif a.command == "tokens":
         masked = profile.with_mask(read_corpus(spark, a.datasets, a.limit_files)[0])
-        made = tokens.token_manifest(masked, profile.co_missing_lists(profile.co_missing_pairs(masked)), a.seed)
+        made = tokens.token_manifest(masked, profile.co_missing_lists(profile.co_missing_classes(masked)), a.seed)
         runner.replace_table(spark, made, f"{a.out}/token_manifest.parquet")
         tokens.token_group_counts(spark.read.parquet(f"{a.out}/token_manifest.parquet")).show()
     else:

@@ -113,13 +113,13 @@ JOIN (SELECT table_id, file_basename, col_idx, "column", list(row_idx ORDER BY r
 LISTS = """SELECT table_id, file_basename, col_idx, '["' || string_agg(other, '","' ORDER BY other_idx) || '"]' AS co_missing_columns FROM pairs GROUP BY ALL"""
 
 
-def with_cells(body: str, more: dict[str, str] | None = None, names: tuple[str, ...] = tuple(TABLES), upto: str = "pairs", min_n: int = 5) -> str:
+def with_cells(body: str, more: dict[str, str] | None = None, names: tuple[str, ...] = tuple(TABLES), min_n: int = 5, recursive: bool = False) -> str:
     """``body`` after the common table expressions cells, masked, classified, cell, profile, eligible, pairs, lists and ``more``."""
     ctes = {
         "cells": cells_sql(names), "masked": f"SELECT *, {missing()} AS missing FROM cells", "classified": CLASSIFIED, "cell": CELL, "profile": PROFILE, "eligible": eligible(min_n),
         "pairs": PAIRS, "lists": LISTS,
     } | (more or {})
-    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in ctes.items()) + f"\n{body}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(f"{k} AS ({v})" for k, v in ctes.items()) + f"\n{body}"
 
 
 def draw(n: int, min_n: int, seed: int = 42, run: str = "0", used: str = "", skip: str = "", use_priority: bool = False, cap: int = 20, prior: str = "0") -> dict[str, str]:
@@ -134,6 +134,21 @@ def draw(n: int, min_n: int, seed: int = 42, run: str = "0", used: str = "", ski
     }
 
 
+def draw_many(n: int, min_n: int, columns: int, cap: int = 20) -> dict[str, str]:
+    """The expressions of a draw of several columns per table, column by column over the rows that are not used yet."""
+    one = draw(n, min_n)
+    free = "list_filter(c.{x}, lambda v: NOT list_contains(g.used, v)) AS {x}"
+    row = "SELECT table_id, file_basename, col_idx, unnest({x}) AS row_idx, unnest(range(1, len({x}) + 1)) AS ord FROM picked WHERE col_idx IS NOT NULL"
+    return {k: one[k] for k in ("ranked", "pool")} | {
+        "columns": """SELECT table_id, file_basename, col_idx, column_rank, coalesce(list(row_idx ORDER BY ord) FILTER (missing), []) AS m, coalesce(list(row_idx ORDER BY ord) FILTER (NOT missing), []) AS p FROM pool GROUP BY ALL""",
+        "picked": f"""SELECT DISTINCT table_id, file_basename, 0::BIGINT AS column_rank, 0 AS taken, NULL::INTEGER AS col_idx, []::BIGINT[] AS used, []::BIGINT[] AS m, []::BIGINT[] AS p FROM columns
+      UNION ALL SELECT table_id, file_basename, column_rank, taken + able::INTEGER, CASE WHEN able THEN col_idx END, CASE WHEN able THEN list_concat(used, m[1:size], p[1:size]) ELSE used END, m[1:size], p[1:size]
+      FROM (SELECT *, least({n}, len(m), len(p)) AS size, taken < {columns} AND least({n}, len(m), len(p)) >= {min_n} AND 2 * least({n}, len(m), len(p)) <= {cap} AS able
+        FROM (SELECT c.table_id, c.file_basename, c.column_rank, g.taken, c.col_idx, g.used, {free.format(x="m")}, {free.format(x="p")} FROM picked g JOIN columns c ON c.table_id = g.table_id AND c.file_basename = g.file_basename AND c.column_rank = g.column_rank + 1))""",
+        "drawn": f"""SELECT q.* REPLACE (u.ord AS ord) FROM pool q JOIN ({row.format(x="m")} UNION ALL {row.format(x="p")}) u ON q.table_id = u.table_id AND q.file_basename = u.file_basename AND q.col_idx = u.col_idx AND q.row_idx = u.row_idx""",
+    }
+
+
 def manifest(seed: int = 42, first_id: int = 0, source: str = "drawn") -> str:
     """The manifest's columns from a draw."""
     return f"""

@@ -31,7 +31,7 @@ def sample_new_files(spark: SparkSession, folder: str, manifest_dir: str, checkp
         masked = profile.with_mask(cells).persist()
         old = spark.read.parquet(manifest_dir).where(F.col("batch") < batch).drop("batch") if exists(spark, f"{manifest_dir}") else None
         eligible = profile.eligibility(profile.column_profile(masked), min_n=low).where("reason is null")
-        lists = profile.co_missing_lists(profile.co_missing_pairs(masked))
+        lists = profile.co_missing_lists(profile.co_missing_classes(masked))
         first = 0 if old is None else sampling.next_sample_id(old)
         sampling.build_manifest(masked, eligible, lists, old, first_id=first, **options).write.mode("overwrite").parquet(f"{manifest_dir}/batch={batch}")
         masked.unpersist()

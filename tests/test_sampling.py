@@ -34,7 +34,7 @@ def masked(spark, folder):
 
 def build(masked, manifest=None, min_profile=5, **options):
     eligible = profile.eligibility(profile.column_profile(masked), min_n=min_profile).where("reason is null")
-    return sampling.build_manifest(masked, eligible, profile.co_missing_lists(profile.co_missing_pairs(masked)), manifest, **options)
+    return sampling.build_manifest(masked, eligible, profile.co_missing_lists(profile.co_missing_classes(masked)), manifest, **options)
 
 
 def test_corpus_cells_and_read_errors(spark, folder, masked):
@@ -70,7 +70,7 @@ def test_profile_and_reasons(masked):
 
 
 def test_co_missing(masked):
-    pairs = {(r.table_id, r.column, r.other) for r in profile.co_missing_pairs(masked).collect()}
+    pairs = {(r.table_id, r.column, r.other) for r in profile.co_missing_pairs(profile.co_missing_classes(masked)).collect()}
     assert pairs == {("a", "twin a", "twinB"), ("a", "twinB", "twin a")}
 
 
