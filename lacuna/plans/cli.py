@@ -56,8 +56,7 @@ def _parser() -> argparse.ArgumentParser:
 
 def sample(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Draw a run on top of the manifest in ``out``, if there is one, and put the longer manifest in its place."""
-    cells, errors = read_corpus(spark, a.datasets, a.limit_files)
-    masked = profile.with_mask(cells).persist()
+    masked, errors = read_corpus(spark, a.datasets, a.limit_files, profile.with_mask)
     path = f"{a.out}/sample_manifest.parquet"
     old = spark.read.parquet(path) if runner.recover(spark, path) else None
     low = a.n if a.min_n is None else a.min_n
@@ -78,13 +77,12 @@ def sample(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     profile.co_missing_report(found, lists).write.mode("append").parquet(f"{a.out}/co_missing")
     errors.write.mode("append").parquet(f"{a.out}/read_errors")
     if a.occurrences:
-        marks = tokens.occurrences(cells)
+        marks = tokens.occurrences(masked)
         marks.write.mode("overwrite").option("header", True).csv(f"{a.out}/special_tokens/occurrences")
         tokens.occurrence_summary(marks).write.mode("overwrite").option("header", True).csv(f"{a.out}/special_tokens/summary")
     runner.replace_table(spark, new if old is None else sampling.append(old, new), path)
     counts = new.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("table_id", "target_col_idx").alias("columns"), F.count_distinct("table_id").alias("tables")).first().asDict()
     runner.write_json(spark, f"{a.out}/last_run.json", {"options": {k: v for k, v in vars(a).items() if k != "command"}, "new": counts, "manifest": runner.manifest_digest(spark.read.parquet(path)), **runner.provenance(), "at": dt.datetime.now(dt.UTC).isoformat()})
-    masked.unpersist()
     return sampling.balance_violations(new, a.n, low)
 
 
@@ -102,12 +100,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         sampling.check_caps(pruned, a.max_per_file_column, a.max_per_column_type)
         runner.replace_table(spark, pruned, path)
     elif a.command == "tokens":
-        masked = profile.with_mask(read_corpus(spark, a.datasets, a.limit_files)[0])
+        masked, _ = read_corpus(spark, a.datasets, a.limit_files, profile.with_mask)
         made = tokens.token_manifest(masked, profile.co_missing_lists(profile.co_missing_classes(masked)), a.seed)
         runner.replace_table(spark, made, f"{a.out}/token_manifest.parquet")
         tokens.token_group_counts(spark.read.parquet(f"{a.out}/token_manifest.parquet")).show()
     else:
-        masked = profile.with_mask(read_corpus(spark, a.datasets, a.limit_files)[0])
+        masked, _ = read_corpus(spark, a.datasets, a.limit_files, profile.with_mask)
         for meta in runner.run_all(spark, spark.read.parquet(a.manifest), masked, config.load_config(a.config), a.out, a.encoder, a.ablation, shards=a.shards, retry_failed=a.retry_failed, limit_groups=a.limit_groups):
             print(meta)
     return 0

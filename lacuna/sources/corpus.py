@@ -3,26 +3,26 @@
 ``cells``: table_id, file_basename, row_idx, col_idx, column, is_numeric, value (text form), is_null. Every
 operator before the encoders is a set operation over this relation.
 
-``read_corpus`` reads a folder of heterogeneous files: whole files are dealt to tasks, which yield their
-cells row group by row group; a file that cannot be read to its end becomes an audit row and has no cells. Large
-tables of known schema are read by Spark's own scan with ``cells_of``, which splits files.
+``read_corpus`` reads a folder of heterogeneous files by the data source ``cells``, which splits files and reads only the columns asked for; a
+file that cannot be read to its end becomes an audit row and has no cells. Large
+tables of known schema are read by Spark's own scan with ``cells_of``.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import decimal
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pf
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CELLS = "table_id string, file_basename string, row_idx long, col_idx int, column string, is_numeric boolean, value string, is_null boolean"
+from lacuna.sources.cell_source import CELLS, CellSource, cells_of_range, error_row
+from lacuna.sources.staging import staged
+
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.BooleanType)
 
 
@@ -108,62 +108,71 @@ def list_files(spark: SparkSession, folder: str, limit: int | None = None) -> Da
     return files
 
 
-def cell_text(value: object) -> str | None:
-    """The text form of a Python value, as it is shown; None for null and NaN."""
-    if value is None or (isinstance(value, float) and value != value):
-        return None
-    if isinstance(value, (list, dict)):
-        return json.dumps(value, ensure_ascii=False, separators=(",", ":"), default=str)
-    if isinstance(value, dt.datetime):
-        return value.isoformat(sep=" ")
-    if isinstance(value, decimal.Decimal):
-        return format(value, "f")
-    return str(value)
-
-
-def _cells_of_file(name: str, content: bytes) -> Iterator[pa.RecordBatch]:
-    """The cells of a file, batch by batch; a file that breaks anywhere raises before its first cell."""
-    stem, start = name.removesuffix(".parquet"), 0
-    for _ in pq.ParquetFile(pa.BufferReader(content)).iter_batches(batch_size=4096):  # decoded once to the end, a batch in memory at a time
-        pass
-    for batch in pq.ParquetFile(pa.BufferReader(content)).iter_batches(batch_size=4096):
-        n = batch.num_rows
-        for k, field in enumerate(batch.schema):
-            values = batch.column(k).to_pylist()
-            if width := {pa.float16(): np.float16, pa.float32(): np.float32}.get(field.type):  # shown by the digits of their own width
-                values = [None if v is None else float(np.format_float_scientific(width(v))) for v in values]
-            values = [cell_text(v) for v in values]
-            numeric = pa.types.is_integer(field.type) or pa.types.is_floating(field.type) or pa.types.is_boolean(field.type)
-            yield _batch([stem] * n, [name] * n, range(start, start + n), [k] * n, [field.name] * n, [numeric] * n, values, [v is None for v in values], [None] * n)
-        start += n
-
-
-def _batch(*columns) -> pa.RecordBatch:
-    text = pa.string()
-    kinds = (text, text, pa.int64(), pa.int32(), text, pa.bool_(), text, pa.bool_(), text)
-    names = [*(x.split()[0] for x in CELLS.split(", ")), "error"]
-    return pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names)
-
-
 def cells_of_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cells, read_errors) of files given as (file_basename, content)."""
+    """(cells, read_errors) of files given as (file_basename, content), for stores that only Spark opens and for streams of files.
+
+    A file is decoded once to its end before its first cell, so a broken one has none.
+    """
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    yield from _cells_of_file(name, content)
+                    for _ in pq.ParquetFile(pa.BufferReader(content)).iter_batches(batch_size=4096):
+                        pass
+                    yield from cells_of_range(name, pq.ParquetFile(pa.BufferReader(content)), 0, 1 << 62, None, 4096)
                 except Exception as error:  # a file of any fault is reported and passed over
-                    yield _batch(*[[x] for x in (None, name, None, None, None, None, None, None, f"{type(error).__name__}: {error}"[:500])])
+                    yield error_row(name, error)
 
     read = files.select("file_basename", "content").mapInArrow(opened, f"{CELLS}, error string")
-    errors = read.where("error is not null").select("file_basename", F.lit("read_error").alias("skip_reason"), "error")
-    return read.where("error is null").drop("error"), errors
+    return read.where("error is null").drop("error"), _errors(read)
+
+
+def _errors(read: DataFrame) -> DataFrame:
+    """A row for each file that could not be read: file_basename, skip_reason, error."""
+    return read.where("error is not null").groupBy("file_basename").agg(F.lit("read_error").alias("skip_reason"), F.min("error").alias("error"))
 
 
-def read_corpus(spark: SparkSession, folder: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(cells, read_errors) of a folder of Parquet files; read_errors: file_basename, skip_reason, error."""
-    return cells_of_files(list_files(spark, folder, limit))
+def _opened_by_arrow(spark: SparkSession, folder: str) -> str | None:
+    """The folder as pyarrow's file systems name it, or None if they cannot open it; Spark resolves mounts and links."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).resolvePath(path).toUri()
+    found = uri.getPath() if uri.getScheme() in (None, "file") else uri.toString().replace("s3a://", "s3://", 1)
+    try:
+        pf.FileSystem.from_uri(found)
+    except (pa.ArrowException, ValueError, OSError):
+        return None
+    return found
+
+
+def scan(spark: SparkSession, folder: str, limit: int | None = None, tables: list[str] | None = None, columns: list[str] | None = None, **options: object) -> DataFrame:
+    """Cells and error rows of a folder, by the data source ``cells``; names of tables and columns, and filters on them, prune what is read."""
+    spark.dataSource.register(CellSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the source has filters pushed to it
+    asked = {"path": folder, "limit": limit, "tables": tables and json.dumps(tables), "columns": columns and json.dumps(columns), **options}
+    return spark.read.format("cells").options(**{k: str(v) for k, v in asked.items() if v is not None}).load()
+
+
+def read_corpus(
+    spark: SparkSession, folder: str, limit: int | None = None, rules: Callable[[DataFrame], DataFrame] | None = None, tables: list[str] | None = None, columns: list[str] | None = None, **options: object,
+) -> tuple[DataFrame, DataFrame]:
+    """(cells, read_errors) of a folder of Parquet files; read_errors: file_basename, skip_reason, error.
+
+    The folder is read once, and what ``rules`` make of its cells is staged for all that follow. A file that breaks anywhere has an
+    error and no cells. Where only Spark can open the folder, whole files are read through it; it passes over files without bytes.
+    """
+    found = _opened_by_arrow(spark, folder)
+    if found is None:
+        cells, errors = cells_of_files(list_files(spark, folder, limit))
+        cells = cells if tables is None else cells.where(F.col("table_id").isin(tables))
+        cells = cells if columns is None else cells.where(F.col("column").isin(columns))
+        return staged(rules(cells) if rules else cells, "cells"), errors
+    read = scan(spark, found, limit, tables, columns, **options)
+    read = staged(rules(read) if rules else read, "cells")
+    errors, cells = _errors(read), read.where("error is null").drop("error")
+    if not errors.isEmpty():
+        cells = cells.join(errors.select("file_basename"), "file_basename", "left_anti").select(*cells.columns)
+    return cells, errors
 
 
 def read_optional(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options: str) -> DataFrame:
