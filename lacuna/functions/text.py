@@ -32,6 +32,11 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(_SPACES))
 
 
+def words(text: Column) -> Column:
+    """The runs of other characters than white space, in the sense of Unicode."""
+    return F.filter(F.split(text, f"[{re.escape(_SPACES)}]+"), lambda w: w != "")
+
+
 @functools.cache
 def _ascii_targets() -> tuple[str, str, dict[str, str]]:
     """By compatibility decomposition: characters with one ASCII letter left, those letters, and the rest with several."""

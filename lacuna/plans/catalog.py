@@ -504,13 +504,32 @@ def pred_dataset_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.prediction_dataset(embedded, 64)
 
 
-@query("embed_hash")
+def _hashed_sql(inputs: str, share: str) -> str:
+    """Prediction rows from ``inputs`` (sample_id, at, text): signed sums of words by place, ``share`` of each, in the columns of the wide dataset."""
+    columns = ", ".join(f"coalesce(max(CASE WHEN place = {i} THEN x END), 0)::FLOAT AS {name}" for i, name in enumerate(vectors.embedding_names(384)))
+    ctes = {
+        "manifest": oracle.manifest(), "sampled": _SAMPLED["sampled"], "inputs": inputs,
+        "word": r"SELECT sample_id, unnest(string_split_regex(trim(text), '\s+')) AS w FROM inputs WHERE text <> ''",
+        "summed": "SELECT sample_id, ('0x' || md5(w)[1:8])::BIGINT % 384 AS place, sum(CASE WHEN md5(w)[9] < '8' THEN 1 ELSE -1 END)::DOUBLE AS s, max(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY sample_id) AS n FROM word) GROUP BY ALL",
+        "hashed": f"SELECT sample_id, place, s / {share} AS x FROM summed",
+    }
+    body = f"""SELECT sample_id, table_id, column_type, row_idx, row_number() OVER (PARTITION BY table_id, column_type ORDER BY sample_id) - 1 AS row_in_table, (missing_kind <> 'present')::INT AS y, special_token, {columns}
+    FROM manifest LEFT JOIN hashed USING (sample_id) GROUP BY sample_id, table_id, column_type, row_idx, missing_kind, special_token"""
+    return oracle.with_cells(body, oracle.draw(5, 5) | ctes)
+
+
+_SENTENCES = "SELECT sample_id, string_agg({name} || ': ' || CASE WHEN is_target THEN '[?]' WHEN missing THEN '[EMPTY]' WHEN is_numeric AND TRY_CAST(value AS DOUBLE) = floor(TRY_CAST(value AS DOUBLE)) THEN CAST(TRY_CAST(value AS DOUBLE)::BIGINT AS VARCHAR) ELSE value END, ', ' ORDER BY col_idx) AS text FROM sampled GROUP BY sample_id".replace(
+    "{name}", oracle.normalized('"column"')
+)
+
+
+@query("embed_hash", _hashed_sql(_SENTENCES, "sqrt(sum(s * s) OVER (PARTITION BY sample_id))"))
 def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = prep.sentences(_sampled(spark, sf_dir), prep.ABLATIONS[0])
     return vectors.prediction_dataset(embed.embed_column(made, "sentence", "hashing", "hashing", 384), 384)
 
 
-@query("embed_table_hash")
+@query("embed_table_hash", _hashed_sql(f"""SELECT sample_id, {oracle.normalized('"column"')} || ' [?]' AS text FROM sampled WHERE is_target""", "n"))
 def embed_table_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = prep.tables(_sampled(spark, sf_dir), prep.ABLATIONS[0])
     return vectors.prediction_dataset(embed.embed_tables(made, "hashing_table", "hashing", 384), 384)

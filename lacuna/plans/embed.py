@@ -1,15 +1,13 @@
 """Encoders: a registry of plug-ins that turn prepared input into vectors, in Arrow batches.
 
-``hashing`` is built in and needs no model. Neural encoders are plug-ins that import their libraries when they
+``hashing`` is built in, needs no model and runs as joins and sums (``operators.hashing``). Neural encoders are plug-ins that import their libraries when they
 are first used; a worker loads a model once.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -17,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.operators import vectors
+from lacuna.operators import hashing, vectors
 
 
 class Embedder(Protocol):
@@ -29,23 +27,6 @@ class Embedder(Protocol):
     def encode(self, inputs: list[str]) -> np.ndarray: ...
 
 
-@dataclass(frozen=True)
-class HashingEmbedder:
-    """Signed sums of hashed words, of unit length: deterministic, and without a model."""
-
-    hidden_size: int = 384
-    family: str = "sentence"
-
-    def encode(self, inputs: list[str]) -> np.ndarray:
-        out = np.zeros((len(inputs), self.hidden_size), dtype=np.float32)
-        for k, text in enumerate(inputs):
-            for word in text.split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
-                out[k, h % self.hidden_size] += 1.0 if h >> 63 else -1.0
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norms > 0, norms, 1)
-
-
 def _sentence_transformer(name: str, hidden_size: int) -> Embedder:
     from sentence_transformers import SentenceTransformer  # an optional plug-in
 
@@ -75,26 +56,6 @@ def pool_cells(cells: np.ndarray, target: int | None) -> np.ndarray:
     return cells[target] if target is not None else cells.mean(axis=0)
 
 
-@dataclass(frozen=True)
-class HashingTableEmbedder:
-    """The hashing encoder by cell: a cell's vector is the mean of its tokens', headers included; an empty cell is zero."""
-
-    hidden_size: int = 384
-    family: str = "table"
-
-    def encode_tables(self, rows: list[TableRow]) -> np.ndarray:
-        words = HashingEmbedder(self.hidden_size)
-        out = np.zeros((len(rows), self.hidden_size), dtype=np.float32)
-        for k, (headers, cells, target) in enumerate(rows):
-            vectors_of = np.zeros((len(cells), self.hidden_size), dtype=np.float32)
-            for j, (header, cell) in enumerate(zip(headers, cells, strict=True)):
-                if cell:
-                    vectors_of[j] = words.encode(f"{header} {cell}".split()).mean(axis=0)
-            if len(cells):
-                out[k] = pool_cells(vectors_of, target)
-        return out
-
-
 def _tapas(name: str, hidden_size: int) -> Embedder:
     import torch  # an optional plug-in, with transformers
     from transformers import TapasModel, TapasTokenizer
@@ -124,10 +85,8 @@ def _tapas(name: str, hidden_size: int) -> Embedder:
     return encoder
 
 
-#: Makers by family: (name, hidden_size) to an embedder.
+#: Makers of plug-ins by family: (name, hidden_size) to an embedder. The families ``hashing`` and ``hashing_table`` need none.
 FAMILIES: dict[str, Callable[[str, int], Embedder]] = {
-    "hashing": lambda name, hidden_size: HashingEmbedder(hidden_size),
-    "hashing_table": lambda name, hidden_size: HashingTableEmbedder(hidden_size),
     "minilm": _sentence_transformer,
     "tapas": _tapas,
 }
@@ -149,6 +108,8 @@ def load(family: str, name: str, hidden_size: int) -> Embedder:
 
 def embed_column(df: DataFrame, text_col: str, family: str, name: str, hidden_size: int, out_col: str = "embedding") -> DataFrame:
     """Add the vectors of a text column."""
+    if family == "hashing":
+        return hashing.hash_texts(df, text_col, hidden_size, out_col)
 
     @F.pandas_udf("array<float>")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -164,6 +125,8 @@ def embed_column(df: DataFrame, text_col: str, family: str, name: str, hidden_si
 
 def embed_tables(df: DataFrame, family: str, name: str, hidden_size: int, out_col: str = "embedding") -> DataFrame:
     """Add the vectors of rows prepared as tables (``cells`` and ``target_position``)."""
+    if family == "hashing_table":
+        return hashing.hash_tables(df, hidden_size, out_col)
 
     @F.pandas_udf("array<float>")
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
