@@ -62,7 +62,7 @@ def sampled_cells(manifest: DataFrame, masked: DataFrame) -> DataFrame:
 
 def _rows(cells: DataFrame, part: Column, names: Rule) -> DataFrame:
     listed = F.transform(F.array_sort(F.collect_list(F.struct("col_idx", part.alias("part")))), lambda x: x["part"])
-    keys = ["sample_id", "table_id", "row_idx", "column_type", "y", "missing_kind", "special_token"]
+    keys = ["sample_id", "table_id", "row_idx", "column_type", "y", "missing_kind", "special_token", *(c for c in ("shard",) if c in cells.columns)]
     target = F.max(F.when(F.col("is_target"), names(F.col("column")))).alias("target_name")
     return cells.groupBy(*keys).agg(listed.alias("parts"), target)
 

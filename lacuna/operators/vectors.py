@@ -51,13 +51,17 @@ def embedding_names(size: int) -> list[str]:
     return [f"emb_{i:0{width}d}" for i in range(size)]
 
 
-def prediction_dataset(embedded: DataFrame, size: int, vector_col: str = "embedding") -> DataFrame:
-    """The wide table: provenance, y from the missing kind, the row's place in its group, and a float column per dimension."""
+def prediction_dataset(embedded: DataFrame, size: int, vector_col: str = "embedding", shard: str | None = None) -> DataFrame:
+    """The wide table: provenance, y from the missing kind, the row's place in its group, and a float column per dimension.
+
+    Groups are within a ``shard``, a column that then comes last.
+    """
     wrong = F.size(vector_col) != size
     vector = F.when(wrong, F.raise_error(F.lit(f"an embedding has not the size {size}")).cast("array<double>")).otherwise(F.col(vector_col).cast("array<double>"))
-    group = Window.partitionBy("table_id", "column_type").orderBy("sample_id")
+    more = [shard] if shard else []
+    group = Window.partitionBy("table_id", "column_type", *more).orderBy("sample_id")
     rows = embedded.withColumns({"row_in_table": F.row_number().over(group).cast("long") - 1, "__v": vector})
     return rows.select(
         "sample_id", "table_id", "column_type", "row_idx", "row_in_table", (F.col("missing_kind") != "present").cast("int").alias("y"), "special_token",
-        *[F.get("__v", F.lit(i)).cast("float").alias(name) for i, name in enumerate(embedding_names(size))],
+        *[F.get("__v", F.lit(i)).cast("float").alias(name) for i, name in enumerate(embedding_names(size))], *more,
     )

@@ -14,7 +14,7 @@ from lacuna.functions import lexicon as lx
 from lacuna.functions import missing as ms
 from lacuna.functions import text as tx
 from lacuna.operators import prep, profile, sampling, tokens, vectors
-from lacuna.plans import embed, fixtures, oracle, runner
+from lacuna.plans import embed, fixtures, ledger, oracle, runner
 from lacuna.sources import corpus, staging
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -571,8 +571,39 @@ def shard_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("resume_anti_join", """SELECT DISTINCT source, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id % 4 = 0 AND x.source = d.source AND x.lang = d.lang)""")
 def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fixtures.load(spark, sf_dir, "documents")
-    done = docs.where("doc_id % 4 = 0").select("source", "lang").distinct()
-    return docs.select("source", "lang").distinct().join(done, ["source", "lang"], "left_anti")
+    entries = docs.where("doc_id % 4 = 0").select("source", "lang", F.lit("done").alias("state"), F.col("doc_id").alias("at"))
+    return ledger.open_work(docs.select("source", "lang").distinct(), entries, ["source", "lang"])
+
+
+_LEDGER = """
+WITH entries AS (SELECT source, n_chars % 50 AS piece, CASE WHEN doc_id % 3 = 0 THEN 'failed' ELSE 'done' END AS state, doc_id AS t FROM documents WHERE doc_id % 4 <> 1),
+last AS (SELECT source, piece, max_by(state, t) AS state FROM entries GROUP BY ALL)
+SELECT source, piece, l.state, l.state IS NULL AS open, coalesce(l.state <> 'done', true) AS open_again FROM (SELECT DISTINCT source, n_chars % 50 AS piece FROM documents) LEFT JOIN last l USING (source, piece)
+"""
+
+
+@query("run_ledger", _LEDGER)
+def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an entry about a piece of work: which pieces are open, and which are with failed ones tried again."""
+    docs, keys = fixtures.load(spark, sf_dir, "documents").withColumn("piece", F.col("n_chars") % 50), ["source", "piece"]
+    entries = docs.where("doc_id % 4 <> 1").select(*keys, F.when(F.col("doc_id") % 3 == 0, "failed").otherwise("done").alias("state"), F.col("doc_id").alias("at"))
+    wanted = docs.select(*keys).distinct()
+    out = wanted.join(ledger.latest(entries, keys), keys, "left")
+    for name, again in (("open", False), ("open_again", True)):
+        out = out.join(ledger.open_work(wanted, entries, keys, again).withColumn(name, F.lit(True)), keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out
+
+
+_DIGEST = """
+WITH shown AS (SELECT source, md5(coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(length(lang) || ':' || lang, '-') || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || coalesce(length(text) || ':' || text, '-')) AS h FROM documents)
+SELECT source, count(*) AS n, (sum(('0x' || h[1:16])::UBIGINT::HUGEINT) % 18446744073709551616)::VARCHAR AS upper, (sum(('0x' || h[17:32])::UBIGINT::HUGEINT) % 18446744073709551616)::VARCHAR AS lower FROM shown GROUP BY source
+"""
+
+
+@query("multiset_digest", _DIGEST)
+def multiset_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest that guards a manifest, of all documents by source."""
+    return runner.multiset_digest(fixtures.load(spark, sf_dir, "documents"), ["source"])
 
 
 #: Every occurrence is a cell of the same relation, so what the lookup finds is the cell's own value.

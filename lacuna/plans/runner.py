@@ -1,7 +1,7 @@
 """The resumable run: from a sample manifest to prediction datasets, by encoder and ablation.
 
-Groups (table and target column) are dealt to shards by a hash of their name; a shard is one Spark job whose output
-folder is committed as a whole. A shard that is complete is not run again, one that failed is recorded, and is
+Groups (table and target column) are dealt to shards by a hash of their name. A run's open shards are one Spark job, and each
+shard's output folder is put in place as a whole. A ledger records shards that are complete, which are not run again, and those that failed, which are
 tried again only if asked for. A digest of the manifest guards a resumed run against another manifest.
 The corpus is read once for a manifest: the sampled rows' cells are written by shard, and all encoders, ablations and shards
 start from them. All files go through the file system that Spark is configured with.
@@ -15,6 +15,7 @@ import platform
 import shutil
 import subprocess
 import uuid
+from collections.abc import Sequence
 from pathlib import Path
 
 import pyspark
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.text import safe_name
 from lacuna.operators import prep, vectors
-from lacuna.plans import embed
+from lacuna.plans import embed, ledger
 from lacuna.plans.config import Config, Encoder
 
 
@@ -89,11 +90,21 @@ def recover(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def multiset_digest(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """An order-free digest of rows, for each group of ``by``: their number, and the sums of both halves of their md5, modulo 2^64.
+
+    A row's text is its values by column name, each with its length in characters, null as a dash. Sums can be merged from parts, count repeated rows, and are the same in any engine.
+    """
+    shown = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (F.col(f"`{n}`").cast("string") for n in sorted(set(df.columns) - set(by)))]
+    row = F.md5(F.concat(F.lit(""), *shown))
+    half = lambda start: F.pmod(F.sum(F.conv(F.substring(row, start, 16), 16, 10).cast("decimal(20,0)")), F.lit(str(2**64)).cast("decimal(20,0)")).cast("decimal(20,0)")
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), half(1).cast("string").alias("upper"), half(17).cast("string").alias("lower"))
+
+
 def manifest_digest(manifest: DataFrame) -> str:
-    """An order-free digest of a manifest's rows: their number, and sums and xors of row hashes."""
-    row = F.xxhash64(*sorted(manifest.columns))
-    found = manifest.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("x"), F.sum(row.cast("decimal(20,0)")).alias("s")).first()
-    return f"{found['n']}-{found['x']}-{found['s']}"
+    """The digest of a manifest's rows as one text."""
+    found = multiset_digest(manifest).first()
+    return f"{found['n']}-{found['upper']}-{found['lower']}"
 
 
 def provenance() -> dict[str, str | None]:
@@ -189,32 +200,52 @@ def embedded(sampled: DataFrame, encoder: Encoder, ablation: prep.Ablation, name
     return found.join(names, "target_name").withColumn("embedding", pooled)
 
 
+def _write_shards(sampled: DataFrame, encoder: Encoder, ablation: prep.Ablation, path: str) -> None:
+    """The prediction rows of the given shards in one job, a folder per shard, each in the place of what the shard had."""
+    rows = vectors.prediction_dataset(embedded(sampled, encoder, ablation), encoder.hidden_size, shard="shard")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+
+
 def run_one(spark: SparkSession, manifest: DataFrame, masked: DataFrame, encoder: Encoder, ablation: prep.Ablation, out_dir: str, shards: int = 1, retry_failed: bool = False, limit_groups: int | None = None) -> dict:
-    """Run one encoder and ablation to ``out_dir/<encoder>/<ablation>``; returns the run's metadata."""
+    """Run one encoder and ablation to ``out_dir/<encoder>/<ablation>``; returns the run's metadata.
+
+    All shards that the ledger has not settled are one job. Should it fail, they are tried once more, each by itself, so that only those
+    of a fault of their own are recorded as failed.
+    """
     started = dt.datetime.now(dt.UTC)
     manifest = manifest if limit_groups is None else first_groups(manifest, limit_groups)
-    base = f"{out_dir}/{encoder.id}/{ablation.id}"
+    base, book = f"{out_dir}/{encoder.id}/{ablation.id}", f"{out_dir}/ledger"
     digest = manifest_digest(manifest)
-    progress = read_json(spark, f"{base}/progress.json") or {"manifest": digest, "shards": shards, "done": [], "skipped": {}}
-    if progress["manifest"] != digest or progress["shards"] != shards:
+    this = {"encoder": encoder.id, "ablation": ablation.id, "manifest": digest, "shards": shards}
+
+    def entries() -> DataFrame:
+        return ledger.read(spark, book).where((F.col("encoder") == encoder.id) & (F.col("ablation") == ablation.id))
+
+    if not entries().where((F.col("manifest") != digest) | (F.col("shards") != shards)).isEmpty():
         raise ValueError(f"{base} was begun with another manifest or number of shards; choose another folder")
-    wanted = [k for k in range(shards) if k not in progress["done"] and (retry_failed or str(k) not in progress["skipped"])]
-    sampled = sampled_by_shard(spark, manifest, masked, f"{out_dir}/sampled/{digest}-{shards}", shards) if wanted else None
-    for k in wanted:
+    every = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
+    wanted = sorted(r["shard"] for r in ledger.open_work(every, entries(), ["shard"], retry_failed).collect())
+    if wanted:
+        sampled = sampled_by_shard(spark, manifest, masked, f"{out_dir}/sampled/{digest}-{shards}", shards)
         try:
-            vectors_of = vectors.prediction_dataset(embedded(sampled.where(F.col("shard") == k).drop("shard"), encoder, ablation), encoder.hidden_size)
-            replace_table(spark, vectors_of, f"{base}/shards/shard-{k:06d}")
-            progress["done"].append(k)
-            progress["skipped"].pop(str(k), None)
-        except Exception as error:  # a shard of any fault is recorded and the run goes on
-            progress["skipped"][str(k)] = f"{type(error).__name__}: {error}"[:500]
-        write_json(spark, f"{base}/progress.json", progress)
-    whole = prediction_data(spark, base, progress["done"])
+            _write_shards(sampled.where(F.col("shard").isin(wanted)), encoder, ablation, f"{base}/shards")
+            ledger.append(spark, book, [{**this, "shard": k, "state": "done"} for k in wanted])
+        except Exception:  # which shards are at fault is found out below
+            for k in wanted:
+                state: dict = {"state": "done"}
+                try:
+                    _write_shards(sampled.where(F.col("shard") == k), encoder, ablation, f"{base}/shards")
+                except Exception as error:  # a shard of any fault is recorded and the run goes on
+                    state = {"state": "failed", "error": f"{type(error).__name__}: {error}"[:500]}
+                ledger.append(spark, book, [{**this, "shard": k, **state}])
+    states = {r["shard"]: r["state"] for r in ledger.latest(entries(), ["shard"]).collect()}
+    done = sorted(k for k, state in states.items() if state == "done")
+    whole = prediction_data(spark, base, done)
     if whole is not None:
         replace_table(spark, whole, f"{base}/pred_dataset.parquet")
     rows = 0 if whole is None else spark.read.parquet(f"{base}/pred_dataset.parquet").count()
     meta = {
-        "encoder": encoder.id, "ablation": ablation.id, "hidden_size": encoder.hidden_size, "manifest": digest, "rows_total": rows, "shards_done": len(progress["done"]), "shards_skipped": len(progress["skipped"]),
+        "encoder": encoder.id, "ablation": ablation.id, "hidden_size": encoder.hidden_size, "manifest": digest, "rows_total": rows, "shards_done": len(done), "shards_skipped": len(states) - len(done),
         **provenance(), "started": started.isoformat(), "duration_seconds": (dt.datetime.now(dt.UTC) - started).total_seconds(),
     }
     write_json(spark, f"{base}/metadata.json", meta)
@@ -228,8 +259,10 @@ def first_groups(manifest: DataFrame, n: int) -> DataFrame:
 
 
 def prediction_data(spark: SparkSession, base: str, done: list[int]) -> DataFrame | None:
-    """All finished shards as one table, or None if there are none."""
-    return spark.read.parquet(*[f"{base}/shards/shard-{k:06d}" for k in sorted(done)]) if done else None
+    """The rows of all finished shards, or None if no shard is finished or none has rows."""
+    if not done or not exists(spark, f"{base}/shards"):
+        return None
+    return spark.read.parquet(f"{base}/shards").where(F.col("shard").isin(done)).drop("shard")
 
 
 def run_all(spark: SparkSession, manifest: DataFrame, masked: DataFrame, config: Config, out_dir: str, encoders: list[str] | None = None, ablations: list[str] | None = None, **options) -> list[dict]:

@@ -210,9 +210,9 @@ def test_run_resumes_and_guards(spark, masked, tmp_path):
     out = str(tmp_path)
     metas = runner.run_all(spark, manifest, masked, spec, out, ablations=["default", "meanpool_target"], shards=2)
     assert [m["rows_total"] for m in metas] == [manifest.count()] * 2
-    before = os.stat(f"{out}/hash/default/shards/shard-000000").st_mtime_ns
+    before = os.stat(f"{out}/hash/default/shards/shard=0").st_mtime_ns
     assert runner.run_one(spark, manifest, masked, spec.encoders[0], spec.ablations[0], out, 2)["rows_total"] == manifest.count()
-    assert os.stat(f"{out}/hash/default/shards/shard-000000").st_mtime_ns == before
+    assert os.stat(f"{out}/hash/default/shards/shard=0").st_mtime_ns == before
     with pytest.raises(ValueError):
         runner.run_one(spark, manifest.limit(3), masked, spec.encoders[0], spec.ablations[0], out, 2)
     tables = config.Encoder("tab", "hashing", "hashing_table", 400)
