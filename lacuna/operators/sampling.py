@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lacuna.functions.missing import classify_cell
 from lacuna.functions.text import column_type, is_priority, let
 from lacuna.operators import ranking
+from lacuna.operators.occurrences import last_entries
 from lacuna.sources.staging import staged
 
 TABLE = ["table_id", "file_basename"]
@@ -203,8 +204,7 @@ def build_manifest(
     out = numbered(drawn, [F.col("column_rank"), position], first_id).withColumn("cell", cell)
     token = F.col("cell.special_token")
     if occurrences is not None:
-        once = occurrences.groupBy(F.col("file").alias("file_basename"), "column", "row_idx").agg(F.max("original_value").alias("occurrence"))
-        out = out.join(once, ["file_basename", "column", "row_idx"], "left")
+        out = out.join(last_entries(occurrences), ["file_basename", "column", "row_idx"], "left")
         token = F.when(F.col("cell.missing_kind") == "disguised", F.coalesce("occurrence", token))
     out = out.join(lists.select("table_id", "col_idx", "co_missing_columns"), ["table_id", "col_idx"], "left") if lists is not None else out.withColumn("co_missing_columns", F.lit(None).cast("string"))
     return out.select(

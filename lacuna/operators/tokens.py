@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lacuna.functions.missing import classify, classify_cell, token_group
 from lacuna.functions.text import column_type, strip
 from lacuna.operators import ranking
+from lacuna.operators.occurrences import last_entries
 from lacuna.operators.sampling import numbered, order_key
 from lacuna.sources.staging import staged
 
@@ -32,9 +33,8 @@ def occurrence_summary(found: DataFrame) -> DataFrame:
 
 
 def with_occurrence_labels(cells: DataFrame, found: DataFrame) -> DataFrame:
-    """Cells with the original value of an occurrence list as ``occurrence``; of repeated entries the greatest counts."""
-    once = found.groupBy(F.col("file").alias("file_basename"), "column", "row_idx").agg(F.max("original_value").alias("occurrence"))
-    return cells.join(once, ["file_basename", "column", "row_idx"], "left")
+    """Cells with the original value of an occurrence list as ``occurrence``; of repeated entries the last counts, as ``last_entries`` has it."""
+    return cells.join(last_entries(found), ["file_basename", "column", "row_idx"], "left")
 
 
 def token_manifest(masked: DataFrame, lists: DataFrame | None = None, seed: int = 42) -> DataFrame:

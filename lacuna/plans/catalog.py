@@ -5,6 +5,7 @@ Column names and values agree on both sides; shares are rounded to six digits.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from lacuna.functions import lexicon as lx
 from lacuna.functions import missing as ms
 from lacuna.functions import text as tx
-from lacuna.operators import prep, profile, sampling, tokens, vectors
+from lacuna.operators import occurrences, prep, profile, sampling, tokens, vectors
 from lacuna.plans import embed, fixtures, ledger, oracle, runner
 from lacuna.sources import corpus, staging
 
@@ -613,6 +614,36 @@ def occurrence_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_occurrence_labels(cells, staging.staged(tokens.occurrences(cells), "occurrences")).select(*KEYS, "occurrence")
 
 
+_LIST = """SELECT source || '.parquet' AS file_basename, lang AS "column", doc_id % 40 AS row_idx, max_by('said "' || doc_id || '", ' || chr(10) || 'a', doc_id) AS occurrence FROM documents GROUP BY ALL"""
+
+
+@query("occurrence_list", _LIST)
+def occurrence_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of all documents as entries, written as CSV in the order of doc_id and read back: of a cell's entries the last counts."""
+    value = F.concat(F.lit('said "'), F.col("doc_id").cast("string"), F.lit('", \na'))
+    rows = fixtures.load(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(".parquet")).alias("file"), F.col("lang").alias("column"), (F.col("doc_id") % 40).alias("row_idx"), value.alias("original_value"))
+    path = f"{staging.shared_dir(spark)}/occurrences-{uuid.uuid4().hex}"
+    rows.orderBy("doc_id").drop("doc_id").write.options(**occurrences.CSV).csv(path)
+    return occurrences.last_entries(occurrences.read_occurrences(spark, path)[0])
+
+
+_CLEAN = {t: ", ".join(f"""{oracle.normalized(f"CAST({c} AS VARCHAR)")} AS v{k}""" for k, c in enumerate(fixtures.COLUMNS[t][:5])) for t in ("customer", "part")}
+
+
+@query("clean_tables", " UNION ALL ".join(f"SELECT '{t}' AS table_id, {columns} FROM {t}" for t, columns in _CLEAN.items()))
+def clean_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean tables written one for each file and read back: the first five columns of two of them."""
+    folder, out = f"{staging.shared_dir(spark)}/clean-{uuid.uuid4().hex}", None
+    runner.clean_corpus(spark, sf_dir, folder, tables=["region", "nation", *_CLEAN])
+    for table in _CLEAN:
+        found = spark.read.parquet(f"{folder}/{table}.parquet")
+        names = [tx.normalize(F.lit(c)) for c in fixtures.COLUMNS[table][:5]]
+        shown = spark.range(1).select(*[n.alias(str(k)) for k, n in enumerate(names)]).first()
+        part = found.select(F.lit(table).alias("table_id"), *[F.col(f"`{n}`").alias(f"v{k}") for k, n in enumerate(shown)])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "prior_state_counts",
     oracle.with_cells("SELECT file_basename, count(DISTINCT target_col)::INT AS run_index FROM manifest GROUP BY file_basename", oracle.draw(5, 5) | {"manifest": oracle.manifest()}),

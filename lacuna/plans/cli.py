@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions.lexicon import PRIORITY_PATTERN
-from lacuna.operators import profile, sampling, tokens
+from lacuna.operators import occurrences, profile, sampling, tokens
 from lacuna.plans import config, runner
 from lacuna.sources.corpus import read_corpus
 
@@ -39,6 +39,7 @@ def _parser() -> argparse.ArgumentParser:
     draw.add_argument("--no-priority", action="store_true")
     draw.add_argument("--again", action="store_true", help="columns that were drawn before may be drawn again")
     draw.add_argument("--occurrences", action="store_true")
+    draw.add_argument("--occurrence-list", help="a CSV list of occurrences, whose values are the tokens of its cells")
     draw.add_argument("--run-rule", choices=["columns", "last"], default="columns", help="number a file's next run by the columns it has given, or by its last run plus one")
     prune = command("prune", "out")
     for x in (draw, prune):
@@ -62,9 +63,10 @@ def sample(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     low = a.n if a.min_n is None else a.min_n
     found = profile.eligibility(profile.column_profile(masked), min_n=low, strict=a.strict)
     lists = profile.co_missing_lists(profile.co_missing_classes(masked))
+    listed, rejected = occurrences.read_occurrences(spark, a.occurrence_list) if a.occurrence_list else (None, None)
     new = sampling.build_manifest(
         masked, found.where("reason is null"), lists, old, n=a.n, min_n=a.min_n, columns_per_table=a.columns, skip_drawn=not a.again, priority=None if a.no_priority else PRIORITY_PATTERN,
-        max_per_file_column=a.max_per_file_column, max_per_column_type=a.max_per_column_type, seed=a.seed, first_id=0 if old is None else sampling.next_sample_id(old), label_mode="raw" if a.raw_labels else "label", run_rule=a.run_rule,
+        max_per_file_column=a.max_per_file_column, max_per_column_type=a.max_per_column_type, seed=a.seed, first_id=0 if old is None else sampling.next_sample_id(old), label_mode="raw" if a.raw_labels else "label", run_rule=a.run_rule, occurrences=listed,
     )
     # Written first: what follows must not depend on the manifest that is about to be replaced.
     runner.replace_table(spark, new, f"{a.out}/last_run")
@@ -76,6 +78,8 @@ def sample(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     sampling.audit(found, new, tried, **options, label_capped=capped).write.mode("append").parquet(f"{a.out}/summary")
     profile.co_missing_report(found, lists).write.mode("append").parquet(f"{a.out}/co_missing")
     errors.write.mode("append").parquet(f"{a.out}/read_errors")
+    if rejected is not None:
+        rejected.write.mode("append").parquet(f"{a.out}/rejected_occurrences")
     if a.occurrences:
         marks = tokens.occurrences(masked)
         marks.write.mode("overwrite").option("header", True).csv(f"{a.out}/special_tokens/occurrences")
@@ -90,7 +94,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     a = _parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("lacuna").getOrCreate()
     if a.command == "clean":
-        runner.clean_corpus(spark, a.datasets, a.out).show(truncate=False)
+        runner.clean_corpus(spark, a.datasets, a.out, a.limit_files).show(truncate=False)
     elif a.command == "sample":
         sample(spark, a).show(truncate=False)
     elif a.command == "prune":

@@ -22,10 +22,13 @@ import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.functions.text import safe_name
+from lacuna.functions.text import normalize, safe_name
 from lacuna.operators import prep, vectors
 from lacuna.plans import embed, ledger
 from lacuna.plans.config import Config, Encoder
+from lacuna.sources.corpus import opened_by_arrow, read_corpus
+from lacuna.sources.staging import staged
+from lacuna.sources.table_files import TableSink
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -270,18 +273,23 @@ def run_all(spark: SparkSession, manifest: DataFrame, masked: DataFrame, config:
     return [run_one(spark, manifest, masked, e, a, out_dir, **options) for e, a in config.selected(encoders, ablations)]
 
 
-def clean_corpus(spark: SparkSession, folder: str, out_dir: str) -> DataFrame:
-    """Write the normal form of a corpus as one partition of cells per table; returns the tables passed over.
+def clean_corpus(spark: SparkSession, folder: str, out_dir: str, limit: int | None = None, tables: list[str] | None = None) -> DataFrame:
+    """Write the normal form of each of a corpus's files as a table of its own in ``out_dir``; returns the files passed over.
 
-    Every cell becomes text, nulls stay nulls. A table whose normalised headers collide is passed over, as it could not be
-    a table with these headers.
+    Every cell becomes text, nulls stay nulls, headers are in normal form too. A table whose normalised headers collide is passed over, as it could not be
+    a table with these headers. Files without rows have no cells and are not written.
     """
-    from lacuna.functions.text import normalize
-    from lacuna.sources.corpus import read_corpus
-
-    cells, errors = read_corpus(spark, folder)
+    cells, errors = read_corpus(spark, folder, limit, tables=tables)
     clean = cells.withColumns({"column": normalize(F.col("column")), "value": F.when(~F.col("is_null"), normalize(F.col("value")))})
     names = clean.groupBy("table_id", "file_basename", "column").agg(F.count_distinct("col_idx").alias("n")).where("n > 1")
-    collided = names.groupBy("table_id", "file_basename").agg(F.max("n").alias("n"))
-    clean.join(collided, ["table_id", "file_basename"], "left_anti").write.mode("overwrite").partitionBy("table_id").parquet(out_dir)
+    collided = staged(names.groupBy("table_id", "file_basename").agg(F.max("n").alias("n")), "collided")
+    fs, target, _ = _file_system(spark, out_dir)
+    fs.mkdirs(target)
+    found = opened_by_arrow(spark, out_dir)
+    if found is None:
+        raise ValueError(f"{out_dir} is in a store that only Spark can open; choose another folder for the tables")
+    spark.dataSource.register(TableSink)
+    kept = clean.join(collided, ["table_id", "file_basename"], "left_anti").select("table_id", "row_idx", "col_idx", "column", "value")
+    # A row's cells stay together, and a large table spreads over tasks by ranges of its rows.
+    kept.repartitionByRange("table_id", "row_idx").sortWithinPartitions("table_id", "row_idx", "col_idx").write.format("table_files").mode("append").option("path", found).save()
     return collided.select("file_basename", F.lit("colliding_headers").alias("skip_reason")).unionByName(errors.select("file_basename", "skip_reason"))

@@ -133,7 +133,7 @@ def _errors(read: DataFrame) -> DataFrame:
     return read.where("error is not null").groupBy("file_basename").agg(F.lit("read_error").alias("skip_reason"), F.min("error").alias("error"))
 
 
-def _opened_by_arrow(spark: SparkSession, folder: str) -> str | None:
+def opened_by_arrow(spark: SparkSession, folder: str) -> str | None:
     """The folder as pyarrow's file systems name it, or None if they cannot open it; Spark resolves mounts and links."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).resolvePath(path).toUri()
@@ -161,7 +161,7 @@ def read_corpus(
     The folder is read once, and what ``rules`` make of its cells is staged for all that follow. A file that breaks anywhere has an
     error and no cells. Where only Spark can open the folder, whole files are read through it; it passes over files without bytes.
     """
-    found = _opened_by_arrow(spark, folder)
+    found = opened_by_arrow(spark, folder)
     if found is None:
         cells, errors = cells_of_files(list_files(spark, folder, limit))
         cells = cells if tables is None else cells.where(F.col("table_id").isin(tables))
@@ -175,13 +175,18 @@ def read_corpus(
     return cells, errors
 
 
+def missing_path(error: Exception) -> bool:
+    """Whether a read failed because there is nothing at its path."""
+    return "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error)
+
+
 def read_optional(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """A table in the columns of ``schema``; absent columns are null, an absent path is an empty table."""
     wanted = T._parse_datatype_string(schema)
     try:
         found = spark.read.options(**options).format(fmt).load(path)
     except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+        if not missing_path(error):
             raise
         return spark.createDataFrame([], wanted)
     return found.select(*[(F.col(f"`{f.name}`") if f.name in found.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.fields])

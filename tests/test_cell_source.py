@@ -97,7 +97,7 @@ def test_partitions_follow_ranges_and_pushed_tables(folder):
 def test_only_spark_can_open(spark, folder, monkeypatch):
     """Without a file system of pyarrow, whole files go through Spark, with the same cells and errors."""
     expected = {tuple(r) for r in corpus.read_corpus(spark, str(folder))[0].where("table_id = 'b' or row_idx < 5").collect()}
-    monkeypatch.setattr(corpus, "_opened_by_arrow", lambda spark, folder: None)
+    monkeypatch.setattr(corpus, "opened_by_arrow", lambda spark, folder: None)
     cells, errors = corpus.read_corpus(spark, str(folder))
     assert {tuple(r) for r in cells.where("table_id = 'b' or row_idx < 5").collect()} == expected
     assert {r.file_basename for r in errors.collect()} == {"e.parquet"}  # Spark passes over files without bytes
