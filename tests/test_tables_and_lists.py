@@ -31,7 +31,7 @@ def test_one_clean_table_for_each_file(spark, folder, tmp_path):
     assert pq.read_table(out / "short.parquet").to_pydict() == {"only": ["p", None]}
     long = pq.read_table(out / "long.parquet")
     assert long.column_names == ["row identifier", "some name", "x"] and long.num_rows == 5000
-    assert long.slice(0, 3).to_pydict() == {"row identifier": ["0", "1", "2"], "some name": [None, "a b 1", "a b 2"], "x": ["0.0", "0.5", "1.0"]}
+    assert long.slice(0, 3).to_pydict() == {"row identifier": ["0", "1", "2"], "some name": [None, "A b 1", "A b 2"], "x": ["0.0", "0.5", "1.0"]}
     assert long.column("row identifier").to_pylist() == [str(k) for k in range(5000)]
 
 
