@@ -250,12 +250,13 @@ def repeated_spans(texts: DataFrame, config: Config, level: int = 0) -> DataFram
     length, seed, last = config.length, config.seeds[level], level + 1 == len(config.seeds)
     with scratch(texts.sparkSession, f"spans-{level}"):
         rows = materialize(seeded(texts, length, seed), "regions").select("doc", "version", F.inline("regions"))
-        often = rows.groupBy("seed").count().where("count > 1").select("seed")
+        # Counts are written, so that joins with them have plain exchanges on both sides and adaptive execution splits a frequent seed.
+        often = materialize(rows.groupBy("seed").count().where("count > 1").select("seed"), "often")
         rows = materialize(rows.join(often, "seed", "left_semi"), "repeated")
         # Null documents come last, as they do everywhere.
         place = F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("version").alias("version"), F.col("start").alias("start"), F.col("n").alias("n"))
         distinct = materialize(rows.groupBy("seed", "region").agg(F.min(place).alias("first")), "distinct")
-        sizes = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        sizes = materialize(distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
         wanted = distinct.join(sizes, "seed").groupBy("first.doc", "first.version")
         wanted = wanted.agg(F.collect_list(F.struct("seed", "region", F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), F.col("first.n").alias("n"))).alias("wanted"))
         wanted = wanted.select(F.col("doc").alias("of_doc"), F.col("version").alias("of_version"), "wanted")
