@@ -1,15 +1,15 @@
 """Hard negatives by distributed radix selection.
 
 Each anchor has a window of scores (and a side: rows of its label, or of others), in which the ``k`` first rows by (score
-descending, id ascending, row) are wanted. Blocks of anchors meet blocks of rows; a task multiplies its two blocks and returns, for
-each window, a histogram of one digit of the rows' keys: of the score while it is open, then of the id among equal scores, then of
+descending, id ascending, row) are wanted. Each block of anchors meets each slice of the rows; a task holds the anchors, streams the rows past them and returns, for
+each window, one histogram of a digit of the rows' keys: of the score while it is open, then of the id among equal scores, then of
 the row among equal ids. The histograms are summed, the digit that holds the kth row is found, and the next round looks at
 the next digit of rows with that digit only. A window is decided as soon as at most ``gather`` of its rows come up to the digit
 found; then only those rows are gathered and numbered. No list of scores is kept or moved, ties cost rounds, not rows, and nothing
 about anchors or rows passes through the driver but two counts and four bounds.
 
-The anchors are a stated set of queries against all rows. A row is shuffled once for each block of ``anchors`` anchors in a round,
-an anchor once for each block of ``rows`` rows; both kinds of block have a bounded number of rows whatever the labels or the ties.
+The anchors are a stated set of queries against all rows. A row is shuffled once for each block of ``anchors`` anchors in a round, an anchor once for
+each of ``slices`` slices. A task's memory is a block, its histograms and one batch of rows, whatever the labels or the ties; histograms are as many as windows and slices.
 
 Defined results: components become floor(scale * x), x as double. Rows with a null id, label or vector, without components, or with a
 component that is null or not finite, or 2^26 or more after scaling, take no part; scores are exact integers below 2^63 for vectors of up to 2,048
@@ -19,11 +19,12 @@ positive, but a copy of it is a row like others.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,31 +47,84 @@ class Config:
     scale: int = 256
     digit: int = 8
     gather: int = 32
-    anchors: int = 4096
-    rows: int = 2048
+    anchors: int = 2048
+    slices: int = 32
 
 
-# ------------------------------------------------------------------------------------ one block of anchors against one of rows
+# ------------------------------------------------------------------------------------ one block of anchors against a slice of rows
 
 
-def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    return np.concatenate(vectors.to_list()).reshape(len(vectors), width)
+class _Some:
+    """Rows of one slice of a batch, or the anchors of a block: numbers, and vectors by their length."""
 
+    def __init__(self, parts: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(parts)
+        self.rid, self.id, self.label = (table.column(c).to_numpy() for c in ("rid", "id", "label"))
+        vectors = table.column("vector").combine_chunks()
+        lengths, values = vectors.value_lengths().to_numpy(), vectors.flatten().to_numpy()
+        begins = np.cumsum(lengths) - lengths
+        #: (length, the rows with vectors of it, their vectors)
+        self.widths = {int(w): (at := np.flatnonzero(lengths == w), values[begins[at][:, None] + np.arange(w)]) for w in np.unique(lengths)}
 
-def _products(anchors: pd.DataFrame, rows: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame, np.ndarray]]:
-    """Anchors and rows of one length of vector, and their inner products, exactly; 256 anchors at a time."""
-    lengths = rows["vector"].map(len)
-    for width, part in anchors.groupby(anchors["vector"].map(len), sort=False):
-        other = rows[lengths == width]
-        if not len(other):
-            continue
-        b = _matrix(other["vector"], width)
-        for start in range(0, len(part), 256):
-            some = part.iloc[start : start + 256]
-            a = _matrix(some["vector"], width)
-            most = float(np.abs(a).max()) * float(np.abs(b).max()) * width
+
+class _Block:
+    """The anchors of a block with their windows."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        self.some = _Some(parts)
+        windows = [w for part in parts for w in part.column("windows").to_pylist()]
+        self.windows = [w for of_anchor in windows for w in of_anchor]
+        self.of_anchor = np.cumsum([0] + [len(w) for w in windows])
+
+    def scores(self, rows: _Some) -> Iterator[tuple[int, dict, np.ndarray, np.ndarray, np.ndarray]]:
+        """(number of the window, window, the rows it is about, their scores, those that its side allows) for each window.
+
+        Products are exact, and made for 256 anchors at a time.
+        """
+        for width, (which, a) in self.some.widths.items():
+            if width not in rows.widths:
+                continue
+            at, b = rows.widths[width]
+            label, rids = rows.label[at], rows.rid[at]
             # Doubles hold whole numbers exactly up to 2^53, and are multiplied much faster.
-            yield some, other, (a.astype(float) @ b.astype(float).T).astype(np.int64) if most < 2**53 else a @ b.T
+            exact = float(np.abs(a).max()) * float(np.abs(b).max()) * width < 2**53
+            flat = b.astype(float).T if exact else b.T
+            for start in range(0, len(which), 256):
+                some = a[start : start + 256]
+                product = (some.astype(float) @ flat).astype(np.int64) if exact else some @ flat
+                for k, anchor in enumerate(which[start : start + 256]):
+                    same, other = label == self.some.label[anchor], rids != self.some.rid[anchor]
+                    for w in range(self.of_anchor[anchor], self.of_anchor[anchor + 1]):
+                        window = self.windows[w]
+                        yield w, window, at, product[k], same & other if window["same"] else ~same
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Block | None, _Some | None]]:
+    """(block, rows) for each slice of rows that meets a block of anchors, and (block, None) where a block ends.
+
+    Rows come sorted by block, its anchors first; only the anchors and one batch are held.
+    """
+    key, parts, block = None, [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("i", "j", "is_row")])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for start, stop in itertools.pairwise(cuts):
+            now, part = tuple(keys[:2, start].tolist()), batch.slice(start, stop - start)
+            if now != key:
+                if block is not None:
+                    yield block, None
+                key, parts, block = now, [], None
+            if not keys[2, start]:
+                parts.append(part)
+                continue
+            if block is None and parts:
+                block = _Block(parts)
+            if block is not None:
+                yield block, _Some([part])
+    if block is not None:
+        yield block, None
 
 
 def _open(window: dict, score: np.ndarray, mask: np.ndarray, ids: np.ndarray, rids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,29 +137,28 @@ def _open(window: dict, score: np.ndarray, mask: np.ndarray, ids: np.ndarray, ri
     return open_ & (ids == window["tied"]), rids
 
 
-def _windows_of(anchors: pd.DataFrame, rows: pd.DataFrame) -> Iterator[tuple[dict, pd.DataFrame, np.ndarray, np.ndarray]]:
-    """(window, rows, scores, the rows that its side allows) for each window of each anchor."""
-    for some, other, product in _products(anchors, rows):
-        label, rids = other["label"].to_numpy(), other["rid"].to_numpy()
-        for k, (anchor_label, anchor_rid, windows) in enumerate(zip(some["label"], some["rid"], some["windows"], strict=True)):
-            same = label == anchor_label
-            for window in windows:
-                yield window, other, product[k], (same & (rids != anchor_rid)) if window["same"] else ~same
-
-
 def _histograms(config: Config):
-    def counted(anchors: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int, int]] = []
-        if len(anchors) and len(rows):
-            for window, other, score, mask in _windows_of(anchors, rows):
-                open_, key = _open(window, score, mask, other["id"].to_numpy(), other["rid"].to_numpy())
+    """For each window one histogram of a digit over all rows that met its block in this task."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, total = 1 << config.digit, None
+        for block, rows in _blocks_of(batches):
+            if rows is None:
+                at, digit = np.nonzero(total) if total is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                names = np.array([w["window"] for w in block.windows], dtype=np.int64)
+                n = total[at, digit] if total is not None else at
+                yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(digit, pa.int64()), pa.array(n, pa.int64())], ["window", "digit", "n"])
+                total = None
+                continue
+            if total is None:
+                total = np.zeros((len(block.windows), size), np.int64)
+            for w, window, which, score, mask in block.scores(rows):
+                open_, key = _open(window, score, mask, rows.id[which], rows.rid[which])
                 # In unsigned 64-bit numbers differences of any two longs are whole.
                 past = key[open_].astype(np.uint64) - np.array(window["prefix"]).astype(np.uint64)
                 if window["bits"] < 64:
                     past = past[past < np.uint64(1 << window["bits"])]
-                digits, n = np.unique(past >> np.uint64(max(window["bits"] - config.digit, 0)), return_counts=True)
-                found.extend((window["window"], int(d), int(c)) for d, c in zip(digits, n, strict=True))
-        return pd.DataFrame(found, columns=["window", "digit", "n"], dtype="int64")
+                total[w] += np.bincount((past >> np.uint64(max(window["bits"] - config.digit, 0))).astype(np.int64), minlength=size)
 
     return counted
 
@@ -113,11 +166,11 @@ def _histograms(config: Config):
 def _gathered(config: Config):
     """Rows up to the digit found: all open rows of a smaller key in the fields before, and those up to the last open one."""
 
-    def hits(anchors: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(anchors) and len(rows):
-            for window, other, score, mask in _windows_of(anchors, rows):
-                ids, rids = other["id"].to_numpy(), other["rid"].to_numpy()
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in _blocks_of(batches):
+            parts = []
+            for _, window, which, score, mask in block.scores(rows) if rows is not None else ():
+                ids, rids = rows.id[which], rows.rid[which]
                 inside = mask & (score >= window["low"]) & (score <= window["high"])
                 # The last open key: prefix + 2^bits - 1 in the field; ``bits`` is what is left below the digit found.
                 last = min(window["prefix"] + (1 << window["bits"]) - 1, 2**63 - 1)
@@ -128,8 +181,10 @@ def _gathered(config: Config):
                     take = inside & (score > window["score"])
                     take |= inside & tied & ((ids <= last) if window["field"] == 1 else (ids < window["tied"]) | ((ids == window["tied"]) & (rids <= last)))
                 at = np.flatnonzero(take)
-                parts.append(pd.DataFrame({"window": window["window"], "rid": rids[at], "id": ids[at], "score": score[at]}))
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("window", "rid", "id", "score")})
+                if len(at):
+                    parts.append((np.full(len(at), window["window"]), rids[at], ids[at], score[at]))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True)], ["window", "rid", "id", "score"])
 
     return hits
 
@@ -138,21 +193,21 @@ def _gathered(config: Config):
 
 
 class _Blocks:
-    """The rows, and the anchors among them, dealt into a grid of blocks."""
+    """The rows in slices, and the anchors among them in blocks: each block meets each slice."""
 
     def __init__(self, vectors: DataFrame, anchors: DataFrame, config: Config):
         self.vectors, self.anchors, self.config = vectors, anchors, config
-        n, n_anchors = vectors.count(), anchors.count()
-        self.n_i, self.n_j = max(1, -(-n_anchors // config.anchors)), max(1, -(-n // config.rows))
+        self.n_i = max(1, -(-anchors.count() // config.anchors))
 
     def meet(self, windows: DataFrame, work, schema: str) -> DataFrame:
-        """``work`` on each block of anchors that have windows (rid, window...) and each block of rows."""
+        """``work`` on each block of anchors that have windows (rid, w) with each slice of rows."""
         per = windows.groupBy("rid").agg(F.collect_list("w").alias("windows"))
-        of_block = lambda n: F.pmod(F.xxhash64("rid"), F.lit(n)).cast("int")
+        of = lambda n: F.pmod(F.xxhash64("rid"), F.lit(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        asked = self.anchors.join(per, "rid").select(*[F.col(c).alias(c) for c in ("rid", "label", "vector")], "windows", of_block(self.n_i).alias("i")).select("*", every(self.n_j).alias("j"))
-        rows = self.vectors.select("rid", "id", "label", "vector", of_block(self.n_j).alias("j")).select("*", every(self.n_i).alias("i"))
-        return asked.groupBy("i", "j").cogroup(rows.groupBy("i", "j")).applyInPandas(work, schema)
+        asked = self.anchors.join(per, "rid").select("rid", "id", "label", "vector", "windows", of(self.n_i).alias("i"), F.lit(0).alias("is_row")).withColumn("j", every(self.config.slices))
+        rows = self.vectors.select("rid", "id", "label", "vector", of(self.config.slices).alias("j"), F.lit(1).alias("is_row")).withColumn("i", every(self.n_i))
+        both = asked.unionByName(rows, allowMissingColumns=True)
+        return both.repartition("i", "j").sortWithinPartitions("i", "j", "is_row").mapInArrow(work, schema)
 
 
 def _bits(span: Column) -> Column:
