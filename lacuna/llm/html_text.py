@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from lacuna.llm.columns import Carried
 
 #: Thresholds of the first pass, in characters and shares.
-SHORT_CHARS, LONG_CHARS, STOP_HIGH, STOP_LOW, STOP_NONE, LINKS_HIGH = 90, 200, 0.20, 0.10, 0.05, 0.5
+SHORT_CHARS, LONG_CHARS, STOP_HIGH, STOP_LOW, STOP_NONE, LINKS_HIGH, SENTENCE_CHARS = 90, 200, 0.20, 0.10, 0.05, 0.5, 400
 
 #: The share of a page's text above which an element is its layout, whatever its class says.
 LAYOUT_SHARE = 0.9
@@ -50,7 +50,7 @@ BLOCK_TAGS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = ("script", "style", "textarea", "noscript", "template", "iframe", "noembed", "noframes", "svg", "math", "object", "canvas", "audio", "video", "select")
+RAW_TAGS = ("script", "style", "textarea", "noscript", "template", "iframe", "noembed", "noframes", "svg", "annotation", "annotation-xml", "object", "canvas", "audio", "video", "select")
 FURNITURE_TAGS = frozenset("nav footer aside form head title menu dialog button".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tooltip status".split())
 FURNITURE_WORDS = frozenset(
@@ -60,6 +60,15 @@ FURNITURE_WORDS = frozenset(
     "disclaimer paywall taboola outbrain alert".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond related recommended teaser sponsored ad advert".split())
+#: Furniture words that count in an article together with words of layout; others count there alone, or where the text agrees.
+INSET_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion comment comments commentlist disqus respond reply replies related recommended recommendations "
+    "teaser cookie cookies consent gdpr newsletter subscribe subscription signup login popup modal overlay paywall taboola outbrain notification disclaimer".split()
+)
+LAYOUT_WORDS = frozenset(
+    "list box section area container wrapper wrap block inner outer item items form thread bar link links post posts article articles story stories count button buttons row col column top bottom left right "
+    "header title site page user reader readers google slot unit holder zone placeholder panel body text content main global primary secondary mobile desktop sticky fixed inline".split()
+)
 CONTENT_NAMES = frozenset("content post entry story article articlebody article-body article-content entry-content post-content post-body story-body main-content maincontent content-main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: How a note of rights begins.
@@ -81,6 +90,9 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|itemprop|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|$)""", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
+#: The end of a sentence, in scripts with and without spaces; and the characters of scripts that say in one what others say in three.
+_SENTENCE = re.compile(r"[.!?…।؟۔][\"'”’»)\]]*(?=\s|$)|[。！？]")
+_DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 
 
 class Place(IntEnum):
@@ -127,17 +139,28 @@ def is_furniture(tag: str, attributes: dict[str, str], in_content: bool) -> bool
     return attributes.get("role", "").lower() in FURNITURE_ROLES
 
 
-def is_doubtful(tag: str, attributes: dict[str, str], in_content: bool) -> bool:
-    """Whether an element's class or id speaks of furniture."""
+def doubt(tag: str, attributes: dict[str, str], in_content: bool) -> int:
+    """Whether an element's class or id speaks of furniture: 2 where it does, 1 where it may be an article's own subject, 0 where not.
+
+    In an article a name is furniture if all its parts are furniture words, or if it is made of an advert's or comment's words and of words of layout.
+    Another name with a furniture word ("social-history") leaves it to the text.
+    """
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
+    found = 0
     for name in _names(attributes):
         parts = re.split(r"[-_:]+", name)
         if parts[0] in ("has", "with", "no", "is", "without"):
             continue
-        if not FURNITURE_WORDS.isdisjoint(parts) or (parts in (["header"], ["site", "header"], ["page", "header"]) and not in_content):
-            return True
-    return False
+        if parts in (["header"], ["site", "header"], ["page", "header"]) and not in_content:
+            return 2
+        if FURNITURE_WORDS.isdisjoint(parts):
+            continue
+        rest = [x for x in parts if x and not x.isdigit() and x not in FURNITURE_WORDS]
+        if not in_content or not rest or (LAYOUT_WORDS.issuperset(rest) and not INSET_WORDS.isdisjoint(parts)):
+            return 2
+        found = 1
+    return found
 
 
 def is_content(tag: str, attributes: dict[str, str]) -> bool:
@@ -151,6 +174,7 @@ def read_blocks(page: str) -> list[Block]:
     stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, furniture, doubtful, content
     furniture = content = links = headings = elements = region = 0
     doubtful: list[int] = []
+    weak: set[int] = set()  # doubtful elements whose text decides
     around: dict[int, tuple[int, ...]] = {}  # of each content region, the doubtful elements around it
 
     def finish() -> None:
@@ -189,7 +213,7 @@ def read_blocks(page: str) -> list[Block]:
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
-            if (m["raw"] or "").lower() in ("svg", "math", "canvas", "iframe", "object", "audio", "video"):
+            if (m["raw"] or "").lower() in ("svg", "canvas", "iframe", "object", "audio", "video"):
                 text(" ")
             continue
         if tag in BLOCK_TAGS:
@@ -219,24 +243,38 @@ def read_blocks(page: str) -> list[Block]:
         attributes = _attributes(m["attrs"])
         out = is_furniture(tag, attributes, content > 0)
         found = not furniture and not out and is_content(tag, attributes)
-        doubt = not out and not (found and not content) and is_doubtful(tag, attributes, content > 0)
+        doubts = 0 if out or (found and not content) else doubt(tag, attributes, content > 0)
         if found and not content:
             region += 1
             around[region] = tuple(doubtful)
-        if doubt:
+        if doubts:
             elements += 1
             doubtful.append(elements)
-        stack.append((tag, out, doubt, found))
+            if doubts == 1:
+                weak.add(elements)
+        stack.append((tag, out, doubts > 0, found))
         furniture += out
         content += found
         links += tag == "a"
         headings += tag in HEADINGS
     text(page[at:])
     finish()
+    _acquit(blocks, weak)
     _place(blocks, around)
     return blocks
 
 
+def _acquit(blocks: list[Block], weak: set[int]) -> None:
+    """Clear elements that their names alone make doubtful, if at least half of their text is prose."""
+    chars: Counter[int] = Counter()
+    for b in blocks:
+        for e in weak.intersection(b.doubtful) if weak and not b.furniture else ():
+            chars[e] += len(b.text) * (1 if is_prose(b) else -1)
+    cleared = {e for e, n in chars.items() if n >= 0}
+    for b in blocks if cleared else ():
+        b.doubtful = tuple(e for e in b.doubtful if e not in cleared)
+
+
 def _place(blocks: list[Block], around: dict[int, tuple[int, ...]]) -> None:
     """Give each block its place, when the whole page is known."""
     chars: Counter[int] = Counter()
@@ -267,19 +305,47 @@ def is_rights(block: Block) -> bool:
     return block.text[:10].lower().startswith(RIGHTS)
 
 
+def _size(text: str) -> int:
+    """Characters; those of dense scripts count three times."""
+    return len(text) if text.isascii() else len(text) + 2 * len(_DENSE.findall(text))
+
+
+def _stops(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def _linked(block: Block) -> bool:
+    return block.link_chars > LINKS_HIGH * len(block.text.replace(" ", ""))
+
+
+def _in_sentences(text: str) -> bool:
+    """Whether a text has ends of sentences, one at least in every ``SENTENCE_CHARS`` characters."""
+    return len(_SENTENCE.findall(text)) * SENTENCE_CHARS >= _size(text)
+
+
+def is_prose(block: Block) -> bool:
+    """Whether a block reads as text by itself, in any language."""
+    return not _linked(block) and _size(block.text) >= SHORT_CHARS and (_stops(block.text) >= STOP_LOW or _in_sentences(block.text))
+
+
 def first_pass(block: Block) -> bool | None:
-    """True for text, False for furniture, None where the block is too short or too odd to tell."""
+    """True for text, False for furniture, None where the block is too short or too odd to tell.
+
+    A long block with few stop words may be of a language whose stop words are not known: it is text if it has sentences.
+    """
     if block.place in (Place.FURNITURE, Place.OUTSIDE):
         return False
-    content, chars = block.place == Place.CONTENT, len(block.text)
-    if block.link_chars > LINKS_HIGH * len(block.text.replace(" ", "")) or is_rights(block):
+    content, chars = block.place == Place.CONTENT, _size(block.text)
+    if _linked(block) or is_rights(block):
         return None if content else False
     if chars < SHORT_CHARS:
         return None
-    words = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    stops = _stops(block.text)
     if stops >= (STOP_LOW if chars >= LONG_CHARS or content else STOP_HIGH):
         return True
+    if chars >= LONG_CHARS and stops < STOP_NONE and _in_sentences(block.text):
+        return True
     return None if content or chars < LONG_CHARS or stops >= STOP_NONE else False
 
 

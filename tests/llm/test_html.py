@@ -75,6 +75,42 @@ def test_second_pass_equals_its_definition():
         assert ht.second_pass(blocks, labels) == by_definition(blocks, labels)
 
 
+RUSSIAN = "Старый город стоит на берегу широкой реки. Каждое утро рыбаки выходят на лодках, и дети смотрят им вслед с высокого моста. Вечером они возвращаются домой с уловом. Так проходит каждый день короткого северного лета, пока не приходят холода."
+TURKISH = "Eski şehir geniş bir nehrin kıyısında durur. Her sabah balıkçılar teknelerle denize çıkar, çocuklar yüksek köprüden onlara bakar. Akşam olunca hepsi evlerine döner. Kısa kuzey yazının günleri soğuklar gelene kadar böyle geçer, sonra nehir donar."
+FINNISH = "Vanha kaupunki seisoo leveän joen rannalla. Joka aamu kalastajat lähtevät veneillä vesille, ja lapset katselevat heitä korkealta sillalta. Illalla he palaavat kotiin saaliin kanssa. Näin kuluu jokainen lyhyen pohjoisen kesän päivä, kunnes pakkaset tulevat."
+CHINESE = "老城坐落在一条大河的岸边。每天早晨,渔夫们划着小船出去捕鱼,孩子们站在高高的桥上望着他们。傍晚,他们带着收获回到家里。北方短暂的夏天就这样一天一天地过去,直到寒冷来临,河水结冰。"
+
+
+@pytest.mark.parametrize("prose", [RUSSIAN, TURKISH, FINNISH, CHINESE])
+def test_any_language_with_and_without_regions(prose):
+    """Two paragraphs between navigation, a button and a note of rights; links and lists of words stay furniture."""
+    nav = "<div><a href=a>Home</a> <a href=b>News</a> <a href=c>Weather</a></div>"
+    foot = "<div>© 2024 the owners</div>"
+    for page in (f"<body>{nav}<article><p>{prose}</p><p>{prose}</p></article>{foot}", f"<body>{nav}<div><p>{prose}</p><p>{prose}</p></div>{foot}"):
+        assert ht.main_text(page) == f"{prose}\n{prose}"
+    assert "Sport" not in ht.main_text(f"<body>{nav}<div>{'Sport Politik Wetter Kultur Reise ' * 8}</div><div><p>{prose}</p><p>{prose}</p></div>{foot}")
+
+
+@pytest.mark.parametrize("name", ["social-history", "comments-on-law", "share-prices", "related-work", "banner-image", "notice-of-death", "footer-note", "menu-items", "widget-list"])
+def test_an_articles_own_subject_is_not_furniture(name):
+    inner = f"<div class='{name}'><h2>Part</h2>{PROSE}</div>"
+    assert ht.main_text(f"<body><nav>n</nav><article><h1>Title</h1>{PROSE}{inner}</article>") == "\n".join(["Title", TEXT.split("\n")[1], "Short.", "Part", TEXT.split("\n")[1], "Short."])
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-box", "comments-section", "reader-comments", "ad", "ad-slot-3", "google-ads", "newsletter-box", "related-posts", "cookie-banner", "social-share", "promo", "advert_container"])
+def test_adverts_and_comments_go_from_inside_an_article(name):
+    assert ht.main_text(f"<body><article><h1>Title</h1>{PROSE}<div class='{name}'>{PROSE}</div></article>") == "\n".join(TEXT.split("\n")[:3])
+
+
+def test_links_under_a_doubtful_name_go():
+    links = "".join(f"<li><a href=x>Another page of the site {k}</a></li>" for k in range(5))
+    assert ht.main_text(f"<body><article><h1>Title</h1>{PROSE}<div class='menu-items'><ul>{links}</ul></div></article>") == "\n".join(TEXT.split("\n")[:3])
+
+
+def test_formulas_keep_their_text():
+    assert ht.main_text("<article><p>We get <math><mi>E</mi><annotation encoding='t'>\\E</annotation></math> at once.</p></article>") == "We get E at once."
+
+
 @pytest.mark.parametrize(
     ("text", "links", "place", "label"),
     [
