@@ -9,7 +9,7 @@ found; then only those rows are gathered and numbered. No list of scores is kept
 about anchors or rows passes through the driver but two counts and four bounds.
 
 The anchors are a stated set of queries against all rows. A row is shuffled once for each block of ``anchors`` anchors in a round, an anchor once for
-each of ``slices`` slices. A task's memory is a block, its histograms and one batch of rows, whatever the labels or the ties; histograms are as many as windows and slices.
+each slice, of which there are ``slices`` or as many as have ``slice_rows`` rows. A task's memory is a block, its histograms and one batch of rows, whatever the labels or the ties; histograms are as many as windows and slices.
 
 Defined results: components become floor(scale * x), x as double. Rows with a null id, label or vector, without components, or with a
 component that is null or not finite, or 2^26 or more after scaling, take no part; scores are exact integers below 2^63 for vectors of up to 2,048
@@ -48,7 +48,8 @@ class Config:
     digit: int = 8
     gather: int = 32
     anchors: int = 2048
-    slices: int = 32
+    slices: int = 8
+    slice_rows: int = 1 << 18
 
 
 # ------------------------------------------------------------------------------------ one block of anchors against a slice of rows
@@ -198,14 +199,15 @@ class _Blocks:
     def __init__(self, vectors: DataFrame, anchors: DataFrame, config: Config):
         self.vectors, self.anchors, self.config = vectors, anchors, config
         self.n_i = max(1, -(-anchors.count() // config.anchors))
+        self.n_j = max(config.slices, -(-vectors.count() // config.slice_rows))
 
     def meet(self, windows: DataFrame, work, schema: str) -> DataFrame:
         """``work`` on each block of anchors that have windows (rid, w) with each slice of rows."""
         per = windows.groupBy("rid").agg(F.collect_list("w").alias("windows"))
         of = lambda n: F.pmod(F.xxhash64("rid"), F.lit(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        asked = self.anchors.join(per, "rid").select("rid", "id", "label", "vector", "windows", of(self.n_i).alias("i"), F.lit(0).alias("is_row")).withColumn("j", every(self.config.slices))
-        rows = self.vectors.select("rid", "id", "label", "vector", of(self.config.slices).alias("j"), F.lit(1).alias("is_row")).withColumn("i", every(self.n_i))
+        asked = self.anchors.join(per, "rid").select("rid", "id", "label", "vector", "windows", of(self.n_i).alias("i"), F.lit(0).alias("is_row")).withColumn("j", every(self.n_j))
+        rows = self.vectors.select("rid", "id", "label", "vector", of(self.n_j).alias("j"), F.lit(1).alias("is_row")).withColumn("i", every(self.n_i))
         both = asked.unionByName(rows, allowMissingColumns=True)
         return both.repartition("i", "j").sortWithinPartitions("i", "j", "is_row").mapInArrow(work, schema)
 
