@@ -12,7 +12,9 @@ import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 
 
@@ -23,6 +25,16 @@ def give_back() -> None:
         _TRIM(0)
 
 
+#: Rows of an Arrow batch on its way to a worker: texts of some thousand characters make some megabytes, which the JVM holds beside its heap.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session send batches of ``BATCH_ROWS`` rows to workers, unless it has been given a number of its own."""
+    if spark.conf.get(_ROWS) == "10000":  # Spark's default
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+
 def giving_back(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``work`` over a partition's batches, giving memory back before it starts, after each of its results and at its end."""
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm.columns import Carried
 from lacuna.llm.labelled import in_fold, labelled_rows
-from lacuna.llm.memory import giving_back
+from lacuna.llm.memory import giving_back, small_batches
 from lacuna.llm.storage import materialize, scratch
 
 THRESHOLD = 0.3
@@ -508,6 +508,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: Config = Config(), id_col: s
     changes, all bounded by ``buckets``; a task holds the model, a shard and the rows of the table that the shard uses.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     with scratch(spark):
         rows = labelled_rows(docs, labels, "toxic", 4, 2, id_col, text_col).withColumn("order", F.xxhash64("id", F.lit(config.seed)))
         rows = materialize(rows, "toxicity-rows")
@@ -608,6 +609,7 @@ def _calibration(rows: DataFrame, model: Model) -> pd.DataFrame:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, held_out, score, predicted."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     carried = Carried(docs, id_col)
 
@@ -623,6 +625,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows whose score is below the threshold, with all their columns."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
