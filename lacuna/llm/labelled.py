@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,18 +26,16 @@ def _known(labels: DataFrame, label_col: str, folds: int, held_out: int, id_col:
     return known.where(~in_fold("__id", folds, held_out)).groupBy("__id").agg(F.max("__label").alias("__label"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, held_out: int, rows_per_class: int, sample_chars: int, id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
-    """At most ``rows_per_class`` labelled documents of each class, as a pandas frame of text and label.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, held_out: int, rows_per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """At most ``rows_per_class`` labelled documents of each class: ``id``, ``label`` and the whole ``text``.
 
-    Documents of the held-out fold, with null ids or over ``sample_chars`` characters are not drawn. The draw is
+    Documents of the held-out fold or with null ids are not drawn; the length of a text does not matter. The draw is
     by a hash of the id, so it is the same in every run; ids with several labels count with the largest, ids with
-    several texts with the least. The ids drawn are at most twice ``rows_per_class``, and the executors reduce each to one
-    text, which bounds what is broadcast and collected however often an id is repeated.
+    several texts with the least. The ids drawn are at most twice ``rows_per_class``, which bounds what is broadcast, and the executors
+    reduce each to one text however often an id is repeated.
     """
-    known = _known(labels, label_col, folds, held_out, id_col)
-    drawn = [known.where(f"__label = {k}").orderBy(F.xxhash64("__id"), "__id").limit(rows_per_class) for k in (0, 1)]
+    known = _known(labels, label_col, folds, held_out, id_col).toDF("id", "label")
+    drawn = [known.where(f"label = {k}").orderBy(F.xxhash64("id"), "id").limit(rows_per_class) for k in (0, 1)]
     ids = docs.sparkSession.createDataFrame([tuple(r) for d in drawn for r in d.collect()], known.schema)
-    narrow = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= sample_chars)
-    found = narrow.join(F.broadcast(ids), "__id").groupBy("__id", "__label").agg(F.min("text").alias("text")).toPandas()
-    found = found.sort_values("__id")
-    return pd.DataFrame({"text": found["text"].to_numpy(), "label": found["__label"].to_numpy()})
+    narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return narrow.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min("text").alias("text"))

@@ -6,6 +6,9 @@ derived from it (its length and its script). The machine is
 ``1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2]``. It is trained in numpy with Adagrad on a bounded
 sample of labelled rows. No column but the text is an input.
 
+The executors read the sample's texts whole and send the driver what the machine sees of each: the buckets of its distinct
+words, of which there are at most ``Config.buckets``, and its statistics. So no text is too long to learn from.
+
 Scores are calibrated so that the threshold 0.3 is the cut of best balanced accuracy on rows kept out of
 the training.
 
@@ -32,10 +35,9 @@ THRESHOLD = 0.3
 
 @dataclass(frozen=True)
 class Config:
-    """Sizes of the model and of its training; ``rows_per_class`` and ``sample_chars`` bound the sample."""
+    """Sizes of the model and of its training; ``rows_per_class`` bounds the sample."""
 
     rows_per_class: int = 2000
-    sample_chars: int = 20_000
     buckets: int = 1 << 18
     bins: int = 12
     rank: int = 6
@@ -99,11 +101,15 @@ class Model:
     shift: float = 0.0
 
 
-def features(model: Model, text: str, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """The indices and values of a text's features: distinct words share a unit norm, bins count one."""
+def observe(text: str, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """What the machine sees of a text: the buckets of its distinct words, and its statistics."""
     found = words(text)
     distinct = np.unique(found)
-    stats = statistics(text, found, len(distinct))
+    return distinct, statistics(text, found, len(distinct))
+
+
+def features(model: Model, distinct: np.ndarray, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The indices and values of an observed text's features: distinct words share a unit norm, bins count one."""
     bins = (stats[:, None] > model.edges).sum(axis=1) + np.arange(len(stats)) * model.config.bins + model.config.buckets
     return np.concatenate([distinct, bins]), np.concatenate([np.full(len(distinct), 1 / np.sqrt(max(1, len(distinct)))), np.ones(len(bins))]).astype(np.float32)
 
@@ -117,17 +123,22 @@ def machine(model: Model, index: np.ndarray, value: np.ndarray) -> tuple[float,
 
 
 def train(texts: list[str], labels: np.ndarray, config: Config = Config()) -> Model:
-    """Train on texts and their 0/1 labels; with rows of one class only, every score leans to that class."""
-    rng = np.random.default_rng(config.seed)
+    """``learn`` from texts."""
     words = Words(config.buckets)
-    order = rng.permutation(len(texts))
-    small = len(texts) < 10 * config.validation
+    return learn([observe(t, words) for t in texts], labels, config)
+
+
+def learn(seen_texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, config: Config = Config()) -> Model:
+    """Train on observed texts and their 0/1 labels; with rows of one class only, every score leans to that class."""
+    rng = np.random.default_rng(config.seed)
+    order = rng.permutation(len(seen_texts))
+    small = len(seen_texts) < 10 * config.validation
     fit, check = (order, order) if small else (np.array([i for k, i in enumerate(order) if k % config.validation]), order[:: config.validation])
     size = config.buckets + len(STATISTICS) * config.bins
-    stats = np.array([statistics(texts[i], f := words(texts[i]), len(np.unique(f))) for i in fit]) if len(fit) else np.zeros((1, len(STATISTICS)))
+    stats = np.array([seen_texts[i][1] for i in fit]) if len(fit) else np.zeros((1, len(STATISTICS)))
     edges = np.quantile(stats, np.linspace(0, 1, config.bins + 1)[1:-1], axis=0).T
     model = Model(config, edges, 0.0, np.zeros(size, dtype=np.float32), rng.normal(0, 0.02, (size, config.rank)).astype(np.float32))
-    rows = {i: features(model, texts[i], words) for i in order}
+    rows = {i: features(model, *seen_texts[i]) for i in order}
     seen = np.zeros(size, dtype=np.int64)
     for i in fit:
         seen[rows[i][0]] += 1
@@ -178,14 +189,25 @@ class Scorer:
         self.model, self.words = model, Words(model.config.buckets)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        logits = np.array([machine(self.model, *features(self.model, t or "", self.words))[0] for t in texts])
+        logits = np.array([machine(self.model, *features(self.model, *observe(t or "", self.words)))[0] for t in texts])
         return 1 / (1 + np.exp(-np.clip(logits + self.model.shift, -40, 40)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: Config = Config(), id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Train on labelled rows outside the held-out fold (crc32 of the id mod 5 is 0)."""
-    sample = labelled_sample(docs, labels, "quality", 5, 0, config.rows_per_class, config.sample_chars, id_col, text_col)
-    return train(sample["text"].tolist(), sample["label"].to_numpy(dtype=np.int64), config)
+    """Train on labelled rows outside the held-out fold (crc32 of the id mod 5 is 0), read whole."""
+    sample = labelled_sample(docs, labels, "quality", 5, 0, config.rows_per_class, id_col, text_col)
+    carried = Carried(sample, "id")
+
+    def observed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words(config.buckets)
+        for batch in batches:
+            seen = [observe(t, words) for t in batch["text"]]
+            yield batch[["id", "label"]].assign(words=[d.astype("<i4").tobytes() for d, _ in seen], statistics=[s.tolist() for _, s in seen])
+
+    seen = sample.select(carried.sent, "label", "text").mapInPandas(observed, f"id {carried.kind}, label int, words binary, statistics array<double>")
+    rows = seen.select(carried.back, "label", "words", "statistics").toPandas().sort_values("id")
+    texts = [(np.frombuffer(w, dtype="<i4").astype(np.int64), np.asarray(s)) for w, s in zip(rows["words"], rows["statistics"], strict=True)]
+    return learn(texts, rows["label"].to_numpy(dtype=np.int64), config)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

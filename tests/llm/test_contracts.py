@@ -58,9 +58,52 @@ def test_folds_and_predictions(spark):
 def test_an_id_in_many_rows_is_sampled_once(spark):
     docs = spark.range(3000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 7).alias("text"))
     labels = spark.createDataFrame([(k, k % 2) for k in range(3)], "doc_id long, quality int")
-    found = labelled.labelled_sample(docs, labels, "quality", 5, 4, 10, 100)
+    found = labelled.labelled_sample(docs, labels, "quality", 5, 4, 10)
     drawn = [k for k in range(3) if zlib.crc32(str(k).encode()) % 5 != 4]
-    assert found["text"].tolist() == ["t0"] * len(drawn) and found["label"].tolist() == [k % 2 for k in drawn]
+    assert sorted(tuple(r) for r in found.collect()) == [(k, k % 2, "t0") for k in drawn]
+
+
+def test_quality_learns_from_texts_of_any_length(spark):
+    """Labelled texts are seen whole: what tells the classes apart stands after 40,000 characters of each, and training from texts gives the same machine."""
+    plain = "some words that all texts share " * 1300
+    rows = [(k, plain + ("good ending here " if k % 2 else "%%% ||| ")) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert all((r.score >= 0.3) == bool(r.doc_id % 2) for r in quality.score(docs, model).collect())
+    used = [(t, k % 2) for k, t in rows if zlib.crc32(str(k).encode()) % 5]
+    same = quality.train([t for t, _ in used], np.array([v for _, v in used]))
+    assert model.shift == same.shift and (model.weights == same.weights).all() and (model.factors == same.factors).all()
+
+
+def test_statistics_by_definition():
+    text = "Ab cd cd 12!\n| x. \u00e9\u00e9"
+    words = text.split()
+    found = dict(zip(quality.STATISTICS, quality.statistics(text, quality.Words(1 << 18)(text), len(set(words))), strict=True))
+    raw = text.encode()
+    n, w = len(raw), len(words)
+    wanted = {
+        "bytes": np.log1p(n), "words": np.log1p(w), "lines": np.log1p(2), "wide": 4 / n, "upper": 1 / 7, "lower": 6 / 7, "digits": 2 / n, "ends": 2 / w, "bars": 1 / w,
+        "signs": 0, "repeats": 1 / w, "distinct": len(set(words)) / w, "word_bytes": n / w, "line_words": w / 2, "long_lines": 0,
+    }
+    assert (w, n) == (7, 22) and len(wanted) == len(found)
+    for name, value in wanted.items():
+        assert abs(found[name] - value) < 1e-12, name
+
+
+def test_cut_has_the_best_balanced_accuracy():
+    """Of all cuts between two logits, none is better; with one class there is none to choose."""
+    rng = np.random.default_rng(8)
+    for size in (2, 3, 10, 50):
+        for _ in range(40):
+            labels = rng.integers(0, 2, size)
+            logits = rng.integers(-5, 6, size).astype(float)
+            cut = quality._cut(logits, labels)
+            if labels.min() == labels.max():
+                assert cut == 0.0
+                continue
+            value = lambda at: np.mean(logits[labels == 1] > at) + np.mean(logits[labels == 0] < at)
+            assert value(cut) == max(value(at) for at in np.arange(-6.5, 7, 1))
 
 
 def test_convolution_equals_its_definition():
