@@ -83,7 +83,7 @@ def test_statistics_by_definition():
     raw = text.encode()
     n, w = len(raw), len(words)
     wanted = {
-        "bytes": np.log1p(n), "words": np.log1p(w), "lines": np.log1p(2), "wide": 4 / n, "upper": 1 / 7, "lower": 6 / 7, "digits": 2 / n, "ends": 2 / w, "bars": 1 / w,
+        "bytes": np.log1p(n), "words": np.log1p(w), "lines": np.log1p(2), "wide": 4 / n, "upper": 1 / 7, "lower": 6 / n, "digits": 2 / n, "ends": 2 / w, "bars": 1 / w,
         "signs": 0, "repeats": 1 / w, "distinct": len(set(words)) / w, "word_bytes": n / w, "line_words": w / 2, "long_lines": 0,
     }
     assert (w, n) == (7, 22) and len(wanted) == len(found)
