@@ -35,14 +35,21 @@ def group_mean(df: DataFrame, keys: list[str], vector_col: str, out_col: str = "
     return each.groupBy(*keys).agg(F.transform(listed, lambda s: s["x"]).alias(out_col))
 
 
-def resolve_positions(wanted: list[int] | None, n: int) -> list[int]:
-    """Layer or head numbers, counted from the end if negative; all of them if none are named."""
+def resolve_positions(wanted: list[int] | None, n: Column) -> Column:
+    """Layer or head numbers below ``n``, counted from the end if negative; all of them if none are named. Others are an error."""
     if wanted is None:
-        return list(range(n))
-    found = [k + n if k < 0 else k for k in wanted]
-    if any(not 0 <= k < n for k in found):
-        raise IndexError(f"positions {wanted} of {n}")
-    return found
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    found = F.transform(F.array(*[F.lit(k) for k in wanted]).cast("array<int>"), lambda k: F.when(k < 0, k + n).otherwise(k))
+    wrong = F.exists(found, lambda k: (k < 0) | (k >= n))
+    return F.when(wrong, F.raise_error(F.concat(F.lit(f"positions {wanted} of "), n.cast("string"))).cast("array<int>")).otherwise(found)
+
+
+def half_precision(x: Column) -> Column:
+    """The half-precision number nearest to a double, of two equally near ones the even one; infinite from 65520 on."""
+    size = F.abs(x)
+    exponent = F.greatest(F.floor(F.log2(size)).cast("double"), F.lit(-14.0))  # log2 of 0 is null
+    near = F.rint(x / F.pow(F.lit(2.0), exponent - 10)) * F.pow(F.lit(2.0), exponent - 10)
+    return F.when(size >= 65520, F.when(F.isnan(x), x).otherwise(F.signum(x) * float("inf"))).otherwise(near)
 
 
 def embedding_names(size: int) -> list[str]:

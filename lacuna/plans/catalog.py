@@ -85,42 +85,54 @@ HEADERS = (
     "customerID", "avg_bp", "URLName", "U.S. state", "Unnamed: 0", "__index_level_0__", "age 2", "total.case", "Gender_2", "location-3", "MG", "RNA levels", "TAPEWORM", "ELISAassay", "sbp|dbp", " padded ",
     "cityName", "collection date (1)", "growth rate 2011-2016", "n", "Country", "maxTemp", "HIPAA id", "regionOf", "dateTime", "sexRatio",
 )
-_HEADERS = f"(SELECT unnest([{oracle.strings(HEADERS)}]) AS t)"
+_ALONE = " ".join(f"WHEN {k} THEN '{h}'" for k, h in enumerate(HEADERS))
+_JOINED = " ".join(f"WHEN {k} THEN concat('{h}', s, p_name)" for k, h in enumerate(HEADERS))
+#: A header of each part: one of ``HEADERS``, alone or before the part's name in one of several spellings.
+_HEADERS = f"""
+SELECT p_partkey, p_brand, CASE WHEN p_partkey % 5 = 0 THEN CASE p_partkey % 26 {_ALONE} END ELSE CASE p_partkey % 26 {_JOINED} END END AS t
+FROM (SELECT *, CASE p_partkey % 5 WHEN 1 THEN '_' WHEN 2 THEN '' WHEN 3 THEN ' - ' ELSE '.' END AS s FROM {{part}})
+"""
+_HEADERS_SQL = f"({_HEADERS.format(part='part')})"
 
 
-def _headers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(h,) for h in HEADERS], "t string")
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_HEADERS, part=fixtures.load(spark, sf_dir, "part"))
 
 
-@query("normalize_headers", f"SELECT t, {oracle.normalized('t')} AS normal FROM {_HEADERS}")
+@query("normalize_headers", f"SELECT p_partkey, t, {oracle.normalized('t')} AS normal FROM {_HEADERS_SQL}")
 def normalize_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _headers(spark).select("t", tx.normalize(F.col("t")).alias("normal"))
+    return _headers(spark, sf_dir).select("p_partkey", "t", tx.normalize(F.col("t")).alias("normal"))
 
 
-@query("column_type_rename", f"SELECT t, {oracle.column_type('t')} AS column_type FROM {_HEADERS}")
+@query("column_type_rename", f"SELECT p_partkey, t, {oracle.column_type('t')} AS column_type FROM {_HEADERS_SQL}")
 def column_type_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _headers(spark).select("t", tx.column_type(F.col("t")).alias("column_type"))
+    return _headers(spark, sf_dir).select("p_partkey", "t", tx.column_type(F.col("t")).alias("column_type"))
+
 
+_RANKED = f"row_number() OVER (PARTITION BY p_brand ORDER BY {oracle.priority('t')} DESC, md5('42|0|' || p_brand || '.parquet|' || t))"
 
-@query("priority_order", f"SELECT t, {oracle.priority('t')} AS is_priority, row_number() OVER (ORDER BY {oracle.priority('t')} DESC, md5('42|0|t.parquet|' || t)) AS column_rank FROM {_HEADERS}")
+
+@query("priority_order", f"SELECT p_brand AS table_id, t, {oracle.priority('t')} AS is_priority, {_RANKED} AS column_rank FROM (SELECT DISTINCT p_brand, t FROM {_HEADERS_SQL})")
 def priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = {"table_id": F.lit("t"), "file_basename": F.lit("t.parquet"), "col_idx": F.lit(0), "run_index": F.lit(0), "column": F.col("t")}
-    ranked = sampling.column_order(_headers(spark).withColumns(table), 42, lx.PRIORITY_PATTERN)
-    return ranked.select("t", "is_priority", F.col("column_rank").cast("long").alias("column_rank"))
+    """The parts' headers as the columns of one table for each brand, in the order in which a draw tries them."""
+    columns = _headers(spark, sf_dir).select(F.col("p_brand").alias("table_id"), "t").distinct()
+    ranked = sampling.column_order(columns.withColumns({"file_basename": F.concat("table_id", F.lit(".parquet")), "col_idx": F.lit(0), "run_index": F.lit(0), "column": F.col("t")}), 42, lx.PRIORITY_PATTERN)
+    return ranked.select("table_id", "t", "is_priority", F.col("column_rank").cast("long").alias("column_rank"))
 
 
-@query("safe_names", f"SELECT t, regexp_replace(t, '[^A-Za-z0-9_]+', '_', 'g') AS safe FROM {_HEADERS}")
+@query("safe_names", f"SELECT p_partkey, t, regexp_replace(t, '[^A-Za-z0-9_]+', '_', 'g') AS safe FROM {_HEADERS_SQL}")
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _headers(spark).select("t", tx.safe_name(F.col("t")).alias("safe"))
+    return _headers(spark, sf_dir).select("p_partkey", "t", tx.safe_name(F.col("t")).alias("safe"))
 
 
-NUMBERS = ("0", "-0.0", "1", "-999", "0.001", "0.00015", "0.0001", "0.00001234", "1.5e-7", "-1e-300", "1234567.5", "12345678.25", "-98765432109.125", "1e7", "123456789012345", "1e15", "1e16", "-1.25e17", "1e22", "1.7e308")
+#: A number of each order: its key's last digits at one of 41 powers of ten.
+_NUMBERS = "SELECT o_orderkey, CAST(concat(CASE WHEN o_custkey % 3 = 0 THEN '-' ELSE '' END, CAST(o_orderkey % 997 AS STRING), CASE WHEN o_custkey % 2 = 0 THEN '.5' ELSE '' END, 'e', CAST(o_orderkey % 41 - 20 AS STRING)) AS DOUBLE) AS number FROM {orders}"
 
 
-@query("number_text", f"SELECT t, CAST(CAST(t AS DOUBLE) AS VARCHAR) AS shown FROM (SELECT unnest([{oracle.strings(NUMBERS)}]) AS t)")
+@query("number_text", f"SELECT o_orderkey, number, CAST(number AS VARCHAR) AS shown FROM ({_NUMBERS.format(orders='orders')})")
 def number_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Floats of every size as both readers of a corpus show them."""
-    return spark.createDataFrame([(t,) for t in NUMBERS], "t string").select("t", corpus.float_text(F.col("t").cast("double")).alias("shown"))
+    """Floats of many sizes as both readers of a corpus show them."""
+    return spark.sql(_NUMBERS, orders=fixtures.load(spark, sf_dir, "orders")).select("o_orderkey", "number", corpus.float_text(F.col("number")).alias("shown"))
 
 
 @query(
@@ -385,6 +397,27 @@ def multi_column_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _manifest(spark, sf_dir, columns_per_table=4)
 
 
+#: The orders as six files, whose columns share their labels.
+_SIX_FILES = f"""SELECT * REPLACE ('orders_' || (row_idx % 6) AS table_id, 'orders_' || (row_idx % 6) || '.parquet' AS file_basename) FROM ({fixtures.cells_sql(("orders_dirty",))})"""
+_LABEL_CAP = 350
+_CAPPED = {"uncapped" if k == "drawn" else k: v for k, v in oracle.draw_many(100, 5, 3, cap=200).items()} | {
+    "all_drawn": """SELECT *, count(*) FILTER (missing) OVER (PARTITION BY table_id, col_idx) AS n_drawn FROM uncapped""",
+    "label_columns": f"""SELECT *, row_number() OVER (PARTITION BY column_type ORDER BY file_basename, column_rank) AS k FROM (SELECT DISTINCT table_id, file_basename, col_idx, column_rank, 2 * n_drawn AS size, {oracle.column_type('"column"')} AS column_type FROM all_drawn)""",
+    "fitting": f"""SELECT DISTINCT column_type, 0::BIGINT AS k, 0::BIGINT AS total, NULL::VARCHAR AS table_id, NULL::INTEGER AS col_idx FROM label_columns
+      UNION ALL SELECT c.column_type, c.k, CASE WHEN g.total + c.size <= {_LABEL_CAP} THEN g.total + c.size ELSE g.total END, CASE WHEN g.total + c.size <= {_LABEL_CAP} THEN c.table_id END, c.col_idx
+      FROM fitting g JOIN label_columns c ON c.column_type = g.column_type AND c.k = g.k + 1""",
+    "drawn": "SELECT d.* FROM all_drawn d JOIN fitting f ON f.table_id = d.table_id AND f.col_idx = d.col_idx",
+}
+
+
+@query("label_capped_draw", oracle.with_cells(oracle.manifest(), {"cells": _SIX_FILES} | _CAPPED, recursive=True))
+def label_capped_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three columns of each of six files, of which a label's columns are taken one by one as long as they stay within its cap."""
+    table = F.concat(F.lit("orders_"), (F.col("row_idx") % 6).cast("string"))
+    files = fixtures.masked(spark, sf_dir, ("orders_dirty",)).withColumns({"table_id": table, "file_basename": F.concat(table, F.lit(".parquet"))})
+    return _manifest(spark, sf_dir, masked=staging.staged(files, "masked"), n=100, min_n=5, columns_per_table=3, max_per_file_column=200, max_per_column_type=_LABEL_CAP)
+
+
 # ------------------------------------------------------------------------------- encoder input
 
 
@@ -486,6 +519,34 @@ def pad_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _splat(_scaled(spark, sf_dir).select("vec_id", vectors.pad(F.col("name"), 64).alias("v")))
 
 
+#: A tensor of 2 layers, 2 heads and 4 x 4 weights of each vector; one in five is all zeros.
+_TENSORS = """
+SELECT vec_id, layer, head, q, pos, abs(embedding[layer * 32 + head * 16 + q * 4 + pos + 1]::DOUBLE) * (vec_id % 5) AS x
+FROM embeddings, (SELECT unnest(range(2)) AS layer), (SELECT unnest(range(2)) AS head), (SELECT unnest(range(4)) AS q), (SELECT unnest(range(4)) AS pos)
+"""
+_WEIGHTS = f"""
+WITH tensors AS ({_TENSORS}),
+wanted AS (
+  SELECT *, true AS renormalised, x / greatest(sum(x) OVER (PARTITION BY vec_id, layer, head, q), 1e-6) AS w FROM tensors WHERE layer = 1
+  UNION ALL SELECT *, false, x * 1e-4 FROM tensors WHERE head = 0
+),
+steps AS (SELECT *, pow(2, greatest(CASE WHEN w > 0 THEN floor(log2(w)) ELSE -14 END, -14) - 10) AS step FROM wanted)
+SELECT vec_id, renormalised, layer::INT AS layer, head::INT AS head, q::INT AS q, pos::INT AS pos, round_even(w / step, 0) * step AS weight FROM steps
+"""
+
+
+@query("attention_weights", _WEIGHTS)
+def attention_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last layer's heads with rows that sum to one, and the first head of both layers as it is, in half precision."""
+    size = lambda k: F.abs(F.col("embedding")[k].cast("double")) * (F.col("vec_id") % 5)
+    tensor = F.array(*[F.array(*[F.array(*[F.array(*[size(a * 32 + h * 16 + q * 4 + p) for p in range(4)]) for q in range(4)]) for h in range(2)]) for a in range(2)])
+    tensors = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("sample_id"), tensor.alias("attention"))
+    small = tensors.withColumn("attention", F.transform("attention", lambda a: F.transform(a, lambda h: F.transform(h, lambda r: F.transform(r, lambda x: x * 1e-4)))))
+    rows = embed.attentions(tensors, layers=[-1]).withColumn("renormalised", F.lit(True)).unionByName(embed.attentions(small, heads=[0], renormalise=False).withColumn("renormalised", F.lit(False)))
+    each = rows.select(F.col("sample_id").alias("vec_id"), "renormalised", "layer", "head", F.posexplode("weights").alias("q", "row"))
+    return each.select("vec_id", "renormalised", "layer", "head", "q", F.posexplode("row").alias("pos", "weight")).withColumn("weight", F.col("weight").cast("double"))
+
+
 @query("group_mean_embedding", "SELECT label, pos, round(avg(embedding[pos + 1]::DOUBLE), 6) AS x FROM embeddings, (SELECT unnest(range(64)) AS pos) p GROUP BY label, pos")
 def group_mean_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = vectors.group_mean(_embeddings(spark, sf_dir), ["label"], "embedding")

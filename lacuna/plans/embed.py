@@ -12,9 +12,10 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.functions.text import let
 from lacuna.operators import hashing, vectors
 
 
@@ -160,27 +161,21 @@ def row_vectors(cells: DataFrame) -> DataFrame:
 
 
 def attentions(df: DataFrame, layers: list[int] | None = None, heads: list[int] | None = None, renormalise: bool = True) -> DataFrame:
-    """(sample_id, layer, head, weights) of ``df``'s sample_id and attention, layers x heads x tokens x tokens nested arrays."""
+    """(sample_id, layer, head, weights) of ``df``'s sample_id and attention, layers x heads x tokens x tokens nested arrays.
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(len(batch)):  # one sample's tensor at a time
-                one = batch.iloc[k : k + 1]
-                nested = [[[list(r) for r in head] for head in layer] for layer in one["attention"].iat[0]]
-                yield attention_rows(one.assign(attention=[nested]), layers, heads, renormalise)
-
-    return df.select("sample_id", "attention").mapInPandas(rows, "sample_id long, layer int, head int, weights array<array<float>>")
-
-
-def attention_rows(attention: pd.DataFrame, layers: list[int] | None, heads: list[int] | None, renormalise: bool = True) -> pd.DataFrame:
-    """Selected layers and heads of attention tensors as rows (sample_id, layer, head, weights), in half precision."""
-    out = []
-    for sample_id, tensor in zip(attention["sample_id"], attention["attention"], strict=True):
-        array = np.asarray(tensor, dtype=np.float32)  # layers x heads x tokens x tokens
-        for layer in vectors.resolve_positions(layers, array.shape[0]):
-            for head in vectors.resolve_positions(heads, array.shape[1]):
-                weights = array[layer, head]
-                if renormalise:
-                    weights = weights / np.clip(weights.sum(axis=-1, keepdims=True), 1e-6, None)
-                out.append((sample_id, layer, head, weights.astype(np.float16).astype(np.float32).tolist()))
-    return pd.DataFrame(out, columns=["sample_id", "layer", "head", "weights"])
+    Sums and quotients are doubles, and a weight is then rounded to half precision. A row that sums to under 1e-6 is divided by that.
+    Null tensors, layers and heads give no row; a layer or head beyond a tensor is an error.
+    """
+
+    def numbered(array: Column, wanted: list[int] | None) -> Column:
+        return F.explode(F.transform(vectors.resolve_positions(wanted, F.size(array)), lambda k: F.struct(k.alias("at"), array[k].alias("value"))))
+
+    def rounded(row: Column) -> Column:
+        if not renormalise:
+            return F.transform(row, lambda x: vectors.half_precision(x.cast("double")).cast("float"))
+        total = F.greatest(F.aggregate(row, F.lit(0.0), lambda a, x: a + x.cast("double")), F.lit(1e-6))
+        return let(total, lambda t: F.transform(row, lambda x: let(x.cast("double") / t, vectors.half_precision).cast("float")))
+
+    one = df.where("attention is not null").select("sample_id", numbered(F.col("attention"), layers).alias("l"))
+    two = one.where("l.value is not null").select("sample_id", F.col("l.at").alias("layer"), numbered(F.col("l.value"), heads).alias("h"))
+    return two.where("h.value is not null").select("sample_id", "layer", F.col("h.at").alias("head"), F.transform("h.value", rounded).alias("weights"))

@@ -20,28 +20,47 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lacuna.functions.text import let
 from lacuna.sources.cell_source import CELLS, CellSource, cells_of_range, error_row
 from lacuna.sources.staging import staged
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.BooleanType)
 
 
-def float_text(number: Column) -> Column:
-    """A float's digits as Python shows them: plain from 1e-4 up to 1e16, else with an exponent of two digits or more.
+def _digits(number: Column) -> Column:
+    """A double as the JVM shows it, but with the fewest digits that give the same number; before Java 19 the JVM sometimes shows more.
 
-    Digits are the JVM's; before Java 19 these are more than the shortest for some numbers, and the same number still.
+    Of subnormal numbers the JVM shows two digits at least, of 17 digits not always the nearest; they are the same number.
     """
-    shown, size = number.cast("string"), F.abs(number)
-    exponent = F.regexp_extract(shown, r"E-?(\d+)", 1)
-    sign = F.when(shown.contains("E-"), "e-").otherwise("e+")
-    powered = F.concat(F.regexp_replace(F.substring_index(shown, "E", 1), r"\.0$", ""), sign, F.when(F.length(exponent) < 2, F.lpad(exponent, 2, "0")).otherwise(exponent))
-    return (
-        F.when(((size >= 1e-3) & (size < 1e7)) | (size == 0), shown)
-        .when(size == float("inf"), F.when(number > 0, "inf").otherwise("-inf"))
-        .when((size >= 1e16) | (size < 1e-4), powered)
-        .when(number == F.rint(number), F.concat(number.cast("long").cast("string"), F.lit(".0")))
-        .otherwise(F.rtrim(shown.cast("decimal(38,21)").cast("string"), F.lit("0")))
-    )
+
+    def shorter(shown: Column) -> Column:
+        def java(text: Column) -> Column:
+            mantissa = F.rtrim(F.substring_index(text, "e", 1), F.lit("0"))
+            return F.concat(mantissa, F.when(mantissa.endswith("."), "0").otherwise(""), F.lit("E"), F.substring_index(text, "e", -1).cast("int").cast("string"))
+
+        tries = [F.format_string(f"%.{digits - 1}e", number) for digits in (15, 16, 17)]
+        return F.when(F.length(shown) > 17, F.coalesce(*[F.when(t.cast("double") == number, java(t)) for t in tries], shown)).otherwise(shown)
+
+    return let(number.cast("string"), shorter)
+
+
+def float_text(number: Column) -> Column:
+    """A float's digits as Python shows them: plain from 1e-4 up to 1e16, else with an exponent of two digits or more."""
+
+    def python(shown: Column) -> Column:
+        size = F.abs(number)
+        exponent = F.regexp_extract(shown, r"E-?(\d+)", 1)
+        sign = F.when(shown.contains("E-"), "e-").otherwise("e+")
+        powered = F.concat(F.regexp_replace(F.substring_index(shown, "E", 1), r"\.0$", ""), sign, F.when(F.length(exponent) < 2, F.lpad(exponent, 2, "0")).otherwise(exponent))
+        return (
+            F.when((((size >= 1e-3) & (size < 1e7)) | (size == 0)) & ~shown.contains("E"), shown)
+            .when(size == float("inf"), F.when(number > 0, "inf").otherwise("-inf"))
+            .when((size >= 1e16) | (size < 1e-4), powered)
+            .when(number == F.rint(number), F.concat(number.cast("long").cast("string"), F.lit(".0")))
+            .otherwise(F.rtrim(shown.cast("decimal(38,21)").cast("string"), F.lit("0")))
+        )
+
+    return let(_digits(number), python)
 
 
 def _widened(single: Column) -> Column:

@@ -1,6 +1,7 @@
 """The data source of cells: ranges, pruning, broken files."""
 
 import json
+import random
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -102,3 +103,12 @@ def test_only_spark_can_open(spark, folder, monkeypatch):
     assert {tuple(r) for r in cells.where("table_id = 'b' or row_idx < 5").collect()} == expected
     assert {r.file_basename for r in errors.collect()} == {"e.parquet"}  # Spark passes over files without bytes
     assert {r[0] for r in corpus.read_corpus(spark, str(folder), columns=["Id"], tables=["a", "b"])[0].select("column").distinct().collect()} == {"Id"}
+
+
+def test_floats_have_the_fewest_digits(spark):
+    """As Python shows them; of more than 16 digits, and of the least numbers, the same number is enough."""
+    rng = random.Random(3)
+    values = [0.0, -0.0, 1e-4, 9.999e-5, 1e16, 9999999.5, 1e7, 1e23, 2e-3, 2.505e21, -1.17e22, 5e-324, 1.7976931348623157e308, float("inf"), -float("inf")]
+    values += [float(f"{rng.randrange(1, 10 ** rng.randrange(1, 16))}e{rng.randrange(-30, 30)}") for _ in range(3000)] + [rng.uniform(-1e4, 1e4) for _ in range(1000)]
+    for r in spark.createDataFrame([(v,) for v in values], "x double").select("x", corpus.float_text(F.col("x")).alias("shown")).collect():
+        assert float(r.shown) == r.x and (r.shown == repr(r.x) or 0 < abs(r.x) < 1e-300 or len(repr(r.x).split("e")[0].strip("-")) > 17), r

@@ -17,7 +17,7 @@ def test_queries_match_duckdb(spark):
     con = duckdb.connect()
     for name in ("part", "orders", "customer", "events", "documents", "labels", "embeddings", "nation", "region"):
         con.sql(f"create view {name} as select * from '{base}/{name}.parquet'")
-    for name in ("classify_cells", "column_profile", "eligibility_strict", "balanced_draw", "token_manifest", "prep_sentences_only_target", "prune_to_caps"):
+    for name in ("classify_cells", "column_profile", "eligibility_strict", "balanced_draw", "token_manifest", "prep_sentences_only_target", "prune_to_caps", "column_type_rename", "priority_order", "number_text", "label_capped_draw", "attention_weights"):
         ours = catalog.QUERIES[name](spark, base).toPandas()
         theirs = con.sql(catalog.ORACLE_SQL[name]).df()
         columns = sorted(ours.columns)

@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -199,9 +200,42 @@ def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
     assert [list(r[0]) for r in df.select(vectors.l2_normalize(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0]]
     assert vectors.embedding_names(1024)[-1] == "emb_1023" and vectors.embedding_names(64)[1] == "emb_001"
-    assert vectors.resolve_positions([-1, 0], 4) == [3, 0]
-    rows = pd.DataFrame({"sample_id": [1], "attention": [[[[[1.0, 3.0], [0.0, 0.0]]]]]})
-    assert embed.attention_rows(rows, [-1], None)["weights"][0] == [[0.25, 0.75], [0.0, 0.0]]
+    found = spark.range(1).select(vectors.resolve_positions([-1, 0], F.lit(4)), vectors.resolve_positions(None, F.lit(2)), vectors.resolve_positions(None, F.lit(0))).first()
+    assert [list(v) for v in found] == [[3, 0], [0, 1], []]
+    for wrong in (4, -5):
+        with pytest.raises(Exception, match="positions"):
+            spark.range(1).select(vectors.resolve_positions([wrong], F.lit(4))).collect()
+
+
+def test_half_precision_equals_numpy(spark):
+    """Of all sizes: normal and subnormal numbers, ties, the ends of the range, and what is no number."""
+    rng = np.random.default_rng(4)
+    ties = [float(np.float16(x)) + float(np.spacing(np.float16(x))) / 2 for x in (0.1, 1, 1.0009765625, 1023, 6e-8, 3e-5)]
+    values = [0.0, 1.0, 65504.0, 65519.99, 65520.0, 1e9, 2**-24, 2**-25, 2**-14, 1e-9, float("inf"), float("nan"), *ties, *(10 ** rng.uniform(-9, 5, 3000)).tolist()]
+    values += [-v for v in values]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").select("x", vectors.half_precision(F.col("x")).alias("h")).collect()
+    assert [r.h for r in rows if r.x is None] == [None]
+    with np.errstate(over="ignore"):
+        for r in rows:
+            if r.x is not None:
+                assert np.array_equal(np.float64(r.h), np.float64(np.float16(r.x)), equal_nan=True), r
+
+
+def test_attentions_equal_numpy(spark):
+    rng = np.random.default_rng(5)
+    tensors = [(k, (rng.random((2, 3, 5, 5)) * (k % 3)).tolist()) for k in range(6)]
+    df = spark.createDataFrame([*tensors, (6, None), (7, [])], "sample_id long, attention array<array<array<array<double>>>>")
+    for layers, heads, renormalise in (([-1], None, True), (None, [2, 0], False), (None, None, True)):
+        if layers:
+            df = df.where("sample_id < 7")  # a tensor without layers has no last one
+        wanted = {}
+        for k, tensor in tensors:
+            array = np.array(tensor)
+            for a in range(2) if layers is None else [1]:
+                for h in range(3) if heads is None else heads:
+                    w = array[a, h] / np.maximum(array[a, h].sum(axis=-1, keepdims=True), 1e-6) if renormalise else array[a, h]
+                    wanted[k, a, h] = w.astype(np.float16).astype(float).tolist()
+        assert {(r.sample_id, r.layer, r.head): r.weights for r in embed.attentions(df, layers, heads, renormalise).collect()} == wanted
 
 
 def test_run_resumes_and_guards(spark, masked, tmp_path):
