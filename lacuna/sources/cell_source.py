@@ -8,6 +8,9 @@ spread over tasks, nothing is read on the driver but the list of names, and a ta
 ``column`` leave out column chunks, so the bytes read are those of the columns asked for. A range that cannot be read to its
 end yields a row with ``error`` instead of the rest of its cells.
 
+A table is a file of the folder, or a folder in it that is named as one and holds its parts: their rows follow one another in the order of the parts' names.
+Only parts' footers are read on the driver, as a part's first row is the number of rows before it.
+
 Options: ``path``, a folder that pyarrow's file systems can open; ``limit``, the first files by name; ``tables`` and ``columns``, JSON arrays of names to be
 read; ``split_bytes`` and ``batch_rows``, the sizes of ranges and batches.
 """
@@ -18,6 +21,7 @@ import datetime as dt
 import decimal
 import json
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,13 +88,12 @@ def _middle(group: pq.RowGroupMetaData) -> int:
     return min(offsets) + sum(group.column(k).total_compressed_size for k in range(group.num_columns)) // 2
 
 
-def cells_of_range(name: str, file: pq.ParquetFile, start: int, stop: int, columns: frozenset[str] | None, batch_rows: int) -> Iterator[pa.RecordBatch]:
-    """The cells of the row groups whose middle lies in a range of a file's bytes."""
+def cells_of_range(name: str, file: pq.ParquetFile, start: int, stop: int, columns: frozenset[str] | None, batch_rows: int, row: int = 0) -> Iterator[pa.RecordBatch]:
+    """The cells of the row groups whose middle lies in a range of a file's bytes; ``row`` is the number of the file's first row."""
     names = file.schema_arrow.names
     positions = [k for k, c in enumerate(names) if columns is None or c in columns]
     # Columns are read by name; where names repeat, a name stands for all columns that have it.
     wanted = None if columns is None else sorted({names[k] for k in positions})
-    row = 0
     for k in range(file.metadata.num_row_groups):
         group = file.metadata.row_group(k)
         if positions and start <= _middle(group) < stop:
@@ -110,6 +113,22 @@ class FileRange(InputPartition):
     name: str
     start: int
     stop: int
+    row: int = 0
+    names: tuple[str, ...] | None = None  # the columns of the table's first part
+
+
+def check_part(file: pq.ParquetFile, names: Iterable[str] | None) -> None:
+    """Parts make one table only if they have the same columns."""
+    if names is not None and tuple(file.schema_arrow.names) != tuple(names):
+        raise ValueError("the parts of a table differ in their columns")
+
+
+def is_table(name: str) -> bool:
+    return name.endswith(_SUFFIX) and name[0] not in "._"
+
+
+def is_part(name: str) -> bool:
+    return name[0] not in "._"
 
 
 class CellReader(DataSourceReader):
@@ -130,24 +149,50 @@ class CellReader(DataSourceReader):
 
     def partitions(self) -> list[FileRange]:
         system, root = pf.FileSystem.from_uri(self.folder)
-        files = sorted((f for f in system.get_file_info(pf.FileSelector(root)) if f.type == pf.FileType.File and f.base_name.endswith(_SUFFIX) and f.base_name[0] not in "._"), key=lambda f: f.base_name)
+        files = sorted((f for f in system.get_file_info(pf.FileSelector(root)) if f.type in (pf.FileType.File, pf.FileType.Directory) and is_table(f.base_name)), key=lambda f: f.base_name)
         tables = self.names["table_id"]
         found = []
         for f in files[: self.limit]:
             if tables is None or f.base_name.removesuffix(_SUFFIX) in tables:
-                # The last range has no end, and an empty file has one range, so that it is reported.
-                starts = range(0, max(f.size or 0, 1), self.split_bytes)
-                found += [FileRange(f.path, f.base_name, s, s + self.split_bytes if s + self.split_bytes < (f.size or 0) else 1 << 62) for s in starts]
+                found += self._ranges(f, f.base_name) if f.type == pf.FileType.File else self._parts(system, f)
         # Spark asks for at least one partition.
         return found or [FileRange("", "", 0, 0)]
 
+    def _ranges(self, f: pf.FileInfo, name: str, row: int = 0, names: tuple[str, ...] | None = None) -> list[FileRange]:
+        # The last range has no end, and an empty file has one range, so that it is reported.
+        starts = range(0, max(f.size or 0, 1), self.split_bytes)
+        return [FileRange(f.path, name, s, s + self.split_bytes if s + self.split_bytes < (f.size or 0) else 1 << 62, row, names) for s in starts]
+
+    def _parts(self, system: pf.FileSystem, folder: pf.FileInfo) -> list[FileRange]:
+        """The ranges of a table's parts; a folder without parts has one range, so that it is reported."""
+        parts = sorted((f for f in system.get_file_info(pf.FileSelector(folder.path)) if f.type == pf.FileType.File and is_part(f.base_name)), key=lambda f: f.base_name)
+
+        def footer(f: pf.FileInfo) -> tuple[int, tuple[str, ...] | None]:
+            try:
+                with system.open_input_file(f.path) as opened:
+                    file = pq.ParquetFile(opened)
+                    return file.metadata.num_rows, tuple(file.schema_arrow.names)
+            except Exception:  # the task that reads the part reports its fault, and the table has no cells
+                return 0, None
+
+        with ThreadPoolExecutor(16) as pool:
+            footers = list(pool.map(footer, parts))
+        names = next((n for _, n in footers if n is not None), None)
+        found, row = [], 0
+        for f, (rows, _) in zip(parts, footers, strict=True):
+            found += self._ranges(f, folder.base_name, row, names)
+            row += rows
+        return found or [FileRange(folder.path, folder.base_name, 0, 1 << 62)]
+
     def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
         if not partition.name:
             return
         try:
             system, _ = pf.FileSystem.from_uri(self.folder)
             with system.open_input_file(partition.path) as opened:
-                yield from cells_of_range(partition.name, pq.ParquetFile(opened), partition.start, partition.stop, self.names["column"], self.batch_rows)
+                file = pq.ParquetFile(opened)
+                check_part(file, partition.names)
+                yield from cells_of_range(partition.name, file, partition.start, partition.stop, self.names["column"], self.batch_rows, partition.row)
         except Exception as error:  # a file of any fault is reported and passed over
             yield error_row(partition.name, error)
 

@@ -16,12 +16,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.fs as pf
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.functions.text import let
-from lacuna.sources.cell_source import CELLS, CellSource, cells_of_range, error_row
+from lacuna.sources.cell_source import CELLS, CellSource, cells_of_range, check_part, error_row
 from lacuna.sources.staging import staged
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.BooleanType)
@@ -118,33 +118,71 @@ def table_of(cells: DataFrame, table_id: str, columns: list[str]) -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
-    """The folder's Parquet files by name, not recursive, the first ``limit`` of them if given."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
-    files = files.withColumn("file_basename", F.element_at(F.split("path", "/"), -1))
+    """The folder's tables by name, the first ``limit`` of them if given: its Parquet files, and the parts of tables that are folders named as files.
+
+    A table's parts share its ``file_basename``; ``part`` is null for a table of one file.
+    """
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    steps = len(root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).resolvePath(root).toUri().getPath().rstrip("/").split("/"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    # Spark's paths can have another scheme than the folder's; the steps below it are the same.
+    below = F.slice(F.split(F.regexp_replace("path", "^[^/]*:(//[^/]*)?", ""), "/"), steps + 1, 1 << 20)
+    files = files.withColumn("__below", below).where(F.size("__below").isin(1, 2))
+    files = files.withColumns({"file_basename": F.col("__below")[0], "part": F.try_element_at("__below", F.lit(2))}).drop("__below")
+    files = files.where(F.col("file_basename").rlike(r"\A[^._].*\.parquet\z") & (F.col("part").isNull() | F.col("part").rlike(r"\A[^._]")))
     if limit is not None:
-        names = files.select("file_basename").orderBy("file_basename").limit(limit)
+        names = files.select("file_basename").distinct().orderBy("file_basename").limit(limit)
         files = files.join(F.broadcast(names), "file_basename", "left_semi")
     return files
 
 
+def _placed(files: DataFrame) -> DataFrame:
+    """Files with the number of their first row in their table and the columns of the table's first part."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, names = [], []
+            for content in batch.column(2).to_pylist():
+                try:
+                    file = pq.ParquetFile(pa.BufferReader(content))
+                    rows.append(file.metadata.num_rows)
+                    names.append(file.schema_arrow.names)
+                except Exception:  # reported where its cells are read
+                    rows.append(0)
+                    names.append(None)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(rows, pa.int64()), pa.array(names, pa.list_(pa.string()))], names=["file_basename", "part", "rows", "names"])
+
+    keys = ["file_basename", "part"]
+    parts = files.where("part is not null").select(*keys, "content").mapInArrow(opened, "file_basename string, part string, rows long, names array<string>")
+    table = Window.partitionBy("file_basename").orderBy("part")
+    before = F.sum("rows").over(table.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.first("names", ignorenulls=True).over(table.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return files.join(parts.select(*keys, before.alias("row"), first.alias("names")), keys, "left")
+
+
 def cells_of_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cells, read_errors) of files given as (file_basename, content), for stores that only Spark opens and for streams of files.
 
-    A file is decoded once to its end before its first cell, so a broken one has none.
+    ``part``, if there, tells the parts of one table apart. A file is decoded once to its end before its first cell, so a broken one has none.
     """
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, content, row, names in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
                 try:
+                    check_part(pq.ParquetFile(pa.BufferReader(content)), names)
                     for _ in pq.ParquetFile(pa.BufferReader(content)).iter_batches(batch_size=4096):
                         pass
-                    yield from cells_of_range(name, pq.ParquetFile(pa.BufferReader(content)), 0, 1 << 62, None, 4096)
+                    yield from cells_of_range(name, pq.ParquetFile(pa.BufferReader(content)), 0, 1 << 62, None, 4096, row or 0)
                 except Exception as error:  # a file of any fault is reported and passed over
                     yield error_row(name, error)
 
-    read = files.select("file_basename", "content").mapInArrow(opened, f"{CELLS}, error string")
-    return read.where("error is null").drop("error"), _errors(read)
+    parted = "part" in files.columns
+    placed = _placed(files) if parted else files.withColumns({"row": F.lit(0).cast("long"), "names": F.lit(None).cast("array<string>")})
+    read = placed.select("file_basename", "content", "row", "names").mapInArrow(opened, f"{CELLS}, error string")
+    cells, errors = read.where("error is null").drop("error"), _errors(read)
+    # A fault in one part leaves out its table.
+    return cells.join(F.broadcast(errors.select("file_basename")), "file_basename", "left_anti").select(*cells.columns) if parted else cells, errors
 
 
 def _errors(read: DataFrame) -> DataFrame:

@@ -112,3 +112,27 @@ def test_floats_have_the_fewest_digits(spark):
     values += [float(f"{rng.randrange(1, 10 ** rng.randrange(1, 16))}e{rng.randrange(-30, 30)}") for _ in range(3000)] + [rng.uniform(-1e4, 1e4) for _ in range(1000)]
     for r in spark.createDataFrame([(v,) for v in values], "x double").select("x", corpus.float_text(F.col("x")).alias("shown")).collect():
         assert float(r.shown) == r.x and (r.shown == repr(r.x) or 0 < abs(r.x) < 1e-300 or len(repr(r.x).split("e")[0].strip("-")) > 17), r
+
+
+@pytest.mark.parametrize("by_arrow", [True, False])
+def test_a_folder_of_parts_is_one_table(spark, tmp_path, monkeypatch, by_arrow):
+    """Rows go on over the parts in the order of their names; a folder whose parts cannot make one table is reported and has no cells."""
+    if not by_arrow:
+        monkeypatch.setattr(corpus, "opened_by_arrow", lambda spark, folder: None)
+    for name in ("t", "odd", "broken"):
+        (tmp_path / f"{name}.parquet").mkdir()
+    for k in range(12):
+        pq.write_table(pa.table({"a": range(k * 10, k * 10 + 10), "b": [None] * 10}, pa.schema([("a", pa.int64()), ("b", pa.string())])), tmp_path / "t.parquet" / f"part-{k:04d}.parquet", row_group_size=4)
+    (tmp_path / "t.parquet" / "_SUCCESS").write_bytes(b"")
+    pq.write_table(pa.table({"x": [1]}), tmp_path / "odd.parquet" / "0.parquet")
+    pq.write_table(pa.table({"y": [1]}), tmp_path / "odd.parquet" / "1.parquet")
+    pq.write_table(pa.table({"x": [1]}), tmp_path / "broken.parquet" / "0.parquet")
+    (tmp_path / "broken.parquet" / "1.parquet").write_bytes(b"no table")
+    pq.write_table(pa.table({"x": [1]}), tmp_path / "u.parquet")
+    cells, errors = corpus.read_corpus(spark, str(tmp_path))
+    assert {(r.file_basename, r.skip_reason) for r in errors.collect()} == {("odd.parquet", "read_error"), ("broken.parquet", "read_error")}
+    found = cells.where("table_id = 't'")
+    assert found.count() == 240 and found.where("column = 'a' and value <> cast(row_idx as string)").isEmpty() and found.select("row_idx").distinct().count() == 120
+    assert {r[0] for r in cells.select("table_id").distinct().collect()} == {"t", "u"}
+    first, _ = corpus.read_corpus(spark, str(tmp_path), limit=3)
+    assert {r[0] for r in first.select("table_id").distinct().collect()} == {"t"}
