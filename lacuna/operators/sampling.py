@@ -92,10 +92,10 @@ def candidates(masked: DataFrame, eligible: DataFrame, prior: dict[str, DataFram
     else:
         eligible = eligible.withColumns({"n_prior": F.lit(0), "run_index": F.lit(0)})
     ranked = column_order(eligible, seed, priority).select(*TABLE, "col_idx", "n_prior", "run_index", "column_rank")
-    cells = masked.join(ranked, [*TABLE, "col_idx"])
-    column = Window.partitionBy(*TABLE, "col_idx", "missing")
+    by = [*TABLE, "col_idx", "missing"]
     key = order_key(seed, F.col("run_index"), "file_basename", "column", "row_idx")
-    cells = cells.withColumn("order", F.row_number().over(column.orderBy(key, "row_idx"))).where(F.col("order") <= keep)
+    cells = ranking.firsts(masked.join(ranked, [*TABLE, "col_idx"]), by, key, keep)
+    cells = cells.withColumn("order", F.row_number().over(Window.partitionBy(*by).orderBy(key, "row_idx"))).where(F.col("order") <= keep)
     sizes = Window.partitionBy(*TABLE, "col_idx")
     return cells.withColumns({"n_miss": F.count_if(F.col("missing")).over(sizes), "n_pres": F.count_if(~F.col("missing")).over(sizes)})
 
@@ -115,7 +115,7 @@ def draw_many(found: DataFrame, n: int, min_n: int, columns_per_table: int, max_
     take away at most ``2 n`` for each column before it. So a fold holds so many row numbers of each class of each eligible column, and
     at most ``2 n`` used rows for each column drawn.
     """
-    keys = [*TABLE, "col_idx"]
+    keys, found = [*TABLE, "col_idx"], staged(found, "found")  # read twice
 
     def rows(of: Column) -> Column:
         return F.transform(F.array_sort(F.collect_list(F.when(of, F.struct("order", "row_idx")))), lambda x: x["row_idx"])
