@@ -280,8 +280,10 @@ def clean_corpus(spark: SparkSession, folder: str, out_dir: str, limit: int | No
     a table with these headers. Files without rows have no cells and are not written.
     """
     cells, errors = read_corpus(spark, folder, limit, tables=tables)
-    clean = cells.withColumns({"column": normalize(F.col("column")), "value": F.when(~F.col("is_null"), normalize(F.col("value")))})
-    names = clean.groupBy("table_id", "file_basename", "column").agg(F.count_distinct("col_idx").alias("n")).where("n > 1")
+    keys = ["table_id", "file_basename", "col_idx"]
+    # A header is put in normal form once for its column, not for each cell.
+    headers = staged(cells.select(*keys, "column").distinct().withColumn("clean", normalize(F.col("column"))), "headers")
+    names = headers.groupBy("table_id", "file_basename", "clean").agg(F.count_distinct("col_idx").alias("n")).where("n > 1")
     collided = staged(names.groupBy("table_id", "file_basename").agg(F.max("n").alias("n")), "collided")
     fs, target, _ = _file_system(spark, out_dir)
     fs.mkdirs(target)
@@ -289,7 +291,10 @@ def clean_corpus(spark: SparkSession, folder: str, out_dir: str, limit: int | No
     if found is None:
         raise ValueError(f"{out_dir} is in a store that only Spark can open; choose another folder for the tables")
     spark.dataSource.register(TableSink)
-    kept = clean.join(collided, ["table_id", "file_basename"], "left_anti").select("table_id", "row_idx", "col_idx", "column", "value")
-    # A row's cells stay together, and a large table spreads over tasks by ranges of its rows.
-    kept.repartitionByRange("table_id", "row_idx").sortWithinPartitions("table_id", "row_idx", "col_idx").write.format("table_files").mode("append").option("path", found).save()
+    kept = cells.join(headers.select(*keys, "clean").join(collided, ["table_id", "file_basename"], "left_anti"), keys)
+    # A row's cells stay together, and a large table spreads over tasks by ranges of its rows. Cells are put in normal form after they are dealt out:
+    # once, and by as many tasks as there are ranges, however few tasks have read the files.
+    dealt = kept.select("table_id", "row_idx", "col_idx", F.col("clean").alias("column"), "value", "is_null").repartitionByRange("table_id", "row_idx")
+    clean = dealt.withColumn("value", F.when(~F.col("is_null"), normalize(F.col("value")))).drop("is_null")
+    clean.sortWithinPartitions("table_id", "row_idx", "col_idx").write.format("table_files").mode("append").option("path", found).save()
     return collided.select("file_basename", F.lit("colliding_headers").alias("skip_reason")).unionByName(errors.select("file_basename", "skip_reason"))

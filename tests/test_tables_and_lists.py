@@ -88,3 +88,17 @@ def test_a_list_labels_a_draw(spark, tmp_path):
     eligible = masked.select("table_id", "file_basename", "col_idx", "column").distinct().withColumn("is_numeric", F.lit(False))
     made = sampling.build_manifest(masked, eligible, n=4, occurrences=occurrences.read_occurrences(spark, str(tmp_path / "list.csv"))[0]).collect()
     assert {r.special_token for r in made if r.y == 1} <= {f"as listed {r}" for r in range(20)} and sum(r.y for r in made) == 4 and len(made) == 8
+
+
+def test_cells_are_put_in_normal_form_once(spark, folder, tmp_path, monkeypatch):
+    """Neither the sampling of ranges nor the search for colliding headers puts cells in normal form again."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        calls.add(1)
+        return text
+
+    monkeypatch.setattr(runner, "normalize", counted)
+    runner.clean_corpus(spark, str(folder), str(tmp_path / "once"), tables=["long"])
+    assert pq.read_table(tmp_path / "once" / "long.parquet").num_rows == 5000 and calls.value == 15_000 + 3
