@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 
 
@@ -25,14 +25,15 @@ def give_back() -> None:
         _TRIM(0)
 
 
-#: Rows of an Arrow batch on its way to a worker: texts of some thousand characters make some megabytes, which the JVM holds beside its heap.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch on its way to a worker, which the JVM holds beside its heap; one row may be larger.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Have the session send batches of ``BATCH_ROWS`` rows to workers, unless it has been given a number of its own."""
-    if spark.conf.get(_ROWS) == "10000":  # Spark's default
-        spark.conf.set(_ROWS, str(BATCH_ROWS))
+    """Have the session send batches of ``BATCH_ROWS`` rows and ``BATCH_BYTES`` to workers, unless it has been given numbers of its own."""
+    for name, default, own in ((_ROWS, "10000", BATCH_ROWS), (_BYTES, "67108864b", BATCH_BYTES)):
+        if spark.conf.get(name) == default:  # Spark's
+            spark.conf.set(name, str(own))
 
 
 def giving_back(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

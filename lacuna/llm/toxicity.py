@@ -112,21 +112,19 @@ _WORD_SEED = zlib.crc32(b"w ")
 _SEEDS = [(n, zlib.crc32(f"{n} ".encode())) for n in BEGINNINGS]
 
 
-def _pieces(words: list[str], buckets: int, beginnings: dict[str, int]) -> np.ndarray:
-    """The ``piece_hashes`` of many words, a row each, filled up with -1; ``beginnings`` keeps checksums that many words share."""
+def _pieces(words: list[str], buckets: int) -> np.ndarray:
+    """The ``piece_hashes`` of many words, a row each, filled up with -1."""
     flat: list[int] = []
     add, crc = flat.append, zlib.crc32
     for word in words:
-        length, left = len(word), len(BEGINNINGS)
+        whole, length, left = word.encode("utf-8", "surrogatepass"), len(word), len(BEGINNINGS)
+        plain = len(whole) == length  # a byte a letter
         for n, seed in _SEEDS:
             if length <= n:
                 break
-            beginning = word[:n]
-            if (found := beginnings.get(beginning)) is None:
-                found = beginnings[beginning] = crc(beginning.encode("utf-8", "surrogatepass"), seed)
-            add(found)
+            add(crc(whole[:n] if plain else word[:n].encode("utf-8", "surrogatepass"), seed))
             left -= 1
-        add(crc(word.encode("utf-8", "surrogatepass"), _WORD_SEED))
+        add(crc(whole, _WORD_SEED))
         if left:
             flat.extend((-1,) * left)
     pieces = np.array(flat, dtype=np.int64).reshape(-1, MOST_PIECES)
@@ -164,14 +162,13 @@ class Scorer:
 
     def _reset(self) -> None:
         self.ids: dict[str, int] = {}
-        self.beginnings: dict[str, int] = {}
         self.responses = np.zeros((1024, self.kernel.shape[1]), dtype=np.float32)  # row 0: no word
         self.language = np.zeros((1024, len(LANGUAGES)), dtype=np.int8)
 
     def _add(self, words: set[str]) -> None:
         """Compute the responses of new words together, each by the same sums whatever the others are."""
         new = list(words)
-        pieces = self.row_of[_pieces(new, self.model.config.buckets, self.beginnings)]  # -1: the last, no bucket
+        pieces = self.row_of[_pieces(new, self.model.config.buckets)]  # -1: the last, no bucket
         start, stop = len(self.ids) + 1, len(self.ids) + 1 + len(new)
         while stop > len(self.responses):
             self.responses = np.concatenate([self.responses, np.zeros_like(self.responses)])
@@ -223,7 +220,7 @@ class Vocabulary:
     """Numbers of words in the order they are met, and the buckets of their pieces; -1 fills rows up."""
 
     def __init__(self, buckets: int):
-        self.buckets, self.numbers, self.beginnings = buckets, {}, {}
+        self.buckets, self.numbers = buckets, {}
         self.pieces = np.full((1024, MOST_PIECES), -1, dtype=np.int32)
 
     def read(self, text: str) -> np.ndarray:
@@ -233,7 +230,7 @@ class Vocabulary:
             start, stop = len(numbers), len(numbers) + len(new)
             while stop > len(self.pieces):
                 self.pieces = np.concatenate([self.pieces, np.full_like(self.pieces, -1)])
-            self.pieces[start:stop] = _pieces(new, self.buckets, self.beginnings)
+            self.pieces[start:stop] = _pieces(new, self.buckets)
             numbers.update(zip(new, range(start, stop), strict=True))
         return np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words))
 
@@ -550,7 +547,10 @@ def _counted(rows: DataFrame, config: Config) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _staged(rows: DataFrame, n: int, t: Training, config: Config) -> DataFrame:
-    """The shards as a written table: the number, the part of a long one, and the pickled shard."""
+    """The shards as a written table: the number, the part of a long one, and the pickled shard, packed, with its size before.
+
+    A task makes one shard. Packed, it is about half as large in the buffers through which the JVM passes it in each epoch.
+    """
     known = rows.sparkSession.sparkContext.broadcast(np.array(t.model.rows.buckets, dtype=np.int32))
     parts = -(-n // config.shard_rows)
 
@@ -566,12 +566,17 @@ def _staged(rows: DataFrame, n: int, t: Training, config: Config) -> DataFrame:
         while row is not None:
             number = row[0]
             for part, shard in enumerate(_shards(rows_of(number), known.value, config)):
-                yield pd.DataFrame({"number": [number], "part": [part], "shard": [pickle.dumps(shard, protocol=5)]})
+                held = pickle.dumps(shard, protocol=5)
+                yield pd.DataFrame({"number": [number], "part": [part], "size": [len(held)], "shard": [pa.compress(held, codec="zstd", asbytes=True)]})
 
     # The bits of the order that choose the rows for calibration do not choose the shard.
     dealt = rows.select(F.pmod(F.xxhash64("order"), F.lit(parts)).cast("int").alias("number"), "text", "label", "order", "id")
-    dealt = dealt.repartition(parts, "number").sortWithinPartitions("number", "order", "id").select("number", "text", "label")
-    return materialize(dealt.mapInPandas(giving_back(staged), "number int, part int, shard binary"), "toxicity-shards")
+    dealt = dealt.repartitionById(parts, "number").sortWithinPartitions("number", "order", "id").select("number", "text", "label")
+    return materialize(dealt.mapInPandas(giving_back(staged), "number int, part int, size long, shard binary"), "toxicity-shards")
+
+
+#: Changes that a worker sends at once, of 80 bytes each: the JVM holds them beside its heap.
+SENT = 1 << 15
 
 
 def _epoch(shards: DataFrame, t: Training, epoch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -581,9 +586,11 @@ def _epoch(shards: DataFrame, t: Training, epoch: int) -> tuple[np.ndarray, np.n
     def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = shared.value
         for batch in batches:
-            for number, part, shard in zip(batch["number"], batch["part"], batch["shard"], strict=True):
-                keys, values = _changes(base, pickle.loads(shard.as_buffer()), [base.model.config.seed, epoch, number.as_py(), part.as_py()])
-                yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in values.T), pa.array(keys)], [*names, "key"])
+            for number, part, size, shard in zip(batch["number"], batch["part"], batch["size"], batch["shard"], strict=True):
+                held = pickle.loads(pa.decompress(shard.as_buffer(), size.as_py(), codec="zstd"))
+                keys, values = _changes(base, held, [base.model.config.seed, epoch, number.as_py(), part.as_py()])
+                for at in range(0, len(keys), SENT):
+                    yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in values[at : at + SENT].T), pa.array(keys[at : at + SENT])], [*names, "key"])
 
     found = shards.mapInArrow(giving_back(changes), ", ".join(f"{d} long" for d in names) + ", key long")
     found = found.groupBy("key").agg(*[F.sum(d).alias(d) for d in names], F.count(F.lit(1)).alias("shards")).toArrow()

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from lacuna.llm import toxicity
+from lacuna.llm import memory, toxicity
 
 
 def test_every_labelled_row_and_whole_texts_are_learnt(spark):
@@ -137,3 +137,31 @@ print(own_mb() - before)
 def test_a_worker_gives_back_what_counting_took():
     found = subprocess.run([sys.executable, "-c", COUNTING], capture_output=True, text=True, timeout=120, cwd=Path(__file__).parents[2], check=True)
     assert float(found.stdout) < 50
+
+
+def test_a_task_makes_one_shard(spark):
+    rows = spark.range(4000).select(F.lit("some words here").alias("text"), F.lit(0).alias("label"), F.xxhash64("id").alias("order"), F.col("id").cast("string").alias("id"))
+    config = toxicity.Config(shard_rows=400)
+    t = toxicity._start(np.arange(8), np.ones(8), np.ones(8), [2, 2], config)
+    shards = toxicity._staged(rows, 4000, t, config)
+    per_file = [r["count"] for r in shards.groupBy(F.input_file_name()).count().collect()]
+    assert per_file == [1] * 10
+
+
+def test_batches_to_workers_are_bounded_in_bytes(spark):
+    memory.small_batches(spark)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"size": [int(batch["text"].str.len().sum())]})
+
+    texts = spark.range(0, 200, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    found = [r["size"] for r in texts.mapInPandas(sizes, "size long").collect()]
+    assert sum(found) == 200 * 100_000 and max(found) <= memory.BATCH_BYTES + 200_000
+
+
+def test_pieces_of_words_in_any_letters():
+    words = ["a", "abc", "abcdefghij", "größeres", "многословие", "ab\ud800cdef", ""]
+    for word, found in zip(words, toxicity._pieces(words, 1 << 22).tolist(), strict=True):
+        hashes = toxicity.piece_hashes(word, 1 << 22)
+        assert found == hashes + [-1] * (toxicity.MOST_PIECES - len(hashes))
