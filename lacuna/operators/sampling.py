@@ -8,6 +8,8 @@ are first cut to the few rows that could be chosen at all, so a row of it is bou
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,19 +81,36 @@ def next_sample_id(manifest: DataFrame) -> int:
     return 0 if last is None else int(last) + 1
 
 
-def candidates(masked: DataFrame, eligible: DataFrame, prior: dict[str, DataFrame] | None, seed: int, keep: int, skip_drawn: bool = True, priority: str | None = None) -> DataFrame:
+def reached(ranked: DataFrame, n: int, columns_per_table: int, max_per_file_column: int = 20) -> DataFrame:
+    """The columns that a draw can come to, by their counts: those up to a table's ``columns_per_table``-th one that is sure to be drawn.
+
+    A draw tries a table's columns in order until it has enough. A column is sure if ``n`` cells of each class are left whichever rows prior runs
+    (``n_used``) and the run's other columns have taken, and its cap has room for them. ``n_missing`` and ``n_present`` must be counts of the cells that are drawn from.
+    """
+    left = F.least("n_missing", "n_present") - F.col("n_used")
+    sure = (left >= n * (2 * columns_per_table - 1)) & (F.col("n_prior") + 2 * n <= max_per_file_column)
+    before = Window.partitionBy(*TABLE).orderBy("column_rank").rowsBetween(Window.unboundedPreceding, -1)
+    return ranked.withColumn("__sure", F.count_if(sure).over(before)).where(F.col("__sure") < columns_per_table).drop("__sure")
+
+
+def candidates(
+    masked: DataFrame, eligible: DataFrame, prior: dict[str, DataFrame] | None, seed: int, keep: int, skip_drawn: bool = True, priority: str | None = None, within: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Cells that could be drawn: the first ``keep`` unused cells of each eligible column and class, in random order.
 
-    Adds run_index, n_prior, column_rank, order (rank within column and class), n_miss and n_pres.
+    Adds run_index, n_prior, column_rank, order (rank within column and class), n_miss and n_pres. ``within`` may leave out ranked columns, whose cells are
+    then not read further.
     """
     if prior:
         eligible = eligible.join(prior["columns"], ["file_basename", "column"], "left").join(prior["runs"], "file_basename", "left")
-        eligible = eligible.withColumns({"n_prior": F.coalesce("n_prior", F.lit(0)), "run_index": F.coalesce("run_index", F.lit(0))})
+        eligible = eligible.join(prior["rows"].groupBy("file_basename").agg(F.count(F.lit(1)).alias("n_used")), "file_basename", "left")
+        eligible = eligible.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_prior", "run_index", "n_used")})
         eligible = eligible.where("n_prior = 0") if skip_drawn else eligible
         masked = masked.join(prior["rows"], ["file_basename", "row_idx"], "left_anti")
     else:
-        eligible = eligible.withColumns({"n_prior": F.lit(0), "run_index": F.lit(0)})
-    ranked = column_order(eligible, seed, priority).select(*TABLE, "col_idx", "n_prior", "run_index", "column_rank")
+        eligible = eligible.withColumns({"n_prior": F.lit(0), "run_index": F.lit(0), "n_used": F.lit(0)})
+    ranked = column_order(eligible, seed, priority)
+    ranked = (within(ranked) if within else ranked).select(*TABLE, "col_idx", "n_prior", "run_index", "column_rank")
     by = [*TABLE, "col_idx", "missing"]
     key = order_key(seed, F.col("run_index"), "file_basename", "column", "row_idx")
     cells = ranking.firsts(masked.join(ranked, [*TABLE, "col_idx"]), by, key, keep)
@@ -188,12 +207,13 @@ def build_manifest(
     """New manifest rows: one run over masked cells and eligible columns, on top of an existing manifest.
 
     Eligible columns and drawn cells are staged: the first are then of known size, so that the planner decides whether to
-    broadcast them to the cells, and the second are read twice. ``masked`` should be a stored relation too.
+    broadcast them to the cells, and the second are read twice. ``masked`` should be a stored relation too, the one that ``eligible`` was counted
+    on: columns behind those that are sure to be drawn are left out by their counts (``reached``), so that most cells are not hashed.
     ``label_mode="raw"`` takes the raw cell as the token, or its value in a list of ``occurrences`` where it is in one.
     """
     low = validate(n, min_n, columns_per_table, max_per_file_column, max_per_column_type, seed)
     prior = prior_state(manifest, run_rule) if manifest is not None else None
-    found = candidates(masked, staged(eligible, "eligible"), prior, seed, n * (2 * columns_per_table - 1), skip_drawn, priority)
+    found = candidates(masked, staged(eligible, "eligible"), prior, seed, n * (2 * columns_per_table - 1), skip_drawn, priority, lambda ranked: reached(ranked, n, columns_per_table, max_per_file_column))
     drawn = draw(found, n, low, columns_per_table, max_per_file_column)
     drawn = drawn.withColumn("column_type", column_type(F.col("column")))
     if max_per_column_type is not None:

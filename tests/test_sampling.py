@@ -313,3 +313,23 @@ def test_stream_samples_each_file_once(spark, folder, tmp_path):
         incremental.sample_new_files(spark, str(source), out, str(tmp_path / "ck"), n=3).awaitTermination()
     got = spark.read.parquet(out).toPandas()
     assert got.groupby(["batch", "table_id"]).size().to_dict() == {(0, "a"): 6, (1, "b"): 6} and sorted(got["sample_id"]) == list(range(12))
+
+
+def test_a_draw_reads_only_columns_that_it_can_come_to(spark):
+    """Columns behind those sure to be drawn change nothing and are left out; where prior rows, few cells or a cap make a draw unsure, those behind stay."""
+    rows = [(f"t{t}", f"t{t}.parquet", i, c, f"c{c}", False, None if (i * 7 + c * 3) % (c + 2 + t) == 0 else f"v{i % 5}") for t in range(3) for c in range(6) for i in range(60)]
+    cells = spark.createDataFrame(rows, "table_id string, file_basename string, row_idx long, col_idx int, column string, is_numeric boolean, value string")
+    masked = profile.with_mask(cells.withColumn("is_null", F.col("value").isNull())).persist()
+    eligible = profile.eligibility(profile.column_profile(masked), min_n=2).where("reason is null").persist()
+    first = sampling.build_manifest(masked, eligible, n=4).persist()
+    kept = {}
+    for name, n, low, columns, cap, manifest in (("plain", 5, 5, 1, 20, None), ("many", 3, 2, 3, 20, None), ("prior", 8, 2, 2, 20, first), ("few", 25, 3, 1, 80, None), ("cap", 5, 5, 1, 9, None), ("again", 5, 2, 1, 12, first)):
+        prior = sampling.prior_state(manifest) if manifest is not None else None
+        keep, skip = n * (2 * columns - 1), name != "again"
+        every = sampling.candidates(masked, eligible, prior, 42, keep, skip)
+        some = sampling.candidates(masked, eligible, prior, 42, keep, skip, None, lambda ranked: sampling.reached(ranked, n, columns, cap))
+        keys = ["table_id", "col_idx", "row_idx", "missing", "order", "drawn"]
+        drawn = [sorted(map(tuple, sampling.draw(found, n, low, columns, cap).select(*keys).collect())) for found in (every, some)]
+        assert drawn[0] == drawn[1], name
+        kept[name] = [found.select("table_id", "col_idx").distinct().count() for found in (every, some)]
+    assert kept["plain"] == [15, 3] and kept["many"][1] < 15 and kept["cap"] == [15, 15] and kept["few"][1] > 3
