@@ -19,6 +19,7 @@ from lacuna.functions.lexicon import (
     DISGUISED_PATTERNS,
     NOT_APPLICABLE_LABELS,
     NUMERIC_SENTINELS,
+    SPACE,
 )
 from lacuna.functions.text import let, strip
 
@@ -44,7 +45,8 @@ def number_of_digits(digits: Column) -> Column:
 
 def ascii_digits(stripped: Column) -> Column:
     """A stripped text that may be a number, with digits of any script as ASCII ones; null for others."""
-    return F.when(stripped.rlike(r"\A[+\-.]{0,2}\p{Nd}"), F.translate(stripped, *_digits()))
+    plain = stripped.rlike(r"\A[\x00-\x7f]*\z")
+    return F.when(stripped.rlike(r"\A[+\-.]{0,2}\p{Nd}"), F.when(plain, stripped).otherwise(F.translate(stripped, *_digits())))
 
 
 def _whole(pattern: str) -> str:
@@ -59,13 +61,28 @@ def pattern_label(low: Column) -> Column:
     return label
 
 
-# One anchor before all alternatives: a match is then tried at the start only, not at every character.
-_ANY_PHRASE = _whole("|".join(f"(?:{p})" for _, p in DISGUISED_PATTERNS))
+#: A word of every phrase of a family whose pattern begins with any text, so that it would be tried on every cell from many places.
+_WORD_OF = {"not_available_phrase": "available"}
+
+#: The characters with which a phrase of another family can begin.
+_FIRST = rf"[ndimuv?\-.*_—–…{SPACE}]"
+
+# One anchor before all alternatives, and the first character before any of them: most cells are done with after one comparison.
+_ANY_OTHER = rf"\A(?={_FIRST})(?:" + "|".join(f"(?:{p})" for name, p in DISGUISED_PATTERNS if name not in _WORD_OF) + r")\z"
+
+
+def is_phrase(low: Column) -> Column:
+    """Whether a stripped lower-case text is a placeholder phrase of any family."""
+    found = low.rlike(_ANY_OTHER)
+    for name, pattern in DISGUISED_PATTERNS:
+        if name in _WORD_OF:
+            found = found | (low.contains(_WORD_OF[name]) & low.rlike(_whole(pattern)))
+    return found
 
 
 def _is_placeholder(stripped: Column, low: Column, number: Column) -> Column:
     sentinel = F.coalesce(number.isin(*NUMERIC_SENTINELS), F.lit(False))
-    return (stripped == "") | low.isin(*DISGUISED_LITERALS) | low.rlike(_ANY_PHRASE) | sentinel
+    return (stripped == "") | low.isin(*DISGUISED_LITERALS) | is_phrase(low) | sentinel
 
 
 def is_missing(value: Column, is_null: Column | None = None) -> Column:
@@ -83,8 +100,8 @@ def with_missing(df: DataFrame, value: str = "value", is_null: str = "is_null",
 
 
 def _classified(low: Column) -> Column:
-    label = F.when(low.rlike(_ANY_PHRASE), pattern_label(low))
-    kind = F.when(low == "", None).when(low.isin(*DISGUISED_LITERALS), "literal").when(low.rlike(_ANY_PHRASE), "regex").when(low.isin(*DATE_SENTINELS), "date_sentinel")
+    label = F.when(is_phrase(low), pattern_label(low))
+    kind = F.when(low == "", None).when(low.isin(*DISGUISED_LITERALS), "literal").when(is_phrase(low), "regex").when(low.isin(*DATE_SENTINELS), "date_sentinel")
     return let(kind, lambda k: F.struct(k.alias("kind"), F.when(k == "regex", label).when(k.isNotNull(), low).alias("label")))
 
 

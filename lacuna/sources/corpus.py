@@ -60,7 +60,9 @@ def float_text(number: Column) -> Column:
             .otherwise(F.rtrim(shown.cast("decimal(38,21)").cast("string"), F.lit("0")))
         )
 
-    return let(_digits(number), python)
+    # The JVM's text is the one wanted for most numbers; the functions on arrays that bind it for the rest are interpreted.
+    shown, size = number.cast("string"), F.abs(number)
+    return F.when((((size >= 1e-3) & (size < 1e7)) | (size == 0)) & (F.length(shown) <= 17), shown).otherwise(let(_digits(number), python))
 
 
 def _widened(single: Column) -> Column:
@@ -100,13 +102,15 @@ def spread(df: DataFrame, at_most: int = 8) -> DataFrame:
 def cells_of(df: DataFrame, table_id: str, row_idx: Column, columns: list[str] | None = None) -> DataFrame:
     """The cells of one table in a single scan; ``row_idx`` must identify its rows."""
     names = [c for c in df.columns if columns is None or c in columns]
-    parts = []
+    # Texts are columns of their own first: within the generator, one interpreted function would make all of it interpreted.
+    texts, parts = [row_idx.cast("long").alias("row_idx")], []
     for k, name in enumerate(names):
         kind = df.schema[name].dataType
         value, null = _text(F.col(f"`{name}`"), kind)
+        texts += [value.alias(f"value{k}"), null.alias(f"null{k}")]
         numeric = F.lit(isinstance(kind, _NUMERIC))
-        parts.append(F.struct(F.lit(k).alias("col_idx"), F.lit(name).alias("column"), numeric.alias("is_numeric"), value.alias("value"), null.alias("is_null")))
-    rows = df.select(F.lit(table_id).alias("table_id"), F.lit(f"{table_id}.parquet").alias("file_basename"), row_idx.cast("long").alias("row_idx"), F.explode(F.array(*parts)).alias("cell"))
+        parts.append(F.struct(F.lit(k).alias("col_idx"), F.lit(name).alias("column"), numeric.alias("is_numeric"), F.col(f"value{k}").alias("value"), F.col(f"null{k}").alias("is_null")))
+    rows = df.select(*texts).select(F.lit(table_id).alias("table_id"), F.lit(f"{table_id}.parquet").alias("file_basename"), "row_idx", F.explode(F.array(*parts)).alias("cell"))
     return rows.select("table_id", "file_basename", "row_idx", "cell.*")
 
 

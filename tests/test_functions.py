@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lacuna.functions import lexicon as lx
 from lacuna.functions import missing as ms
 from lacuna.functions import text as tx
+from lacuna.sources import corpus
 
 # Made by hand: a text, its normal form, and what is missing about it (kind and label; "" where only the mask has it, None where nothing is).
 CASES = [
@@ -84,3 +85,20 @@ def test_column_names(spark):
     assert [r.p for r in got] == [True, False, False, False, False, True, False]
     assert [r.i for r in got] == [False, False, True, True, True, False, False]
     assert [r.s for r in got] == [False, False, True, False, True, False, False]
+
+
+def test_phrases_by_first_character_and_word(spark):
+    """A cell is a phrase where any family's pattern matches as a whole, though most cells are passed over after their first character."""
+    texts = ["not available", "sample not-available", "été not_available", "9 x not  available", "not available today", "available", "-- not applicable --", "value missing", "info_missing", "missing entry", "no-answer", "no answers", "doesn't know", "does not respond",
+             "didn't apply", "unreported", "unknown, method", "unknown.", "unknowns", "n/a.", "n-d", "nd", "_—–…", "?.*", "　\t", "\x1c", "", "a", "10", "ж not available", "not known", "x" * 40 + " not available"]
+    shown = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    plain = ms._whole("|".join(f"(?:{p})" for _, p in ms.DISGUISED_PATTERNS))
+    found = shown.select("t", ms.is_phrase(F.col("t")).alias("fast"), F.col("t").rlike(plain).alias("plain")).collect()
+    assert [r.fast for r in found] == [r.plain for r in found] and sum(bool(r.fast) for r in found) == 23
+
+
+def test_cells_are_made_in_compiled_code(spark):
+    """The text of a float is in part interpreted; the expansion of rows to cells is not for that."""
+    df = spark.range(10).select("id", (F.col("id") / 4).alias("x"), F.lit("a").alias("y"))
+    plan = corpus.cells_of(df, "t", F.col("id"), ["x", "y"])._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.splitlines() if "Generate explode" in line and "*(" in line], plan
